@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusegrid.llm import chat, html, langid, mixing, packing, urlfilter
+from fusegrid.llm import chat, html, langid, linededup, mixing, ngramjoin, packing, urlfilter
+from fusegrid.llm.setjoin import Threshold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(_table(spark, sf_dir, "documents"), width=3, threshold=Threshold(90, 100))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -41,7 +46,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_urlfilter": op4_urlfilter, "op6_html": op6_html, "op8_langid": op8_langid}
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_urlfilter": op4_urlfilter, "op5_ngramjoin": op5_ngramjoin, "op6_html": op6_html, "op8_langid": op8_langid, "op10_linededup": op10_linededup}
 
 _OP3 = r"""
 WITH t AS (
