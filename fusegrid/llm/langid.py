@@ -209,3 +209,22 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, by a model fitted to these documents."""
     p = predict(docs, fit(docs, **options))
     return p.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: A document is rejected if no language reaches this mean probability.
+LEAST_SCORE = 0.3
+
+
+def keep_known(docs: DataFrame, least: float = LEAST_SCORE, **options) -> DataFrame:
+    """The documents, unchanged, whose text has a language: not ``und``, and a score of ``least`` or more."""
+    model = fit(docs, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            ok = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
+            if model is not None and ok.any():
+                ok &= probabilities(model, *buffers(texts)).max(1) >= least
+            yield batch.filter(pa.array(ok if model is not None else np.zeros(len(ok), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

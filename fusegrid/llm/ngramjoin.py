@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import Threshold, blocks, chunks, fingerprints, semi, verified
+from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, semi, verified
 from fusegrid.llm.words import buffers, mix, pack, shingles_of, words_of
 from fusegrid.plans.components import connected_components
 from fusegrid.plans.scratch import materialize
@@ -191,3 +191,14 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
     least = c.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = c.join(least, "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """The documents, unchanged, without all but the least id of each group of linked ones.
+
+    Documents without words and those of a null id stay; rows that repeat an id share its fate.
+    """
+    gone = join(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialize(gone, "copies")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, "doc_id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusegrid.llm import chat, html, langid, linededup, mixing, ngramjoin, packing, urlfilter
+from fusegrid.llm import ann, chat, html, langid, linededup, media, mixing, ngramjoin, packing, urlfilter
 from fusegrid.llm.setjoin import Threshold
 
 
@@ -42,15 +42,24 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    return ann.search(v, v.where("vec_id % 100 = 0"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.drawn_from(_table(spark, sf_dir, "embeddings")))
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_urlfilter": op4_urlfilter, "op5_ngramjoin": op5_ngramjoin, "op6_html": op6_html, "op8_langid": op8_langid, "op10_linededup": op10_linededup}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_urlfilter": op4_urlfilter, "op5_ngramjoin": op5_ngramjoin, "op6_html": op6_html, "op7_ann": op7_ann, "op8_langid": op8_langid, "op9_media": op9_media, "op10_linededup": op10_linededup}
 
 _OP3 = r"""
 WITH t AS (
