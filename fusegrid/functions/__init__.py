@@ -1 +1 @@
-
+"""Column expressions: geometry, boxes and vectors."""
