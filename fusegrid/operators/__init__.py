@@ -1 +1 @@
-
+"""Relational operators over sensor relations."""

@@ -1 +1 @@
-
+"""Readers, decoders, sinks and the test relations."""
