@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, semi, verified
+from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, keys, semi, verified
 from fusegrid.llm.words import buffers, mix, pack, shingles_of, words_of
 from fusegrid.plans.components import connected_components
 from fusegrid.plans.scratch import materialize
 
 WIDTH, THRESHOLD = 5, Threshold(4, 5)
-DIMENSIONS, LEAF, FANOUT, PIVOTS = 32, 16, 8, 2
+DIMENSIONS, LEAF, FANOUT, PIVOTS = 64, 16, 8, 2
 #: Members of a block that one task holds; larger blocks are searched by pairs of chunks.
 CHUNK = 2048
 
@@ -108,7 +108,10 @@ def tree_pairs(t: Threshold, one: Tree, other: Tree) -> Iterator[tuple[np.ndarra
 
 
 def _search(members: DataFrame, t: Threshold) -> DataFrame:
-    """Unconnected pairs (a, b) of each block that the bound admits; members: block, m, id, component, point."""
+    """Unconnected pairs (a, b) that the bound admits, each once: in the first of the blocks that both are in.
+
+    members: block, m, id, component, point, blocks (all blocks of the id).
+    """
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
     w = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     w = w.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -117,6 +120,7 @@ def _search(members: DataFrame, t: Threshold) -> DataFrame:
     def one(p: pd.DataFrame) -> pd.DataFrame:
         ids, component, part = p.id.to_numpy(), p.component.to_numpy(), p.part.to_numpy()
         x = np.stack([np.frombuffer(v, np.int32) for v in p.point])
+        block, own = p.block.iloc[0], [frozenset(v.tolist()) for v in p.blocks]
         sides = [np.flatnonzero(part == k) for k in dict.fromkeys((p.i.iloc[0], p.j.iloc[0]))]
         out = []
         if all(len(s) for s in sides):
@@ -124,11 +128,12 @@ def _search(members: DataFrame, t: Threshold) -> DataFrame:
             for r, s in tree_pairs(t, trees[0], trees[-1]):
                 r, s = sides[0][r], sides[-1][s]
                 ok = component[r] != component[s]
+                ok[ok] = [min(own[x] & own[y]) == block for x, y in zip(r[ok], s[ok], strict=True)]
                 out.append(np.stack((ids[r[ok]], ids[s[ok]]), 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": got.max(1, initial=-(2**63)), "b": got.min(1, initial=2**63 - 1)})
 
-    return w.groupBy("block", "i", "j").applyInPandas(one, "a long, b long").distinct()
+    return w.groupBy("block", "i", "j").applyInPandas(one, "a long, b long")
 
 
 def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD) -> DataFrame:
@@ -150,7 +155,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(n.astype(np.int64)), pack(points(elements, n).ravel(), np.full(len(n), DIMENSIONS)).cast(pa.binary())], ["doc_id", "id", "n", "point"])
 
     outlines = materialize(source.mapInArrow(outline, "doc_id long, id long, n long, point binary"), "outlines")
-    met = materialize(blocks(source, lambda b: _sets(b, width), t), "blocks")
+    met = materialize(blocks(source, lambda b: keys(t, *_sets(b, width))), "blocks")
     named = materialize(met.select("id").distinct(), "named")
     known = materialize(semi(outlines, named, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "known")
 
@@ -164,7 +169,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
     sets = materialize(semi(sets, named, "id").dropDuplicates(["id"]), "sets")
 
     links, tried, component = None, None, None
-    members = materialize(met.join(known.select("id", "n", "point"), "id"), "members")
+    members = materialize(met.join(known.select("id", "n"), "id"), "members")
     for round_ in range(PIVOTS + 1):
         if component is not None:
             labelled = met.select("block", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -177,7 +182,8 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
             pairs = open_.join(pivot, "block").where((F.col("id") != F.col("v.p")) & (F.col("component") != F.col("v.pc")) & t.sizes_fit(F.col("n"), F.col("v.pn")))
             pairs = pairs.select(F.greatest("id", "v.p").alias("a"), F.least("id", "v.p").alias("b")).distinct()
         else:
-            pairs = _search(open_.select("block", "m", "id", "component", "point"), t)
+            own = open_.groupBy("id").agg(F.collect_list("block").alias("blocks"))
+            pairs = _search(open_.join(known.select("id", "point"), "id").join(own, "id").select("block", "m", "id", "component", "point", "blocks"), t)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")

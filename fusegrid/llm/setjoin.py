@@ -6,8 +6,10 @@ than that bound for the size class of the larger set; so some group has equal co
 in both sets, and the hash of a group's content is a key that both share.  k also
 exceeds the bound by the number of groups that an ordinary set leaves empty, so that
 an agreeing group with elements exists; a set with more empty groups than that also
-posts the empty ones.  Keys depend on whole groups, so frequent elements make no
-frequent keys: only near copies share a block.
+posts the empty ones (``keys``).  For sets of words, whose frequencies differ widely, a
+key is instead two words that follow one another in the set's order of rarity, from the
+rare end (``rare_pairs``).  Either way frequent elements make no frequent keys: near
+copies share a block, and few other sets do.
 
 Keys travel packed, twelve bytes each, as one binary for each bucket and stretch of
 input, and a bucket's task keeps the keys that two different sets post.  Sets are
@@ -131,13 +133,31 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
                 yield batch.slice(a, b - a)
 
 
-SetsOf = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
+def rare_pairs(t: Threshold, ids: np.ndarray, n: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit key, set id) for sets given as consecutive elements, each in one global order of rarity.
+
+    A key is two elements that follow one another in a set's order.  With c = (1-t)/(1+t),
+    an element that only the smaller set x has spoils two of its pairs, one that only the
+    larger has spoils one, at most 3c|x| in all; so one of x's first 3c|x|+1 pairs
+    is also a pair of the larger set y, and at most c|y| elements later there.  So the first
+    4cn+1 pairs of each set of n elements are posted.  Sets of one element post nothing.
+    """
+    if 3 * t.num < 2 * t.den:
+        raise ValueError("pairs of neighbours need a threshold of 2/3 or more")
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(ordered)) - (np.cumsum(n) - n)[row]
+    posted = np.minimum(4 * (t.den - t.num) * n // (t.den + t.num) + 1, n - 1)
+    at = np.flatnonzero(place < posted[row])
+    return mix(ordered[at] * np.uint64(0xD6E8FEB86659FD93) + ordered[np.minimum(at + 1, len(ordered) - 1)]), ids[row[at]]
+
+
+KeysOf = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
-def blocks(source: DataFrame, sets_of: SetsOf, t: Threshold) -> DataFrame:
-    """(block, id): the sets that share a key, for keys of two different sets or more.
+def blocks(source: DataFrame, keys_of: KeysOf) -> DataFrame:
+    """(block, id, m): the m sets that share a key, for keys of two different sets or more.
 
-    ``source`` has an id and a text column; ``sets_of`` gives ids, sizes and elements of a slice's sets.
+    ``source`` has an id and a text column; ``keys_of`` gives the keys of a slice's sets, and the sets' ids.
     """
     spark = source.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -157,7 +177,7 @@ def blocks(source: DataFrame, sets_of: SetsOf, t: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
         for part in chunks(batches):
-            key, ids = keys(t, *sets_of(part))
+            key, ids = keys_of(part)
             held_key.append(key)
             held_id.append(ids)
             held += len(key)
