@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusegrid.functions import model as M
@@ -34,26 +34,44 @@ def finite(*values) -> Column:
     return out
 
 
-def pinhole(cx, cy, cz, nearest: float = 1e-8, farthest: float | None = None, du: float = 0.0, dv: float = 0.0) -> tuple[Column, Column, Column]:
-    """(u, v, valid) of a camera-frame point, with radial-tangential distortion; u and v are null where it is not valid."""
-    cx, cy, cz = _c(cx), _c(cy), _c(cz)
-    valid = finite(cx, cy, cz) & (cz > nearest)
-    if farthest is not None:
-        valid = valid & (cz < farthest)
-    k1, k2, p1, p2, k3 = M.DISTORTION
+def _rays(camera, nearest: float, farthest: float | None) -> tuple[Column, Column, Column]:
+    """(a, b, valid): the camera-frame point over its depth, null where the depth is not finite or out of bounds.
+
+    A coordinate that is not finite makes the depth so; NaN sorts over all numbers, so one upper bound excludes both.
+    """
+    cx, cy, cz = map(_c, camera)
+    valid = F.coalesce((cz > nearest) & (cz < (float("inf") if farthest is None else farthest)), F.lit(False))
     z = F.when(valid, cz)
-    a, b = cx / z, cy / z
+    return cx / z, cy / z, valid
+
+
+def _distorted(a, b, du: float, dv: float) -> tuple[Column, Column]:
+    a, b = _c(a), _c(b)
+    k1, k2, p1, p2, k3 = M.DISTORTION
     r2 = a * a + b * b
-    radial = F.lit(1.0) + r2 * k1 + r2 * r2 * k2 + r2 * r2 * r2 * k3
-    u = (a * radial + a * b * (2 * p1) + (r2 + a * a * 2.0) * p2) * M.FX + M.CX + du
-    v = (b * radial + (r2 + b * b * 2.0) * p1 + a * b * (2 * p2)) * M.FY + M.CY + dv
-    return u, v, valid
+    radial = r2 * (r2 * (r2 * k3 + k2) + k1) + 1.0
+    u = (a * radial + a * b * (2 * p1) + (r2 + a * a * 2.0) * p2) * M.FX + (M.CX + du)
+    v = (b * radial + (r2 + b * b * 2.0) * p1 + a * b * (2 * p2)) * M.FY + (M.CY + dv)
+    return u, v
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` whose expressions the optimizer does not copy into later filters and projections.
+
+    A generator of one row stands between: deep expressions would else be inlined once for each use.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def project(x, y, z, t: np.ndarray = M.OPTICAL_FROM_ANNOTATED, shift: str = "physical", nearest: float = 1e-8, farthest: float | None = None) -> tuple[Column, Column, Column, Column]:
-    """(u, v, valid, depth) of a point of the annotated frame, under a named registration shift."""
-    camera = rigid(x, y, z, t)
-    return (*pinhole(*camera, nearest, farthest, *M.SHIFTS[shift]), camera[2])
+def with_projection(df: DataFrame, x: str = "x", y: str = "y", z: str = "z", t: np.ndarray = M.OPTICAL_FROM_ANNOTATED, shift: str = "physical", nearest: float = 1e-8, farthest: float | None = None) -> DataFrame:
+    """``df`` with u, v (null where not valid), valid and depth of points of the annotated frame, under a named registration shift."""
+    cx, cy, cz = rigid(x, y, z, t)
+    d = bound(df, _cx=cx, _cy=cy, depth=cz)
+    a, b, valid = _rays(("_cx", "_cy", "depth"), nearest, farthest)
+    d = bound(d, _a=a, _b=b, valid=valid)
+    u, v = _distorted("_a", "_b", *M.SHIFTS[shift])
+    return bound(d, u=u, v=v).drop("_a", "_b", "_cx", "_cy")
 
 
 def in_view(u, v, depth) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fusegrid.plans import queries_evaluation, queries_geometry, queries_state, queries_time
+
+_PARTS = (queries_geometry, queries_time, queries_evaluation, queries_state)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
 FLAGSHIP = "frustum_measurements"

@@ -59,7 +59,7 @@ MEASUREMENTS = "measurements AS (SELECT user_id AS track, epoch_us(ts) AS t, eve
 
 def placed(name: str, index: str, nudge: float = 0.0) -> str:
     off = f"(k * 31 % 47) * {n(nudge)}"
-    return f"""{name} AS (SELECT CAST((k - 1) // 3 AS BIGINT) AS frame, CAST((k - 1) % 3 AS INTEGER) AS {index}, (k * 7 * 17) % 997 / 1e2 + {off} AS x,
+    return f"""{name} AS (SELECT CAST(k // 3 AS BIGINT) AS frame, CAST(k % 3 AS INTEGER) AS {index}, (k * 7 * 17) % 997 / 1e2 + {off} AS x,
   (k * 11 * 19) % 991 / 1e2 - {off} AS y, (k * 13 * 3) % 211 / 1e2 AS z FROM (SELECT c_custkey AS k FROM customer))"""
 
 

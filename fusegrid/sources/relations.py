@@ -22,13 +22,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = F.floor(k / 125).cast("long")
     t = t.withColumn("frame", frame)
     pid = F.row_number().over(W.partitionBy("frame").orderBy(*ROW))
-    return t.select("frame", pid.alias("pid"), (F.pmod(p * 37 + n * 11, F.lit(900)) / 100 + 1).alias("x"), (F.pmod(s * 53 + k * 17, F.lit(800)) / 100 - 4).alias("y"), (F.pmod(p * 13 + s * 29, F.lit(240)) / 100 - 2.2).alias("z"))
+    return t.select("frame", pid.cast("long").alias("pid"), (F.pmod(p * 37 + n * 11, F.lit(900)) / 100 + 1).alias("x"), (F.pmod(s * 53 + k * 17, F.lit(800)) / 100 - 4).alias("y"), (F.pmod(p * 13 + s * 29, F.lit(240)) / 100 - 2.2).alias("z"))
 
 
 def projected(points_: DataFrame, shift: str = "inference") -> DataFrame:
     """Points with u, v, valid, depth and height h."""
-    u, v, valid, depth = G.project("x", "y", "z", shift=shift)
-    return points_.withColumns({"u": u, "v": v, "valid": valid, "depth": depth, "h": G.ground_height("x", "y", "z")})
+    return G.with_projection(points_, shift=shift).withColumn("h", G.ground_height("x", "y", "z"))
 
 
 def boxes(points_: DataFrame) -> DataFrame:
@@ -60,14 +59,14 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three predictions for each frame of a hundred customers or fewer."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
-    f, i = F.floor((F.col("k") - 1) / 3).cast("long"), F.pmod(F.col("k") - 1, F.lit(3)).cast("int")
+    f, i = F.floor(F.col("k") / 3).cast("long"), F.pmod("k", F.lit(3)).cast("int")
     return c.select(f.alias("frame"), i.alias("pred"), *_place("k", 7, 11, 13))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three targets for each frame, near the predictions for most."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
-    f, i = F.floor((F.col("k") - 1) / 3).cast("long"), F.pmod(F.col("k") - 1, F.lit(3)).cast("int")
+    f, i = F.floor(F.col("k") / 3).cast("long"), F.pmod("k", F.lit(3)).cast("int")
     return c.select(f.alias("frame"), i.alias("gt"), *_place("k", 7, 11, 13, 0.05))
 
 

@@ -25,9 +25,13 @@ def asof_stream(lidar: DataFrame, rgb: DataFrame, slop_ms: float = 35.0) -> Data
     Both sides have ``ts`` (timestamp) and ``ts_ns``; state older than the slop goes with the
     watermark, which waits for images as late as the slop.
     """
-    late = f"{int(slop_ms * 1000)} microseconds"
-    a = lidar.withWatermark("ts", late).alias("l")
+    slop_us = int(slop_ms * 1000)
+    late = f"{slop_us} microseconds"
+    bucket = lambda c: F.floor(F.unix_micros(c) / slop_us)  # noqa: E731  an image is in the scan's bucket or the one before
+    a = lidar.withWatermark("ts", late).withColumn("bucket", bucket("ts")).alias("l")
     b = rgb.select(F.col("ts").alias("rgb_ts"), F.col("ts_ns").alias("rgb_ns"), F.col("idx").alias("rgb_idx")).withWatermark("rgb_ts", late)
-    near = (F.col("rgb_ts") <= F.col("l.ts")) & (F.col("rgb_ts") >= F.col("l.ts") - F.expr(f"interval {late}"))
+    b = b.withColumn("bucket", F.explode(F.array(bucket("rgb_ts"), bucket("rgb_ts") + 1))).alias("r")
+    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("rgb_ts") <= F.col("l.ts")) & (F.col("rgb_ts") >= F.col("l.ts") - F.expr(f"interval {late}"))
     pairs = a.join(b, near)
-    return pairs.groupBy(F.window("ts", late), "ts", "idx", "ts_ns").agg(F.max(F.struct("rgb_ns", "rgb_idx")).alias("r")).select(F.col("idx").alias("lidar_idx"), F.col("r.rgb_idx").alias("rgb_idx"), (F.col("ts_ns") - F.col("r.rgb_ns")).alias("age_ns"))
+    g = pairs.groupBy(F.window("ts", late), "ts", "idx", "ts_ns").agg(F.max(F.struct("rgb_ns", "rgb_idx")).alias("r"))
+    return g.select(F.col("idx").alias("lidar_idx"), F.col("r.rgb_idx").alias("rgb_idx"), (F.col("ts_ns") - F.col("r.rgb_ns")).alias("age_ns"))
