@@ -54,7 +54,9 @@ def fit(vectors: DataFrame) -> Index | None:
     got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
     if not len(got):
         return None
-    x = np.stack(got.embedding.to_numpy()).astype(np.float64)
+    lengths = got.embedding.map(len)
+    common = lengths.value_counts().sort_index(ascending=False).idxmax()  # ties go to the longer
+    x = np.stack(got.embedding[lengths == common].to_numpy()).astype(np.float64)
     pivots = x[:PIVOTS]
     r, _ = ranks(x, pivots)
     q = np.arange(min(SAMPLE_QUERIES, len(x)))
@@ -96,7 +98,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found rows of other ids, by Euclidean distance.
 
     Both tables have vec_id and embedding.  Vectors that are null, zero, of another length
-    than the pivots, or with null or non-finite components take no part; rows that repeat an
+    than most of the sample, or with null or non-finite components take no part; rows that repeat an
     id are one neighbour each, and never neighbours of a query of their own id; ties go
     to the smaller vec_id; fewer rows than k are all returned; an empty table gives an
     empty result; other columns are not read.

@@ -1,13 +1,15 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  Lines with at least ``MIN_TOKENS`` words are compared:
-a line goes if an earlier one (by document id, then place) has a Jaccard similarity of
-the threshold or more, kept or not; all others stay.  Equal sets fall together first.
-Distinct sets meet in blocks (``setjoin``: exact, and free of frequent keys).  In a
-block each set is verified against the block's earliest; those without a match yet are
-joined with all earlier members: tokens are put in order of rarity over the whole
-corpus, only prefixes are indexed, the length and positional filters prune, and the
-survivors are verified.
+A line is the set of its words.  Lines with at least ``MIN_TOKENS`` different words are
+compared: a line goes if an earlier one (by document id, then place) has a Jaccard
+similarity of the threshold or more, kept or not; all others stay.  Equal sets fall
+together first.  Tokens are numbered so that a token's number is its place in the
+order of rarity over the whole corpus, and sets meet in blocks by runs of neighbours
+in the rare prefix of that order (``setjoin.rare_runs``: exact; single tokens of a
+prefix would make postings that grow with the corpus).  Each set is verified against
+the earliest set that it meets; those without a match yet against all earlier ones.
+Pairs pass the length filter and a bound from parities of their tokens before their sets
+are fetched, and the prefix and positional filters before these are intersected.
 """
 
 from __future__ import annotations
@@ -15,72 +17,178 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import Threshold, blocks, chunks, fingerprints, semi, verified
-from fusegrid.llm.words import buffers, distinct, mix, pack, words_of
+from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, rare_runs, short
+from fusegrid.llm.words import buffers, distinct, mix, words_of
 from fusegrid.plans.scratch import materialize
 
 THRESHOLD, MIN_TOKENS = Threshold(4, 5), 5
-#: Cells of the corpus-wide token counts, in PIECES that are summed one by one.
-CELLS, PIECES = 1 << 18, 64
-#: Members of a block that one task holds; larger blocks are joined by pairs of chunks.
-CHUNK = 4096
+#: A token is a number of TOKEN_BITS; its low CELL_BITS name its cell of the corpus-wide counts.
+TOKEN_BITS, CELL_BITS = 42, 18
+CELLS, REST_BITS = 1 << CELL_BITS, TOKEN_BITS - CELL_BITS
+#: Pieces in which tables of a fixed size are put together from all tasks.
+PIECES = 64
+#: Bits of the filter that tells which lines' sets a verification wants.
+WANTED_BITS = 1 << 25
+#: Sets that are verified against one other in one task's run; a set with more is repeated.
+SALT_ROWS = 512
+#: Bytes of a token's number when sets travel.
+BYTES = 6
 
 
-def line_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, fingerprint, size, distinct tokens) of every line of a slice's texts (column 1), in order."""
+def line_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each line, its place, line of each word, the word's token) of a slice's texts (column 1), in order."""
     data, offsets = buffers(batch.column(1))
     ends = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate((offsets[:-1], ends + 1)))
     starts = starts[starts < offsets[-1]] if len(data) else np.zeros(0, np.int64)
-    # an empty text is one empty line; a text that ends in a line end has an empty last line
     h, at, _ = words_of(data, offsets)
-    line = np.searchsorted(starts, at, "right") - 1
-    tokens, _, n = distinct(h, line, len(starts))
+    words = np.diff(np.append(np.searchsorted(at, starts), len(at)))
     row = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(starts, offsets[row])
-    return row, np.arange(len(starts)) - first, fingerprints(tokens, n), n, tokens
+    return row, np.arange(len(starts)) - first, np.repeat(np.arange(len(starts)), words), h >> np.uint64(64 - TOKEN_BITS)
 
 
-def _compared(batch: pa.RecordBatch, least: int):
-    row, place, ids, n, tokens = line_sets(batch)
+def sets_of(line: np.ndarray, token: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each line's set in order of their numbers, set sizes)."""
+    if lines >> (64 - TOKEN_BITS):
+        s, _, n = distinct(token, line, lines)
+        return s, n
+    both = np.sort(line.astype(np.uint64) << np.uint64(TOKEN_BITS) | token)
+    fresh = np.ones(len(both), bool)
+    fresh[1:] = both[1:] != both[:-1]
+    both = both[fresh]
+    return both & np.uint64((1 << TOKEN_BITS) - 1), np.bincount((both >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=lines)
+
+
+def compared(batch: pa.RecordBatch, least: int, rank: np.ndarray | None = None):
+    """(row, place, name, size, tokens) of the compared lines; with ranks, tokens are numbered by rarity."""
+    row, place, line, token = line_tokens(batch)
+    if rank is not None:
+        token = rank[(token & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(REST_BITS) | token >> np.uint64(CELL_BITS)
+    tokens, n = sets_of(line, token, len(row))
     ok = n >= least
-    return row[ok], place[ok], ids[ok], n[ok], tokens[np.repeat(ok, n)]
+    tokens, n = tokens[np.repeat(ok, n)], n[ok]
+    plain = tokens
+    if rank is not None:
+        cell = np.empty(CELLS, np.uint64)
+        cell[rank.astype(np.int64)] = np.arange(CELLS, dtype=np.uint64)
+        plain = (tokens & np.uint64((1 << REST_BITS) - 1)) << np.uint64(CELL_BITS) | cell[(tokens >> np.uint64(REST_BITS)).astype(np.int64)]
+    return row[ok], place[ok], fingerprints(plain, n), n, tokens
+
+
+def parities(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parities of each (non-empty) set's tokens, as two numbers: sets that differ in d tokens differ in d parities at most."""
+    if not len(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cell = mix(tokens) >> np.uint64(57)
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    low = cell < 64
+    return tuple(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), np.cumsum(n) - n).view(np.int64) for half in (low, ~low))
+
+
+def _may_match(t: Threshold, a: str, b: str):
+    """The length and parity filters on columns n, p, q with the prefixes a and b."""
+    far = F.bit_count(F.col(f"{a}p").bitwiseXOR(F.col(f"{b}p"))) + F.bit_count(F.col(f"{a}q").bitwiseXOR(F.col(f"{b}q")))
+    n1, n2 = F.col(f"{a}n"), F.col(f"{b}n")
+    return t.sizes_fit(n1, n2) & (far * (t.num + t.den) <= (n1 + n2) * (t.den - t.num))
+
+
+def _summed(rows: DataFrame, join) -> list:
+    """The (piece, bytes) rows of all tasks put together by ``join``: PIECES rows of a fixed size, whatever the input."""
+
+    def one(t: pa.Table) -> pa.Table:
+        return pa.table({"piece": t.column("piece").slice(0, 1), "bytes": pa.array([join(t.column("bytes").to_pylist())], pa.binary())})
+
+    return rows.groupBy("piece").applyInArrow(one, "piece int, bytes binary").collect()
+
+
+def _place_hash(ids: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64) ^ mix(doc.view(np.uint64) * np.uint64(3) + place.astype(np.uint64))) % np.uint64(WANTED_BITS)).astype(np.int64)
+
+
+def _filter(places: DataFrame) -> np.ndarray:
+    """A bitmap of WANTED_BITS over the hashes of (id, doc_id, place) rows."""
+    size = WANTED_BITS // 8 // PIECES
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(WANTED_BITS, bool)
+        for b in batches:
+            bits[_place_hash(*(c.to_numpy() for c in b.columns))] = True
+        if bits.any():
+            packed = np.packbits(bits).reshape(PIECES, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["piece", "bytes"])
 
-def prefix_matches(t: Threshold, sets: list[np.ndarray], order: np.ndarray, undecided: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which undecided sets have a match among sets of lower order and of another part.
+    out = np.zeros((PIECES, size), np.uint8)
+    for piece, held in _summed(places.select("id", "doc_id", "place").mapInArrow(mark, "piece int, bytes binary"), lambda parts: np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes()):
+        out[piece] = np.frombuffer(held, np.uint8)
+    return out.ravel()
 
-    ``sets`` are token ranks, rarest first.  Prefix filter: matching sets of n1 and n2 tokens
-    share a token among their first ``n - ceil(t*n) + 1``.  Positional filter: with a first
-    shared token at places i and j, the overlap is at most 1 + min(n1-i-1, n2-j-1).
+
+def similar(t: Threshold, head: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sets, as token numbers in order of rarity, reach the threshold.
+
+    Prefix filter: matching sets of n1 and n2 share a token among their first ``n - ceil(t*n) + 1``.
+    Positional filter: if the first shared token stands at i and j, the overlap is at most 1 + min(n1-i-1, n2-j-1).
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    prefix = n - -(-t.num * n // t.den) + 1
-    index: dict[int, list[tuple[int, int]]] = {}
-    out = np.zeros(len(sets), bool)
-    for y in np.argsort(order, kind="stable").tolist():
-        seen = set()
-        for j, token in enumerate(sets[y][: prefix[y]].tolist()):
-            if undecided[y] and not out[y]:
-                for x, i in index.get(token, ()):
-                    if x in seen or other[x] == other[y] >= 0 or order[x] == order[y]:
-                        continue
-                    seen.add(x)
-                    needed = -(-t.num * (n[x] + n[y]) // (t.num + t.den))
-                    if not t.sizes_fit(n[x], n[y]) or 1 + min(n[x] - i - 1, n[y] - j - 1) < needed:
-                        continue
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if t.linked(np.array(both), n[x], n[y]):
-                        out[y] = True
-                        break
-        for j, token in enumerate(sets[y][: prefix[y]].tolist()):
-            index.setdefault(token, []).append((y, j))
-    return out
+    n1, n2 = len(head), len(other)
+    if not n1 or not n2 or not t.sizes_fit(n1, n2):
+        return False
+    at = np.searchsorted(head, other)
+    hit = head[np.minimum(at, n1 - 1)] == other
+    j = int(hit.argmax())
+    i = int(at[j])
+    if not hit[j] or i > n1 + (-t.num * n1) // t.den or j > n2 + (-t.num * n2) // t.den:
+        return False
+    if (1 + min(n1 - i - 1, n2 - j - 1)) * (t.num + t.den) < t.num * (n1 + n2):
+        return False
+    both = int(hit.sum())
+    return t.den * both >= t.num * (n1 + n2 - both)
+
+
+def _verified(pairs: DataFrame, known: DataFrame, source: DataFrame, t: Threshold, least: int, rank: np.ndarray) -> DataFrame:
+    """The ids y of the pairs (y, x) whose sets reach the threshold.  known: id, doc_id, place of each set's first line.
+
+    One pass over the texts gives the sets at the first places; each goes to the sets x
+    that it is verified against, and x itself once for each SALT_ROWS of them.
+    """
+    pairs = materialize(pairs, "linepairs")
+    salts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    own = pairs.join(salts, "x").select(F.col("y").alias("id"), F.col("x").alias("key"), F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("tail"))
+    heads = salts.select(F.col("x").alias("id"), F.col("x").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tail"))
+    roles = materialize(own.union(heads), "roles")
+    wanted = _filter(known.join(roles.select("id").distinct(), "id", "left_semi"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            row, place, ids, n, tokens = compared(part, least, rank)
+            at = _place_hash(ids, part.column(0).to_numpy()[row], place)
+            ok = (wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            raw = np.ascontiguousarray(tokens[np.repeat(ok, n)].view(np.uint8).reshape(-1, 8)[:, :BYTES])
+            ends = (np.concatenate(([0], np.cumsum(n[ok]))) * BYTES).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends), pa.py_buffer(raw)])], ["id", "elements"])
+
+    def unpack(x: bytes) -> np.ndarray:
+        out = np.zeros((len(x) // BYTES, 8), np.uint8)
+        out[:, :BYTES] = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
+        return out.view(np.uint64).ravel()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head = None, None
+        for b in batches:
+            found = []
+            for key, salt, tail, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tail == 0:
+                    now, head = (key, salt), unpack(x)
+                elif (key, salt) == now and similar(t, head, unpack(x)):
+                    found.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
+
+    dealt = source.mapInArrow(sets, "id long, elements binary").join(roles, "id").select("key", "salt", "tail", "id", "elements")
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "tail").mapInArrow(check, "id long").distinct()
 
 
 def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -90,80 +198,48 @@ def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: in
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "place", "id", "n", "piece", "counts"]
+        names = ["doc_id", "place", "id", "n", "p", "q", "piece", "bytes"]
         for part in chunks(batches):
-            row, place, ids, n, tokens = _compared(part, min_tokens)
+            row, place, ids, n, tokens = compared(part, min_tokens)
             counts += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            doc = part.column(0).to_numpy()[row]
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(ids), pa.array(n), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row]), pa.array(place), pa.array(ids), pa.array(n), *map(pa.array, parities(tokens, n)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if counts.any():
             blobs = pa.array([x.tobytes() for x in np.split(counts, PIECES)], pa.binary())
             none = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(PIECES, dtype=np.int32)), blobs], names)
+            yield pa.RecordBatch.from_arrays([none] * 6 + [pa.array(np.arange(PIECES, dtype=np.int32)), blobs], names)
 
-    lines = materialize(source.mapInArrow(outline, "doc_id long, place long, id long, n long, piece int, counts binary"), "lines")
+    lines = materialize(source.mapInArrow(outline, "doc_id long, place long, id long, n long, p long, q long, piece int, bytes binary"), "lines")
+    counts = np.zeros((PIECES, CELLS // PIECES), np.int64)
+    for piece, held in _summed(lines.where("piece is not null").select("piece", "bytes"), lambda parts: sum(np.frombuffer(x, np.int64) for x in parts).tobytes()):
+        counts[piece] = np.frombuffer(held, np.int64)
+    rank = np.empty(CELLS, np.uint64)
+    rank[np.argsort(counts.ravel(), kind="stable")] = np.arange(CELLS, dtype=np.uint64)
 
-    def summed(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in part.counts)
-        return pd.DataFrame({"piece": [part.piece.iloc[0]], "counts": [total.tobytes()]})
+    lines = lines.where("piece is null").select("doc_id", "place", "id", "n", "p", "q")
+    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), *[F.min(c).alias(c) for c in "npq"], F.count(F.lit(1)).alias("copies"))
+    first = materialize(first.select("id", "first.doc_id", "first.place", "n", "p", "q", "copies"), "firsts")
 
-    rare = lines.where("piece is not null").select("piece", "counts").groupBy("piece").applyInPandas(summed, "piece int, counts binary").toPandas()
-    weight = np.zeros((PIECES, CELLS // PIECES), np.int64)  # CELLS numbers, whatever the corpus
-    for piece, counts in zip(rare.piece, rare.counts, strict=True):
-        weight[piece] = np.frombuffer(counts, np.int64)
-    weight = weight.ravel()
+    def keys_of(part: pa.RecordBatch):
+        _, _, ids, n, tokens = compared(part, min_tokens, rank)
+        return rare_runs(t, ids, n, tokens)
 
-    lines = lines.where("piece is null").select("doc_id", "place", "id", "n")
-    met = materialize(blocks(source, lambda b: _compared(b, min_tokens)[2:], t), "lineblocks")
-    named = materialize(met.select("id").distinct(), "named")
-    known = semi(lines, named, "id").groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n"))
-    known = materialize(known, "known")
+    met = blocks(source, keys_of)
+    members = materialize(met.join(first.drop("copies").withColumn("short", short(F.col("id"))), "short").select("block", "id", F.struct("doc_id", "place").alias("first"), "n", "p", "q"), "linemembers")
+    earliest = members.groupBy("block").agg(F.min(F.struct("first", "id", "n", "p", "q")).alias("v"))
+    star = members.join(earliest, "block").where("id <> v.id").groupBy("id").agg(F.min("v").alias("v"), *[F.min(c).alias(c) for c in "npq"])
+    star = star.where(_may_match(t, "", "v.")).select(F.col("id").alias("y"), F.col("v.id").alias("x"))
+    star = materialize(star, "star")
+    hit = materialize(_verified(star, first, source, t, min_tokens, rank), "hit")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            _, _, ids, n, tokens = _compared(part, min_tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pack(tokens, n).cast(pa.binary())], ["id", "elements"])
-
-    wanted = materialize(known.select("first.doc_id").distinct(), "wanted")
-    sets = semi(semi(source, wanted, "doc_id").mapInArrow(whole, "id long, elements binary"), named, "id")
-    sets = materialize(sets.dropDuplicates(["id"]), "linesets")
-
-    members = materialize(met.join(known, "id"), "linemembers")
-    pivot = members.groupBy("block").agg(F.min(F.struct("first", F.col("id").alias("p"), F.col("n").alias("pn"))).alias("v"))
-    star = members.join(pivot, "block")
-    pairs = star.where((F.col("id") != F.col("v.p")) & t.sizes_fit(F.col("n"), F.col("v.pn"))).select(F.col("id").alias("a"), F.col("v.p").alias("b")).distinct()
-    hit = materialize(verified(pairs, sets, t).select(F.col("a").alias("id")).distinct(), "hit")
-
-    # blocks in which a set without a match has earlier members besides the pivot
-    open_ = star.join(hit.withColumn("decided", F.lit(True)), "id", "left").withColumn("undecided", F.col("decided").isNull() & (F.col("id") != F.col("v.p")))
-    last = open_.where("undecided").groupBy("block").agg(F.max("first").alias("until"))
-    open_ = open_.join(last, "block").where((F.col("first") <= F.col("until")) & (F.col("id") != F.col("v.p")))
-    open_ = open_.join(open_.groupBy("block").agg(F.count(F.lit(1)).alias("left")).where("left > 1"), "block")
-    parts = F.ceil(F.col("left") / CHUNK).cast("int")
-    w = open_.select("block", "id", "first", "undecided", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    w = w.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
-    w = w.join(sets, "id").select("block", "i", "j", "part", "id", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), "undecided", "elements")
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        order = np.empty(len(p), np.int64)
-        at = np.lexsort((p.place.to_numpy(), p.doc_id.to_numpy()))
-        new = np.concatenate(([0], np.cumsum((np.diff(p.doc_id.to_numpy()[at]) != 0) | (np.diff(p.place.to_numpy()[at]) != 0))))
-        order[at] = new
-        sets_ = []
-        for blob in p.elements:
-            s = np.frombuffer(blob, np.uint64)
-            sets_.append(s[np.lexsort((s, weight[(s & np.uint64(CELLS - 1)).astype(np.int64)]))])
-        # within one chunk all pairs count; between two chunks those of different parts
-        other = p.part.to_numpy() if p.i.iloc[0] != p.j.iloc[0] else np.full(len(p), -1)
-        found = prefix_matches(t, sets_, order, p.undecided.to_numpy(bool), other)
-        return pd.DataFrame({"id": p.id.to_numpy()[found]})
-
-    more = w.groupBy("block", "i", "j").applyInPandas(one, "id long")
-    removed = materialize(hit.union(more).distinct(), "removed")
-
-    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    again = first.join(removed.withColumn("gone", F.lit(True)), "id", "left").where("copies > 1 or gone")
+    # what has no match yet is verified against all earlier members of its blocks
+    left = members.join(hit, "id", "left_anti").select("block", *[F.col(c).alias(f"y_{c}") for c in ("id", "first", "n", "p", "q")]).alias("l")
+    fits = (F.col("l.block") == F.col("m.block")) & (F.col("first") < F.col("y_first")) & _may_match(t, "", "y_")
+    rest = left.join(members.alias("m"), fits).select(F.col("y_id").alias("y"), F.col("id").alias("x")).distinct()
+    more = _verified(rest.join(star, ["y", "x"], "left_anti"), first, source, t, min_tokens, rank)
+    removed = materialize(hit.union(more).distinct(), "removed").withColumn("gone", F.lit(True))
+
+    again = first.join(removed, "id", "left").where("copies > 1 or gone").select("id", F.struct("doc_id", "place").alias("first"), "gone")
     gone = lines.join(again, "id").where("gone or struct(doc_id, place) > first")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
@@ -175,15 +251,15 @@ def dedup(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = M
     empty.  Null and empty texts stay as they are.  A null id counts as the least.  Rows
     that repeat an id are at the same place, so neither's lines are earlier than the
     other's same lines, and a line goes from both or none; an empty table gives an empty
-    result; other columns are carried, and names like n_lines or places are replaced.
+    result; other columns are carried, but n_lines and n_removed are replaced.
     """
-    gone = duplicates(docs, threshold, min_tokens).select(F.col("doc_id").alias("_key"), F.col("places").alias("_places"))
+    gone = materialize(duplicates(docs, threshold, min_tokens).select(F.col("doc_id").alias("_key"), F.col("places").alias("_places")), "places")
+    side = F.broadcast(gone) if gone.agg(F.coalesce(F.sum(F.size("_places") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_IDS else gone
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    d = docs.drop("n_lines", "n_removed").join(gone, key == F.col("_key"), "left")
+    d = docs.drop("n_lines", "n_removed").join(side, key == F.col("_key"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_places", i.cast("long")))
-    columns = {"n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_places"), F.lit(0)).cast("long"), "text": F.when(F.col("_key").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
+    columns = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.when(F.col("_key").isNull(), 0).otherwise(F.size("_places")).cast("long"), "text": F.when(F.col("_key").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     d = d.withColumns(columns)
-    d = d.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return d.drop("_key", "_places")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, keys, semi, verified
+from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, keys, semi, short, verified
 from fusegrid.llm.words import buffers, mix, pack, shingles_of, words_of
 from fusegrid.plans.components import connected_components
 from fusegrid.plans.scratch import materialize
@@ -107,6 +107,19 @@ def tree_pairs(t: Threshold, one: Tree, other: Tree) -> Iterator[tuple[np.ndarra
         yield one.order[p + a[0][i]], other.order[q + b[0][j]]
 
 
+def _bounded(pairs: DataFrame, known: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) whose points admit the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for c in ("x", "y"))
+            ok = np.minimum(x, y).sum(1) >= _needed(t, x.sum(1) + y.sum(1))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    a, b = (known.select(F.col("id").alias(c), F.col("point").alias(p)) for c, p in (("a", "x"), ("b", "y")))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _search(members: DataFrame, t: Threshold) -> DataFrame:
     """Unconnected pairs (a, b) that the bound admits, each once: in the first of the blocks that both are in.
 
@@ -155,24 +168,26 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(n.astype(np.int64)), pack(points(elements, n).ravel(), np.full(len(n), DIMENSIONS)).cast(pa.binary())], ["doc_id", "id", "n", "point"])
 
     outlines = materialize(source.mapInArrow(outline, "doc_id long, id long, n long, point binary"), "outlines")
-    met = materialize(blocks(source, lambda b: keys(t, *_sets(b, width))), "blocks")
-    named = materialize(met.select("id").distinct(), "named")
-    known = materialize(semi(outlines, named, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "known")
+    met = blocks(source, lambda b: keys(t, *_sets(b, width)))
+    shorts = materialize(met.select("short").distinct(), "shorts")
+    known = semi(outlines.withColumn("short", short(F.col("id"))), shorts, "short")
+    known = materialize(known.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "known")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             ids, n, elements = _sets(part, width)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pack(elements, n).cast(pa.binary())], ["id", "elements"])
 
+    named = known.select("id")
     wanted = materialize(known.select("doc_id").distinct(), "wanted")
     sets = semi(source, wanted, "doc_id").mapInArrow(whole, "id long, elements binary")
     sets = materialize(semi(sets, named, "id").dropDuplicates(["id"]), "sets")
 
     links, tried, component = None, None, None
-    members = materialize(met.join(known.select("id", "n"), "id"), "members")
+    members = materialize(met.join(known.select("id", "n", short(F.col("id")).alias("short")), "short").drop("short"), "members")
     for round_ in range(PIVOTS + 1):
         if component is not None:
-            labelled = met.select("block", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            labelled = members.select("block", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
             mixed = labelled.groupBy("block").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("block")
             open_ = members.join(mixed, "block").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
@@ -181,6 +196,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
             pivot = open_.groupBy("block").agg(F.min(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))).alias("v"))
             pairs = open_.join(pivot, "block").where((F.col("id") != F.col("v.p")) & (F.col("component") != F.col("v.pc")) & t.sizes_fit(F.col("n"), F.col("v.pn")))
             pairs = pairs.select(F.greatest("id", "v.p").alias("a"), F.least("id", "v.p").alias("b")).distinct()
+            pairs = _bounded(pairs, known, t)
         else:
             own = open_.groupBy("id").agg(F.collect_list("block").alias("blocks"))
             pairs = _search(open_.join(known.select("id", "point"), "id").join(own, "id").select("block", "m", "id", "component", "point", "blocks"), t)

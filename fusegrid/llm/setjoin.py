@@ -7,11 +7,11 @@ in both sets, and the hash of a group's content is a key that both share.  k als
 exceeds the bound by the number of groups that an ordinary set leaves empty, so that
 an agreeing group with elements exists; a set with more empty groups than that also
 posts the empty ones (``keys``).  For sets of words, whose frequencies differ widely, a
-key is instead two words that follow one another in the set's order of rarity, from the
-rare end (``rare_pairs``).  Either way frequent elements make no frequent keys: near
+key is instead some words that follow one another in the set's order of rarity, from the
+rare end (``rare_runs``).  Either way frequent elements make no frequent keys: near
 copies share a block, and few other sets do.
 
-Keys travel packed, twelve bytes each, as one binary for each bucket and stretch of
+Keys travel packed, ten bytes each, as one binary for each bucket and stretch of
 input, and a bucket's task keeps the keys that two different sets post.  Sets are
 named by a 64-bit fingerprint; equal sets fall together before anything is posted.
 Which pairs of a block go on, and how, is left to the operators.
@@ -25,16 +25,22 @@ from functools import cached_property
 from math import ceil, exp, floor
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusegrid.llm.words import mix
 from fusegrid.plans.scratch import materialize
 
-ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
+ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<i2")])
+#: Sets travel under the last bits of their names; sets that share them are candidates of one another's blocks.
+ID_BITS = 48
 FLUSH = 1 << 21
+#: Sizes (from, below) of the sets that post runs of each length.
+RUNS = {4: (14, 1 << 62), 3: (5, 18), 2: (2, 8)}
+#: Members of a block in one row.
+PIECE = 1 << 14
 #: Text that is worked on at once, in bytes.
 CHUNK_BYTES = 4 << 20
 #: Ids that may be broadcast; more are joined by shuffle.
@@ -125,7 +131,7 @@ def keys(t: Threshold, ids: np.ndarray, n: np.ndarray, elements: np.ndarray) ->
 def chunks(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about CHUNK_BYTES of a string column."""
     for batch in batches:
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         cut = np.cumsum(size) // CHUNK_BYTES
         at = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
         for a, b in zip(at[:-1], at[1:], strict=True):
@@ -133,29 +139,39 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
                 yield batch.slice(a, b - a)
 
 
-def rare_pairs(t: Threshold, ids: np.ndarray, n: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rare_runs(t: Threshold, ids: np.ndarray, n: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit key, set id) for sets given as consecutive elements, each in one global order of rarity.
 
-    A key is two elements that follow one another in a set's order.  With c = (1-t)/(1+t),
-    an element that only the smaller set x has spoils two of its pairs, one that only the
-    larger has spoils one, at most 3c|x| in all; so one of x's first 3c|x|+1 pairs
-    is also a pair of the larger set y, and at most c|y| elements later there.  So the first
-    4cn+1 pairs of each set of n elements are posted.  Sets of one element post nothing.
+    A key is w elements that follow one another in a set's order.  Let c = (1-t)/(1+t), and
+    let x be the smaller of two matching sets.  An element that only x has spoils w of x's
+    runs, one that only the larger set y has spoils w-1, at most (2w-1)c|x| in all; so one of
+    x's first (2w-1)c|x|+1 runs is also a run of y, at most c|y| places later.  So the
+    first 2wcn+1 runs of each set of n elements are posted.  Longer runs are rarer, but short
+    sets have too few of them: RUNS names the sizes that post runs of each length, and
+    neighbouring ranges overlap so far that matching sets always have one in common.
+    A set of one element posts nothing.
     """
-    if 3 * t.num < 2 * t.den:
-        raise ValueError("pairs of neighbours need a threshold of 2/3 or more")
+    if 4 * t.den > 5 * t.num:
+        raise ValueError("runs need a threshold of 0.8 or more")
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(ordered)) - (np.cumsum(n) - n)[row]
-    posted = np.minimum(4 * (t.den - t.num) * n // (t.den + t.num) + 1, n - 1)
-    at = np.flatnonzero(place < posted[row])
-    return mix(ordered[at] * np.uint64(0xD6E8FEB86659FD93) + ordered[np.minimum(at + 1, len(ordered) - 1)]), ids[row[at]]
+    keys_, ids_ = [], []
+    for w, (low, high) in RUNS.items():
+        posted = np.minimum(2 * w * (t.den - t.num) * n // (t.den + t.num) + 1, n - w + 1)
+        at = np.flatnonzero(place < np.where((n >= low) & (n < high), posted, 0)[row])
+        key = np.full(len(at), w, np.uint64)
+        for k in range(w):
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + ordered[at + k])
+        keys_.append(key)
+        ids_.append(ids[row[at]])
+    return np.concatenate(keys_), np.concatenate(ids_)
 
 
 KeysOf = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
 def blocks(source: DataFrame, keys_of: KeysOf) -> DataFrame:
-    """(block, id, m): the m sets that share a key, for keys of two different sets or more.
+    """(block, short, m): the m sets that share a key, for keys of two different sets or more.
 
     ``source`` has an id and a text column; ``keys_of`` gives the keys of a slice's sets, and the sets' ids.
     """
@@ -168,9 +184,10 @@ def blocks(source: DataFrame, keys_of: KeysOf) -> DataFrame:
         def flush():
             key, ids = np.concatenate(held_key), np.concatenate(held_id)
             bucket = (((key >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
             entries = np.empty(len(key), ENTRY)
-            entries["key"], entries["id"] = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids[order]
+            ids = ids[order].view(np.uint64)
+            entries["key"], entries["low"], entries["high"] = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ids >> np.uint64(32)).astype(np.uint16).view(np.int16)
             ends = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=n_buckets))))
             used = np.flatnonzero(np.diff(ends))
             blobs = [entries[ends[b] : ends[b + 1]].tobytes() for b in used]
@@ -187,20 +204,44 @@ def blocks(source: DataFrame, keys_of: KeysOf) -> DataFrame:
         if held:
             yield from flush()
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        entries = np.unique(np.concatenate([np.frombuffer(x, ENTRY) for x in part.entries]))  # sorted by key, then id
-        key = entries["key"]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        run = np.cumsum(new) - 1
-        many = np.bincount(run)[run] > 1
-        return pd.DataFrame({"block": (int(part.bucket.iloc[0]) << 32) + key[many].astype(np.int64), "id": entries["id"][many]})
+    def meet(part: pa.Table) -> pa.Table:
+        entries = np.concatenate([np.frombuffer(x, ENTRY) for x in part.column("entries").to_pylist()])
+        order = np.sort(entries["key"].astype(np.uint64) << np.uint64(32) | np.arange(len(entries), dtype=np.uint64))
+        key = order >> np.uint64(32)
+        same = key[1:] == key[:-1]
+        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        chosen = entries[(order[many] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        key, ids = key[many], chosen["high"].astype(np.int64) << 32 | chosen["low"].astype(np.int64)
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        key, ids = key[fresh], ids[fresh]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        m = np.diff(np.append(starts, len(key)))
+        keep = np.repeat(m > 1, m)
+        ids, m = ids[keep], m[m > 1]
+        starts = np.cumsum(m) - m
+        name = np.add.reduceat(mix(ids.view(np.uint64)), starts) if len(m) else np.zeros(0, np.uint64)
+        # long blocks go in pieces, so that no row is long
+        pieces = -(-m // PIECE)
+        block = np.repeat(np.arange(len(m)), pieces)
+        piece = np.arange(len(block)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = starts[block] + piece * PIECE
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids))
+        columns = [pa.array(mix(name[block]).view(np.int64)), pa.array(piece), pa.array(m[block]), pa.array(ids[starts[block]] if len(block) else ids), lists]
+        return pa.Table.from_arrays(columns, ["block", "piece", "m", "low", "members"])
 
     posted = source.mapInArrow(post, "bucket long, entries binary")
-    met = materialize(posted.groupBy("bucket").applyInPandas(meet, "block long, id long"), "met")
-    # of blocks with the same members one is enough
-    same = met.groupBy("block").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("m"))
-    one = same.groupBy("h", "m").agg(F.min("block").alias("block"))
-    return met.join(one.select("block", "m"), "block")
+    met = posted.groupBy("bucket").applyInArrow(meet, "block long, piece long, m long, low long, members array<long>")
+    # of blocks with the same members, by their names, one is enough
+    met = materialize(met.dropDuplicates(["block", "piece", "m", "low"]), "met")
+    return met.select("block", F.explode("members").alias("short"), "m")
+
+
+def short(name: Column) -> Column:
+    """The number under which a set travels: the last ID_BITS of its name, signed."""
+    return F.shiftright(F.shiftleft(name, 64 - ID_BITS), 64 - ID_BITS)
 
 
 def semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -224,7 +265,7 @@ def common(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) whose sets (id, elements: sorted 64-bit numbers) reach the threshold."""
+    """The pairs (a, b), a materialised table, whose sets (id, elements: sorted 64-bit numbers) reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +274,6 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             ok = t.linked(common(a, b), n1, n2)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    a = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    # only the sets that a side wants are dealt out for it
+    a, b = (semi(sets.select(F.col("id").alias(c), F.col("elements").alias(e)), materialize(pairs.select(c).distinct(), "side"), c) for c, e in (("a", "x"), ("b", "y")))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

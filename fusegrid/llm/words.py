@@ -1,9 +1,9 @@
 """Vectorised words: hashes of all words of an Arrow string column, without Python loops.
 
 A word is a maximal run of ``[^\\x20\\x09-\\x0D]``.  These separators are single
-bytes of UTF-8, so words are found on the raw bytes.  A word's hash is a polynomial
-over its bytes modulo 2**64, read from one running sum, then mixed; equal words
-have equal hashes and different ones collide with a chance of about 2**-63.
+bytes of UTF-8, so words are found on the raw bytes.  A word's hash folds its bytes,
+eight at a time; equal words have equal hashes, and different ones collide with a
+chance of about 2**-64.
 """
 
 from __future__ import annotations
@@ -11,16 +11,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Bytes whose powers are held; a longer buffer is worked off in stretches of rows.
-STRETCH = 1 << 22
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+#: The bits of the first k bytes of a little-endian number.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,20 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    held = _powers.get(str(base))
-    if held is None or len(held) < n:
-        size = max(n, 1 << 16)
-        held = np.ones(size, np.uint64)
-        filled = 1
-        while filled < size:  # doubling: base**i for the next stretch is the last power times those known
-            step = min(filled, size - filled)
-            held[filled : filled + step] = held[:step] * (held[filled - 1 : filled] * base)
-            filled += step
-        _powers[str(base)] = held
-    return held[:n]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -59,34 +41,32 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, row) of every word, in order."""
-    parts, row = [], 0
-    while row < len(offsets) - 1:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + STRETCH, "right")) - 1)
-        parts.append(_stretch(data, offsets, row, end, lower))
-        row = end
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _stretch(data, offsets, row, end, lower):
-    base, text = offsets[row], data[offsets[row] : offsets[end]]
-    n = len(text)
-    text = _LOWER[text] if lower else text
-    gap = _SPACE[text]
-    begins = ~gap
-    begins[1:] &= gap[:-1]
-    stops = ~gap
-    stops[:-1] &= gap[1:]
-    for at, mark in ((offsets[row : end + 1] - base, True),):  # a row's first and last byte always bound a word
-        first, last = at[:-1], at[1:] - 1
-        full = last >= first
-        first, last = first[full], last[full]
-        begins[first] = ~gap[first]
-        stops[last] = ~gap[last]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=run[1:])
-    h = (run[stop] - run[start]) * powers(INVERSE, n)[start] if n else np.zeros(0, np.uint64)
-    return mix(h ^ mix((stop - start).astype(np.uint64))), start + base, np.searchsorted(offsets[row : end + 1] - base, start, "right") - 1 + row
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.zeros(n + 8, np.uint8)
+    text[:n] = _LOWER[data] if lower else data
+    solid = ~_SPACE[text[:n]]
+    edge = np.empty(n + 1, bool)
+    edge[0], edge[n] = solid[0], solid[n - 1]
+    edge[1:n] = solid[1:] != solid[:-1]
+    begins, stops = edge[:n] & solid, edge[1:] & solid
+    cut = offsets[1:-1]
+    cut = cut[(cut > 0) & (cut < n)]  # a row's first and last byte always bound a word
+    begins[cut] = solid[cut]
+    stops[cut - 1] = solid[cut - 1]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(stops) + 1 - start
+    eight = np.ndarray(n + 1, "<u8", text.data, strides=(1,))
+    h = mix((eight[start] & _MASK[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more):
+        left = np.minimum(size[more] - at, 8)
+        h[more] = mix(h[more] * np.uint64(0xD6E8FEB86659FD93) + (eight[start[more] + at] & _MASK[left]))
+        at += 8
+        more = more[size[more] > at]
+    ends = np.searchsorted(start, offsets)
+    return h, start, np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
 
 
 def shingles_of(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +97,8 @@ def shingles_of(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tupl
 
 def distinct(s: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sets from (value, row) pairs, sorted by row, then value."""
-    order = np.lexsort((s, rows))
+    order = np.argsort(s)
+    order = order[np.argsort(rows[order], kind="stable")] if n_rows > 1 else order
     s, rows = s[order], rows[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (rows[1:] != rows[:-1])
