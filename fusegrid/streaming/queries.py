@@ -33,5 +33,5 @@ def asof_stream(lidar: DataFrame, rgb: DataFrame, slop_ms: float = 35.0) -> Data
     b = b.withColumn("bucket", F.explode(F.array(bucket("rgb_ts"), bucket("rgb_ts") + 1))).alias("r")
     near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("rgb_ts") <= F.col("l.ts")) & (F.col("rgb_ts") >= F.col("l.ts") - F.expr(f"interval {late}"))
     pairs = a.join(b, near)
-    g = pairs.groupBy(F.window("ts", late), "ts", "idx", "ts_ns").agg(F.max(F.struct("rgb_ns", "rgb_idx")).alias("r"))
+    g = pairs.groupBy("ts", "idx", "ts_ns").agg(F.max(F.struct("rgb_ns", "rgb_idx")).alias("r"))
     return g.select(F.col("idx").alias("lidar_idx"), F.col("r.rgb_idx").alias("rgb_idx"), (F.col("ts_ns") - F.col("r.rgb_ns")).alias("age_ns"))
