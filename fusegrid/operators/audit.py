@@ -134,3 +134,14 @@ def guard_splits(rows: DataFrame, allowed: Sequence[str]) -> DataFrame:
 def contiguous(rows: DataFrame, index: str) -> DataFrame:
     """One row: count, max, and whether the indices are exactly 0 to the last."""
     return rows.agg(F.count(F.lit(1)).alias("n"), F.max(index).alias("last"), ((F.count(F.lit(1)) == F.max(index) + 1) & (F.countDistinct(index) == F.count(F.lit(1))) & (F.min(index) == 0)).alias("contiguous"))
+
+
+def check_expected(rows: DataFrame, expected: DataFrame, key: str, exact: Sequence[str], near: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
+    """The expected rows with ``agrees``: exact fields equal and near ones within the tolerance; false where a row is missing."""
+    e = expected.select(key, *[F.col(c).alias(f"e_{c}") for c in (*exact, *near)])
+    ok = F.lit(True)
+    for c in exact:
+        ok = ok & F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    for c in near:
+        ok = ok & (F.abs(F.col(c) - F.col(f"e_{c}")) <= tolerance)
+    return e.join(rows, key, "left").select(key, F.coalesce(ok, F.lit(False)).alias("agrees"))

@@ -142,3 +142,26 @@ def kept_boxes(detections: DataFrame, keys: Sequence[str] = ("frame",), conf: fl
     none = F.filter("all", lambda s: F.lit(False))
     g = g.withColumn("kept", F.aggregate("all", none, lambda kept, s: F.when(F.exists(kept, lambda k: overlaps(k, s) > overlap), kept).otherwise(F.concat(kept, F.array(s)))))
     return g.select(*keys, F.explode(F.slice("kept", 1, most)).alias("s")).select(*keys, "s.det", (-F.col("s.c")).alias("conf"), "s.x1", "s.y1", "s.x2", "s.y2")
+
+
+def indexed(events: DataFrame, topic: str, arrival: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Events with ``idx``: their 0-based number within the topic in arrival order; those from ``limit`` on are left out."""
+    d = events.withColumn("idx", F.row_number().over(W.partitionBy(topic).orderBy(*arrival)) - 1)
+    return d if limit is None else d.where(F.col("idx") < limit)
+
+
+def backlog_drops(frames: DataFrame, keys: Sequence[str], due: str, cost: str, limit: float) -> DataFrame:
+    """``processed``: whether a frame is worked on by one worker that drops what is more than ``limit`` late.
+
+    The worker's free time depends on what it dropped before, so it is a fold over a key's (due, cost) pairs.
+    """
+    none = F.array().cast("array<struct<due:double,ok:boolean>>")
+
+    def step(s, r):
+        ok = s["free"] - r["due"] <= limit
+        free = F.when(ok, F.greatest(s["free"], r["due"]) + r["cost"]).otherwise(s["free"])
+        return F.struct(free.alias("free"), F.concat(s["out"], F.array(F.struct(r["due"].alias("due"), ok.alias("ok")))).alias("out"))
+
+    rows = F.sort_array(F.collect_list(F.struct(F.col(due).cast("double").alias("due"), F.col(cost).cast("double").alias("cost"))))
+    g = frames.groupBy(*keys).agg(F.aggregate(rows, F.struct(F.lit(float("-inf")).alias("free"), none.alias("out")), step)["out"].alias("out"))
+    return g.select(*keys, F.explode("out").alias("r")).select(*keys, F.col("r.due").alias(due), F.col("r.ok").alias("processed"))

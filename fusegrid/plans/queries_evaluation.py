@@ -292,3 +292,46 @@ SELECT vec_id, round(v[1] / greatest(sqrt(list_inner_product(v, v)), 1e-8), 6) A
 def embedding_mix_normalize(spark, sf):
     v = V.appearance(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
     return R.table(spark, sf, "embeddings").withColumn("v", v).select("vec_id", r6(F.col("v")[0], "first"), r6(F.col("v")[63], "last"))
+
+
+@query(f"""WITH {O.POINTS}, {O.projected()}, {O.BOXES}, c AS (SELECT frame, pid AS cid, u, v, u - 40 AS px1, v - 90 AS py1, u + 40 AS px2, v + 90 AS py2 FROM proj WHERE valid AND pid % 10 = 0),
+p AS (SELECT c.*, b.det, u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2 AS contains_, greatest(0e0, least(px2, x2) - greatest(px1, x1)) * greatest(0e0, least(py2, y2) - greatest(py1, y1)) AS both_, (x2 - x1) * (y2 - y1) AS sb, sqrt(power(u - (x1 + x2) / 2, 2) + power(v - (y1 + y2) / 2, 2)) AS distance FROM c JOIN boxes b ON c.frame = b.frame),
+q AS (SELECT *, both_ / greatest(80e0 * 180e0 + sb - both_, 1e-9) AS iou FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame, cid ORDER BY contains_ DESC, iou DESC, distance, det) AS rn FROM q WHERE contains_ OR iou >= 0.1e0)
+SELECT frame, cid, det, contains_ AS contains, round(iou, 4) AS iou FROM r WHERE rn = 1""")
+def best_candidate(spark, sf):
+    """The detection that stands for each target: containing first, then by overlap and distance (every tenth point as a target)."""
+    p = R.points(spark, sf)
+    c = R.projected(p).where("valid and pid % 10 = 0").select("frame", F.col("pid").alias("cid"), "u", "v", (F.col("u") - 40).alias("p_x1"), (F.col("v") - 90).alias("p_y1"), (F.col("u") + 40).alias("p_x2"), (F.col("v") + 90).alias("p_y2"))
+    return joins.best_candidate(c, R.boxes(p)).select("frame", "cid", "det", "contains", F.round("iou", 4).alias("iou"))
+
+
+@query("""WITH m AS (SELECT l_returnflag AS run, count(*) AS tp, round(avg(l_discount), 9) AS rmse FROM lineitem GROUP BY l_returnflag) SELECT run, run <> 'N' AS agrees FROM m""")
+def expected_metrics(spark, sf):
+    """Metrics against frozen ones, one of which is off."""
+    m = R.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("run")).agg(F.count(F.lit(1)).alias("tp"), F.round(F.avg("l_discount"), 9).alias("rmse"))
+    frozen = m.withColumn("tp", F.when(F.col("run") == "N", F.col("tp") + 1).otherwise(F.col("tp")))
+    return audit.check_expected(m, frozen, "run", ["tp"], ["rmse"])
+
+
+@query("""WITH m AS (SELECT l_linestatus AS run, CAST(count(*) AS DOUBLE) AS tp, avg(l_discount) AS precision, avg(l_tax) AS recall FROM lineitem GROUP BY l_linestatus),
+l AS (SELECT run, unnest([{'metric': 'tp', 'value': tp}, {'metric': 'precision', 'value': precision}, {'metric': 'recall', 'value': recall}]) AS s FROM m)
+SELECT s.metric AS metric, round(max(s.value) FILTER (run = 'F'), 6) AS "F", round(max(s.value) FILTER (run = 'O'), 6) AS "O", round(max(s.value) FILTER (run = 'O') - max(s.value) FILTER (run = 'F'), 6) AS delta FROM l GROUP BY s.metric""")
+def metric_table(spark, sf):
+    """Two runs' metrics side by side, in long form."""
+    m = R.table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("run")).agg(F.count(F.lit(1)).cast("double").alias("tp"), F.avg("l_discount").alias("precision"), F.avg("l_tax").alias("recall"))
+    return audit.long_form(m, "run", "F", "O", ["tp", "precision", "recall"]).select("metric", r6("F"), r6("O"), r6("delta"))
+
+
+@query(f"""WITH {O.POINTS}, {O.projected()}, {O.BOXES}, t AS (SELECT frame, pid AS track, u, v FROM proj WHERE valid AND pid <= 2),
+c AS (SELECT t.frame, track, det, 0.7e0 * sqrt(power(greatest(x1 - u, 0e0, u - x2) / (x2 - x1), 2) + power(greatest(y1 - v, 0e0, v - y2) / (y2 - y1), 2)) + 0.3e0 * sqrt(power((u - (x1 + x2) / 2) / (x2 - x1), 2) + power((v - (y1 + y2) / 2) / (y2 - y1), 2)) AS cost FROM t JOIN boxes b ON t.frame = b.frame),
+d AS (SELECT frame, track, det, cost FROM c UNION ALL SELECT DISTINCT frame, track, CAST(-1 - track AS INTEGER), 1.25e0 FROM c),
+w AS (SELECT a.frame, a.cost + coalesce(b.cost, 0e0) AS total FROM d a LEFT JOIN d b ON a.frame = b.frame AND b.track = 2 AND a.det <> b.det WHERE a.track = (SELECT min(track) FROM d x WHERE x.frame = a.frame))
+SELECT frame, round(min(total), 6) AS total FROM w GROUP BY frame""")
+def assign_tracks_dummy(spark, sf):
+    """Total cost of the best association of two predicted tracks with a frame's boxes, each track with a dummy of its own."""
+    p = R.points(spark, sf)
+    t = R.projected(p).where("valid and pid <= 2").select("frame", F.col("pid").alias("track"), "u", "v")
+    c = t.join(R.boxes(p), "frame").select("frame", "track", F.col("det").cast("long").alias("det"), B.box_cost("u", "v", B.box("")).alias("cost"))
+    a = assign.assign(assign.with_dummies(c, ["frame"], "track", "det", "cost", 1.25), ["frame"], "track", "det", "cost", 1.25, 2.0)
+    return a.groupBy("frame").agg(F.round(F.sum("cost"), 6).alias("total"))

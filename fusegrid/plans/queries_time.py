@@ -166,3 +166,27 @@ def rates(spark, sf):
 def json_props(spark, sf):
     e = R.table(spark, sf, "events").withColumn("k", F.from_json("props", "k long")["k"])
     return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events) SELECT event_type, event_id, CAST(idx AS INTEGER) AS idx FROM r WHERE idx < 979""")
+def indexed_events(spark, sf):
+    """Numbered events of each topic, up to the topic's limit."""
+    return windows.indexed(R.table(spark, sf, "events"), "event_type", ["ts", "event_id"], 979).select("event_type", "event_id", "idx")
+
+
+@query("""WITH t AS (SELECT user_id, epoch_us(ts) / 3.6e9 AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, first_value(epoch_us(ts) / 3.6e9) OVER (PARTITION BY user_id ORDER BY ts) AS h0, event_id FROM events)
+SELECT user_id, event_id, round(CASE WHEN h > h0 THEN (n - 1) / (h - h0) END, 6) AS rate FROM t""")
+def running_rates(spark, sf):
+    e = R.table(spark, sf, "events").withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)
+    return windows.running_rate(e, ["user_id"], "h", 1.0).select("user_id", "event_id", r6("rate"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 3.6e9 AS due, value / 4e0 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+f AS (SELECT user_id, i, due, true AS processed, due + cost AS free FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.due, f.free - e.due <= 6e0, CASE WHEN f.free - e.due <= 6e0 THEN greatest(f.free, e.due) + e.cost ELSE f.free END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, count(*) AS n, count(*) FILTER (processed) AS processed FROM f GROUP BY user_id""")
+def backlog_drops(spark, sf):
+    """How many frames one worker processes when it drops those more than six hours late."""
+    e = R.table(spark, sf, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("due"), (F.col("value") / 4).alias("cost"))
+    d = windows.backlog_drops(e, ["user_id"], "due", "cost", 6.0)
+    return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("processed").alias("processed"))

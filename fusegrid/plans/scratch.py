@@ -7,6 +7,7 @@ the work.  ``localCheckpoint`` is never used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,9 +28,21 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark's cleaner follows the driver's garbage collection, which a driver with a roomy heap seldom runs.
+    """
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it."""
     spark = df.sparkSession
+    release(spark)
     path = f"{scratch_root(spark)}/fusegrid/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
