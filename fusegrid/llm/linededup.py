@@ -226,9 +226,10 @@ def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: in
 
     met = blocks(source, keys_of)
     members = materialize(met.join(first.drop("copies").withColumn("short", short(F.col("id"))), "short").select("block", "id", F.struct("doc_id", "place").alias("first"), "n", "p", "q"), "linemembers")
-    earliest = members.groupBy("block").agg(F.min(F.struct("first", "id", "n", "p", "q")).alias("v"))
-    star = members.join(earliest, "block").where("id <> v.id").groupBy("id").agg(F.min("v").alias("v"), *[F.min(c).alias(c) for c in "npq"])
-    star = star.where(_may_match(t, "", "v.")).select(F.col("id").alias("y"), F.col("v.id").alias("x"))
+    earliest = members.groupBy("block").agg(F.min(F.struct("first", "id")).alias("v"))
+    star = members.select("block", "id").join(earliest, "block").where("id <> v.id").groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("y"), F.col("v.id").alias("x"))
+    traits = lambda s: first.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in "npq"])
+    star = star.join(traits("y"), "y").join(traits("x"), "x").where(_may_match(t, "y_", "x_")).select("y", "x")
     star = materialize(star, "star")
     hit = materialize(_verified(star, first, source, t, min_tokens, rank), "hit")
 
