@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,11 @@ def release(spark: SparkSession) -> None:
 
     Spark's cleaner follows the driver's garbage collection, which a driver with a roomy heap seldom runs.
     """
-    gc.collect()
     jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
+    for _ in range(2 if jvm is not None else 0):  # the first lets go of what Python held, the second finds it
+        gc.collect()
         jvm.System.gc()
+        time.sleep(0.2)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
