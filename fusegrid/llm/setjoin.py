@@ -38,7 +38,7 @@ ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<i2")])
 ID_BITS = 48
 FLUSH = 1 << 21
 #: Sizes (from, below) of the sets that post runs of each length.
-RUNS = {4: (14, 1 << 62), 3: (5, 18), 2: (2, 8)}
+RUNS = {3: (5, 1 << 62), 2: (2, 8)}
 #: Members of a block in one row.
 PIECE = 1 << 14
 #: Text that is worked on at once, in bytes.
