@@ -36,13 +36,13 @@ from fusegrid.plans.scratch import materialize
 ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<i2")])
 #: Sets travel under the last bits of their names; sets that share them are candidates of one another's blocks.
 ID_BITS = 48
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Sizes (from, below) of the sets that post runs of each length.
 RUNS = {3: (5, 1 << 62), 2: (2, 8)}
 #: Members of a block in one row.
 PIECE = 1 << 14
 #: Text that is worked on at once, in bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
