@@ -96,7 +96,8 @@ def slots_table(quotas: DataFrame, seed: int) -> DataFrame:
     by_shard = counts.withColumn("c0", F.sum("m").over(W.partitionBy("sid").orderBy("shard")) - F.col("m")).join(quotas.select("sid", "quota"), "sid")
     kept = by_shard.where("c0 < quota").select("sid", "shard", "c0", F.least("m", F.col("quota") - F.col("c0")).alias("n"))
     # a source's shards are dealt out again before their slots are written out one by one
-    kept = kept.repartition("sid", "shard").select("sid", "shard", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("n") - 1)).alias("k"))
+    # (a stated number of partitions is not merged again, few as the shards' rows are)
+    kept = kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid", "shard").select("sid", "shard", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("n") - 1)).alias("k"))
     drawn = quotas.where("quota > 0").join(counts.groupBy("sid").agg(F.sum("m").alias("drawn")), "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     short = drawn.where("drawn < quota").select("sid", F.explode(F.sequence(F.col("drawn"), F.col("quota") - 1)).alias("k"))
     short = short.select("sid", _below(F.lit(shards), F.lit(seed), F.col("sid"), F.col("k"), "shard").alias("shard"), "k")
