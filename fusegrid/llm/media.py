@@ -5,7 +5,8 @@ turned by the patch's orientation give a 256-bit descriptor.  Descriptors meet i
 Hamming tables, one for each two neighbouring words of 32 bits: two that differ in three bits
 or fewer share such 64 bits for certain, and most copies' do.  In each table cell (the packed blocks of ``setjoin``) the images are matched with two pivots of the
 cell, not with one another, so a word that very many images have costs one pair an
-image.  A match votes for the similarity transform that it implies, and a pair of
+image; then the images that are not yet connected are compared with one another if they
+match in a cell of the rare prefix of both (``rare_cells``: exact).  A match votes for the similarity transform that it implies, and a pair of
 images with enough votes for one transform is a copy, cropped or edited.
 """
 
@@ -18,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusegrid.llm.setjoin import blocks, short
@@ -30,6 +31,10 @@ SCALES = (1.0, 1.5, 2.25)
 CORNERS, RADIUS, TESTS, WORDS = 12, 11, 256, 8
 #: A match differs in this many bits at most; a copy has this many distinct corners voting for one transform.
 BITS, VOTES, CELL = 40, 6, 8.0
+#: Descriptors of a cell that one task holds; larger cells are searched by pairs of chunks.
+CHUNK = 2048
+#: Pairs of descriptors that are compared at once.
+PAIRS = 1 << 17
 SCHEMA = "id long, words binary, image_id long, x float, y float, scale float, angle float"
 
 
@@ -163,10 +168,14 @@ def _cells(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys.ravel(), np.repeat(part.column(0).to_numpy(), WORDS)
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """(a, b, id_f, id_g and both corners' frames): descriptors within BITS of one of a pivot of a table cell."""
+def cells(found: DataFrame) -> DataFrame:
+    """(block, id, m): the m descriptors of each table cell that two or more share."""
     ids = found.select("id", short(F.col("id")).alias("short"))
-    met = materialize(blocks(found.select("id", "words"), _cells).join(ids, "short").select("block", "id"), "cells")
+    return materialize(blocks(found.select("id", "words"), _cells).join(ids, "short").select("block", "id", "m"), "cells")
+
+
+def pivot_pairs(met: DataFrame) -> DataFrame:
+    """(id_f, id_g, _a, _b: their images): descriptors with those of two pivot images of their cells."""
     pairs = None
     for seed in (0, 1):
         order = F.xxhash64(F.lit(seed), F.floor(F.col("id") / 256))
@@ -174,9 +183,13 @@ def matches(found: DataFrame) -> DataFrame:
         one = met.join(pivot, "block").where(F.floor(F.col("id") / 256) != F.floor(F.col("v.p") / 256))
         one = one.select(F.greatest("id", "v.p").alias("id_f"), F.least("id", "v.p").alias("id_g"))
         pairs = one if pairs is None else pairs.union(one)
-    # an image pair with fewer matches than votes are asked for cannot be a copy
     image = lambda c: F.floor(F.col(c) / 256)
-    pairs = materialize(pairs.distinct().withColumns({"_a": image("id_f"), "_b": image("id_g")}), "matches")
+    return materialize(pairs.distinct().withColumns({"_a": image("id_f"), "_b": image("id_g")}), "matches")
+
+
+def matches(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, id_f, id_g and both corners' frames): the pairs of descriptors within BITS."""
+    # an image pair with fewer matches than votes are asked for cannot be a copy
     enough = pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= VOTES)
     pairs = pairs.join(enough, ["_a", "_b"], "left_semi").select("id_f", "id_g")
     side = lambda s: found.select(F.col("id").alias(f"id_{s}"), F.col("image_id").alias("ab"["fg".index(s)]), F.col("words").alias(f"words_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("x", "y", "scale", "angle")])
@@ -186,6 +199,101 @@ def matches(found: DataFrame) -> DataFrame:
     return m.where(far <= BITS).drop("words_f", "words_g")
 
 
+def _near(group: np.ndarray, split: np.ndarray, part: np.ndarray, component: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (r, s) within BITS of one group but of two components, and of two parts where the group is split; rows are in order of group and component."""
+    n = len(group)
+    ends = lambda fresh: np.append(np.flatnonzero(fresh) + 1, n)[np.concatenate(([0], np.cumsum(fresh)))]
+    other = group[1:] != group[:-1]
+    end, start = ends(other), ends(other | (component[1:] != component[:-1]))
+    # the partners of row r are start[r] to end[r]
+    count = end - start
+    done = np.concatenate(([0], np.cumsum(count)))
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+        r = np.repeat(np.arange(at, to), count[at:to])
+        s = start[r] + np.arange(len(r)) - (done[r] - done[at])
+        ok = ~split[r] | (part[r] != part[s])
+        r, s = r[ok], s[ok]
+        ok = np.bitwise_count(words[r] ^ words[s]).sum(1) <= BITS
+        yield r[ok], s[ok]
+        at = to
+
+
+def rare_cells(met: DataFrame) -> DataFrame:
+    """The rows of ``met``, with image_id, without each image's largest cells that hold fewer than VOTES of its corners together.
+
+    Cells are in one order, by size.  Two images with VOTES matched corners each do not have
+    all the cells of these matches among either's dropped ones, so the smallest is kept in both.
+    """
+    order = [F.col("m").desc(), F.col("block")]
+    w = met.withColumn("image_id", F.floor(F.col("id") / 256)).repartition("image_id")
+    w = w.withColumn("fresh", F.when(F.row_number().over(Window.partitionBy("image_id", "id").orderBy(*order)) == 1, 1).otherwise(0))
+    w = w.withColumn("n", F.sum("fresh").over(Window.partitionBy("image_id").orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)))
+    return w.where(F.col("n") >= VOTES).drop("fresh", "n")
+
+
+def unconnected_pairs(found: DataFrame, met: DataFrame, group: DataFrame) -> DataFrame:
+    """(a, b): the images with a match in a cell that is rare for both, and that ``group`` (id, component) does not connect."""
+    images = found.select("image_id").distinct().join(group.withColumnRenamed("id", "image_id"), "image_id", "left")
+    images = images.select("image_id", F.coalesce("component", "image_id").alias("component"))
+    open_ = materialize(rare_cells(met).join(images, "image_id"), "open")
+    mixed = open_.groupBy("block").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("block")
+    w = open_.join(mixed, "block", "left_semi").join(found.select("id", "words"), "id")
+    w = w.withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    w = w.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    w = w.select("block", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "component", "part", "image_id", "words")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            block, i, j, component, part, ids = (t.column(c).to_numpy() for c in ("block", "i", "j", "component", "part", "image_id"))
+            words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64).reshape(-1, WORDS // 2)
+            fresh = (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            for r, s in _near(np.concatenate(([0], np.cumsum(fresh))), i != j, part, component, words):
+                both = np.unique(np.stack((np.maximum(ids[r], ids[s]), np.minimum(ids[r], ids[s])), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        # the last group of a batch may go on in the next
+        held = []
+        for b in batches:
+            held.append(b)
+            last = [b.column(c)[-1].as_py() for c in ("block", "i", "j")] if b.num_rows else None
+            if last is None or last == [held[0].column(c)[0].as_py() for c in ("block", "i", "j")]:
+                continue
+            t = pa.Table.from_batches(held)
+            n = t.num_rows - int(np.argmin(np.append(np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("block", "i", "j"), last, strict=True)])[::-1], False)))
+            yield from run(t.slice(0, n))
+            held = t.slice(n).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from run(pa.Table.from_batches(held))
+
+    near = w.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "component").mapInArrow(search, "a long, b long")
+    return materialize(near.distinct(), "candidates")
+
+
+def compared(found: DataFrame, images: DataFrame) -> DataFrame:
+    """(id_f, id_g, _a, _b): all matches, in any cell, of the pairs (a, b) of images in which VOTES corners of each match."""
+    packed = found.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("id", "words"))).alias("v"))
+    packed = materialize(packed.select("image_id", F.col("v.id").alias("ids"), F.expr("aggregate(v.words, cast('' as binary), (x, y) -> x || y)").alias("words")), "packed")
+    side = lambda c: packed.select(F.col("image_id").alias(c), F.col("ids").alias(f"ids_{c}"), F.col("words").alias(f"words_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y, p, q in zip(*(batch.column(c) for c in ("ids_a", "ids_b", "words_a", "words_b")), strict=True):
+                u, v = (np.frombuffer(k.as_buffer(), np.uint32).reshape(-1, WORDS) for k in (p, q))
+                other = u[:, None] ^ v
+                same = other == 0
+                near = (same & np.roll(same, -1, 2)).any(2) & (np.bitwise_count(other).sum(2) <= BITS)
+                if near.any(1).sum() >= VOTES and near.any(0).sum() >= VOTES:
+                    r, s = near.nonzero()
+                    out.append((x.values.to_numpy()[r], y.values.to_numpy()[s]))
+            f, g = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), pa.array(f >> 8), pa.array(g >> 8)], ["id_f", "id_g", "_a", "_b"])
+
+    return images.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "id_f long, id_g long, _a long, _b long")
+
+
 def consensus(matched: DataFrame) -> DataFrame:
     """(a, b, votes) of the pairs with VOTES corners for one transform: scale and turn in steps, shift in cells of two layouts."""
     m = matched.withColumn("s", F.col("scale_g") / F.col("scale_f"))
@@ -207,8 +315,12 @@ def copies(images: DataFrame) -> DataFrame:
     gives an empty result; other columns are not read.
     """
     found = materialize(descriptors(images), "corners")
-    pairs = consensus(matches(found))
-    group = connected_components(pairs.select("a", "b")).withColumnRenamed("id", "image_id")
+    met = cells(found)
+    pairs = pivot_pairs(met)
+    links = materialize(consensus(matches(found, pairs)).select("a", "b"), "links")
+    rest = compared(found, unconnected_pairs(found, met, connected_components(links)))
+    links = links.union(consensus(matches(found, materialize(rest, "rest"))).select("a", "b"))
+    group = connected_components(links).withColumnRenamed("id", "image_id")
     n = found.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_corners"))
     out = images.select(F.col("image_id").cast("long").alias("image_id")).join(n, "image_id", "left").join(group, "image_id", "left")
     return out.select("image_id", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("component", "image_id").alias("group_id"))

@@ -519,6 +519,49 @@ def test_image_copies(spark):
     assert media.copies(d.limit(0)).count() == 0
 
 
+def test_image_copies_among_images_with_common_corners(spark):
+    # 40 other images hold the halves of a picture; as many cells have them as pivots
+    a, rng = media.drawn(900, 128), np.random.default_rng(0)
+    rows = [(1, a), (2, a * 0.9 + 12)]
+    for k in range(40):
+        other, cut = media.drawn(1000 + k, 128), (slice(0, 64), slice(64, 128))[k % 2]
+        quarter = (slice(0, 64), slice(64, 128))[k // 2 % 2]
+        other[cut, quarter] = a[cut, quarter]
+        rows.append((10 + k, other + rng.normal(0, 0.1, a.shape)))
+    d = spark.createDataFrame([(i, media.pgm(x)) for i, x in rows], "image_id long, image binary")
+    found = media.descriptors(d).cache()
+    pivots = {(r._a, r._b) for r in media.matches(found, media.pivot_pairs(media.cells(found))).withColumnsRenamed({"a": "_a", "b": "_b"}).collect()}
+    rest = all_pairs_with_votes(spark, found)
+    assert rest - pivots and (2, 1) in rest
+    got = {r.image_id: r.group_id for r in media.copies(d).collect()}
+    assert got[1] == got[2]
+
+
+def all_pairs_with_votes(spark, found):
+    """The image pairs with VOTES matched corners by brute force over cells; asserts that the search finds all."""
+    met = media.cells(found)
+    near = {(r.a, r.b) for r in media.unconnected_pairs(found, met, spark.createDataFrame([], "id long, component long")).collect()}
+    by, votes, word = {}, {}, {r.id: np.frombuffer(r.words, np.uint64) for r in found.collect()}
+    for r in met.collect():
+        by.setdefault(r.block, []).append(r.id)
+    for x, y in {(x, y) for ids in by.values() for x in ids for y in ids if x >> 8 > y >> 8}:
+        if np.bitwise_count(word[x] ^ word[y]).sum() <= media.BITS:
+            f, g = votes.setdefault((x >> 8, y >> 8), (set(), set()))
+            f.add(x)
+            g.add(y)
+    enough = {k for k, v in votes.items() if min(map(len, v)) >= media.VOTES}
+    assert enough <= near
+    full = {(r._a, r._b) for r in media.compared(found, spark.createDataFrame(sorted(near), "a long, b long")).collect()}
+    assert enough == full
+    return enough
+
+
+def test_large_cells_are_searched_by_chunks(spark, monkeypatch):
+    monkeypatch.setattr(media, "CHUNK", 4)
+    d = spark.createDataFrame([(i, media.pgm(media.drawn(5) * (0.9 if i % 2 else 1) + i % 7)) for i in range(15)], "image_id long, image binary")
+    assert len(all_pairs_with_votes(spark, media.descriptors(d).cache())) == 105
+
+
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "mixture", "sequences"]
     extra = [(100 + i, None, None, None, None) for i in range(2)]
