@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  Lines with at least ``MIN_TOKENS`` different words are
-compared: a line goes if an earlier one (by document id, then place) has a Jaccard
+A line is the set of its words.  Lines with words are compared (``duplicates`` alone takes
+those of ``MIN_TOKENS`` different ones, unless told otherwise): a line goes if an earlier one (by document id, then place) has a Jaccard
 similarity of the threshold or more, kept or not; all others stay.  Equal sets fall
-together first.  Tokens are numbered so that a token's number is its place in the
+together first, and shorter sets than four, which match equal ones only, post nothing.  Tokens are numbered so that a token's number is its place in the
 order of rarity over the whole corpus, and sets meet in blocks by runs of neighbours
 in the rare prefix of that order (``setjoin.rare_runs``: exact; single tokens of a
 prefix would make postings that grow with the corpus).  Each set is verified against
@@ -220,8 +220,11 @@ def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: in
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), *[F.min(c).alias(c) for c in "npq"], F.count(F.lit(1)).alias("copies"))
     first = materialize(first.select("id", "first.doc_id", "first.place", "n", "p", "q", "copies"), "firsts")
 
+    # a set of n elements has no match but its equals unless n / (n + 1) reaches the threshold
+    least = max(min_tokens, -(-t.num // max(1, t.den - t.num)))
+
     def keys_of(part: pa.RecordBatch):
-        _, _, ids, n, tokens = compared(part, min_tokens, rank)
+        _, _, ids, n, tokens = compared(part, least, rank)
         return rare_runs(t, ids, n, tokens)
 
     met = blocks(source, keys_of)
@@ -245,11 +248,11 @@ def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: in
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def dedup(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = 1) -> DataFrame:
     """The documents without repeated lines, with n_lines and n_removed (both long).
 
     ``text`` is replaced, and ``n_chars`` if it is there; a text that loses all its lines is
-    empty.  Null and empty texts stay as they are.  A null id counts as the least.  Rows
+    empty.  Null and empty texts and lines without words stay as they are.  A null id counts as the least.  Rows
     that repeat an id are at the same place, so neither's lines are earlier than the
     other's same lines, and a line goes from both or none; an empty table gives an empty
     result; other columns are carried, but n_lines and n_removed are replaced.

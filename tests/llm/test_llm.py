@@ -213,6 +213,19 @@ def test_line_dedup_of_awkward_rows(spark):
     assert linededup.dedup(d.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["menu\nshare this page\na b c d\n\n}", "share this page\nmenu\nnew line\na b c d e\n", "a a b\nb a\nx y z\nx y z w\n d c b a ", "x y z w v\nmenu menu\n}\nnew"]
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows, 1)
+    out = {r.doc_id: r for r in linededup.dedup(d).collect()}
+    assert {i: r.n_removed for i, r in out.items()} == {i: len(want.get(i, ())) for i in out} and want[1] == [0, 1, 3]
+    assert all(r.text == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in want.get(i, ())) for i, r in out.items())
+    d = documents(spark)
+    want = brute_lines([(r.doc_id, r.text) for r in d.collect()], 1)
+    assert {r.doc_id: list(r.places) for r in linededup.duplicates(d, min_tokens=1).collect()} == want
+
+
 def exact_sequences(rows, capacity=2048):
     by_doc, by_seq = {}, {}
     for r in rows:
