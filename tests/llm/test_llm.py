@@ -405,6 +405,12 @@ def test_html_main_text(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_attributes_are_not_found_in_values():
+    own = """<article><div style="overflow:hidden">one</div><p title="the hidden cost">two</p><p data-id="ad" data-class='nav'>three</p><p title='class="ad"'>four</p></article>"""
+    assert html.main_text(html.lines_of(own), None) == "one\ntwo\nthree\nfour"
+    assert html.main_text(html.lines_of("<article><p hidden>a</p><p HIDDEN=''>b</p><p aria-hidden=true>c</p><p id = ad>d</p><p lang=en class='nav'>e</p>f</article>"), None) == "f"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7))
 def test_shared_lines_are_a_longest_common_subsequence(a, b):
