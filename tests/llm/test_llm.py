@@ -405,6 +405,19 @@ def test_html_main_text(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_do_not_delete_one_another(spark):
+    page = lambda own: f"<nav>menu</nav><p>every page</p><p>{own}</p>"
+    rows = [(1, "http://h/a?x=1", page("first")), (2, "http://h/a?x=2", page("first").replace("menu", "other menu")), (3, "http://h/b", page("second")), (4, "http://h/b", page("second")), (5, "http://h/bb", ""), (6, "http://i/a", page("alone")), (7, "http://i/a", page("alone"))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.page_id: r.text for r in html.extract(d).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {1: "first", 2: "first", 3: "second", 4: "second", 5: "", 6: "every page\nalone", 7: "every page\nalone"}
+
+
 def test_attributes_are_not_found_in_values():
     own = """<article><div style="overflow:hidden">one</div><p title="the hidden cost">two</p><p data-id="ad" data-class='nav'>three</p><p title='class="ad"'>four</p></article>"""
     assert html.main_text(html.lines_of(own), None) == "one\ntwo\nthree\nfour"
