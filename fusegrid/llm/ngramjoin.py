@@ -179,8 +179,10 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pack(elements, n).cast(pa.binary())], ["id", "elements"])
 
     named = known.select("id")
-    wanted = materialize(known.select("doc_id").distinct(), "wanted")
-    sets = semi(source, wanted, "doc_id").mapInArrow(whole, "id long, elements binary")
+    # a text of null ids only is fetched under a stand-in
+    stand_in = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
+    wanted = materialize(known.select(stand_in).distinct(), "wanted")
+    sets = semi(source.select(stand_in, "text"), wanted, "doc_id").mapInArrow(whole, "id long, elements binary")
     sets = materialize(semi(sets, named, "id").dropDuplicates(["id"]), "sets")
 
     links, tried, component = None, None, None

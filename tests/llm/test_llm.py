@@ -169,6 +169,12 @@ def test_ngram_join_of_many_near_copies(spark):
         assert sorted(map(tuple, ngramjoin.join(d, 3, Threshold(num, 100)).collect()), key=str) == brute_components(rows, 3, num, 100)
 
 
+def test_ngram_join_links_over_null_ids(spark):
+    rows = [(d, " ".join(f"c{k}" for k in range(at, at + 100))) for d, at in ((1, 0), (None, 4), (2, 8))]
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, Threshold(90, 100)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90, 100) and {r.component_id for r in got} == {1}
+
+
 def test_ngram_join_of_awkward_rows(spark):
     d = awkward(spark)
     got = sorted(map(tuple, ngramjoin.join(d, 3, Threshold(90, 100)).collect()), key=str)
