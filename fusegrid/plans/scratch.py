@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+RELEASE_S = 4.0
+_released = 0.0
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,15 +32,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, every RELEASE_S seconds at most.
 
     Spark's cleaner follows the driver's garbage collection, which a driver with a roomy heap seldom runs.
     """
+    global _released
     jvm = getattr(spark.sparkContext, "_jvm", None)
-    for _ in range(2 if jvm is not None else 0):  # the first lets go of what Python held, the second finds it
+    if jvm is None or time.monotonic() - _released < RELEASE_S:
+        return
+    for _ in range(2):  # the first lets go of what Python held, the second finds it
         gc.collect()
         jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.1)
+    _released = time.monotonic()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -47,4 +53,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     release(spark)
     path = f"{scratch_root(spark)}/fusegrid/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty tables of ``materialize`` that nothing will read again; results still to be computed must not depend on them."""
+    for table in tables:
+        table.sparkSession.range(0).write.mode("overwrite").parquet(table.scratch_path)
