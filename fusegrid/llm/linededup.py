@@ -1,15 +1,23 @@
-"""Line deduplication by an exact set-similarity join.
-
-A line is the set of its words.  Lines with words are compared (``duplicates`` alone takes
-those of ``MIN_TOKENS`` different ones, unless told otherwise): a line goes if an earlier one (by document id, then place) has a Jaccard
-similarity of the threshold or more, kept or not; all others stay.  Equal sets fall
-together first, and shorter sets than four, which match equal ones only, post nothing.  Tokens are numbered so that a token's number is its place in the
-order of rarity over the whole corpus, and sets meet in blocks by runs of neighbours
-in the rare prefix of that order (``setjoin.rare_runs``: exact; single tokens of a
-prefix would make postings that grow with the corpus).  Each set is verified against
-the earliest set that it meets; those without a match yet against all earlier ones.
-Pairs pass the length filter and a bound from parities of their tokens before their sets
-are fetched, and the prefix and positional filters before these are intersected.
+"""Line deduplication by an exact set-similarity join over rarity-ordered prefixes.
+
+A line is the set of its words.  A line goes if an earlier one (by document id, then
+place) has a Jaccard similarity of the threshold or more, kept or not; all others stay.
+
+1. One pass names every line by a fingerprint of its set and counts words.  Equal lines
+   fall together by a map-side combined minimum: all but the first go without any postings.
+2. Words are numbered by their rarity over the whole corpus, so every set has one global
+   order.  Two sets of n1 and n2 words that match share a word among the first
+   ``n - ceil(t*n) + 1`` of each, their prefixes (prefix filter).  So each line is posted
+   under the words of its prefix, with its size, the word's position and 128 parities of
+   its words; a task posts equal lines once.
+3. Where postings of a word meet, pairs pass the length filter (a window in order of size),
+   the positional filter (the words before and after the common one bound the overlap) and
+   the parity bound.  A line needs one earlier match only, so it is given its earliest
+   surviving candidate: first against the group's earliest line, which settles groups of
+   near copies in linear work, else against all others in its window.  Words with too many
+   open comparisons are split into parts whose pairs are dealt out to tasks.
+4. Candidates are verified on their whole sets, streamed through salted groups.  Lines whose
+   candidates all failed are searched once more, against all their candidates.
 """
 
 from __future__ import annotations
@@ -17,26 +25,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, rare_runs, short
+from fusegrid.llm.setjoin import Threshold, chunks, fingerprints
 from fusegrid.llm.words import buffers, distinct, mix, words_of
-from fusegrid.plans.scratch import materialize
+from fusegrid.plans.scratch import discard, materialize
 
 THRESHOLD, MIN_TOKENS = Threshold(4, 5), 5
 #: A token is a number of TOKEN_BITS; its low CELL_BITS name its cell of the corpus-wide counts.
-TOKEN_BITS, CELL_BITS = 42, 18
+TOKEN_BITS, CELL_BITS = 48, 18
 CELLS, REST_BITS = 1 << CELL_BITS, TOKEN_BITS - CELL_BITS
-#: Pieces in which tables of a fixed size are put together from all tasks.
-PIECES = 64
-#: Bits of the filter that tells which lines' sets a verification wants.
-WANTED_BITS = 1 << 25
+#: Tables of a fixed size are put together in PIECES, by FAN groups of tasks first.
+PIECES, FAN = 32, 256
+#: Bits of the filters that tell which lines or words a pass is about.
+FILTER_BITS = 1 << 25
 #: Sets that are verified against one other in one task's run; a set with more is repeated.
 SALT_ROWS = 512
 #: Bytes of a token's number when sets travel.
-BYTES = 6
+BYTES = TOKEN_BITS // 8
+#: Postings in one flush of a task; comparisons of one word that its bucket's task makes itself; postings in a part.
+FLUSH, HEAVY, PART = 1 << 20, 1 << 30, 1 << 15
+#: Pairs that are worked on at once.
+STEP = 1 << 21
+POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("at", "<u4"), ("place", "<u4"), ("doc", "<i8"), ("id", "<i8"), ("p", "<u8"), ("q", "<u8")])
+FOUND = "y long, y_doc long, y_place long, x long, x_doc long, x_place long, more boolean, word long, part int, parts int, postings binary"
 
 
 def line_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,93 +96,295 @@ def compared(batch: pa.RecordBatch, least: int, rank: np.ndarray | None = None):
     return row[ok], place[ok], fingerprints(plain, n), n, tokens
 
 
+def prefix_sizes(t: Threshold, n: np.ndarray) -> np.ndarray:
+    return n - -(-t.num * n // t.den) + 1
+
+
 def parities(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 parities of each (non-empty) set's tokens, as two numbers: sets that differ in d tokens differ in d parities at most."""
     if not len(n):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     cell = mix(tokens) >> np.uint64(57)
     bit = np.uint64(1) << (cell & np.uint64(63))
     low = cell < 64
-    return tuple(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), np.cumsum(n) - n).view(np.int64) for half in (low, ~low))
+    return tuple(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), np.cumsum(n) - n) for half in (low, ~low))
 
 
-def _may_match(t: Threshold, a: str, b: str):
-    """The length and parity filters on columns n, p, q with the prefixes a and b."""
-    far = F.bit_count(F.col(f"{a}p").bitwiseXOR(F.col(f"{b}p"))) + F.bit_count(F.col(f"{a}q").bitwiseXOR(F.col(f"{b}q")))
-    n1, n2 = F.col(f"{a}n"), F.col(f"{b}n")
-    return t.sizes_fit(n1, n2) & (far * (t.num + t.den) <= (n1 + n2) * (t.den - t.num))
+def survive(t: Threshold, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length, positional and parity filters on pairs of postings of one word.
+
+    With the common word at i and j, the overlap is at most min(i, j) + 1 + min(n1-i-1, n2-j-1); it must
+    be t/(1+t) of n1+n2.  The sets may differ in (1-t)/(1+t) of n1+n2 words.
+    """
+    n1, n2, i, j = (x.astype(np.int64) for x in (a["n"], b["n"], a["at"], b["at"]))
+    total, whole = n1 + n2, t.num + t.den
+    ok = t.sizes_fit(n1, n2)
+    ok &= (np.minimum(i, j) + 1 + np.minimum(n1 - i - 1, n2 - j - 1)) * whole >= t.num * total
+    far = np.bitwise_count(a["p"] ^ b["p"]).astype(np.int64) + np.bitwise_count(a["q"] ^ b["q"])
+    return ok & (far * whole <= (t.den - t.num) * total)
+
+
+def _packed(entries: np.ndarray) -> bytes:
+    """Postings as planes of bytes, compressed: the many that are 0 or repeat take no space."""
+    planes = np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), POSTING.itemsize).T)
+    return len(entries).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blobs: list[bytes]) -> np.ndarray:
+    out = []
+    for x in blobs:
+        n = int.from_bytes(x[:8], "little")
+        planes = np.frombuffer(pa.decompress(x[8:], n * POSTING.itemsize, codec="zstd"), np.uint8).reshape(POSTING.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(POSTING))
+    return np.concatenate(out) if out else np.zeros(0, POSTING)
+
+
+def postings(t: Threshold, ids, n, tokens, doc, place, n_buckets: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, posting) for the prefixes of sets given as consecutive tokens in order of rarity; only words in the filter ``wanted``."""
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(tokens)) - (np.cumsum(n) - n)[row]
+    post = np.flatnonzero(at < prefix_sizes(t, n)[row])
+    word = mix(tokens[post])
+    bucket = (((word >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+    if wanted is not None:
+        ok = _held(wanted, bucket << 32 | (word & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        post, word, bucket = post[ok], word[ok], bucket[ok]
+    out, r = np.empty(len(post), POSTING), row[post]
+    p, q = parities(tokens, n)
+    for name, values in (("key", word & np.uint64(0xFFFFFFFF)), ("n", n[r]), ("at", at[post]), ("place", place[r]), ("doc", doc[r]), ("id", ids[r]), ("p", p[r]), ("q", q[r])):
+        out[name] = values
+    return bucket, out
+
+
+class _Group:
+    """Postings of some words, each line once a word, in order of word and size."""
+
+    def __init__(self, e: np.ndarray):
+        e = e[np.lexsort((e["place"], e["doc"], e["id"], e["key"]))]
+        fresh = np.ones(len(e), bool)
+        fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
+        e = e[fresh]
+        self.e = e = e[np.lexsort((e["n"], e["key"]))]
+        self.group = np.cumsum(np.concatenate(([0], e["key"][1:] != e["key"][:-1]))) if len(e) else np.zeros(0, np.int64)
+        self.starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(e)), bool), e["key"][1:] != e["key"][:-1])))
+        self.sizes = np.diff(np.append(self.starts, len(e)))
+        order = np.lexsort((e["place"], e["doc"]))
+        self.age = np.empty(len(e), np.int64)  # equal for lines at the same place
+        step = np.concatenate(([0], (e["doc"][order][1:] != e["doc"][order][:-1]) | (e["place"][order][1:] != e["place"][order][:-1]))) if len(e) else []
+        self.age[order] = np.cumsum(step)
+
+    def pivots(self) -> np.ndarray:
+        """The earliest line of each word."""
+        least = np.minimum.reduceat(self.age, self.starts)
+        at = np.flatnonzero(self.age == least[self.group])
+        _, first = np.unique(self.group[at], return_index=True)
+        return at[first]
+
+    def windows(self, t: Threshold, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) of the postings of the same word whose size fits that of postings y."""
+        place = self.group << 32 | self.e["n"].astype(np.int64)
+        g, n = self.group[y] << 32, self.e["n"][y].astype(np.int64)
+        return np.searchsorted(place, g | -(-n * t.num // t.den)), np.searchsorted(place, g | np.minimum(n * t.den // t.num, (1 << 32) - 1), "right")
+
+
+def _earlier(t: Threshold, y: np.ndarray, y_age: np.ndarray, x: np.ndarray, x_age: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index into y, index into x) of surviving pairs with an earlier x in x[low:high], in order of y."""
+    count = np.maximum(high - low, 0)
+    ends = np.cumsum(count)
+    i = 0
+    while i < len(y):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")))
+        for a in range(0, int(count[i]), STEP) if j == i + 1 else (None,):
+            if a is None:
+                one = np.repeat(np.arange(i, j), count[i:j])
+                other = low[one] + np.arange(len(one)) - np.repeat(ends[i:j] - count[i:j] - (ends[i - 1] if i else 0), count[i:j])
+            else:
+                other = np.arange(low[i] + a, min(low[i] + a + STEP, high[i]))
+                one = np.full(len(other), i)
+            ok = x_age[other] < y_age[one]
+            one, other = one[ok], other[ok]
+            ok = survive(t, y[one], x[other])
+            yield one[ok], other[ok]
+        i = j
+
+
+def _found(y: np.ndarray, x: np.ndarray, more: np.ndarray, word: np.ndarray) -> pa.Table:
+    n = len(y)
+    columns = [y["id"], y["doc"], y["place"].astype(np.int64), x["id"], x["doc"], x["place"].astype(np.int64), more, word]
+    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns] + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [c.split()[0] for c in FOUND.split(", ")])
+
+
+def _earliest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], age: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the x of least age, the number of x) for each of ``size`` y; -1 and 0 without."""
+    best, count = np.full(size, -1), np.zeros(size, np.int64)
+    for one, other in pairs:
+        if not len(one):
+            continue
+        count += np.bincount(one, minlength=size)
+        order = np.lexsort((age[other], one))
+        one, other = one[order], other[order]
+        first = np.concatenate(([True], one[1:] != one[:-1]))
+        one, other = one[first], other[first]
+        better = (best[one] < 0) | (age[other] < age[best[one]])
+        best[one[better]] = other[better]
+    return best, count
+
+
+def _meet(t: Threshold, bucket: int, e: np.ndarray, asked: np.ndarray | None, heavy: int, part: int) -> pa.Table:
+    """What a bucket's postings find.  ``asked``: a filter of the only lines that need candidates, and then all of theirs."""
+    key = np.sort(e["key"])
+    twice = np.unique(key[1:][key[1:] == key[:-1]])
+    at = np.searchsorted(twice, e["key"])
+    g = _Group(e[twice[np.minimum(at, max(0, len(twice) - 1))] == e["key"]] if len(twice) else e[:0])
+    none = np.zeros(0, np.int64)
+    if not len(g.e):
+        return _found(g.e, g.e, none.astype(bool), none)
+    word = np.int64(bucket) << 32 | g.e["key"].astype(np.int64)
+    out = []
+    if asked is None:
+        pivot = g.pivots()[g.group]
+        near = (g.age[pivot] < g.age) & survive(t, g.e, g.e[pivot])
+        out.append(_found(g.e[near], g.e[pivot[near]], (g.sizes > 2)[g.group[near]], word[near]))
+        y = np.flatnonzero(~near & (g.age > g.age[pivot]))
+    else:
+        y = np.flatnonzero(_held(asked, g.e["id"]))
+    low, high = g.windows(t, y)
+    # words with too much to compare are left to pairs of parts, which are stretches of the order of sizes
+    load = np.bincount(g.group[y], high - low, minlength=len(g.sizes))
+    for w in np.flatnonzero(load > heavy):
+        rows = g.e[g.starts[w] : g.starts[w] + g.sizes[w]]
+        flagged = np.zeros(len(rows), np.uint32)
+        flagged[y[g.group[y] == w] - g.starts[w]] = 1
+        rows["key"] = flagged  # inside a word's parts the key only tells which lines need candidates
+        parts = -(-len(rows) // part)
+        k = np.arange(parts)
+        null = pa.nulls(parts, pa.int64())
+        out.append(pa.Table.from_arrays([null] * 6 + [pa.nulls(parts, pa.bool_()), pa.array(np.full(parts, word[g.starts[w]])), pa.array(k.astype(np.int32)), pa.array(np.full(parts, parts, np.int32)), pa.array([_packed(rows[i * part : (i + 1) * part]) for i in k], pa.binary())], [c.split()[0] for c in FOUND.split(", ")]))
+    light = load[g.group[y]] <= heavy
+    y, low, high = y[light], low[light], high[light]
+    out.append(_answers(t, g.e[y], g.age[y], g.e, g.age, low, high, word[y], asked is not None))
+    return pa.concat_tables(out)
+
+
+def _answers(t, y, y_age, x, x_age, low, high, word, everything: bool) -> pa.Table:
+    pairs = _earlier(t, y, y_age, x, x_age, low, high)
+    if everything:
+        got = [(a, b) for a, b in pairs if len(a)]
+        one, other = (np.concatenate(c) if got else np.zeros(0, np.int64) for c in (zip(*got, strict=True) if got else ((), ())))
+        return _found(y[one], x[other], np.zeros(len(one), bool), word[one])
+    best, count = _earliest(pairs, x_age, len(y))
+    ok = best >= 0
+    return _found(y[ok], x[best[ok]], count[ok] > 1, word[ok])
+
+
+def _candidates(t: Threshold, posted: DataFrame, tag: str, asked: np.ndarray | None = None, heavy: int | None = None, part: int | None = None) -> DataFrame:
+    """(y, y_doc, y_place, x, x_doc, x_place, more, words): each pair once, of the lines that share a bucket's word."""
+    heavy, part = heavy or HEAVY, part or PART
+
+    def meet(group: pa.Table) -> pa.Table:
+        return _meet(t, group.column("bucket")[0].as_py(), _unpacked(group.column("postings").to_pylist()), asked, heavy, part)
+
+    def cross(group: pa.Table) -> pa.Table:
+        part_of = np.array(group.column("part").to_pylist())
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        e = _unpacked(group.column("postings").to_pylist())
+        sides = np.concatenate([np.full(int.from_bytes(b[:8], "little"), k) for k, b in zip(part_of, group.column("postings").to_pylist(), strict=True)])
+        order = np.lexsort((e["place"], e["doc"]))
+        step = np.concatenate(([0], (e["doc"][order][1:] != e["doc"][order][:-1]) | (e["place"][order][1:] != e["place"][order][:-1])))
+        age = np.empty(len(e), np.int64)
+        age[order] = np.cumsum(step)
+        out = []
+        for a, b in {(i, j), (j, i)}:
+            y, x = np.flatnonzero((sides == a) & (e["key"] == 1)), np.flatnonzero(sides == b)
+            x = x[np.argsort(e["n"][x], kind="stable")]
+            n, ns = e["n"][y].astype(np.int64), e["n"][x].astype(np.int64)
+            low, high = np.searchsorted(ns, -(-n * t.num // t.den)), np.searchsorted(ns, n * t.den // t.num, "right")
+            out.append(_answers(t, e[y], age[y], e[x], age[x], low, high, np.full(len(y), group.column("word")[0].as_py()), asked is not None))
+        return pa.concat_tables(out)
+
+    met = materialize(posted.groupBy("bucket").applyInArrow(meet, FOUND), tag)
+    found = met.where("postings is null")
+    crowded = met.where("postings is not null").select("word", "part", "parts", "postings")
+    if not crowded.isEmpty():
+        both = crowded.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
+        found = found.union(materialize(both.groupBy("word", "i", "j").applyInArrow(cross, FOUND), tag).withColumn("more", F.lit(True)))
+    # a line's places are those of its first posting, which is the same for every word of its prefix
+    return found.groupBy("y", "x").agg(*[F.min(c).alias(c) for c in ("y_doc", "y_place", "x_doc", "x_place")], F.max("more").alias("more"), F.collect_set("word").alias("words"))
 
 
 def _summed(rows: DataFrame, join) -> list:
-    """The (piece, bytes) rows of all tasks put together by ``join``: PIECES rows of a fixed size, whatever the input."""
+    """The (piece, bytes) rows of all tasks put together by ``join``: PIECES rows of a fixed size, whatever the input.
+
+    Tasks are joined in FAN groups a piece first, so that no group holds a row of every task.
+    """
 
     def one(t: pa.Table) -> pa.Table:
         return pa.table({"piece": t.column("piece").slice(0, 1), "bytes": pa.array([join(t.column("bytes").to_pylist())], pa.binary())})
 
-    return rows.groupBy("piece").applyInArrow(one, "piece int, bytes binary").collect()
+    first = rows.groupBy("piece", F.pmod("task", F.lit(FAN)).alias("fan")).applyInArrow(one, "piece int, bytes binary")
+    return first.groupBy("piece").applyInArrow(one, "piece int, bytes binary").collect()
+
 
+def _hash(*columns: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = mix(h * np.uint64(3) ^ c.astype(np.uint64))
+    return h
 
-def _place_hash(ids: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(np.uint64) ^ mix(doc.view(np.uint64) * np.uint64(3) + place.astype(np.uint64))) % np.uint64(WANTED_BITS)).astype(np.int64)
 
+def _held(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold the numbers."""
+    at = (_hash(value) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-def _filter(places: DataFrame) -> np.ndarray:
-    """A bitmap of WANTED_BITS over the hashes of (id, doc_id, place) rows."""
-    size = WANTED_BITS // 8 // PIECES
+
+def _filter(values: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS over one column of longs: never misses a value, and has a fixed size."""
+    size = FILTER_BITS // 8 // PIECES
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(WANTED_BITS, bool)
+        bits = np.zeros(FILTER_BITS, bool)
         for b in batches:
-            bits[_place_hash(*(c.to_numpy() for c in b.columns))] = True
+            bits[(_hash(b.column(0).to_numpy()) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
         if bits.any():
-            packed = np.packbits(bits).reshape(PIECES, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["piece", "bytes"])
+            packed = np.packbits(bits, bitorder="little").reshape(PIECES, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(PIECES, TaskContext.get().partitionId(), np.int32)), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["task", "piece", "bytes"])
 
     out = np.zeros((PIECES, size), np.uint8)
-    for piece, held in _summed(places.select("id", "doc_id", "place").mapInArrow(mark, "piece int, bytes binary"), lambda parts: np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes()):
+    for piece, held in _summed(values.mapInArrow(mark, "task int, piece int, bytes binary"), lambda parts: np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes()):
         out[piece] = np.frombuffer(held, np.uint8)
     return out.ravel()
 
 
-def similar(t: Threshold, head: np.ndarray, other: np.ndarray) -> bool:
-    """Whether two sets, as token numbers in order of rarity, reach the threshold.
-
-    Prefix filter: matching sets of n1 and n2 share a token among their first ``n - ceil(t*n) + 1``.
-    Positional filter: if the first shared token stands at i and j, the overlap is at most 1 + min(n1-i-1, n2-j-1).
-    """
-    n1, n2 = len(head), len(other)
-    if not n1 or not n2 or not t.sizes_fit(n1, n2):
-        return False
-    at = np.searchsorted(head, other)
-    hit = head[np.minimum(at, n1 - 1)] == other
-    j = int(hit.argmax())
-    i = int(at[j])
-    if not hit[j] or i > n1 + (-t.num * n1) // t.den or j > n2 + (-t.num * n2) // t.den:
+def jaccard_reached(t: Threshold, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if not len(a) or not len(b) or not t.sizes_fit(len(a), len(b)):
         return False
-    if (1 + min(n1 - i - 1, n2 - j - 1)) * (t.num + t.den) < t.num * (n1 + n2):
-        return False
-    both = int(hit.sum())
-    return t.den * both >= t.num * (n1 + n2 - both)
+    both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return bool(t.den * both >= t.num * (len(a) + len(b) - both))
 
 
-def _verified(pairs: DataFrame, known: DataFrame, source: DataFrame, t: Threshold, least: int, rank: np.ndarray) -> DataFrame:
-    """The ids y of the pairs (y, x) whose sets reach the threshold.  known: id, doc_id, place of each set's first line.
+def _verified(pairs: DataFrame, source: DataFrame, t: Threshold, least: int) -> DataFrame:
+    """The ids y of the pairs whose sets reach the threshold.
 
     One pass over the texts gives the sets at the first places; each goes to the sets x
     that it is verified against, and x itself once for each SALT_ROWS of them.
     """
-    pairs = materialize(pairs, "linepairs")
     salts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     own = pairs.join(salts, "x").select(F.col("y").alias("id"), F.col("x").alias("key"), F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("tail"))
     heads = salts.select(F.col("x").alias("id"), F.col("x").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tail"))
-    roles = materialize(own.union(heads), "roles")
-    wanted = _filter(known.join(roles.select("id").distinct(), "id", "left_semi"))
+    places = pairs.select(*[F.col(f"y{c}").alias(f"l{c}") for c in ("", "_doc", "_place")]).union(pairs.select("x", "x_doc", "x_place")).distinct()
+
+    def line_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hash(*(c.to_numpy() for c in b.columns)).view(np.int64))], ["h"])
+
+    wanted = _filter(places.mapInArrow(line_hash, "h long"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            row, place, ids, n, tokens = compared(part, least, rank)
-            at = _place_hash(ids, part.column(0).to_numpy()[row], place)
-            ok = (wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            row, place, ids, n, tokens = compared(part, least)
+            ok = _held(wanted, _hash(ids, part.column(0).to_numpy()[row], place).view(np.int64))
             raw = np.ascontiguousarray(tokens[np.repeat(ok, n)].view(np.uint8).reshape(-1, 8)[:, :BYTES])
             ends = (np.concatenate(([0], np.cumsum(n[ok]))) * BYTES).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends), pa.py_buffer(raw)])], ["id", "elements"])
@@ -183,69 +401,100 @@ def _verified(pairs: DataFrame, known: DataFrame, source: DataFrame, t: Threshol
             for key, salt, tail, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if tail == 0:
                     now, head = (key, salt), unpack(x)
-                elif (key, salt) == now and similar(t, head, unpack(x)):
+                elif (key, salt) == now and jaccard_reached(t, head, unpack(x)):
                     found.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
 
-    dealt = source.mapInArrow(sets, "id long, elements binary").join(roles, "id").select("key", "salt", "tail", "id", "elements")
+    dealt = source.mapInArrow(sets, "id long, elements binary").join(own.union(heads), "id").select("key", "salt", "tail", "id", "elements")
     return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "tail").mapInArrow(check, "id long").distinct()
 
 
-def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, places): the 0-based places of the lines that go, of each document that loses any."""
+def _posted(source: DataFrame, t: Threshold, least: int, rank: np.ndarray, words: np.ndarray | None = None) -> DataFrame:
+    """(bucket, postings) of the prefixes of all lines, or of their words in a filter only."""
+    n_buckets = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            bucket, e = (np.concatenate(c) for c in zip(*held, strict=True))
+            # equal lines of this flush are posted once, by the earliest
+            order = np.lexsort((e["place"], e["doc"], e["id"], e["key"], bucket))
+            b, e = bucket[order], e[order]
+            fresh = np.ones(len(e), bool)
+            fresh[1:] = (b[1:] != b[:-1]) | (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
+            b, e = b[fresh], e[fresh]
+            order = np.lexsort((e["place"], e["doc"], b))  # neighbours in a document share most bytes of their places
+            b, e = b[order], e[order]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(b, minlength=n_buckets))))
+            used = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([_packed(e[ends[k] : ends[k + 1]]) for k in used], pa.binary())], ["bucket", "postings"])
+
+        for part in chunks(batches):
+            row, place, ids, n, tokens = compared(part, least, rank)
+            held.append(postings(t, ids, n, tokens, part.column(0).to_numpy()[row], place, n_buckets, words))
+            size += len(held[-1][0])
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return source.mapInArrow(post, "bucket long, postings binary")
+
+
+def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = MIN_TOKENS, heavy: int | None = None, part: int | None = None) -> DataFrame:
+    """(doc_id, places): the 0-based places of the lines that go, of each document that loses any.
+
+    Lines of fewer than ``min_tokens`` different words stay.  Words are compared by 48-bit
+    hashes, lines that count as equal by 128 bits of their sets.
+    """
     t = threshold
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ["doc_id", "place", "id", "check", "task", "piece", "bytes"]
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "place", "id", "n", "p", "q", "piece", "bytes"]
-        for part in chunks(batches):
-            row, place, ids, n, tokens = compared(part, min_tokens)
+        for b in chunks(batches):
+            row, place, ids, n, tokens = compared(b, min_tokens)
             counts += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row]), pa.array(place), pa.array(ids), pa.array(n), *map(pa.array, parities(tokens, n)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), pa.array(place), pa.array(ids), pa.array(fingerprints(mix(tokens), n)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if counts.any():
             blobs = pa.array([x.tobytes() for x in np.split(counts, PIECES)], pa.binary())
-            none = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 6 + [pa.array(np.arange(PIECES, dtype=np.int32)), blobs], names)
+            none, task = pa.nulls(PIECES, pa.int64()), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(np.full(PIECES, task, np.int32)), pa.array(np.arange(PIECES, dtype=np.int32)), blobs], names)
 
-    lines = materialize(source.mapInArrow(outline, "doc_id long, place long, id long, n long, p long, q long, piece int, bytes binary"), "lines")
+    written = materialize(source.mapInArrow(outline, "doc_id long, place long, id long, check long, task int, piece int, bytes binary"), "lines")
     counts = np.zeros((PIECES, CELLS // PIECES), np.int64)
-    for piece, held in _summed(lines.where("piece is not null").select("piece", "bytes"), lambda parts: sum(np.frombuffer(x, np.int64) for x in parts).tobytes()):
+    for piece, held in _summed(written.where("piece is not null").select("task", "piece", "bytes"), lambda parts: sum(np.frombuffer(x, np.int64) for x in parts).tobytes()):
         counts[piece] = np.frombuffer(held, np.int64)
     rank = np.empty(CELLS, np.uint64)
     rank[np.argsort(counts.ravel(), kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    lines = written.where("piece is null").select("doc_id", "place", "id", "check")
 
-    lines = lines.where("piece is null").select("doc_id", "place", "id", "n", "p", "q")
-    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("first"), *[F.min(c).alias(c) for c in "npq"], F.count(F.lit(1)).alias("copies"))
-    first = materialize(first.select("id", "first.doc_id", "first.place", "n", "p", "q", "copies"), "firsts")
-
-    # a set of n elements has no match but its equals unless n / (n + 1) reaches the threshold
+    # a set of n words has no match but its equals unless n / (n + 1) reaches the threshold
     least = max(min_tokens, -(-t.num // max(1, t.den - t.num)))
-
-    def keys_of(part: pa.RecordBatch):
-        _, _, ids, n, tokens = compared(part, least, rank)
-        return rare_runs(t, ids, n, tokens)
-
-    met = blocks(source, keys_of)
-    members = materialize(met.join(first.drop("copies").withColumn("short", short(F.col("id"))), "short").select("block", "id", F.struct("doc_id", "place").alias("first"), "n", "p", "q"), "linemembers")
-    earliest = members.groupBy("block").agg(F.min(F.struct("first", "id")).alias("v"))
-    star = members.select("block", "id").join(earliest, "block").where("id <> v.id").groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("y"), F.col("v.id").alias("x"))
-    traits = lambda s: first.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in "npq"])
-    star = star.join(traits("y"), "y").join(traits("x"), "x").where(_may_match(t, "y_", "x_")).select("y", "x")
-    star = materialize(star, "star")
-    hit = materialize(_verified(star, first, source, t, min_tokens, rank), "hit")
-
-    # what has no match yet is verified against all earlier members of its blocks
-    left = members.join(hit, "id", "left_anti").select("block", *[F.col(c).alias(f"y_{c}") for c in ("id", "first", "n", "p", "q")]).alias("l")
-    fits = (F.col("l.block") == F.col("m.block")) & (F.col("first") < F.col("y_first")) & _may_match(t, "", "y_")
-    rest = left.join(members.alias("m"), fits).select(F.col("y_id").alias("y"), F.col("id").alias("x")).distinct()
-    more = _verified(rest.join(star, ["y", "x"], "left_anti"), first, source, t, min_tokens, rank)
-    removed = materialize(hit.union(more).distinct(), "removed").withColumn("gone", F.lit(True))
-
-    again = first.join(removed, "id", "left").where("copies > 1 or gone").select("id", F.struct("doc_id", "place").alias("first"), "gone")
-    gone = lines.join(again, "id").where("gone or struct(doc_id, place) > first")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    star = materialize(_candidates(t, _posted(source, t, least, rank), "met", None, heavy, part), "star")
+    hit = materialize(_verified(star, source, t, min_tokens), "hit")
+
+    # the lines whose earliest candidates all failed are searched again, by the words under which they had others
+    left = materialize(star.join(hit.withColumnRenamed("id", "y"), "y", "left_anti").where("more").select("y", "words"), "left")
+    again = None
+    if not left.isEmpty():
+        words = _filter(left.select(F.explode("words").alias("word")).distinct())
+        asked = _filter(left.select("y").distinct())
+        rest = _candidates(t, _posted(source, t, least, rank, words), "met", asked, heavy, part)
+        rest = materialize(rest.join(star.select("y", "x"), ["y", "x"], "left_anti"), "rest")
+        again = materialize(_verified(rest, source, t, min_tokens), "hit")
+
+    gone_ids = (hit if again is None else hit.union(again).distinct()).withColumn("gone", F.lit(True))
+    first = lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    loses = first.join(gone_ids, "id", "left").where("copies > 1 or gone")
+    gone = lines.join(loses, ["id", "check"]).where("gone or struct(doc_id, place) > first")
+    out = materialize(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
+    discard(written, star, hit, left, *([] if again is None else [rest, again]))
+    return out
 
 
 def dedup(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = 1) -> DataFrame:
@@ -257,13 +506,25 @@ def dedup(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = 1
     other's same lines, and a line goes from both or none; an empty table gives an empty
     result; other columns are carried, but n_lines and n_removed are replaced.
     """
-    gone = materialize(duplicates(docs, threshold, min_tokens).select(F.col("doc_id").alias("_key"), F.col("places").alias("_places")), "places")
-    side = F.broadcast(gone) if gone.agg(F.coalesce(F.sum(F.size("_places") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_IDS else gone
+    gone = duplicates(docs, threshold, min_tokens).select(F.col("doc_id").alias("_key"), F.col("places").alias("_places"))
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for text, lost in zip(texts, places, strict=True):
+            if lost is not None and text is not None:
+                lines = text.split("\n")
+                keep = np.ones(len(lines), bool)
+                keep[np.asarray(lost)] = False
+                text = "\n".join(x for x, ok in zip(lines, keep.tolist(), strict=True) if ok)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    d = docs.drop("n_lines", "n_removed").join(side, key == F.col("_key"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_places", i.cast("long")))
-    columns = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.when(F.col("_key").isNull(), 0).otherwise(F.size("_places")).cast("long"), "text": F.when(F.col("_key").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
-    d = d.withColumns(columns)
+    d = docs.drop("n_lines", "n_removed").join(gone, key == F.col("_key"), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    n_removed = F.when(F.col("_key").isNull() | F.col("text").isNull(), 0).otherwise(F.size("_places")).cast("long")
+    d = d.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": kept(F.col("text").cast("string"), "_places")})
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return d.drop("_key", "_places")
