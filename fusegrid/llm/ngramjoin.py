@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, fingerprints, keys, semi, short, verified
+from fusegrid.llm.bitmaps import filter_of, held
+from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, differing, fingerprints, keys, semi, short, sketches, verified
 from fusegrid.llm.words import buffers, mix, pack, shingles_of, words_of
 from fusegrid.plans.components import connected_components
 from fusegrid.plans.scratch import materialize
 
 WIDTH, THRESHOLD = 5, Threshold(4, 5)
 DIMENSIONS, LEAF, FANOUT, PIVOTS = 64, 16, 8, 2
+#: Pairs of nodes that are taken down at once.
+NODES = 512
 #: Members of a block that one task holds; larger blocks are searched by pairs of chunks.
 CHUNK = 2048
 
@@ -52,20 +55,42 @@ def _needed(t: Threshold, total: np.ndarray) -> np.ndarray:
     return -(-t.num * total // (t.num + t.den))
 
 
+def _squeezed(elements: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Sorted sets as their steps in planes of bytes, the high ones of which are mostly 0, compressed."""
+    step = elements.copy()
+    step[1:] -= elements[:-1]
+    starts = np.cumsum(n) - n
+    step[starts[n > 0]] = elements[starts[n > 0]]
+    planes = step.view(np.uint8).reshape(-1, 8)
+    return [int(k).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes[a : a + k].T).tobytes(), codec="zstd", asbytes=True) for a, k in zip(starts.tolist(), n.tolist(), strict=True)]
+
+
+def _unsqueezed(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 class Tree:
-    """A packed R-tree: levels of (first child, last child, lower sizes, upper corners)."""
+    """A packed R-tree over points of labelled sets.
 
-    def __init__(self, x: np.ndarray):
+    A level has the first and last child, least size, upper corner, and least and greatest label of each node.
+    """
+
+    def __init__(self, x: np.ndarray, label: np.ndarray | None = None):
         self.order = self._tiled(x, np.arange(len(x)), 0)
         self.x = x[self.order]
-        n = self.x.sum(1)
-        starts = np.arange(0, len(x), LEAF)
-        level = (starts, np.minimum(starts + LEAF, len(x)), np.minimum.reduceat(n, starts), np.maximum.reduceat(self.x, starts))
-        self.levels = [level]
-        while len(level[0]) > 1:
-            starts = np.arange(0, len(level[0]), FANOUT)
-            level = (starts, np.minimum(starts + FANOUT, len(level[0])), np.minimum.reduceat(level[2], starts), np.maximum.reduceat(level[3], starts))
+        self.n = self.x.sum(1)
+        self.label = np.arange(len(x)) if label is None else label[self.order]
+        level, count = (None, None, self.n, self.x, self.label, self.label), len(x)
+        self.levels = []
+        for fan in (LEAF, *[FANOUT] * 64):
+            starts = np.arange(0, count, fan)
+            level = (starts, np.minimum(starts + fan, count), np.minimum.reduceat(level[2], starts), np.maximum.reduceat(level[3], starts), np.minimum.reduceat(level[4], starts), np.maximum.reduceat(level[5], starts))
             self.levels.append(level)
+            count = len(starts)
+            if count == 1:
+                break
 
     @staticmethod
     def _tiled(x: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
@@ -78,52 +103,60 @@ class Tree:
         return np.concatenate((Tree._tiled(x, rows[:half], depth + 1), Tree._tiled(x, rows[half:], depth + 1)))
 
 
+def _children(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """All pairs (i, j) with i in a0:a1 and j in b0:b1, row by row."""
+    wide, count = b1 - b0, (a1 - a0) * (b1 - b0)
+    row = np.repeat(np.arange(len(count)), count)
+    k = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    return np.stack((a0[row] + k // wide[row], b0[row] + k % wide[row]), 1)
+
+
 def tree_pairs(t: Threshold, one: Tree, other: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row of one, row of other) for all pairs whose points allow the threshold, by descending both trees."""
-    top = max(len(one.levels), len(other.levels)) - 1
+    """(row of one, row of other) for all pairs of different labels whose points allow the threshold, by descending both trees."""
     level = lambda tree, k: tree.levels[min(k, len(tree.levels) - 1)]
-    pairs = np.zeros((1, 2), np.int64)
-    for k in range(top, -1, -1):
+
+    def descend(k: int, pairs: np.ndarray):
         a, b = level(one, k), level(other, k)
-        if k < top:  # the children of the surviving pairs of nodes
-            pa_, pb = level(one, k + 1), level(other, k + 1)
-            move = [k + 1 < len(tree.levels) for tree in (one, other)]
-            out = []
-            for i, j in pairs:
-                ci = np.arange(pa_[0][i], pa_[1][i]) if move[0] else np.array([i])
-                cj = np.arange(pb[0][j], pb[1][j]) if move[1] else np.array([j])
-                out.append(np.stack(np.meshgrid(ci, cj, indexing="ij"), -1).reshape(-1, 2))
-            pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        i, j = pairs[:, 0], pairs[:, 1]
+        ok = ~((a[4][i] == a[5][i]) & (a[4][i] == b[4][j]) & (a[4][i] == b[5][j]))
         if one is other:
-            pairs = pairs[pairs[:, 0] <= pairs[:, 1]]
-        keep = [np.minimum(a[3][p[:, 0]], b[3][p[:, 1]]).sum(1) >= _needed(t, a[2][p[:, 0]] + b[2][p[:, 1]]) for p in np.array_split(pairs, -(-len(pairs) // 65536) or 1)]
-        pairs = pairs[np.concatenate(keep)]
-    a, b = one.levels[0], other.levels[0]
-    for i, j in pairs:
-        x, y = one.x[a[0][i] : a[1][i]], other.x[b[0][j] : b[1][j]]
-        n1, n2 = x.sum(1)[:, None], y.sum(1)[None]
-        ok = (np.minimum(x[:, None], y[None]).sum(2) >= _needed(t, n1 + n2)) & t.sizes_fit(n1, n2)
-        p, q = np.nonzero(ok)
-        yield one.order[p + a[0][i]], other.order[q + b[0][j]]
-
-
-def _bounded(pairs: DataFrame, known: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) whose points admit the threshold."""
+            ok &= i <= j
+        i, j = i[ok], j[ok]
+        ok = np.minimum(a[3][i], b[3][j]).sum(1) >= _needed(t, a[2][i] + b[2][j])
+        i, j = i[ok], j[ok]
+        if k:
+            down = [(x[0][r], x[1][r]) if k < len(tree.levels) else (r, r + 1) for tree, x, r in ((one, a, i), (other, b, j))]
+            for s in range(0, len(i), NODES):
+                yield from descend(k - 1, _children(*(c[s : s + NODES] for side in down for c in side)))
+            return
+        for s in range(0, len(i), NODES):
+            r = _children(a[0][i[s : s + NODES]], a[1][i[s : s + NODES]], b[0][j[s : s + NODES]], b[1][j[s : s + NODES]])
+            p, q = r[:, 0], r[:, 1]
+            ok = (one.label[p] != other.label[q]) & t.sizes_fit(one.n[p], other.n[q])
+            p, q = p[ok], q[ok]
+            ok = np.minimum(one.x[p], other.x[q]).sum(1) >= _needed(t, one.n[p] + other.n[q])
+            yield one.order[p[ok]], other.order[q[ok]]
+
+    yield from descend(max(len(one.levels), len(other.levels)) - 1, np.zeros((1, 2), np.int64))
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (y, x) whose sketches, of sets (id, n, sketch), admit the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for c in ("x", "y"))
-            ok = np.minimum(x, y).sum(1) >= _needed(t, x.sum(1) + y.sum(1))
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            m, n, p, q = (b.column(c).to_pylist() for c in ("m", "n", "p", "q"))
+            ok = [differing(u, v) * (t.num + t.den) <= (i + j) * (t.den - t.num) for i, j, u, v in zip(m, n, p, q, strict=True)]
+            yield b.select(["y", "x"]).filter(pa.array(ok, pa.bool_()))
 
-    a, b = (known.select(F.col("id").alias(c), F.col("point").alias(p)) for c, p in (("a", "x"), ("b", "y")))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    y, x = (sets.select(F.col("id").alias(c), F.col("n").alias(k), F.col("sketch").alias(s)) for c, k, s in (("y", "m", "p"), ("x", "n", "q")))
+    return pairs.join(y, "y").join(x, "x").select("y", "x", "m", "n", "p", "q").mapInArrow(run, "y long, x long")
 
 
 def _search(members: DataFrame, t: Threshold) -> DataFrame:
-    """Unconnected pairs (a, b) that the bound admits, each once: in the first of the blocks that both are in.
+    """Unconnected pairs (y, x) of a block that the trees' bound admits.
 
-    members: block, m, id, component, point, blocks (all blocks of the id).
+    members: block, m, id, component, point.  Blocks of more than CHUNK members are searched by pairs of parts.
     """
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
     w = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -133,20 +166,16 @@ def _search(members: DataFrame, t: Threshold) -> DataFrame:
     def one(p: pd.DataFrame) -> pd.DataFrame:
         ids, component, part = p.id.to_numpy(), p.component.to_numpy(), p.part.to_numpy()
         x = np.stack([np.frombuffer(v, np.int32) for v in p.point])
-        block, own = p.block.iloc[0], [frozenset(v.tolist()) for v in p.blocks]
         sides = [np.flatnonzero(part == k) for k in dict.fromkeys((p.i.iloc[0], p.j.iloc[0]))]
         out = []
         if all(len(s) for s in sides):
-            trees = [Tree(x[s]) for s in sides]
+            trees = [Tree(x[s], component[s]) for s in sides]
             for r, s in tree_pairs(t, trees[0], trees[-1]):
-                r, s = sides[0][r], sides[-1][s]
-                ok = component[r] != component[s]
-                ok[ok] = [min(own[x] & own[y]) == block for x, y in zip(r[ok], s[ok], strict=True)]
-                out.append(np.stack((ids[r[ok]], ids[s[ok]]), 1))
+                out.append(np.stack((ids[sides[0][r]], ids[sides[-1][s]]), 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got.max(1, initial=-(2**63)), "b": got.min(1, initial=2**63 - 1)})
+        return pd.DataFrame({"y": got.max(1, initial=-(2**63)), "x": got.min(1, initial=2**63 - 1)}).drop_duplicates()
 
-    return w.groupBy("block", "i", "j").applyInPandas(one, "a long, b long")
+    return w.groupBy("block", "i", "j").applyInPandas(one, "y long, x long").distinct()
 
 
 def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD) -> DataFrame:
@@ -173,17 +202,22 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
     known = semi(outlines.withColumn("short", short(F.col("id"))), shorts, "short")
     known = materialize(known.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "known")
 
+    # a text of null ids only is fetched under a stand-in
+    stand_in = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
+    wanted = filter_of(known.select("id", stand_in))
+    by_document = filter_of(known.select(stand_in).distinct())
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
+            part = part.filter(pa.array(held(by_document, part.column(0).to_numpy())))
             ids, n, elements = _sets(part, width)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pack(elements, n).cast(pa.binary())], ["id", "elements"])
+            ok = held(wanted, ids, part.column(0).to_numpy())
+            elements, n = elements[np.repeat(ok, n)], n[ok]
+            columns = [pa.array(ids[ok]), pa.array(n), pa.array(_squeezed(elements, n), pa.binary()), pa.array(sketches(elements, n), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "elements", "sketch"])
 
-    named = known.select("id")
-    # a text of null ids only is fetched under a stand-in
-    stand_in = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
-    wanted = materialize(known.select(stand_in).distinct(), "wanted")
-    sets = semi(source.select(stand_in, "text"), wanted, "doc_id").mapInArrow(whole, "id long, elements binary")
-    sets = materialize(semi(sets, named, "id").dropDuplicates(["id"]), "sets")
+    # rows that repeat an id and a text give a set more than once, which the joins bear
+    sets = materialize(source.select(stand_in, "text").mapInArrow(whole, "id long, n long, elements binary, sketch binary"), "sets")
 
     links, tried, component = None, None, None
     members = materialize(met.join(known.select("id", "n", short(F.col("id")).alias("short")), "short").drop("short"), "members")
@@ -197,16 +231,14 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
         if round_ < PIVOTS:
             pivot = open_.groupBy("block").agg(F.min(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))).alias("v"))
             pairs = open_.join(pivot, "block").where((F.col("id") != F.col("v.p")) & (F.col("component") != F.col("v.pc")) & t.sizes_fit(F.col("n"), F.col("v.pn")))
-            pairs = pairs.select(F.greatest("id", "v.p").alias("a"), F.least("id", "v.p").alias("b")).distinct()
-            pairs = _bounded(pairs, known, t)
+            pairs = pairs.select(F.greatest("id", "v.p").alias("y"), F.least("id", "v.p").alias("x")).distinct()
         else:
-            own = open_.groupBy("id").agg(F.collect_list("block").alias("blocks"))
-            pairs = _search(open_.join(known.select("id", "point"), "id").join(own, "id").select("block", "m", "id", "component", "point", "blocks"), t)
+            pairs = _search(open_.join(known.select("id", "point"), "id").select("block", "m", "id", "component", "point"), t)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+            pairs = pairs.join(tried, ["y", "x"], "left_anti")
+        pairs = materialize(_bounded(pairs, sets, t).distinct(), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        new = materialize(verified(pairs, sets, t), "links")
+        new = materialize(verified(pairs, sets.select("id", "elements"), t, _unsqueezed).select(F.col("y").alias("a"), F.col("x").alias("b")), "links")
         links = new if links is None else links.union(new)
         component = connected_components(links)
 

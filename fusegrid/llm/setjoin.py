@@ -6,9 +6,7 @@ than that bound for the size class of the larger set; so some group has equal co
 in both sets, and the hash of a group's content is a key that both share.  k also
 exceeds the bound by the number of groups that an ordinary set leaves empty, so that
 an agreeing group with elements exists; a set with more empty groups than that also
-posts the empty ones (``keys``).  For sets of words, whose frequencies differ widely, a
-key is instead some words that follow one another in the set's order of rarity, from the
-rare end (``rare_runs``).  Either way frequent elements make no frequent keys: near
+posts the empty ones (``keys``).  So frequent elements make no frequent keys: near
 copies share a block, and few other sets do.
 
 Keys travel packed, ten bytes each, as one binary for each bucket and stretch of
@@ -37,12 +35,12 @@ ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<i2")])
 #: Sets travel under the last bits of their names; sets that share them are candidates of one another's blocks.
 ID_BITS = 48
 FLUSH = 1 << 20
-#: Sizes (from, below) of the sets that post runs of each length.
-RUNS = {3: (5, 1 << 62), 2: (2, 8)}
 #: Members of a block in one row.
 PIECE = 1 << 14
 #: Text that is worked on at once, in bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Sets that are verified against one other in one task's run; a set with more is repeated.
+SALT_ROWS = 512
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -139,34 +137,6 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
                 yield batch.slice(a, b - a)
 
 
-def rare_runs(t: Threshold, ids: np.ndarray, n: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit key, set id) for sets given as consecutive elements, each in one global order of rarity.
-
-    A key is w elements that follow one another in a set's order.  Let c = (1-t)/(1+t), and
-    let x be the smaller of two matching sets.  An element that only x has spoils w of x's
-    runs, one that only the larger set y has spoils w-1, at most (2w-1)c|x| in all; so one of
-    x's first (2w-1)c|x|+1 runs is also a run of y, at most c|y| places later.  So the
-    first 2wcn+1 runs of each set of n elements are posted.  Longer runs are rarer, but short
-    sets have too few of them: RUNS names the sizes that post runs of each length, and
-    neighbouring ranges overlap so far that matching sets always have one in common.
-    A set of one element posts nothing.
-    """
-    if 4 * t.den > 5 * t.num:
-        raise ValueError("runs need a threshold of 0.8 or more")
-    row = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(ordered)) - (np.cumsum(n) - n)[row]
-    keys_, ids_ = [], []
-    for w, (low, high) in RUNS.items():
-        posted = np.minimum(2 * w * (t.den - t.num) * n // (t.den + t.num) + 1, n - w + 1)
-        at = np.flatnonzero(place < np.where((n >= low) & (n < high), posted, 0)[row])
-        key = np.full(len(at), w, np.uint64)
-        for k in range(w):
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + ordered[at + k])
-        keys_.append(key)
-        ids_.append(ids[row[at]])
-    return np.concatenate(keys_), np.concatenate(ids_)
-
-
 KeysOf = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
@@ -250,30 +220,59 @@ def semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(side, column, "left_semi")
 
 
-def common(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Sizes of the intersections of sorted 64-bit sets, pair by pair."""
-    out = np.zeros(len(a), np.int64)
-    held, last = None, None
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if y is not last:
-            held, last = np.frombuffer(y, np.uint64), y
-        z = np.frombuffer(x, np.uint64)
-        if len(z) and len(held):
-            at = np.searchsorted(held, z)
-            out[i] = np.count_nonzero(held[np.minimum(at, len(held) - 1)] == z)
-    return out
-
-
-def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b), a materialised table, whose sets (id, elements: sorted 64-bit numbers) reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            n1, n2 = (np.array([len(x) // 8 for x in s], np.int64) for s in (a, b))
-            ok = t.linked(common(a, b), n1, n2)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    # only the sets that a side wants are dealt out for it
-    a, b = (semi(sets.select(F.col("id").alias(c), F.col("elements").alias(e)), materialize(pairs.select(c).distinct(), "side"), c) for c, e in (("a", "x"), ("b", "y")))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, sets: DataFrame, t: Threshold, unpack: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """The pairs (y, x), a materialised table, whose sets (id, elements) reach the threshold.
+
+    Each set y goes to the x that it is verified against, and x itself once for each
+    SALT_ROWS of them, so no task holds more than two sets.  ``unpack`` gives the sorted
+    numbers of a set; sets that no pair names may be among ``sets``.
+    """
+    salts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    own = pairs.join(salts, "x").select(F.col("y").alias("id"), F.col("x").alias("key"), F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("tail"))
+    heads = salts.select(F.col("x").alias("id"), F.col("x").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tail"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head = None, None
+        for b in batches:
+            found: tuple[list[int], list[int]] = ([], [])
+            for key, salt, tail, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tail == 0:
+                    now, head = (key, salt), unpack(x)
+                elif (key, salt) == now and reached(t, head, unpack(x)):
+                    found[0].append(y)
+                    found[1].append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["y", "x"])
+
+    dealt = sets.join(own.union(heads), "id").select("key", "salt", "tail", "id", "elements")
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "tail").mapInArrow(check, "y long, x long")
+
+
+def reached(t: Threshold, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if not len(a) or not len(b) or not t.sizes_fit(len(a), len(b)):
+        return False
+    both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return bool(t.den * both >= t.num * (len(a) + len(b) - both))
+
+
+def sketches(elements: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parities of each set's elements over about twice as many cells, a power of two."""
+    cells = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    base = np.cumsum(cells) - cells
+    row = np.repeat(np.arange(len(n)), n)
+    at = base[row] + (mix(elements ^ np.uint64(0x9FB21C651E98DF25)) & (cells[row] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=int(cells.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [bits[a : a + k].tobytes() for a, k in zip((base >> 3).tolist(), (cells >> 3).tolist(), strict=True)]
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Parities in which two sketches differ, at most the number of elements that only one set has.
+
+    Cells are taken by low bits of a hash, so a sketch of half the cells is the exclusive or of its halves.
+    """
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())

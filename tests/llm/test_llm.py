@@ -113,8 +113,7 @@ def near_sets(rng, t, count=60):
 
 
 @pytest.mark.parametrize("t", [Threshold(9, 10), Threshold(4, 5)])
-@pytest.mark.parametrize("kind", ["groups", "runs"])
-def test_matching_sets_share_a_key(t, kind):
+def test_matching_sets_share_a_key(t):
     rng = random.Random(7)
     for _ in range(12):
         sets = near_sets(rng, t)
@@ -122,7 +121,7 @@ def test_matching_sets_share_a_key(t, kind):
         arrays = [np.array(sorted(code[x] for x in s), np.uint64) for s in sets]
         n = np.array([len(a) for a in arrays], np.int64)
         ids = np.arange(len(sets), dtype=np.int64)
-        key, owner = setjoin.keys(t, ids, n, np.concatenate(arrays)) if kind == "groups" else setjoin.rare_runs(t, ids, n, np.concatenate(arrays))
+        key, owner = setjoin.keys(t, ids, n, np.concatenate(arrays))
         posted = {}
         for k, o in zip(key.tolist(), owner.tolist(), strict=True):
             posted.setdefault(o, set()).add(k)
