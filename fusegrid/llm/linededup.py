@@ -11,13 +11,13 @@ place) has a Jaccard similarity of the threshold or more, kept or not; all other
    under the words of its prefix, with its size, the word's position and 128 parities of
    its words; a task posts equal lines once.
 3. Where postings of a word meet, pairs pass the length filter (a window in order of size),
-   the positional filter (the words before and after the common one bound the overlap) and
-   the parity bound.  A line needs one earlier match only, so it is given its earliest
-   surviving candidate: first against the group's earliest line, which settles groups of
-   near copies in linear work, else against all others in its window.  Words with too many
-   open comparisons are split into parts whose pairs are dealt out to tasks.
+   the parity bound and the positional filter (the words before and after the common one
+   bound the overlap).  A line needs one earlier match only, so each gets, of its surviving
+   earlier lines, the one whose parities are most alike.  In large groups the earliest lines are
+   tried first, so groups of near copies take linear work.  Words with too many open
+   comparisons are split into parts whose pairs are dealt out to tasks.
 4. Candidates are verified on their whole sets, streamed through salted groups.  Lines whose
-   candidates all failed are searched once more, against all their candidates.
+   candidate failed are searched once more, against all their candidates.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import Threshold, chunks, fingerprints
+from fusegrid.llm.bitmaps import PIECES, filter_of, held, pieces, summed
+from fusegrid.llm.setjoin import Threshold, chunks, fingerprints, verified
 from fusegrid.llm.words import buffers, distinct, mix, words_of
 from fusegrid.plans.scratch import discard, materialize
 
@@ -39,20 +39,16 @@ THRESHOLD, MIN_TOKENS = Threshold(4, 5), 5
 #: A token is a number of TOKEN_BITS; its low CELL_BITS name its cell of the corpus-wide counts.
 TOKEN_BITS, CELL_BITS = 48, 18
 CELLS, REST_BITS = 1 << CELL_BITS, TOKEN_BITS - CELL_BITS
-#: Tables of a fixed size are put together in PIECES, by FAN groups of tasks first.
-PIECES, FAN = 32, 256
-#: Bits of the filters that tell which lines or words a pass is about.
-FILTER_BITS = 1 << 25
-#: Sets that are verified against one other in one task's run; a set with more is repeated.
-SALT_ROWS = 512
 #: Bytes of a token's number when sets travel.
 BYTES = TOKEN_BITS // 8
 #: Postings in one flush of a task; comparisons of one word that its bucket's task makes itself; postings in a part.
 FLUSH, HEAVY, PART = 1 << 20, 1 << 30, 1 << 15
-#: Pairs that are worked on at once.
-STEP = 1 << 21
-POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("at", "<u4"), ("place", "<u4"), ("doc", "<i8"), ("id", "<i8"), ("p", "<u8"), ("q", "<u8")])
-FOUND = "y long, y_doc long, y_place long, x long, x_doc long, x_place long, more boolean, word long, part int, parts int, postings binary"
+#: Pairs that are worked on at once; postings of a large group, and the earliest of them that are tried first there.
+STEP, LARGE, FIRST = 1 << 21, 64, 4
+#: The columns of a posting.
+POSTING = {"key": np.uint32, "n": np.int32, "at": np.int32, "place": np.int32, "doc": np.int64, "id": np.int64, "p": np.uint64, "q": np.uint64}
+FOUND = "y long, y_doc long, y_place long, x long, x_doc long, x_place long, unlike float, more boolean, word long, part int, parts int, postings binary"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
 def line_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,18 +76,17 @@ def sets_of(line: np.ndarray, token: np.ndarray, lines: int) -> tuple[np.ndarray
     return both & np.uint64((1 << TOKEN_BITS) - 1), np.bincount((both >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=lines)
 
 
-def compared(batch: pa.RecordBatch, least: int, rank: np.ndarray | None = None):
-    """(row, place, name, size, tokens) of the compared lines; with ranks, tokens are numbered by rarity."""
+def compared(batch: pa.RecordBatch, least: int, ranks: tuple[np.ndarray, np.ndarray] | None = None):
+    """(row, place, name, size, tokens) of the compared lines; with (rank of each cell, cell of each rank), tokens are numbered by rarity."""
     row, place, line, token = line_tokens(batch)
-    if rank is not None:
+    if ranks is not None:
+        rank, cell = ranks
         token = rank[(token & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(REST_BITS) | token >> np.uint64(CELL_BITS)
     tokens, n = sets_of(line, token, len(row))
     ok = n >= least
     tokens, n = tokens[np.repeat(ok, n)], n[ok]
     plain = tokens
-    if rank is not None:
-        cell = np.empty(CELLS, np.uint64)
-        cell[rank.astype(np.int64)] = np.arange(CELLS, dtype=np.uint64)
+    if ranks is not None:
         plain = (tokens & np.uint64((1 << REST_BITS) - 1)) << np.uint64(CELL_BITS) | cell[(tokens >> np.uint64(REST_BITS)).astype(np.int64)]
     return row[ok], place[ok], fingerprints(plain, n), n, tokens
 
@@ -110,340 +105,327 @@ def parities(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), np.cumsum(n) - n) for half in (low, ~low))
 
 
-def survive(t: Threshold, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length, positional and parity filters on pairs of postings of one word.
-
-    With the common word at i and j, the overlap is at most min(i, j) + 1 + min(n1-i-1, n2-j-1); it must
-    be t/(1+t) of n1+n2.  The sets may differ in (1-t)/(1+t) of n1+n2 words.
+Columns = dict[str, np.ndarray]
+
+
+class Postings:
+    """The postings of some lines, under the words of their prefixes; equal lines are posted once, by the earliest."""
+
+    def __init__(self, t: Threshold, n_buckets: int, words: np.ndarray | None = None):
+        self.t, self.n_buckets, self.words, self.size = t, n_buckets, words, 0
+        self.lines: list[Columns] = []
+        self.posted: list[Columns] = []
+
+    def add(self, ids, n, tokens, doc, place) -> None:
+        """Lines whose sets are given as consecutive tokens in order of rarity; of a filter ``words`` only those words."""
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(tokens)) - (np.cumsum(n) - n)[row]
+        post = np.flatnonzero(at < prefix_sizes(self.t, n)[row])
+        word = mix(tokens[post])
+        bucket = (((word >> np.uint64(32)) * np.uint64(self.n_buckets)) >> np.uint64(32)).astype(np.int64)
+        key = (word & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        if self.words is not None:
+            ok = held(self.words, bucket << 32 | key)
+            post, bucket, key = post[ok], bucket[ok], key[ok]
+        first = sum(len(x["id"]) for x in self.lines)
+        p, q = parities(tokens, n)
+        self.lines.append({"n": n, "place": place, "doc": doc, "id": ids, "p": p, "q": q})
+        self.posted.append({"bucket": bucket, "key": key, "at": at[post], "line": first + row[post]})
+        self.size += len(post)
+
+    def flush(self) -> pa.RecordBatch:
+        """(bucket, postings), one row a bucket, in order of the lines, as neighbours in a document share most bytes."""
+        lines = {k: np.concatenate([x[k] for x in self.lines]) for k in self.lines[0]}
+        posted = {k: np.concatenate([x[k] for x in self.posted]) for k in self.posted[0]}
+        order = np.lexsort((lines["place"], lines["doc"], lines["id"]))
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = lines["id"][order][1:] == lines["id"][order][:-1]
+        posted = _taken(posted, ~again[posted["line"]])
+        bucket = posted["bucket"]
+        posted = _taken(posted, np.argsort(bucket.astype(np.uint16) if self.n_buckets < 1 << 16 else bucket, kind="stable"))
+        c = {"key": posted["key"], "at": posted["at"]} | _taken(lines, posted["line"])
+        c = {k: c[k].astype(d, copy=False) for k, d in POSTING.items()}
+        ends = np.concatenate(([0], np.cumsum(np.bincount(posted["bucket"], minlength=self.n_buckets))))
+        used = np.flatnonzero(np.diff(ends))
+        blobs = [_packed(_taken(c, slice(ends[k], ends[k + 1]))) for k in used]
+        self.lines, self.posted, self.size = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "postings"])
+
+
+def _taken(c: Columns, rows) -> Columns:
+    return {k: v[rows] for k, v in c.items()}
+
+
+def survive(t: Threshold, x: Columns, a: np.ndarray, b: np.ndarray, y: Columns | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs that pass, how unlike they are): the parity, positional and length filters on rows a of x and b of y, all of one word.
+
+    The sets may differ in (1-t)/(1+t) of n1+n2 words, and in no fewer than their parities do.  With the common word at
+    i and j, the overlap is at most min(i, j) + 1 + min(n1-i-1, n2-j-1); it must be t/(1+t) of n1+n2.
     """
-    n1, n2, i, j = (x.astype(np.int64) for x in (a["n"], b["n"], a["at"], b["at"]))
-    total, whole = n1 + n2, t.num + t.den
-    ok = t.sizes_fit(n1, n2)
-    ok &= (np.minimum(i, j) + 1 + np.minimum(n1 - i - 1, n2 - j - 1)) * whole >= t.num * total
-    far = np.bitwise_count(a["p"] ^ b["p"]).astype(np.int64) + np.bitwise_count(a["q"] ^ b["q"])
-    return ok & (far * whole <= (t.den - t.num) * total)
-
-
-def _packed(entries: np.ndarray) -> bytes:
+    y, whole = x if y is None else y, t.num + t.den
+    total = x["n"][a] + y["n"][b]
+    far = np.bitwise_count(x["p"][a] ^ y["p"][b]).astype(np.int32)
+    ok = np.flatnonzero(far * whole <= (t.den - t.num) * total)
+    a, b, total, far = a[ok], b[ok], total[ok], far[ok]
+    far += np.bitwise_count(x["q"][a] ^ y["q"][b])
+    n1, n2, i, j = x["n"][a], y["n"][b], x["at"][a], y["at"][b]
+    fine = far * whole <= (t.den - t.num) * total
+    fine &= t.sizes_fit(n1, n2)
+    fine &= (np.minimum(i, j) + 1 + np.minimum(n1 - i - 1, n2 - j - 1)) * whole >= t.num * total
+    return ok[fine], far[fine] / total[fine]
+
+
+def _packed(c: Columns) -> bytes:
     """Postings as planes of bytes, compressed: the many that are 0 or repeat take no space."""
-    planes = np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), POSTING.itemsize).T)
-    return len(entries).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    planes = [np.ascontiguousarray(c[k].astype(d, copy=False).view(np.uint8).reshape(-1, np.dtype(d).itemsize).T) for k, d in POSTING.items()]
+    return len(c["key"]).to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(blobs: list[bytes]) -> np.ndarray:
-    out = []
+def _unpacked(blobs: list[bytes]) -> Columns:
+    width, parts = sum(np.dtype(d).itemsize for d in POSTING.values()), []
     for x in blobs:
         n = int.from_bytes(x[:8], "little")
-        planes = np.frombuffer(pa.decompress(x[8:], n * POSTING.itemsize, codec="zstd"), np.uint8).reshape(POSTING.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(POSTING))
-    return np.concatenate(out) if out else np.zeros(0, POSTING)
-
-
-def postings(t: Threshold, ids, n, tokens, doc, place, n_buckets: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, posting) for the prefixes of sets given as consecutive tokens in order of rarity; only words in the filter ``wanted``."""
-    row = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(tokens)) - (np.cumsum(n) - n)[row]
-    post = np.flatnonzero(at < prefix_sizes(t, n)[row])
-    word = mix(tokens[post])
-    bucket = (((word >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-    if wanted is not None:
-        ok = _held(wanted, bucket << 32 | (word & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        post, word, bucket = post[ok], word[ok], bucket[ok]
-    out, r = np.empty(len(post), POSTING), row[post]
-    p, q = parities(tokens, n)
-    for name, values in (("key", word & np.uint64(0xFFFFFFFF)), ("n", n[r]), ("at", at[post]), ("place", place[r]), ("doc", doc[r]), ("id", ids[r]), ("p", p[r]), ("q", q[r])):
-        out[name] = values
-    return bucket, out
+        parts.append(np.frombuffer(pa.decompress(x[8:], n * width, codec="zstd"), np.uint8).reshape(width, n))
+    planes = np.concatenate(parts, 1) if parts else np.zeros((width, 0), np.uint8)
+    out, at = {}, 0
+    for k, d in POSTING.items():
+        size = np.dtype(d).itemsize
+        out[k] = np.ascontiguousarray(planes[at : at + size].T).reshape(-1).view(d)
+        at += size
+    return out
+
+
+def _ages(c: Columns) -> np.ndarray:
+    """Numbers in order of (doc, place), equal for equal ones."""
+    order = np.lexsort((c["place"], c["doc"]))
+    doc, place = c["doc"][order], c["place"][order]
+    age = np.empty(len(order), np.int64)
+    age[order] = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))[: len(order)])
+    return age
 
 
 class _Group:
-    """Postings of some words, each line once a word, in order of word and size."""
-
-    def __init__(self, e: np.ndarray):
-        e = e[np.lexsort((e["place"], e["doc"], e["id"], e["key"]))]
-        fresh = np.ones(len(e), bool)
-        fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
-        e = e[fresh]
-        self.e = e = e[np.lexsort((e["n"], e["key"]))]
-        self.group = np.cumsum(np.concatenate(([0], e["key"][1:] != e["key"][:-1]))) if len(e) else np.zeros(0, np.int64)
-        self.starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(e)), bool), e["key"][1:] != e["key"][:-1])))
-        self.sizes = np.diff(np.append(self.starts, len(e)))
-        order = np.lexsort((e["place"], e["doc"]))
-        self.age = np.empty(len(e), np.int64)  # equal for lines at the same place
-        step = np.concatenate(([0], (e["doc"][order][1:] != e["doc"][order][:-1]) | (e["place"][order][1:] != e["place"][order][:-1]))) if len(e) else []
-        self.age[order] = np.cumsum(step)
-
-    def pivots(self) -> np.ndarray:
-        """The earliest line of each word."""
-        least = np.minimum.reduceat(self.age, self.starts)
-        at = np.flatnonzero(self.age == least[self.group])
-        _, first = np.unique(self.group[at], return_index=True)
-        return at[first]
+    """Postings of words that two lines or more share, each line once a word, in order of word and size."""
+
+    def __init__(self, c: Columns):
+        # sorted by word; what stands alone goes first
+        order = np.sort(c["key"].astype(np.uint64) << np.uint64(32) | np.arange(len(c["key"]), dtype=np.uint64))
+        key = order >> np.uint64(32)
+        same = key[1:] == key[:-1]
+        many = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(key) else np.zeros(0, bool)
+        c = _taken(c, (order[many] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        age = _ages(c)
+        # postings of one word and line by different tasks: the earliest stays
+        order = np.lexsort((age, c["id"], c["key"]))
+        key, ids = c["key"][order], c["id"][order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        order = order[fresh]
+        order = order[np.argsort(c["key"][order].astype(np.int64) << 32 | c["n"][order], kind="stable")]
+        self.c, self.age = _taken(c, order), age[order]
+        key = self.c["key"]
+        self.starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        self.sizes = np.diff(np.append(self.starts, len(key)))
+        self.group = np.repeat(np.arange(len(self.starts)), self.sizes)
+
+    def earliest(self, k: int) -> np.ndarray:
+        """(k, groups): the k earliest lines of each group, by age; -1 where there are fewer."""
+        order = np.lexsort((self.age, self.group))
+        place = np.arange(len(order)) - self.starts[self.group[order]]
+        out = np.full((k, len(self.starts)), -1)
+        chosen = place < k
+        out[place[chosen], self.group[order][chosen]] = order[chosen]
+        return out
 
     def windows(self, t: Threshold, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, last) of the postings of the same word whose size fits that of postings y."""
-        place = self.group << 32 | self.e["n"].astype(np.int64)
-        g, n = self.group[y] << 32, self.e["n"][y].astype(np.int64)
+        place = self.group << 32 | self.c["n"]
+        g, n = self.group[y] << 32, self.c["n"][y].astype(np.int64)
         return np.searchsorted(place, g | -(-n * t.num // t.den)), np.searchsorted(place, g | np.minimum(n * t.den // t.num, (1 << 32) - 1), "right")
 
 
-def _earlier(t: Threshold, y: np.ndarray, y_age: np.ndarray, x: np.ndarray, x_age: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index into y, index into x) of surviving pairs with an earlier x in x[low:high], in order of y."""
+def _ranges(y: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(y repeated, low to high) in steps of about STEP pairs; a range longer than that goes in parts."""
     count = np.maximum(high - low, 0)
-    ends = np.cumsum(count)
-    i = 0
+    ends, i = np.cumsum(count), 0
     while i < len(y):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")))
-        for a in range(0, int(count[i]), STEP) if j == i + 1 else (None,):
-            if a is None:
-                one = np.repeat(np.arange(i, j), count[i:j])
-                other = low[one] + np.arange(len(one)) - np.repeat(ends[i:j] - count[i:j] - (ends[i - 1] if i else 0), count[i:j])
-            else:
-                other = np.arange(low[i] + a, min(low[i] + a + STEP, high[i]))
-                one = np.full(len(other), i)
-            ok = x_age[other] < y_age[one]
-            one, other = one[ok], other[ok]
-            ok = survive(t, y[one], x[other])
-            yield one[ok], other[ok]
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + STEP, "right")))
+        if j == i + 1:
+            for a in range(int(low[i]), int(high[i]), STEP):
+                other = np.arange(a, min(a + STEP, int(high[i])))
+                yield np.full(len(other), y[i]), other
+        else:
+            one = np.repeat(np.arange(i, j), count[i:j])
+            yield y[one], low[one] + np.arange(len(one)) - (ends[one] - count[one] - before)
         i = j
 
 
-def _found(y: np.ndarray, x: np.ndarray, more: np.ndarray, word: np.ndarray) -> pa.Table:
-    n = len(y)
-    columns = [y["id"], y["doc"], y["place"].astype(np.int64), x["id"], x["doc"], x["place"].astype(np.int64), more, word]
-    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns] + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], [c.split()[0] for c in FOUND.split(", ")])
+class _Best:
+    """For each line, of the earlier lines found so far the one most like it, and how many there were."""
+
+    def __init__(self, size: int):
+        self.x, self.unlike, self.count = np.full(size, -1), np.full(size, np.inf), np.zeros(size, np.int64)
+
+    def add(self, y: np.ndarray, x: np.ndarray, unlike: np.ndarray) -> None:
+        if not len(y):
+            return
+        self.count += np.bincount(y, minlength=len(self.count))
+        order = np.lexsort((x, unlike, y))
+        y, x, unlike = y[order], x[order], unlike[order]
+        first = np.concatenate(([True], y[1:] != y[:-1]))
+        y, x, unlike = y[first], x[first], unlike[first]
+        better = unlike < self.unlike[y]
+        self.x[y[better]], self.unlike[y[better]] = x[better], unlike[better]
+
+
+def _found(y: Columns, x: Columns, unlike: np.ndarray, more: np.ndarray, word: np.ndarray) -> pa.Table:
+    none = [pa.nulls(len(more), k) for k in (pa.int32(), pa.int32(), pa.binary())]
+    columns = [y["id"], y["doc"], y["place"].astype(np.int64), x["id"], x["doc"], x["place"].astype(np.int64), unlike.astype(np.float32), more, word]
+    return pa.Table.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), *none], FOUND_NAMES)
 
 
-def _earliest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], age: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the x of least age, the number of x) for each of ``size`` y; -1 and 0 without."""
-    best, count = np.full(size, -1), np.zeros(size, np.int64)
-    for one, other in pairs:
-        if not len(one):
-            continue
-        count += np.bincount(one, minlength=size)
-        order = np.lexsort((age[other], one))
-        one, other = one[order], other[order]
-        first = np.concatenate(([True], one[1:] != one[:-1]))
-        one, other = one[first], other[first]
-        better = (best[one] < 0) | (age[other] < age[best[one]])
-        best[one[better]] = other[better]
-    return best, count
+def _crowded(c: Columns, wanted: np.ndarray, word: int, part: int) -> pa.Table:
+    """A word's postings in parts; their key only tells which lines still want a candidate."""
+    c = c | {"key": wanted.astype(np.uint32)}
+    parts = -(-len(wanted) // part)
+    blobs = [_packed(_taken(c, slice(k * part, (k + 1) * part))) for k in range(parts)]
+    none = [pa.nulls(parts, k) for k in (*[pa.int64()] * 6, pa.float32(), pa.bool_())]
+    return pa.Table.from_arrays([*none, pa.array(np.full(parts, word)), pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, parts, np.int32)), pa.array(blobs, pa.binary())], FOUND_NAMES)
 
 
-def _meet(t: Threshold, bucket: int, e: np.ndarray, asked: np.ndarray | None, heavy: int, part: int) -> pa.Table:
+def _meet(t: Threshold, bucket: int, c: Columns, asked: np.ndarray | None, heavy: int, part: int, large: int) -> pa.Table:
     """What a bucket's postings find.  ``asked``: a filter of the only lines that need candidates, and then all of theirs."""
-    key = np.sort(e["key"])
-    twice = np.unique(key[1:][key[1:] == key[:-1]])
-    at = np.searchsorted(twice, e["key"])
-    g = _Group(e[twice[np.minimum(at, max(0, len(twice) - 1))] == e["key"]] if len(twice) else e[:0])
-    none = np.zeros(0, np.int64)
-    if not len(g.e):
-        return _found(g.e, g.e, none.astype(bool), none)
-    word = np.int64(bucket) << 32 | g.e["key"].astype(np.int64)
-    out = []
+    g = _Group(c)
+    e, out = g.c, []
+    word = np.int64(bucket) << 32 | e["key"].astype(np.int64)
+    best = _Best(len(word))
     if asked is None:
-        pivot = g.pivots()[g.group]
-        near = (g.age[pivot] < g.age) & survive(t, g.e, g.e[pivot])
-        out.append(_found(g.e[near], g.e[pivot[near]], (g.sizes > 2)[g.group[near]], word[near]))
-        y = np.flatnonzero(~near & (g.age > g.age[pivot]))
+        big = np.flatnonzero(g.sizes[g.group] > large)
+        for pivots in g.earliest(FIRST):
+            x = pivots[g.group[big]]
+            y, x = big[x >= 0], x[x >= 0]
+            y, x = (v[g.age[x] < g.age[y]] for v in (y, x))
+            ok, unlike = survive(t, e, y, x)
+            best.add(y[ok], x[ok], unlike)
+        best.count[best.x >= 0] += 1  # lines that the earliest settle may have other candidates
+        y = np.flatnonzero(best.x < 0)
     else:
-        y = np.flatnonzero(_held(asked, g.e["id"]))
+        y = np.flatnonzero(held(asked, e["id"]))
     low, high = g.windows(t, y)
-    # words with too much to compare are left to pairs of parts, which are stretches of the order of sizes
     load = np.bincount(g.group[y], high - low, minlength=len(g.sizes))
     for w in np.flatnonzero(load > heavy):
-        rows = g.e[g.starts[w] : g.starts[w] + g.sizes[w]]
-        flagged = np.zeros(len(rows), np.uint32)
-        flagged[y[g.group[y] == w] - g.starts[w]] = 1
-        rows["key"] = flagged  # inside a word's parts the key only tells which lines need candidates
-        parts = -(-len(rows) // part)
-        k = np.arange(parts)
-        null = pa.nulls(parts, pa.int64())
-        out.append(pa.Table.from_arrays([null] * 6 + [pa.nulls(parts, pa.bool_()), pa.array(np.full(parts, word[g.starts[w]])), pa.array(k.astype(np.int32)), pa.array(np.full(parts, parts, np.int32)), pa.array([_packed(rows[i * part : (i + 1) * part]) for i in k], pa.binary())], [c.split()[0] for c in FOUND.split(", ")]))
+        rows = slice(g.starts[w], g.starts[w] + g.sizes[w])
+        wanted = np.zeros(g.sizes[w], bool)
+        wanted[y[g.group[y] == w] - g.starts[w]] = True
+        out.append(_crowded(_taken(e, rows), wanted, word[g.starts[w]], part))
     light = load[g.group[y]] <= heavy
     y, low, high = y[light], low[light], high[light]
-    out.append(_answers(t, g.e[y], g.age[y], g.e, g.age, low, high, word[y], asked is not None))
+    want = np.zeros(len(word), bool)
+    want[y] = True
+    # a pair of two lines that want candidates is met once, from its shorter side
+    for a, b in _ranges(y, low, high):
+        ok = (g.age[a] != g.age[b]) & ((b > a) | ~want[b])
+        a, b = a[ok], b[ok]
+        swap = g.age[a] < g.age[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        ok = want[a]
+        a, b = a[ok], b[ok]
+        ok, unlike = survive(t, e, a, b)
+        if asked is None:
+            best.add(a[ok], b[ok], unlike)
+        else:
+            out.append(_found(_taken(e, a[ok]), _taken(e, b[ok]), unlike, np.zeros(len(ok), bool), word[a[ok]]))
+    y = np.flatnonzero(best.x >= 0)
+    out.append(_found(_taken(e, y), _taken(e, best.x[y]), best.unlike[y], best.count[y] > 1, word[y]))
     return pa.concat_tables(out)
 
 
-def _answers(t, y, y_age, x, x_age, low, high, word, everything: bool) -> pa.Table:
-    pairs = _earlier(t, y, y_age, x, x_age, low, high)
-    if everything:
-        got = [(a, b) for a, b in pairs if len(a)]
-        one, other = (np.concatenate(c) if got else np.zeros(0, np.int64) for c in (zip(*got, strict=True) if got else ((), ())))
-        return _found(y[one], x[other], np.zeros(len(one), bool), word[one])
-    best, count = _earliest(pairs, x_age, len(y))
-    ok = best >= 0
-    return _found(y[ok], x[best[ok]], count[ok] > 1, word[ok])
+def _cross(t: Threshold, one: Columns, other: Columns, word: int, everything: bool) -> pa.Table:
+    """What lines of one part of a word, as far as they want candidates, find in another part."""
+    both = {k: np.concatenate((one[k], other[k])) for k in POSTING}
+    age, n = _ages(both), both["n"].astype(np.int64)
+    y = np.flatnonzero(one["key"] == 1)
+    x = len(one["key"]) + np.argsort(other["n"], kind="stable")
+    low, high = np.searchsorted(n[x], -(-n[y] * t.num // t.den)), np.searchsorted(n[x], n[y] * t.den // t.num, "right")
+    best, out = _Best(len(age)), []
+    for a, b in _ranges(y, low, high):
+        b = x[b]
+        ok = age[b] < age[a]
+        a, b = a[ok], b[ok]
+        ok, unlike = survive(t, both, a, b)
+        best.add(a[ok], b[ok], unlike)
+        if everything:
+            out.append(_found(_taken(both, a[ok]), _taken(both, b[ok]), unlike, np.zeros(len(ok), bool), np.full(len(ok), word)))
+    y = np.flatnonzero(best.x >= 0)
+    out.append(_found(_taken(both, y), _taken(both, best.x[y]), best.unlike[y], np.ones(len(y), bool), np.full(len(y), word)))
+    return pa.concat_tables(out)
+
 
+def _candidates(t: Threshold, posted: DataFrame, tag: str, asked: np.ndarray | None = None, heavy: int = HEAVY, part: int = PART, large: int = LARGE) -> DataFrame:
+    """(y, y_doc, y_place, x, x_doc, x_place, unlike, more, word): what the lines that share a word of a bucket find there.
 
-def _candidates(t: Threshold, posted: DataFrame, tag: str, asked: np.ndarray | None = None, heavy: int | None = None, part: int | None = None) -> DataFrame:
-    """(y, y_doc, y_place, x, x_doc, x_place, more, words): each pair once, of the lines that share a bucket's word."""
-    heavy, part = heavy or HEAVY, part or PART
+    The places of a line are those of its earliest posting, the same for every word of its prefix.
+    """
 
     def meet(group: pa.Table) -> pa.Table:
-        return _meet(t, group.column("bucket")[0].as_py(), _unpacked(group.column("postings").to_pylist()), asked, heavy, part)
+        return _meet(t, group.column("bucket")[0].as_py(), _unpacked(group.column("postings").to_pylist()), asked, heavy, part, large)
 
     def cross(group: pa.Table) -> pa.Table:
-        part_of = np.array(group.column("part").to_pylist())
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        e = _unpacked(group.column("postings").to_pylist())
-        sides = np.concatenate([np.full(int.from_bytes(b[:8], "little"), k) for k, b in zip(part_of, group.column("postings").to_pylist(), strict=True)])
-        order = np.lexsort((e["place"], e["doc"]))
-        step = np.concatenate(([0], (e["doc"][order][1:] != e["doc"][order][:-1]) | (e["place"][order][1:] != e["place"][order][:-1])))
-        age = np.empty(len(e), np.int64)
-        age[order] = np.cumsum(step)
-        out = []
-        for a, b in {(i, j), (j, i)}:
-            y, x = np.flatnonzero((sides == a) & (e["key"] == 1)), np.flatnonzero(sides == b)
-            x = x[np.argsort(e["n"][x], kind="stable")]
-            n, ns = e["n"][y].astype(np.int64), e["n"][x].astype(np.int64)
-            low, high = np.searchsorted(ns, -(-n * t.num // t.den)), np.searchsorted(ns, n * t.den // t.num, "right")
-            out.append(_answers(t, e[y], age[y], e[x], age[x], low, high, np.full(len(y), group.column("word")[0].as_py()), asked is not None))
-        return pa.concat_tables(out)
+        blobs = dict(zip(group.column("part").to_pylist(), group.column("postings").to_pylist(), strict=True))
+        i, j, word = (group.column(c)[0].as_py() for c in ("i", "j", "word"))
+        parts = {k: _unpacked([blobs[k]]) for k in {i, j}}
+        return pa.concat_tables([_cross(t, parts[a], parts[b], word, asked is not None) for a, b in {(i, j), (j, i)}])
 
     met = materialize(posted.groupBy("bucket").applyInArrow(meet, FOUND), tag)
     found = met.where("postings is null")
     crowded = met.where("postings is not null").select("word", "part", "parts", "postings")
     if not crowded.isEmpty():
         both = crowded.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
-        found = found.union(materialize(both.groupBy("word", "i", "j").applyInArrow(cross, FOUND), tag).withColumn("more", F.lit(True)))
-    # a line's places are those of its first posting, which is the same for every word of its prefix
-    return found.groupBy("y", "x").agg(*[F.min(c).alias(c) for c in ("y_doc", "y_place", "x_doc", "x_place")], F.max("more").alias("more"), F.collect_set("word").alias("words"))
-
-
-def _summed(rows: DataFrame, join) -> list:
-    """The (piece, bytes) rows of all tasks put together by ``join``: PIECES rows of a fixed size, whatever the input.
-
-    Tasks are joined in FAN groups a piece first, so that no group holds a row of every task.
-    """
-
-    def one(t: pa.Table) -> pa.Table:
-        return pa.table({"piece": t.column("piece").slice(0, 1), "bytes": pa.array([join(t.column("bytes").to_pylist())], pa.binary())})
-
-    first = rows.groupBy("piece", F.pmod("task", F.lit(FAN)).alias("fan")).applyInArrow(one, "piece int, bytes binary")
-    return first.groupBy("piece").applyInArrow(one, "piece int, bytes binary").collect()
-
-
-def _hash(*columns: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        h = mix(h * np.uint64(3) ^ c.astype(np.uint64))
-    return h
-
-
-def _held(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Whether a filter may hold the numbers."""
-    at = (_hash(value) % np.uint64(FILTER_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _filter(values: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS over one column of longs: never misses a value, and has a fixed size."""
-    size = FILTER_BITS // 8 // PIECES
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            bits[(_hash(b.column(0).to_numpy()) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
-        if bits.any():
-            packed = np.packbits(bits, bitorder="little").reshape(PIECES, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(PIECES, TaskContext.get().partitionId(), np.int32)), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["task", "piece", "bytes"])
-
-    out = np.zeros((PIECES, size), np.uint8)
-    for piece, held in _summed(values.mapInArrow(mark, "task int, piece int, bytes binary"), lambda parts: np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes()):
-        out[piece] = np.frombuffer(held, np.uint8)
-    return out.ravel()
-
-
-def jaccard_reached(t: Threshold, a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold."""
-    if not len(a) or not len(b) or not t.sizes_fit(len(a), len(b)):
-        return False
-    both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
-    return bool(t.den * both >= t.num * (len(a) + len(b) - both))
+        found = found.union(materialize(both.groupBy("word", "i", "j").applyInArrow(cross, FOUND), tag))
+    return found.drop("part", "parts", "postings")
 
 
 def _verified(pairs: DataFrame, source: DataFrame, t: Threshold, least: int) -> DataFrame:
-    """The ids y of the pairs whose sets reach the threshold.
-
-    One pass over the texts gives the sets at the first places; each goes to the sets x
-    that it is verified against, and x itself once for each SALT_ROWS of them.
-    """
-    salts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    own = pairs.join(salts, "x").select(F.col("y").alias("id"), F.col("x").alias("key"), F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("tail"))
-    heads = salts.select(F.col("x").alias("id"), F.col("x").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tail"))
-    places = pairs.select(*[F.col(f"y{c}").alias(f"l{c}") for c in ("", "_doc", "_place")]).union(pairs.select("x", "x_doc", "x_place")).distinct()
-
-    def line_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_hash(*(c.to_numpy() for c in b.columns)).view(np.int64))], ["h"])
-
-    wanted = _filter(places.mapInArrow(line_hash, "h long"))
+    """The ids y of the pairs whose sets reach the threshold; one pass over the documents of the lines concerned gives their sets."""
+    lines = pairs.select(*[F.col(f"y{c}").alias(f"l{c}") for c in ("", "_doc", "_place")]).union(pairs.select("x", "x_doc", "x_place")).distinct()
+    wanted, documents = filter_of(lines), filter_of(lines.select("l_doc").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            row, place, ids, n, tokens = compared(part, least)
-            ok = _held(wanted, _hash(ids, part.column(0).to_numpy()[row], place).view(np.int64))
-            raw = np.ascontiguousarray(tokens[np.repeat(ok, n)].view(np.uint8).reshape(-1, 8)[:, :BYTES])
-            ends = (np.concatenate(([0], np.cumsum(n[ok]))) * BYTES).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends), pa.py_buffer(raw)])], ["id", "elements"])
+        for batch in batches:
+            for part in chunks([batch.filter(pa.array(held(documents, batch.column(0).to_numpy())))]):
+                row, place, ids, n, tokens = compared(part, least)
+                ok = held(wanted, ids, part.column(0).to_numpy()[row], place)
+                raw = np.ascontiguousarray(tokens[np.repeat(ok, n)].view(np.uint8).reshape(-1, 8)[:, :BYTES])
+                ends = (np.concatenate(([0], np.cumsum(n[ok]))) * BYTES).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends), pa.py_buffer(raw)])], ["id", "elements"])
 
     def unpack(x: bytes) -> np.ndarray:
         out = np.zeros((len(x) // BYTES, 8), np.uint8)
         out[:, :BYTES] = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
         return out.view(np.uint64).ravel()
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head = None, None
-        for b in batches:
-            found = []
-            for key, salt, tail, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if tail == 0:
-                    now, head = (key, salt), unpack(x)
-                elif (key, salt) == now and jaccard_reached(t, head, unpack(x)):
-                    found.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["id"])
+    return verified(pairs.select("y", "x"), source.mapInArrow(sets, "id long, elements binary"), t, unpack).select(F.col("y").alias("id")).distinct()
 
-    dealt = source.mapInArrow(sets, "id long, elements binary").join(own.union(heads), "id").select("key", "salt", "tail", "id", "elements")
-    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "tail").mapInArrow(check, "id long").distinct()
 
-
-def _posted(source: DataFrame, t: Threshold, least: int, rank: np.ndarray, words: np.ndarray | None = None) -> DataFrame:
+def _posted(source: DataFrame, t: Threshold, least: int, ranks: tuple[np.ndarray, np.ndarray], words: np.ndarray | None = None) -> DataFrame:
     """(bucket, postings) of the prefixes of all lines, or of their words in a filter only."""
     n_buckets = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            bucket, e = (np.concatenate(c) for c in zip(*held, strict=True))
-            # equal lines of this flush are posted once, by the earliest
-            order = np.lexsort((e["place"], e["doc"], e["id"], e["key"], bucket))
-            b, e = bucket[order], e[order]
-            fresh = np.ones(len(e), bool)
-            fresh[1:] = (b[1:] != b[:-1]) | (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])
-            b, e = b[fresh], e[fresh]
-            order = np.lexsort((e["place"], e["doc"], b))  # neighbours in a document share most bytes of their places
-            b, e = b[order], e[order]
-            ends = np.concatenate(([0], np.cumsum(np.bincount(b, minlength=n_buckets))))
-            used = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([_packed(e[ends[k] : ends[k + 1]]) for k in used], pa.binary())], ["bucket", "postings"])
-
+        kept = Postings(t, n_buckets, words)
         for part in chunks(batches):
-            row, place, ids, n, tokens = compared(part, least, rank)
-            held.append(postings(t, ids, n, tokens, part.column(0).to_numpy()[row], place, n_buckets, words))
-            size += len(held[-1][0])
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
+            row, place, ids, n, tokens = compared(part, least, ranks)
+            kept.add(ids, n, tokens, part.column(0).to_numpy()[row], place)
+            if kept.size >= FLUSH:
+                yield kept.flush()
+        if kept.size:
+            yield kept.flush()
 
     return source.mapInArrow(post, "bucket long, postings binary")
 
 
-def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = MIN_TOKENS, heavy: int | None = None, part: int | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = MIN_TOKENS, **limits) -> DataFrame:
     """(doc_id, places): the 0-based places of the lines that go, of each document that loses any.
 
     Lines of fewer than ``min_tokens`` different words stay.  Words are compared by 48-bit
@@ -461,30 +443,33 @@ def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: in
             k = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), pa.array(place), pa.array(ids), pa.array(fingerprints(mix(tokens), n)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if counts.any():
-            blobs = pa.array([x.tobytes() for x in np.split(counts, PIECES)], pa.binary())
-            none, task = pa.nulls(PIECES, pa.int64()), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(np.full(PIECES, task, np.int32)), pa.array(np.arange(PIECES, dtype=np.int32)), blobs], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64())] * 4 + pieces(counts), names)
 
     written = materialize(source.mapInArrow(outline, "doc_id long, place long, id long, check long, task int, piece int, bytes binary"), "lines")
-    counts = np.zeros((PIECES, CELLS // PIECES), np.int64)
-    for piece, held in _summed(written.where("piece is not null").select("task", "piece", "bytes"), lambda parts: sum(np.frombuffer(x, np.int64) for x in parts).tobytes()):
-        counts[piece] = np.frombuffer(held, np.int64)
+    counts = summed(written.where("piece is not null").select("task", "piece", "bytes"), np.int64, sum)
+    counts = np.zeros(CELLS, np.int64) if counts is None else counts
+    cell = np.argsort(counts, kind="stable").astype(np.uint64)
     rank = np.empty(CELLS, np.uint64)
-    rank[np.argsort(counts.ravel(), kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    rank[cell.astype(np.int64)] = np.arange(CELLS, dtype=np.uint64)
+    ranks = rank, cell
     lines = written.where("piece is null").select("doc_id", "place", "id", "check")
 
     # a set of n words has no match but its equals unless n / (n + 1) reaches the threshold
     least = max(min_tokens, -(-t.num // max(1, t.den - t.num)))
-    star = materialize(_candidates(t, _posted(source, t, least, rank), "met", None, heavy, part), "star")
+    found = _candidates(t, _posted(source, t, least, ranks), "met", **limits)
+    likest = F.min(F.struct("unlike", "x", "x_doc", "x_place")).alias("b")
+    star = found.groupBy("y").agg(*[F.min(c).alias(c) for c in ("y_doc", "y_place")], likest, F.max("more").alias("more"), F.min("x").alias("x1"), F.max("x").alias("x2"))
+    star = materialize(star.select("y", "y_doc", "y_place", *[F.col(f"b.{c}").alias(c) for c in ("x", "x_doc", "x_place")], (F.col("more") | (F.col("x1") != F.col("x2"))).alias("more")), "star")
     hit = materialize(_verified(star, source, t, min_tokens), "hit")
 
-    # the lines whose earliest candidates all failed are searched again, by the words under which they had others
-    left = materialize(star.join(hit.withColumnRenamed("id", "y"), "y", "left_anti").where("more").select("y", "words"), "left")
+    # the lines whose candidate failed and that had others are searched again, by the words under which they had any
+    left = materialize(star.where("more").join(hit.withColumnRenamed("id", "y"), "y", "left_anti").select("y"), "left")
     again = None
     if not left.isEmpty():
-        words = _filter(left.select(F.explode("words").alias("word")).distinct())
-        asked = _filter(left.select("y").distinct())
-        rest = _candidates(t, _posted(source, t, least, rank, words), "met", asked, heavy, part)
+        asked = filter_of(left)
+        words = filter_of(found.join(left, "y", "left_semi").select("word").distinct())
+        rest = _candidates(t, _posted(source, t, least, ranks, words), "met", asked, **limits)
+        rest = rest.join(left, "y", "left_semi").groupBy("y", "x").agg(*[F.min(c).alias(c) for c in ("y_doc", "y_place", "x_doc", "x_place")])
         rest = materialize(rest.join(star.select("y", "x"), ["y", "x"], "left_anti"), "rest")
         again = materialize(_verified(rest, source, t, min_tokens), "hit")
 
@@ -521,7 +506,8 @@ def dedup(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = 1
         return pd.Series(out, dtype=object)
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    d = docs.drop("n_lines", "n_removed").join(gone, key == F.col("_key"), "left")
+    # most documents lose lines, so both sides are dealt out at every size
+    d = docs.drop("n_lines", "n_removed").join(gone.hint("merge"), key == F.col("_key"), "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     n_removed = F.when(F.col("_key").isNull() | F.col("text").isNull(), 0).otherwise(F.size("_places")).cast("long")
     d = d.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": kept(F.col("text").cast("string"), "_places")})
