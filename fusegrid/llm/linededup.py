@@ -45,8 +45,10 @@ BYTES = TOKEN_BITS // 8
 FLUSH, HEAVY, PART = 1 << 20, 1 << 30, 1 << 15
 #: Pairs that are worked on at once; postings of a large group, and the earliest of them that are tried first there.
 STEP, LARGE, FIRST = 1 << 21, 64, 4
-#: The columns of a posting.
-POSTING = {"key": np.uint32, "n": np.int32, "at": np.int32, "place": np.int32, "doc": np.int64, "id": np.int64, "p": np.uint64, "q": np.uint64}
+#: The columns of a posting, but for its sketches: 128 parities each, as two numbers.
+POSTING = {"key": np.uint32, "n": np.int32, "at": np.int32, "place": np.int32, "doc": np.int64, "id": np.int64}
+#: Sketches of a posting in the first search, and in the second, where few lines would else have many candidates each.
+SKETCHES, MORE_SKETCHES = 1, 3
 FOUND = "y long, y_doc long, y_place long, x long, x_doc long, x_place long, unlike float, more boolean, word long, part int, parts int, postings binary"
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
@@ -95,16 +97,20 @@ def prefix_sizes(t: Threshold, n: np.ndarray) -> np.ndarray:
     return n - -(-t.num * n // t.den) + 1
 
 
-def parities(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parities(tokens: np.ndarray, n: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """128 parities of each (non-empty) set's tokens, as two numbers: sets that differ in d tokens differ in d parities at most."""
     if not len(n):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    cell = mix(tokens) >> np.uint64(57)
+    cell = mix(tokens ^ np.uint64(salt * 0x632BE59BD9B4E019)) >> np.uint64(57)
     bit = np.uint64(1) << (cell & np.uint64(63))
     low = cell < 64
     return tuple(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), np.cumsum(n) - n) for half in (low, ~low))
 
 
+def layout(sketches: int) -> dict[str, type]:
+    return POSTING | {f"{c}{k}": np.uint64 for k in range(sketches) for c in "pq"}
+
+
 Columns = dict[str, np.ndarray]
 
 
@@ -113,6 +119,7 @@ class Postings:
 
     def __init__(self, t: Threshold, n_buckets: int, words: np.ndarray | None = None):
         self.t, self.n_buckets, self.words, self.size = t, n_buckets, words, 0
+        self.sketches = SKETCHES if words is None else MORE_SKETCHES
         self.lines: list[Columns] = []
         self.posted: list[Columns] = []
 
@@ -128,8 +135,8 @@ class Postings:
             ok = held(self.words, bucket << 32 | key)
             post, bucket, key = post[ok], bucket[ok], key[ok]
         first = sum(len(x["id"]) for x in self.lines)
-        p, q = parities(tokens, n)
-        self.lines.append({"n": n, "place": place, "doc": doc, "id": ids, "p": p, "q": q})
+        sketches = {f"{c}{k}": x for k in range(self.sketches) for c, x in zip("pq", parities(tokens, n, k), strict=True)}
+        self.lines.append({"n": n, "place": place, "doc": doc, "id": ids} | sketches)
         self.posted.append({"bucket": bucket, "key": key, "at": at[post], "line": first + row[post]})
         self.size += len(post)
 
@@ -144,7 +151,7 @@ class Postings:
         bucket = posted["bucket"]
         posted = _taken(posted, np.argsort(bucket.astype(np.uint16) if self.n_buckets < 1 << 16 else bucket, kind="stable"))
         c = {"key": posted["key"], "at": posted["at"]} | _taken(lines, posted["line"])
-        c = {k: c[k].astype(d, copy=False) for k, d in POSTING.items()}
+        c = {k: c[k].astype(d, copy=False) for k, d in layout(self.sketches).items()}
         ends = np.concatenate(([0], np.cumsum(np.bincount(posted["bucket"], minlength=self.n_buckets))))
         used = np.flatnonzero(np.diff(ends))
         blobs = [_packed(_taken(c, slice(ends[k], ends[k + 1]))) for k in used]
@@ -156,39 +163,42 @@ def _taken(c: Columns, rows) -> Columns:
     return {k: v[rows] for k, v in c.items()}
 
 
-def survive(t: Threshold, x: Columns, a: np.ndarray, b: np.ndarray, y: Columns | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs that pass, how unlike they are): the parity, positional and length filters on rows a of x and b of y, all of one word.
+def survive(t: Threshold, x: Columns, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs that pass, how unlike they are): the parity, positional and length filters on rows a and b of x, all of one word.
 
     The sets may differ in (1-t)/(1+t) of n1+n2 words, and in no fewer than their parities do.  With the common word at
     i and j, the overlap is at most min(i, j) + 1 + min(n1-i-1, n2-j-1); it must be t/(1+t) of n1+n2.
     """
-    y, whole = x if y is None else y, t.num + t.den
-    total = x["n"][a] + y["n"][b]
-    far = np.bitwise_count(x["p"][a] ^ y["p"][b]).astype(np.int32)
-    ok = np.flatnonzero(far * whole <= (t.den - t.num) * total)
-    a, b, total, far = a[ok], b[ok], total[ok], far[ok]
-    far += np.bitwise_count(x["q"][a] ^ y["q"][b])
-    n1, n2, i, j = x["n"][a], y["n"][b], x["at"][a], y["at"][b]
-    fine = far * whole <= (t.den - t.num) * total
-    fine &= t.sizes_fit(n1, n2)
-    fine &= (np.minimum(i, j) + 1 + np.minimum(n1 - i - 1, n2 - j - 1)) * whole >= t.num * total
-    return ok[fine], far[fine] / total[fine]
+    whole, least, most = t.num + t.den, t.num, t.den - t.num
+    total, ok, unlike = x["n"][a] + x["n"][b], np.arange(len(a)), np.zeros(len(a), np.int32)
+    for k in range((len(x) - len(POSTING)) // 2):
+        far = np.bitwise_count(x[f"p{k}"][a] ^ x[f"p{k}"][b]).astype(np.int32)
+        near = np.flatnonzero(far * whole <= most * total)
+        a, b, total, ok, far, unlike = a[near], b[near], total[near], ok[near], far[near], unlike[near]
+        far += np.bitwise_count(x[f"q{k}"][a] ^ x[f"q{k}"][b])
+        near = np.flatnonzero(far * whole <= most * total)
+        a, b, total, ok, unlike = a[near], b[near], total[near], ok[near], np.maximum(unlike[near], far[near])
+    n1, n2, i, j = x["n"][a], x["n"][b], x["at"][a], x["at"][b]
+    fine = t.sizes_fit(n1, n2) & (x["id"][a] != x["id"][b])
+    fine &= (np.minimum(i, j) + 1 + np.minimum(n1 - i - 1, n2 - j - 1)) * whole >= least * total
+    return ok[fine], unlike[fine] / total[fine]
 
 
 def _packed(c: Columns) -> bytes:
     """Postings as planes of bytes, compressed: the many that are 0 or repeat take no space."""
-    planes = [np.ascontiguousarray(c[k].astype(d, copy=False).view(np.uint8).reshape(-1, np.dtype(d).itemsize).T) for k, d in POSTING.items()]
-    return len(c["key"]).to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+    planes = [np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T) for v in c.values()]
+    header = len(c["key"]).to_bytes(8, "little") + bytes([(len(c) - len(POSTING)) // 2])
+    return header + pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(blobs: list[bytes]) -> Columns:
-    width, parts = sum(np.dtype(d).itemsize for d in POSTING.values()), []
+    kinds = layout(blobs[0][8])
+    width, parts = sum(np.dtype(d).itemsize for d in kinds.values()), []
     for x in blobs:
         n = int.from_bytes(x[:8], "little")
-        parts.append(np.frombuffer(pa.decompress(x[8:], n * width, codec="zstd"), np.uint8).reshape(width, n))
-    planes = np.concatenate(parts, 1) if parts else np.zeros((width, 0), np.uint8)
-    out, at = {}, 0
-    for k, d in POSTING.items():
+        parts.append(np.frombuffer(pa.decompress(x[9:], n * width, codec="zstd"), np.uint8).reshape(width, n))
+    planes, out, at = np.concatenate(parts, 1), {}, 0
+    for k, d in kinds.items():
         size = np.dtype(d).itemsize
         out[k] = np.ascontiguousarray(planes[at : at + size].T).reshape(-1).view(d)
         at += size
@@ -216,7 +226,8 @@ class _Group:
         c = _taken(c, (order[many] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         age = _ages(c)
         # postings of one word and line by different tasks: the earliest stays
-        order = np.lexsort((age, c["id"], c["key"]))
+        order = np.argsort(age, kind="stable")
+        order = order[np.argsort((c["key"].astype(np.uint64) << np.uint64(32) | c["id"].view(np.uint64) & np.uint64(0xFFFFFFFF))[order], kind="stable")]
         key, ids = c["key"][order], c["id"][order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
@@ -228,10 +239,12 @@ class _Group:
         self.sizes = np.diff(np.append(self.starts, len(key)))
         self.group = np.repeat(np.arange(len(self.starts)), self.sizes)
 
-    def earliest(self, k: int) -> np.ndarray:
-        """(k, groups): the k earliest lines of each group, by age; -1 where there are fewer."""
-        order = np.lexsort((self.age, self.group))
-        place = np.arange(len(order)) - self.starts[self.group[order]]
+    def earliest(self, k: int, among: np.ndarray) -> np.ndarray:
+        """(k, groups): the k earliest lines of each group of which all rows are in ``among``, by age; -1 where there are fewer."""
+        order = among[np.lexsort((self.age[among], self.group[among]))]
+        group = self.group[order]
+        fresh = np.concatenate((np.ones(min(1, len(order)), bool), group[1:] != group[:-1]))
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
         out = np.full((k, len(self.starts)), -1)
         chosen = place < k
         out[place[chosen], self.group[order][chosen]] = order[chosen]
@@ -302,7 +315,7 @@ def _meet(t: Threshold, bucket: int, c: Columns, asked: np.ndarray | None, heavy
     best = _Best(len(word))
     if asked is None:
         big = np.flatnonzero(g.sizes[g.group] > large)
-        for pivots in g.earliest(FIRST):
+        for pivots in g.earliest(FIRST, big):
             x = pivots[g.group[big]]
             y, x = big[x >= 0], x[x >= 0]
             y, x = (v[g.age[x] < g.age[y]] for v in (y, x))
@@ -343,7 +356,7 @@ def _meet(t: Threshold, bucket: int, c: Columns, asked: np.ndarray | None, heavy
 
 def _cross(t: Threshold, one: Columns, other: Columns, word: int, everything: bool) -> pa.Table:
     """What lines of one part of a word, as far as they want candidates, find in another part."""
-    both = {k: np.concatenate((one[k], other[k])) for k in POSTING}
+    both = {k: np.concatenate((one[k], other[k])) for k in one}
     age, n = _ages(both), both["n"].astype(np.int64)
     y = np.flatnonzero(one["key"] == 1)
     x = len(one["key"]) + np.argsort(other["n"], kind="stable")

@@ -218,6 +218,27 @@ def test_line_dedup_of_awkward_rows(spark):
     assert linededup.dedup(d.limit(0)).count() == 0
 
 
+def test_line_dedup_with_crowded_words(spark):
+    """The same lines go when large groups are settled by their earliest lines, and crowded words by pairs of parts."""
+    rng, rows = random.Random(3), []
+    base = [f"w{k}" for k in range(30)]
+    for i in range(120):
+        w = base.copy()
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(30)] = f"z{rng.randrange(40)}"
+        rows.append((i // 2, " ".join(w) + "\n" + " ".join(f"a{rng.randrange(9)}" for _ in range(rng.randint(4, 12)))))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows, 1)
+    for limits in ({"large": 2}, {"heavy": 1, "part": 7}, {"large": 3, "heavy": 50, "part": 11}):
+        assert {r.doc_id: list(r.places) for r in linededup.duplicates(d, min_tokens=1, **limits).collect()} == want, limits
+
+
+def test_line_dedup_of_a_long_text_that_loses_many_lines(spark):
+    text = "\n".join(f"line {i % 1000}" for i in range(60000))
+    got = linededup.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_lines == 60000 and got.n_removed == 59000 and got.text == "\n".join(f"line {i}" for i in range(1000))
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["menu\nshare this page\na b c d\n\n}", "share this page\nmenu\nnew line\na b c d e\n", "a a b\nb a\nx y z\nx y z w\n d c b a ", "x y z w v\nmenu menu\n}\nnew"]
     rows = list(enumerate(texts))
@@ -250,7 +271,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -336,6 +356,12 @@ def test_permutation_is_one(spark):
         assert sorted(r.p for r in p) == list(range(n))
 
 
+def test_mixed_documents_do_not_depend_on_partitions(spark):
+    d = documents(spark).select(corpus_pipeline.COLUMNS)
+    rows = lambda x: sorted(map(tuple, mixing.mixed_documents(x).collect()), key=str)
+    assert rows(d.repartition(3)) == rows(d.repartition(7, "text"))
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     d = documents(spark)
     out = mixing.mixed_documents(d)
@@ -373,6 +399,12 @@ def test_chat_of_awkward_rows(spark):
         chat.parse("### user: no end")
 
 
+def test_chat_keeps_ids_beside_nulls(spark):
+    rows = [(2**60 + 1, 0, "user", "a"), (2**60 + 2, 0, "user", "b"), (None, 0, "user", "c")]
+    got = {r.conv_id: r.n_turns for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1))).collect()}
+    assert got == {2**60 + 1: 1, 2**60 + 2: 1, None: 1}
+
+
 def test_cascade_is_exact():
     rng = np.random.default_rng(4)
     h = rng.integers(-(2**63), 2**63, (2, 30000))
@@ -440,6 +472,41 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert len(keep) == length(a, b) and all(x in it for x in keep)
 
 
+def test_shared_lines_of_long_pages():
+    rng = random.Random(1)
+    a = [f"line {rng.randrange(10**9)}" for _ in range(100_000)]
+    b = [x for i, x in enumerate(a) if i % 3] + ["other"] * 50
+    assert sorted(html.shared(a, b)) == [i for i in range(len(a)) if i % 3]
+    assert len(html.shared(["x"] * 100_000, ["x", "y"] * 300)) == 300
+
+
+def test_main_text_does_not_depend_on_partitions(spark):
+    rows = [(2**60 + i, f"http://h{i % 3}/d{i % 5}/{i}", f"<nav>menu</nav><p>top of h{i % 3}</p><p>own {i}</p><p>under d{i % 5}</p>" + ("<article><p>art</p></article>" if i % 4 == 0 else "")) for i in range(60)]
+    rows += [(None, "http://h0/d0/0", "<p>top of h0</p><p>no id</p>"), (None, None, None), (7, "x", "<p>alone</p>")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (1, 6, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            seen.append(sorted((str(r.page_id), str(r.url), r.text) for r in html.extract(d.repartition(n)).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+    got = {i: t for i, _, t in seen[0]}
+    assert got[str(2**60)] == "art" and got[str(2**60 + 1)] in ("own 1", "own 1\nunder d1") and got["7"] == "alone"
+    # by brute force: the neighbour in order of (path, id) whose path shares the longer prefix
+    bare = sorted((u.split("/", 3)[2], "/" + u.split("/", 3)[3], i, h) for i, u, h in rows if u and "://" in u)
+    for k, (host, path, i, h) in enumerate(bare):
+        page = html.lines_of(h)
+        if i is None or any(x[1] for x in page):
+            continue
+        ends = [bare[j] for j in (k - 1, k + 1) if 0 <= j < len(bare) and bare[j][0] == host and bare[j][3] != h]
+        prefix = lambda x: len(re.match(r"[^|]*", "".join(c if c == e else "|" for c, e in zip(x[1], path)))[0])  # noqa: B023, E731
+        near = max(ends, key=lambda x: (prefix(x), -ends.index(x)))
+        if near[2] is not None and all(e[2] is not None for e in ends):
+            assert got[str(i)] == html.main_text(page, html.outside(html.lines_of(near[3])))
+
+
 def test_pages_of_articles_keep_every_paragraph(spark):
     want = {}
     for r in documents(spark, "pages").collect():
@@ -481,6 +548,41 @@ def test_ann_of_awkward_rows(spark):
     assert ann.search(d.limit(0), d).count() == 0 and ann.search(d, d.limit(0)).count() == 0
 
 
+def test_ann_of_repeated_queries(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = sorted(map(tuple, ann.search(d, d.where("vec_id % 100 = 0")).collect()))
+    twice = d.where("vec_id % 100 = 0")
+    assert sorted(map(tuple, ann.search(d, twice.union(twice)).collect())) == once and len(once) == 30
+    more = spark.createDataFrame([(0, rng.normal(size=8).tolist())], d.schema)
+    got = {r.vec_id: r.score for r in ann.search(d, d.where("vec_id = 0").union(more)).collect()}
+    v = {i: np.array(x) for i, x in rows}
+    sides = [v[0], np.array(more.first().embedding)]
+    want = sorted((min(float(np.sqrt(((x - s) ** 2).sum())) for s in sides), i) for i, x in v.items() if i)[:10]
+    assert sorted(got) == sorted(i for _, i in want) and all(got[i] == pytest.approx(s) for s, i in want)
+
+
+def test_ann_recall_over_several_chunks(spark):
+    """20,000 evenly spread rows, the hardest case, in chunks of 4,096."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    pivots, chunk, found = x[rng.choice(len(x), ann.PIVOTS, replace=False)], 4096, {}
+    queries = np.arange(0, len(x), 100)
+    for a in range(0, len(x), chunk):
+        ids = np.arange(a, min(a + chunk, len(x)))
+        files = np.ascontiguousarray(ann.places(x[ids], pivots).T)
+        for q, r, s in zip(*ann.search_chunk(files, ids, x[ids], queries, x[queries], pivots, 10), strict=True):
+            found.setdefault(q, []).append((s, ids[r]))
+    hits = 0
+    for k, q in enumerate(queries):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({i for _, i in sorted(found[k])[:10]} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(queries)
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(2)
     k = langid.HIDDEN
@@ -528,6 +630,14 @@ def test_language_does_not_depend_on_the_batch():
     assert p[0].argmax() == 0 and p[5].argmax() == 1 and p[5].sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_numbers_are_no_letters(spark):
+    rows = [(i, t) for i, t in enumerate(["\u00bd", "\u00b2", "\u2163", "\u2460", "12 ?!", "a", "\u00e9", "\u6f22"])]
+    d = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    model = langid.fit(documents(spark).select("doc_id", "text", "lang"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, model).collect()}
+    assert [got[i] == "und" for i, _ in rows] == [True] * 5 + [False] * 3
+
+
 def test_language_of_awkward_rows(spark):
     rows = langid.identify(awkward(spark)).collect()
     by = {r.doc_id: r for r in rows}
