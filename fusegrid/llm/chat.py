@@ -19,7 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +81,16 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     raise Conflict(f"no level makes the turn of {role!r} readable")
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as Arrow, in which integers beside nulls keep all their bits."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
 def _sorted(turns: DataFrame) -> DataFrame:
-    t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
@@ -96,28 +104,26 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     Turns stream through a task in order, so a conversation of any length takes little memory.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index, length, begun = None, 0, 0, False
         for b in batches:
             out = []
-            for conv, role, text in zip(b.conv_id, b.role, b.text, strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if not begun or conv != now:
                     now, index, length, begun = conv, 0, 0, True
                 formatted, start, n = render(role, text)
                 masked = role == loss_role
                 out.append((conv, index, formatted, length + start if masked else None, n if masked else 0))
                 index, length = index + 1, length + len(formatted)
-            d = pd.DataFrame(out, columns=["conv_id", "turn_index", "formatted", "mask_start", "mask_length"])
-            yield d.astype({"conv_id": "Int64", "mask_start": "Int64"})
+            yield _batch(out, FORMATTED)
 
-    return _sorted(turns).mapInPandas(run, FORMATTED)
+    return _sorted(turns).mapInArrow(run, FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the parser and the loss mask recover from the rows of ``format_turns``, which come in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
 
         def row():
@@ -125,8 +131,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for conv, text, start, n in zip(b.conv_id, b.formatted, b.mask_start, b.mask_length, strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, text, start, n in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "mask_start", "mask_length")), strict=True):
                 if state is None or conv != now:
                     if state is not None:
                         out.append(row())
@@ -135,16 +140,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state["n"] += 1
                     state["turns"].update(f"{role}\n{body}\n".encode())
                 if n:
-                    at = int(start) - state["length"]
-                    under = unescape(text[at : at + int(n)])
+                    at = start - state["length"]
+                    under = unescape(text[at : at + n])
                     state["chars"] += len(under)
                     state["loss"].update(under.encode())
                 state["length"] += len(text)
-            yield _frame(out)
+            yield _batch(out, DIGEST)
         if state is not None:
-            yield _frame([row()])
-
-    def _frame(out):
-        return pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield _batch([row()], DIGEST)
 
-    return formatted.mapInPandas(run, DIGEST)
+    return formatted.mapInArrow(run, DIGEST)

@@ -9,13 +9,14 @@ one position at a time together.
 
 from __future__ import annotations
 
-import re
+
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,13 +172,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Model | None:
     d = d.withColumn("h", F.xxhash64("doc_id"))
     chosen = d.groupBy("lang", F.pmod("h", F.lit(sample)).alias("b")).agg(F.min("h").alias("h")).select("lang", "h")
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
-    got = d.join(F.broadcast(chosen), ["lang", "h"]).where("text is not null").select("lang", "h", F.substring("text", place.cast("int"), F.lit(WINDOW)).alias("w")).dropDuplicates(["lang", "h"]).toPandas()
-    got = got.sort_values(["lang", "h"])
+    got = d.join(F.broadcast(chosen), ["lang", "h"]).where("text is not null").select("lang", "h", F.substring("text", place.cast("int"), F.lit(WINDOW)).alias("w"))
+    got = got.groupBy("lang", "h").agg(F.min("w").alias("w")).toPandas().sort_values(["lang", "h"])
     got = got[[bool(_LETTER.search(x)) for x in got.w]]
     return train([x.encode() for x in got.w], list(got.lang), seed) if len(got) else None
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -76,9 +76,9 @@ def _streams(sized: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame
     """Documents with their stream and first word there; streams with their first block number."""
     per = F.greatest(F.lit(float(STREAM_DOCS)), F.sqrt(F.col("n_docs").cast("double")))
     d = sized.join(sources.select("sid", "source", F.ceil(F.col("n_docs") / per).alias("streams")).alias("s"), sized["source"].eqNullSafe(F.col("s.source")))
-    d = d.select("uid", "sid", sized["size"], _below(F.col("streams"), F.col("doc_id"), F.col("size"), "stream").alias("stream"), F.xxhash64("doc_id", "size").alias("h"), "doc_id")
-    w = W.partitionBy("sid", "stream").orderBy("h", "doc_id", "size", "uid")
-    d = d.withColumn("first", F.sum("size").over(w) - F.col("size")).drop("h", "doc_id")
+    d = d.select("uid", "sid", sized["size"], _below(F.col("streams"), F.col("draw"), F.col("size"), "stream").alias("stream"), F.xxhash64("draw", "size").alias("h"), "draw")
+    w = W.partitionBy("sid", "stream").orderBy("h", "draw", "size", "uid")
+    d = d.withColumn("first", F.sum("size").over(w) - F.col("size")).drop("h", "draw")
     s = d.groupBy("sid", "stream").agg(F.ceil(F.sum("size") / BLOCK).alias("n"))
     return d, s.withColumn("base", F.sum("n").over(W.partitionBy("sid").orderBy("stream")) - F.col("n"))
 
@@ -105,16 +105,16 @@ def slots_table(quotas: DataFrame, seed: int) -> DataFrame:
     return slots.select("shard", "sid", permuted(F.pmod("k", "blocks"), F.col("blocks"), F.col("sid"), seed).alias("block"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, spans: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, spans: bool = False, draw_column: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words in the mix, repeats counted).
 
     ``spans`` also returns uid-ordered ``spans``: structs (first word, words, times) of the
     document's blocks.  Null texts have size 0 and are never taken; null sources are
     one source; rows that repeat an id are separate documents; an empty table gives an
     empty result; columns with other names are not read.  The same rows give the same mix
-    in every run: order and draws come from hashes of ids and of the seed.
+    in every run: order and draws come from hashes of ids (or of ``draw_column``) and of the seed.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), size_of(F.col(text_column)).alias("size"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(draw_column or id_column).alias("draw"), F.col(source_column).cast("string").alias("source"), size_of(F.col(text_column)).alias("size"))
     sized = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "sizes")
     sources = materialize(sources_table(sized, weights, share, most), "sources")
     streams, numbered = _streams(sized, sources)
@@ -142,9 +142,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document is there once for each time it is used; the k-th copy holds the words of
     all its blocks that are used k times or more, with the white space after each word.
     """
-    held = materialize(docs.select("doc_id", "text", "lang", "source", "n_chars", F.monotonically_increasing_id().alias("_row")), "mixdocs")
-    # the row number stands in for the id, so that rows with equal ids stay apart
-    plan = mix(held, id_column="_row", spans=True, **options).where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "spans")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    held = materialize(docs.select(*columns, F.xxhash64(*columns).alias("_draw"), F.monotonically_increasing_id().alias("_row")), "mixdocs")
+    # the row number keeps rows with equal ids apart; draws go by the rows' contents, so they do not depend on the partitions
+    plan = mix(held, id_column="_row", draw_column="_draw", spans=True, **options).where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "spans")
     d = held.join(plan, "_row")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.col("spans.times")))))
     d = d.withColumn("part", F.filter("spans", lambda s: s["times"] >= F.col("copy")))

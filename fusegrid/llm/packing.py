@@ -36,7 +36,8 @@ def tokenizer(json_path: str | None, ranks_path: str | None):
 
     The same vocabulary is also there as ranks; its faster encoder gives the same
     ids and takes the texts whose characters are all Latin letters, ASCII or common
-    punctuation, where both split words alike.  All other texts go to the library itself.
+    punctuation, where both split words alike, and that name none of the vocabulary's
+    special tokens.  All other texts go to the library itself.
     """
     import public_tokenizers as P
     import regex
@@ -44,11 +45,11 @@ def tokenizer(json_path: str | None, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path or P.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     with open(ranks_path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    odd = regex.compile(r"[^\n\t\x20-\x7e¡-¬®-ɏ]")
+    special = [regex.escape(x.content) for x in slow.get_added_tokens_decoder().values()]
+    odd = regex.compile("|".join([r"[^\n\t\x20-\x7e¡-¬®-ɏ]", *special]))
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [slow.encode(t, add_special_tokens=False).ids if odd.search(t) else fast.encode_ordinary(t) for t in texts]
