@@ -1,8 +1,11 @@
 """State machines over rows of a scene: a batch fold, or a streaming query with the same steps.
 
-The key is the unit of parallelism.  A step gets a key's rows of one batch in order and
-the state so far, so a batch fold over all rows and a stream over any cut of them give
-the same rows; nothing already emitted is written again.
+The key is the unit of parallelism.  A step gets whole units (frames, or times) of a key in
+order and the state so far.  A stream holds the rows of a key's latest unit until a later one
+begins, as the next batch may bring more of it; a row of the unit END ends what is held.
+So a batch fold and a stream over any cut of the rows, inside units too, give the
+same rows; nothing already emitted is written again, and a row of a unit that has been
+emitted raises.
 """
 
 from __future__ import annotations
@@ -16,25 +19,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fusegrid.streaming import states as S
+from fusegrid.streaming.identity import IdentityManager
+from fusegrid.streaming.recovery import Recovery
 
 Step = Callable[[object, pd.DataFrame], pd.DataFrame]
+#: The unit of a row that only says that its key's rows have ended.
+END = (1 << 63) - 1
 
 
 def fold(rows: DataFrame, key: str, order: Sequence[str], schema: str, new: Callable[[], object], step: Step) -> DataFrame:
     """The step over each key's rows; batch or streaming by what ``rows`` is."""
 
+    unit = order[0]
+
     def whole(part: pd.DataFrame) -> pd.DataFrame:
-        return step(new(), part.sort_values(list(order), kind="stable"))
+        return step(new(), part[part[unit] < END].sort_values(list(order), kind="stable"))
 
     if not rows.isStreaming:
         return rows.groupBy(key).applyInPandas(whole, schema)
 
     def partly(_, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(held.get[0]) if held.exists else new()
-        part = pd.concat(list(parts), ignore_index=True).sort_values(list(order), kind="stable")
-        out = step(state, part)
-        held.update((pickle.dumps(state),))
-        yield out
+        state, waiting, done = pickle.loads(held.get[0]) if held.exists else (new(), None, None)
+        part = pd.concat([p for p in (waiting, *parts) if p is not None], ignore_index=True)
+        real = part[part[unit] < END].sort_values(list(order), kind="stable")
+        if done is not None and len(real) and real[unit].iloc[0] <= done:
+            raise ValueError(f"a row of {unit} {real[unit].iloc[0]} came after it was emitted")
+        ready = real if len(real) < len(part) else real[real[unit] < real[unit].iloc[-1]]
+        out = step(state, ready) if len(ready) else None
+        done = ready[unit].iloc[-1] if len(ready) else done
+        held.update((pickle.dumps((state, real.iloc[len(ready) :], done)),))
+        if out is not None:
+            yield out
 
     return rows.groupBy(key).applyInPandasWithState(partly, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
@@ -135,7 +150,7 @@ def motion(events: DataFrame) -> DataFrame:
 def recovery(rows: DataFrame, seeds_allowed: bool = False, limits: tuple | None = None) -> DataFrame:
     """Decisions on candidates (scene, frame, track_id, normal, x, y, z, n, score, inside, plausible, competition, ambiguous)."""
 
-    def step(s: S.Recovery, part: pd.DataFrame) -> pd.DataFrame:
+    def step(s: Recovery, part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in part.itertuples():
             if r.normal:
@@ -145,14 +160,14 @@ def recovery(rows: DataFrame, seeds_allowed: bool = False, limits: tuple | None
             out.append((r.scene, r.frame, r.track_id, *s.consider(r.track_id, c, int(r.frame))))
         return pd.DataFrame(out, columns=["scene", "frame", "track_id", "accepted", "reason"])
 
-    return fold(rows, "scene", ["frame", "track_id"], "scene long, frame long, track_id string, accepted boolean, reason string", lambda: S.Recovery(seeds_allowed, limits), step)
+    return fold(rows, "scene", ["frame", "track_id"], "scene long, frame long, track_id string, accepted boolean, reason string", lambda: Recovery(seeds_allowed, limits), step)
 
 
 def identities(rows: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
     """Persistent identities of tracks (scene, ts_ns, track_id, x, y, z, vector)."""
     known = {k: np.asarray(v, float) for k, v in prototypes.items()}
 
-    def step(m: S.IdentityManager, part: pd.DataFrame) -> pd.DataFrame:
+    def step(m: IdentityManager, part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for ns, f in part.groupby("ts_ns", sort=True):
             people = [{"track_id": r.track_id, "xyz": _xyz(r), "vector": r.vector} for r in f.itertuples()]
@@ -161,4 +176,4 @@ def identities(rows: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame
         return pd.DataFrame(out, columns=["scene", "ts_ns", "track_id", "identity", "identity_state", "identity_source"])
 
     schema = "scene long, ts_ns long, track_id string, identity string, identity_state string, identity_source string"
-    return fold(rows, "scene", ["ts_ns", "track_id"], schema, lambda: S.IdentityManager(known), step)
+    return fold(rows, "scene", ["ts_ns", "track_id"], schema, lambda: IdentityManager(known), step)

@@ -11,7 +11,9 @@ from fusegrid.plans import queries_state as Q
 from fusegrid.sources import relations as R
 from fusegrid.streaming import folds
 from fusegrid.streaming import queries as SQ
-from fusegrid.streaming.states import AnonymousTracker, IdentityManager, MotionBank, Recovery, ShortTermTracker, SlotSync
+from fusegrid.streaming.identity import IdentityManager
+from fusegrid.streaming.recovery import Recovery
+from fusegrid.streaming.states import AnonymousTracker, MotionBank, ShortTermTracker, SlotSync
 
 SF = "/root/testdata/sf0.001"
 E1, E2 = [1.0, 0.0], [0.0, 1.0]
@@ -162,11 +164,13 @@ def test_slot_sync_bounds():
     assert s.lidar(1, 200_000_000) is None and s.rgb(2, 230_000_000) is None and s.close() == 1
 
 
-def streamed(spark, rows, run, tmp_path, cuts, column):
-    """The same rows as files of successive cuts of ``column``, a file a batch, through the streaming fold."""
+def streamed(spark, rows, run, tmp_path, cuts):
+    """The same rows as files of parts of them, by conditions in order, a file a batch, through the streaming fold; then each scene's end."""
     folder = tmp_path / "in"
-    for i, (a, b) in enumerate(itertools.pairwise(cuts)):
-        rows.where((F.col(column) >= a) & (F.col(column) < b)).coalesce(1).write.mode("append").parquet(str(folder))
+    unit = next(c for c in ("frame", "arrival_ns", "ts_ns") if c in rows.columns)
+    last = rows.dropDuplicates(["scene"]).withColumn(unit, F.lit(folds.END))
+    for i, part in enumerate([*(rows.where(c) for c in cuts), last]):
+        part.coalesce(1).write.mode("append").parquet(str(folder))
         for f in folder.glob("part-*"):
             if not f.name.startswith("part-cut"):
                 f.rename(folder / f"part-cut{i:03d}.parquet")
@@ -175,25 +179,50 @@ def streamed(spark, rows, run, tmp_path, cuts, column):
 
 
 def same(a, b):
-    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    got = sorted(map(tuple, a.collect()), key=str)
+    assert got and got == sorted(map(tuple, b.collect()), key=str)
+
+
+#: two cuts between frames, and one inside frame 9
+CUTS = ["frame < 3", "frame between 3 and 8", "frame = 9 and det < 2", "frame = 9 and det >= 2 or frame > 9"]
 
 
 def test_tracks_by_stream_equal_batch(spark, tmp_path):
     rows = Q._scenes(spark, SF)
-    same(streamed(spark, rows, folds.track, tmp_path, [0, 3, 4, 9, 60], "frame"), folds.track(rows))
+    same(streamed(spark, rows, folds.track, tmp_path, CUTS), folds.track(rows))
+
+
+def test_anonymous_by_stream_equal_batch(spark, tmp_path):
+    rows = Q._scenes(spark, SF)
+    same(streamed(spark, rows, folds.anonymous, tmp_path, CUTS), folds.anonymous(rows))
 
 
 def test_sync_by_stream_equals_batch(spark, tmp_path):
     rows = Q.sync_events(spark, SF)
-    t = [r[0] for r in rows.selectExpr("percentile(arrival_ns, array(0, .3, .6))").collect()[0:1]][0]
-    cuts = [int(t[0]), int(t[1]), int(t[2]), 1 << 62]
+    a, b = rows.selectExpr("percentile(arrival_ns, array(.3, .6))").first()[0]
     run = lambda e: folds.slot_sync(e, 1_800_000_000)
-    same(streamed(spark, rows, run, tmp_path, cuts, "arrival_ns"), run(rows))
+    same(streamed(spark, rows, run, tmp_path, [f"arrival_ns < {int(a)}", f"arrival_ns >= {int(a)} and arrival_ns < {int(b)}", f"arrival_ns >= {int(b)}"]), run(rows))
+
+
+def test_recovery_by_stream_equals_batch(spark, tmp_path):
+    rows = Q._candidates(spark, SF)
+    same(streamed(spark, rows, folds.recovery, tmp_path, ["frame < 4", "frame = 4 and track_id < '2'", "frame = 4 and track_id >= '2' or frame > 4"]), folds.recovery(rows))
+
+
+def test_motion_by_stream_equals_batch(spark, tmp_path):
+    rows = Q._motions(spark, SF)
+    same(streamed(spark, rows, folds.motion, tmp_path, ["ts_ns < 500000000", "ts_ns = 500000000 and track_id < 'T0002'", "ts_ns = 500000000 and track_id >= 'T0002' or ts_ns > 500000000"]), folds.motion(rows))
+
+
+def test_identities_by_stream_equal_batch(spark, tmp_path):
+    rows, run = Q._people(spark, SF), lambda r: folds.identities(r, Q.KNOWN)
+    same(streamed(spark, rows, run, tmp_path, ["ts_ns < 900000001", "ts_ns = 900000001 and track_id < 'G02'", "ts_ns = 900000001 and track_id >= 'G02' or ts_ns > 900000001"]), run(rows))
 
 
-def test_recovery_and_anonymous_by_stream_equal_batch(spark, tmp_path):
+def test_late_rows_of_a_stream_raise(spark, tmp_path):
     rows = Q._scenes(spark, SF)
-    same(streamed(spark, rows, folds.anonymous, tmp_path, [0, 5, 60], "frame"), folds.anonymous(rows))
+    with pytest.raises(Exception, match="after it was emitted"):
+        streamed(spark, rows, folds.track, tmp_path, ["frame > 5", "frame <= 5"]).collect()
 
 
 def test_asof_stream_finds_the_latest_past(spark, tmp_path):
