@@ -132,3 +132,19 @@ def correspondence_cost(a, b) -> Column:
     (aw, ah), (bw, bh) = _sides(a), _sides(b)
     center = F.hypot(((a[0] + a[2]) - (b[0] + b[2])) / 2 / bw, ((a[1] + a[3]) - (b[1] + b[3])) / 2 / bh)
     return F.lit(1.0) - iou(a, b) + center * 0.55 + F.abs(F.ln(aw / bw)) * 0.2 + F.abs(F.ln(ah / bh)) * 0.2
+
+
+def quality_guard(in_box: Column, is_plausible: Column, score, limit: float = M.ASSOCIATION_DUMMY) -> Column:
+    return in_box & is_plausible & (_c(score) <= limit)
+
+
+def case_metrics(u, v, proxy, b) -> dict[str, Column]:
+    """How a target's proxy box and its centre lie beside a box."""
+    u, v = _c(u), _c(v)
+    (pw, ph), (w, h) = _sides(proxy), _sides(b)
+    center = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
+    border = (proxy[0] <= 0) | (proxy[1] <= 0) | (proxy[2] >= M.WIDTH - 1) | (proxy[3] >= M.HEIGHT - 1)
+    return {
+        "du": center[0] - u, "dv": center[1] - v, "width_ratio": pw / w, "height_ratio": ph / h, "iou": iou(proxy, b), "over_smaller": over_smaller(proxy, b),
+        "center_in_box": inside(u, v, b), "box_center_in_proxy": inside(*center, proxy), "proxy_at_border": border, "size": size_bin(b[3] - b[1]), "cost": correspondence_cost(proxy, b),
+    }

@@ -159,3 +159,26 @@ def causal_age_ms(rgb_ns, lidar_ns, slop_ms: float = M.SYNC_SLOP_MS) -> Column:
     """Age of the image support; raises for a future image or one past the window."""
     age = (_c(lidar_ns) - _c(rgb_ns)) / 1e6
     return F.when(_c(rgb_ns) > _c(lidar_ns), F.raise_error(F.lit("future RGB support is forbidden")).cast("double")).when(age > slop_ms, F.raise_error(F.lit("RGB support exceeds the synchronization window")).cast("double")).otherwise(age)
+
+
+def rotated(x, y, z, rotation: tuple[float, float, float], shift: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> tuple[Column, Column, Column]:
+    """A point turned by a rotation vector (axis times angle), then shifted."""
+    angle = float(np.linalg.norm(rotation))
+    axis = np.asarray(rotation) / angle if angle > 0 else np.zeros(3)
+    turn = np.eye(3)
+    if angle > 0:
+        k = np.array([[0, -axis[2], axis[1]], [axis[2], 0, -axis[0]], [-axis[1], axis[0], 0]])
+        turn = turn * np.cos(angle) + np.sin(angle) * k + (1 - np.cos(angle)) * np.outer(axis, axis)
+    return rigid(x, y, z, np.column_stack((turn, shift)))
+
+
+def age_state(age, limit: int) -> Column:
+    """within (the limit included), too_old or future."""
+    a = _c(age)
+    return F.when(a < 0, "future").when(a <= limit, "within").otherwise("too_old")
+
+
+def fresh(horizon, limit: int = M.FRESH_NS) -> Column:
+    """Whether a state is recent enough, the limit included; null where it lies ahead, as such rows are not reported."""
+    h = _c(horizon)
+    return F.when(h >= 0, h <= limit)

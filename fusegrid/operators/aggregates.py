@@ -139,3 +139,18 @@ def fingerprint(rows: DataFrame, order: Sequence[str], fields: Sequence[str], bl
     line = F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
     part = rows.groupBy(block).agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda s: s["_line"])), 256).alias("digest"))
     return part.agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(block, "digest"))), lambda s: s["digest"])), 256).alias("fingerprint"))
+
+
+def quantile_or_zero(x: str, p: float) -> Column:
+    """A quantile that leaves out nulls and NaN; 0 without any value."""
+    return F.coalesce(F.percentile(F.when(~F.isnan(x), F.col(x)), F.lit(p)), F.lit(0.0))
+
+
+def iqr(x: str) -> Column:
+    return quantile(x, 0.75) - quantile(x, 0.25)
+
+
+def flattened(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The plain columns, and the fields of the structs of ``names`` under their prefix; other structs and maps go."""
+    plain = [f.name for f in rows.schema if f.dataType.typeName() not in ("struct", "map", "array")]
+    return rows.select(*plain, *[F.col(f"{n}.{k}").alias(f"{n}_{k}") for n in names for k in rows.schema[n].dataType.names])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,29 +57,96 @@ def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[columns][order], columns[order]
 
 
+#: Matrices of up to so many rows (the shorter side) and columns are solved by trying all ways, many at once.
+FEW_ROWS, FEW_COLUMNS = 4, 5
+
+
+def solve_many(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matrix, row, column) of the optimum of each of the (count, rows, columns) matrices."""
+    count, n, m = costs.shape
+    if n > m:
+        k, c, r = solve_many(costs.transpose(0, 2, 1))
+        return k, r, c
+    if not np.isfinite(costs).all():
+        raise ValueError("costs must be finite")
+    if n <= FEW_ROWS and m <= FEW_COLUMNS:
+        ways = np.array(list(itertools.permutations(range(m), n)), int).reshape(-1, n)
+        total = costs[:, np.arange(n), ways].sum(2)
+        columns = ways[total.argmin(1)]
+        return np.repeat(np.arange(count), n), np.tile(np.arange(n), count), columns.ravel()
+    done = [solve(c) for c in costs]
+    return np.repeat(np.arange(count), [len(r) for r, _ in done]), np.concatenate([r for r, _ in done]), np.concatenate([c for _, c in done])
+
+
+def _starts(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """The first row of each run of equal keys; nulls are equal to one another."""
+    fresh = np.zeros(t.num_rows, bool)
+    fresh[:1] = True
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        a, b = c.slice(0, max(0, len(c) - 1)), c.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+        fresh[1:] |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(fresh)
+
+
+def _matched(t: pa.Table, keys: Sequence[str], left: str, right: str, cost: str, fill: float | None, accept: float) -> pa.Table:
+    """The accepted pairs of all groups of a table in order of its keys."""
+    starts = _starts(t, keys)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+
+    def side(name: str):
+        """(place of each row's value in its group, values a group, first place of a group, a row of each value)."""
+        code = pc.rank(t.column(name).combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)
+        _, row, place = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_index=True, return_inverse=True)
+        sizes = np.bincount(group[row], minlength=len(starts))
+        first = np.cumsum(sizes) - sizes
+        return place - first[group], sizes, first, row
+
+    (i, n, i0, i_row), (j, m, j0, j_row) = side(left), side(right)
+    value = t.column(cost).to_numpy().astype(float)
+    picked: list[tuple[np.ndarray, ...]] = []
+    for shape in {*zip(n.tolist(), m.tolist(), strict=True)}:
+        groups = np.flatnonzero((n == shape[0]) & (m == shape[1]))
+        place = np.full(len(starts), -1)
+        place[groups] = np.arange(len(groups))
+        rows = np.flatnonzero((place[group] >= 0) & np.isfinite(value))
+        costs = np.full((len(groups), *shape), np.nan if fill is None else fill)
+        costs[place[group[rows]], i[rows], j[rows]] = value[rows]
+        k, r, c = solve_many(costs)
+        ok = costs[k, r, c] <= accept
+        k, r, c = k[ok], r[ok], c[ok]
+        g = groups[k]
+        picked.append((starts[g], i_row[i0[g] + r], j_row[j0[g] + c], costs[k, r, c]))
+    g, a, b, d = (np.concatenate(x) for x in zip(*picked, strict=True)) if picked else (np.zeros(0, int),) * 3 + (np.zeros(0),)
+    columns = [t.column(k).take(g) for k in keys] + [t.column(left).take(a), t.column(right).take(b), pa.array(d)]
+    return pa.Table.from_arrays(columns, [*keys, left, right, cost])
+
+
 def assign(pairs: DataFrame, keys: Sequence[str], left: str, right: str, cost: str, fill: float | None, accept: float) -> DataFrame:
     """(keys, left, right, cost) of the accepted pairs of each group's optimum.
 
     ``pairs`` has a row for each candidate pair; a pair that is absent, or of null cost, costs ``fill`` (without a fill
     all pairs must be there).  The gate comes after the optimum: pairs over ``accept`` are dropped last.
+    Groups stream through a task in order, and all small ones of a batch are solved at once.
     """
     types = dict(pairs.dtypes)
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.unique(p[left].to_numpy()), np.unique(p[right].to_numpy())
-        m = np.full((len(a), len(b)), np.nan if fill is None else fill)
-        value = p[cost].to_numpy(float)
-        known = np.isfinite(value)
-        m[np.searchsorted(a, p[left].to_numpy()[known]), np.searchsorted(b, p[right].to_numpy()[known])] = value[known]
-        r, c = solve(m)
-        ok = m[r, c] <= accept
-        out = pd.DataFrame({left: a[r[ok]], right: b[c[ok]], cost: m[r, c][ok]})
-        for k in keys:
-            out[k] = p[k].iloc[0]
-        return out[[*keys, left, right, cost]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            last = _starts(t, keys)[-1:] if t.num_rows else [0]
+            # the last group may go on in the next batch
+            yield from _matched(t.slice(0, last[0]), keys, left, right, cost, fill, accept).to_batches()
+            held = t.slice(last[0]).to_batches()
+        if held:
+            yield from _matched(pa.Table.from_batches(held), keys, left, right, cost, fill, accept).to_batches()
 
     schema = ", ".join(f"{c} {types[c]}" for c in (*keys, left, right)) + f", {cost} double"
-    return pairs.select(*keys, left, right, F.col(cost).cast("double").alias(cost)).groupBy(*keys).applyInPandas(one, schema)
+    rows = pairs.select(*keys, left, right, F.col(cost).cast("double").alias(cost))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, left, right).mapInArrow(run, schema)
 
 
 def with_dummies(pairs: DataFrame, keys: Sequence[str], left: str, right: str, cost: str, dummy: float) -> DataFrame:

@@ -175,3 +175,19 @@ def null_safe_mismatches(a: DataFrame, b: DataFrame, key: Sequence[str], fields:
     both: Column = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     counts = [F.count_if(both & ~F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}"))).alias(f"{f}_mismatches") for f in fields]
     return j.agg(F.count_if(both).alias("joined"), F.count_if(F.col("_r").isNull()).alias("left_only"), F.count_if(F.col("_l").isNull()).alias("right_only"), *counts)
+
+
+def asof_latest(left: DataFrame, right: DataFrame, width: int = 3_600_000_000) -> DataFrame:
+    """Each left row (idx, ts) with the ts of the latest right row at or before it, however old, as ``age``.
+
+    Rows meet in buckets of time; what a bucket takes over from earlier ones is found on one
+    row a bucket, so one long series is spread over tasks.  Left rows without any are left out.
+    """
+    bucket = F.floor(F.col("ts") / width).alias("bucket")
+    rows = left.select(bucket, "ts", "idx", F.lit(1).alias("side")).union(right.select(bucket, "ts", F.lit(None), F.lit(0)))
+    last = rows.groupBy("bucket").agg(F.max(F.when(F.col("side") == 0, F.col("ts"))).alias("last"))
+    over = last.select("bucket", F.max("last").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    w = W.partitionBy("bucket").orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0)
+    here = rows.withColumn("here", F.max(F.when(F.col("side") == 0, F.col("ts"))).over(w)).where("side = 1")
+    found = here.join(over, "bucket").withColumn("age", F.col("ts") - F.coalesce("here", "before"))
+    return found.where("age is not null").select("idx", "ts", "age")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -165,3 +165,24 @@ def backlog_drops(frames: DataFrame, keys: Sequence[str], due: str, cost: str, l
     rows = F.sort_array(F.collect_list(F.struct(F.col(due).cast("double").alias("due"), F.col(cost).cast("double").alias("cost"))))
     g = frames.groupBy(*keys).agg(F.aggregate(rows, F.struct(F.lit(float("-inf")).alias("free"), none.alias("out")), step)["out"].alias("out"))
     return g.select(*keys, F.explode("out").alias("r")).select(*keys, F.col("r.due").alias(due), F.col("r.ok").alias("processed"))
+
+
+def token_rank(column: str, tokens: Sequence[str]) -> Column:
+    """The place of the first token that a text holds; their number without any."""
+    out = F
+    for i, t in enumerate(tokens):
+        out = out.when(F.contains(F.col(column), F.lit(t)), i)
+    return out.otherwise(len(tokens))
+
+
+def stride(rows: DataFrame, index: str, step: int) -> DataFrame:
+    """Every ``step``-th row by an index: a sampling operator that does not depend on partitions."""
+    return rows.where(F.col(index) % step == 0)
+
+
+def of_class(detections: DataFrame, names: Mapping[int, str], name: str, class_id: str) -> DataFrame:
+    """The detections of the one class of that name; raises unless exactly one has it."""
+    ids = [i for i, n in names.items() if n == name]
+    if len(ids) != 1:
+        raise ValueError(f"{len(ids)} classes are named {name}")
+    return detections.where(F.col(class_id) == ids[0])

@@ -22,23 +22,20 @@ def _pairs(spark, sf):
     return p.join(g, "frame").withColumn("d", d)
 
 
-# the six ways to match three with three; frames with fewer rows are left out
-_MATCHED = f"""WITH {O.placed('pred', 'pred')}, {O.placed('gt', 'gt', 0.05)},
-d AS (SELECT p.frame, pred, gt, sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2) + power(p.z - g.z, 2)) AS d FROM pred p JOIN gt g ON p.frame = g.frame),
-full3 AS (SELECT frame FROM d GROUP BY frame HAVING count(*) = 9),
-ways AS (SELECT a.frame, a.gt AS g0, b.gt AS g1, c.gt AS g2, a.d AS d0, b.d AS d1, c.d AS d2 FROM d a JOIN d b ON a.frame = b.frame AND b.pred = 1 JOIN d c ON a.frame = c.frame AND c.pred = 2
-  WHERE a.pred = 0 AND a.gt <> b.gt AND a.gt <> c.gt AND b.gt <> c.gt AND a.frame IN (SELECT frame FROM full3)),
-best AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY d0 + d1 + d2, g0, g1) AS rn FROM ways),
-matched AS (SELECT frame, 0 AS pred, g0 AS gt, d0 AS d FROM best WHERE rn = 1 UNION ALL SELECT frame, 1, g1, d1 FROM best WHERE rn = 1 UNION ALL SELECT frame, 2, g2, d2 FROM best WHERE rn = 1),
-hits AS (SELECT * FROM matched WHERE d <= 1.5e0)"""
-
-
-def _full(pairs):
-    return pairs.join(pairs.groupBy("frame").count().where("count = 9").select("frame"), "frame", "left_semi")
+# The six ways to match three places with three.  A frame of n predictions and m targets has max(n, m) places on either side;
+# a match with a place that holds none is free, and places beyond are matched with one another.
+_MATCHED = f"""WITH {O.placed('pred', 'pred', 8)}, {O.placed('gt', 'gt', 11, 0.05)},
+p AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pred) - 1 AS i FROM pred), t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY gt) - 1 AS j FROM gt),
+sizes AS (SELECT frame, n, m, greatest(n, m) AS s FROM (SELECT frame, count(*) AS n FROM p GROUP BY frame) JOIN (SELECT frame, count(*) AS m FROM t GROUP BY frame) USING (frame)),
+cell AS (SELECT z.frame, a.i, b.j, CASE WHEN a.i < n AND b.j < m THEN sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2) + power(p.z - t.z, 2)) WHEN (a.i < s) = (b.j < s) THEN 0e0 ELSE 1e9 END AS c, p.pred, t.gt
+  FROM sizes z CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) a CROSS JOIN (SELECT unnest([0, 1, 2]) AS j) b LEFT JOIN p ON p.frame = z.frame AND p.i = a.i LEFT JOIN t ON t.frame = z.frame AND t.j = b.j),
+ways AS (SELECT a.frame, a.j AS j0, b.j AS j1, c.j AS j2, a.c + b.c + c.c AS total FROM cell a JOIN cell b ON a.frame = b.frame AND b.i = 1 JOIN cell c ON a.frame = c.frame AND c.i = 2 WHERE a.i = 0 AND a.j <> b.j AND a.j <> c.j AND b.j <> c.j),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY total, j0, j1) AS rn FROM ways) WHERE rn = 1),
+hits AS (SELECT cell.frame, pred, gt, c AS d FROM best JOIN cell ON cell.frame = best.frame AND cell.j = CASE cell.i WHEN 0 THEN j0 WHEN 1 THEN j1 ELSE j2 END WHERE pred IS NOT NULL AND gt IS NOT NULL AND c <= 1.5e0)"""
 
 
 def _hits(spark, sf):
-    return assign.assign(_full(_pairs(spark, sf)), ["frame"], "pred", "gt", "d", None, 1.5)
+    return assign.assign(_pairs(spark, sf), ["frame"], "pred", "gt", "d", None, 1.5)
 
 
 @query(f"{_MATCHED} SELECT frame, pred, gt, round(d, 6) AS d FROM hits")
@@ -47,13 +44,13 @@ def assignment_gt(spark, sf):
     return _hits(spark, sf).select("frame", "pred", "gt", r6("d"))
 
 
-@query(f"""{_MATCHED}, c AS (SELECT (SELECT count(*) FROM hits) AS tp, 3 * (SELECT count(*) FROM full3) - (SELECT count(*) FROM hits) AS fp, 3 * (SELECT count(*) FROM full3) - (SELECT count(*) FROM hits) AS fn),
+@query(f"""{_MATCHED}, c AS (SELECT (SELECT count(*) FROM hits) AS tp, (SELECT count(*) FROM pred) - (SELECT count(*) FROM hits) AS fp, (SELECT count(*) FROM gt) - (SELECT count(*) FROM hits) AS fn),
 m AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM c)
 SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m""")
 def precision_recall_f1(spark, sf):
-    frames = _full(_pairs(spark, sf)).agg((F.countDistinct("frame") * 3).alias("n"))
-    c = _hits(spark, sf).agg(F.count(F.lit(1)).alias("tp")).crossJoin(frames).select("tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("n") - F.col("tp")).alias("fn"))
-    return A.detection_metrics(c).select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"))
+    one = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    c = one(_hits(spark, sf), "tp").crossJoin(one(R.predicted(spark, sf), "p")).crossJoin(one(R.truth(spark, sf), "g"))
+    return A.detection_metrics(c.select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))).select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"))
 
 
 @query(f"{_MATCHED} SELECT count(*) AS n, round(sqrt(avg(d * d)), 6) AS rmse, round(median(d), 6) AS p50, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS max FROM hits")
@@ -62,25 +59,22 @@ def error_distribution(spark, sf):
     return g.select("n", *[r6(c) for c in ("rmse", "p50", "p95", "max")])
 
 
-@query(f"""{_MATCHED}, t AS (SELECT g.frame, g.gt, sqrt(g.x * g.x + g.y * g.y) AS r, h.pred IS NOT NULL AS hit FROM gt g LEFT JOIN hits h ON g.frame = h.frame AND g.gt = h.gt WHERE g.frame IN (SELECT frame FROM full3))
-SELECT CASE WHEN r < 3 THEN '0-3m' WHEN r < 6 THEN '3-6m' WHEN r < 9 THEN '6-9m' ELSE '>9m' END AS xy_range_bin, count(*) AS n, count(*) FILTER (hit) AS tp, round(count(*) FILTER (hit) / greatest(count(*), 1), 6) AS recall FROM t GROUP BY 1""")
+@query(f"""{_MATCHED}, ranged AS (SELECT g.frame, g.gt, sqrt(g.x * g.x + g.y * g.y) AS r, h.pred IS NOT NULL AS hit FROM gt g LEFT JOIN hits h ON g.frame = h.frame AND g.gt = h.gt)
+SELECT CASE WHEN r < 3 THEN '0-3m' WHEN r < 6 THEN '3-6m' WHEN r < 9 THEN '6-9m' ELSE '>9m' END AS xy_range_bin, count(*) AS n, count(*) FILTER (hit) AS tp, round(count(*) FILTER (hit) / greatest(count(*), 1), 6) AS recall FROM ranged GROUP BY 1""")
 def recall_by_range(spark, sf):
-    g = R.truth(spark, sf).join(_full(_pairs(spark, sf)).select("frame").distinct(), "frame", "left_semi")
-    t = g.join(_hits(spark, sf).select("frame", "gt", F.lit(True).alias("hit")), ["frame", "gt"], "left").fillna(False, ["hit"])
+    t = R.truth(spark, sf).join(_hits(spark, sf).select("frame", "gt", F.lit(True).alias("hit")), ["frame", "gt"], "left").fillna(False, ["hit"])
     t = t.groupBy(B.depth_bin(F.hypot("x", "y")).alias("xy_range_bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("tp"))
     return t.withColumn("recall", F.round(A.ratio(F.col("tp"), F.col("n")), 6))
 
 
-@query(f"{_MATCHED} SELECT frame, gt FROM gt WHERE frame IN (SELECT frame FROM full3) EXCEPT SELECT frame, gt FROM hits")
+@query(f"{_MATCHED} SELECT frame, gt FROM gt EXCEPT SELECT frame, gt FROM hits")
 def fn_antijoin(spark, sf):
-    g = R.truth(spark, sf).join(_full(_pairs(spark, sf)).select("frame").distinct(), "frame", "left_semi")
-    return g.join(_hits(spark, sf), ["frame", "gt"], "left_anti").select("frame", "gt")
+    return R.truth(spark, sf).join(_hits(spark, sf), ["frame", "gt"], "left_anti").select("frame", "gt")
 
 
-@query(f"{_MATCHED} SELECT frame, pred FROM pred WHERE frame IN (SELECT frame FROM full3) EXCEPT SELECT frame, pred FROM hits")
+@query(f"{_MATCHED} SELECT frame, pred FROM pred EXCEPT SELECT frame, pred FROM hits")
 def fp_antijoin(spark, sf):
-    p = R.predicted(spark, sf).join(_full(_pairs(spark, sf)).select("frame").distinct(), "frame", "left_semi")
-    return p.join(_hits(spark, sf), ["frame", "pred"], "left_anti").select("frame", "pred")
+    return R.predicted(spark, sf).join(_hits(spark, sf), ["frame", "pred"], "left_anti").select("frame", "pred")
 
 
 @query(f"""{_MATCHED}, o AS (SELECT a.frame, a.gt, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS nearest FROM gt a JOIN gt b ON a.frame = b.frame AND a.gt <> b.gt GROUP BY a.frame, a.gt)
@@ -89,18 +83,18 @@ def nearest_other(spark, sf):
     return joins.nearest_other(R.truth(spark, sf), ["frame"], "gt").select("frame", "gt", r6("nearest"))
 
 
-_AB = f"""WITH {O.POINTS}, {O.BOXES}, la AS (SELECT * FROM boxes WHERE det < 3), lb AS (SELECT frame, det, x1 + 8 AS x1, y1 + 6 AS y1, x2 + 8 AS x2, y2 + 6 AS y2 FROM boxes WHERE det > 0)"""
+_AB = f"""WITH {O.POINTS}, {O.BOXES}, la AS (SELECT * FROM boxes), lb AS (SELECT frame, det, x1 + 8 AS x1, y1 + 6 AS y1, x2 + 8 AS x2, y2 + 6 AS y2 FROM boxes)"""
 
 
 @query(f"""{_AB}, i AS (SELECT a.frame, a.det, b.det AS b_det, greatest(0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS both_, (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb FROM la a JOIN lb b ON a.frame = b.frame),
-c AS (SELECT *, 1e0 - both_ / greatest(sa + sb - both_, 1e-9) AS cost FROM i), w AS (SELECT p.frame, p.b_det AS b0, q.b_det AS b1, r.b_det AS b2, p.cost AS c0, q.cost AS c1, r.cost AS c2 FROM c p JOIN c q ON p.frame = q.frame AND q.det = 1 JOIN c r ON p.frame = r.frame AND r.det = 2
-  WHERE p.det = 0 AND p.b_det <> q.b_det AND p.b_det <> r.b_det AND q.b_det <> r.b_det)
-SELECT frame, round(min(c0 + c1 + c2), 6) AS total FROM w GROUP BY frame""")
+c AS (SELECT *, 1e0 - both_ / greatest(sa + sb - both_, 1e-9) AS cost FROM i), w AS (SELECT p.frame, p.cost + q.cost + r.cost + s.cost AS total FROM c p JOIN c q ON p.frame = q.frame AND q.det = 1 JOIN c r ON p.frame = r.frame AND r.det = 2 JOIN c s ON p.frame = s.frame AND s.det = 3
+  WHERE p.det = 0 AND p.b_det <> q.b_det AND p.b_det <> r.b_det AND q.b_det <> r.b_det AND s.b_det <> p.b_det AND s.b_det <> q.b_det AND s.b_det <> r.b_det)
+SELECT frame, round(min(total), 6) AS total FROM w GROUP BY frame""")
 def assignment_boxes_ab(spark, sf):
     """Total cost of the optimum of two box logs of each frame; the matching itself may tie."""
     b = R.boxes(R.points(spark, sf))
-    other = b.where("det > 0").select("frame", F.col("det").alias("b_det"), *[(F.col(c) + s).alias(f"b_{c}") for c, s in (("x1", 8), ("y1", 6), ("x2", 8), ("y2", 6))])
-    c = b.where("det < 3").join(other, "frame").withColumn("cost", F.lit(1.0) - B.iou(B.box(""), B.box("b_")))
+    other = b.select("frame", F.col("det").alias("b_det"), *[(F.col(c) + s).alias(f"b_{c}") for c, s in (("x1", 8), ("y1", 6), ("x2", 8), ("y2", 6))])
+    c = b.join(other, "frame").withColumn("cost", F.lit(1.0) - B.iou(B.box(""), B.box("b_")))
     return assign.assign(c, ["frame"], "det", "b_det", "cost", None, 2.0).groupBy("frame").agg(F.round(F.sum("cost"), 6).alias("total"))
 
 
@@ -108,8 +102,8 @@ def assignment_boxes_ab(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY frame, det ORDER BY gap, r_det) AS rn FROM g) SELECT frame, det, r_det, round(gap, 6) AS gap, gap <= 8e0 AS same FROM r WHERE rn = 1""")
 def nearest_box_match(spark, sf):
     b = R.boxes(R.points(spark, sf))
-    left = b.where("det < 3").select("frame", "det", *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")])
-    right = b.where("det > 0").select("frame", F.col("det").alias("r_det"), *[(F.col(c) + s).alias(f"r_{c}") for c, s in (("x1", 8), ("y1", 6), ("x2", 8), ("y2", 6))])
+    left = b.select("frame", "det", *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")])
+    right = b.select("frame", F.col("det").alias("r_det"), *[(F.col(c) + s).alias(f"r_{c}") for c, s in (("x1", 8), ("y1", 6), ("x2", 8), ("y2", 6))])
     return joins.nearest_box(left, right, ["frame"], "det", 8.0).select("frame", "det", "r_det", r6("gap"), "same")
 
 
@@ -232,24 +226,6 @@ def runtime_gate(spark, sf):
     return audit.gate(m, chosen).select("user_id", "output_rate_pass", "processed_pass", "lidar_rate_pass", "passed")
 
 
-_MISS = """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 9 AS raw, l_partkey % 9 - l_suppkey % 3 AS post_height, l_partkey % 9 - l_suppkey % 5 AS post_both, (l_partkey + l_suppkey) % 6 AS owned, l_suppkey % 2 AS stolen,
-  l_linenumber % 3 AS clusters, l_linenumber % 2 = 0 AS selected, l_partkey % 5 AS n_person, l_suppkey % 7 <> 0 AS matched_box, l_linenumber % 4 <> 1 AS has_prediction, l_discount * 30e0 AS sd, l_tax * 30e0 AS bd, l_linenumber AS br, l_returnflag = 'R' AS pm, l_linenumber % 3 AS np FROM lineitem)"""
-
-
-@query(f"""{_MISS} SELECT CASE WHEN n_person = 0 THEN 'A1_NO_PERSON_DETECTION' WHEN NOT matched_box THEN 'A2_PERSON_BOX_GEOMETRY_MISMATCH' WHEN raw = 0 THEN 'B1_NO_RAW_PROJECTED_POINTS' WHEN raw < 3 THEN 'B2_RAW_LIDAR_TOO_SPARSE'
-WHEN post_height < 3 THEN 'C_GEOMETRIC_OR_HEIGHT_GATE_REMOVAL' WHEN post_both < 3 THEN 'D_STATIC_SUPPRESSION_REMOVAL' WHEN owned >= 3 AND clusters = 0 THEN 'F_CLUSTERING_FAIL' WHEN owned < 3 AND stolen > 0 THEN 'H_POINT_OWNERSHIP_CONFLICT'
-WHEN clusters > 0 AND NOT selected THEN 'G1_NO_COMPONENT_PASSED_SCORING' WHEN NOT has_prediction THEN 'G1_NO_COMPONENT_PASSED_SCORING' WHEN sd > 1.5e0 AND bd <= 1.5e0 AND br > 1 THEN 'G3_CORRECT_COMPONENT_LOST_RANKING' WHEN sd > 1.5e0 AND bd <= 1.5e0 THEN 'G2_WRONG_COMPONENT_RANKED_FIRST'
-WHEN pm THEN 'I2_PREDICTION_MATCHED_ANOTHER_GT' WHEN np > 1 THEN 'I3_DUPLICATE_OR_MERGED_DETECTION_COMPETITION' WHEN np = 1 THEN 'I4_GLOBAL_ASSIGNMENT_COMPETITION' ELSE 'I1_NEAREST_PREDICTION_OUTSIDE_GATE' END AS cause, count(*) AS n FROM s GROUP BY 1""")
-def root_cause_ladder(spark, sf):
-    c = lambda s: F.expr(s)
-    cause = audit.miss_cause({
-        "n_person": c("l_partkey % 5"), "matched_box": c("l_suppkey % 7 <> 0"), "raw": c("l_partkey % 9"), "post_height": c("l_partkey % 9 - l_suppkey % 3"), "post_both": c("l_partkey % 9 - l_suppkey % 5"),
-        "owned": c("(l_partkey + l_suppkey) % 6"), "stolen": c("l_suppkey % 2"), "clusters": c("l_linenumber % 3"), "selected": c("l_linenumber % 2 = 0"), "recovery_reason": F.lit(None).cast("string"), "recovery_accepted": F.lit(False),
-        "has_prediction": c("l_linenumber % 4 <> 1"), "selected_distance": c("l_discount * 30d"), "best_distance": c("l_tax * 30d"), "best_rank": F.col("l_linenumber"), "prediction_matched": c("l_returnflag = 'R'"), "near_predictions": c("l_linenumber % 3"),
-    })
-    return R.table(spark, sf, "lineitem").groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT CASE WHEN NOT (l_partkey % 11 <> 0) THEN 'NO_OCCUPANCY_DELETED_COMPONENT' WHEN l_quantity < 3 THEN 'TOO_FEW_POINTS' WHEN NOT (l_suppkey % 5 <> 0) THEN 'CENTER_OUTSIDE_ORIGINAL_BOX' WHEN NOT (l_linenumber <> 2) THEN 'IMPLAUSIBLE_3D_SIZE'
 WHEN l_discount * 15e0 > 1.15e0 THEN 'COMPONENT_SCORE_ABOVE_EXISTING_ASSIGNMENT_LIMIT' WHEN l_returnflag = 'R' THEN 'NEIGHBOR_PERSON_COMPETITION' WHEN l_linestatus = 'F' THEN 'AMBIGUOUS_COMPONENT_RANKING' END AS reason, count(*) AS n FROM lineitem GROUP BY 1""")
 def quality_ladder(spark, sf):
@@ -294,15 +270,15 @@ def embedding_mix_normalize(spark, sf):
     return R.table(spark, sf, "embeddings").withColumn("v", v).select("vec_id", r6(F.col("v")[0], "first"), r6(F.col("v")[63], "last"))
 
 
-@query(f"""WITH {O.POINTS}, {O.projected()}, {O.BOXES}, c AS (SELECT frame, pid AS cid, u, v, u - 40 AS px1, v - 90 AS py1, u + 40 AS px2, v + 90 AS py2 FROM proj WHERE valid AND pid % 10 = 0),
+@query(f"""WITH {O.POINTS}, {O.projected()}, {O.BOXES}, c AS (SELECT frame, pid AS cid, u, v, u - 40 AS px1, v - 90 AS py1, u + 40 AS px2, v + 90 AS py2 FROM proj WHERE valid),
 p AS (SELECT c.*, b.det, u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2 AS contains_, greatest(0e0, least(px2, x2) - greatest(px1, x1)) * greatest(0e0, least(py2, y2) - greatest(py1, y1)) AS both_, (x2 - x1) * (y2 - y1) AS sb, sqrt(power(u - (x1 + x2) / 2, 2) + power(v - (y1 + y2) / 2, 2)) AS distance FROM c JOIN boxes b ON c.frame = b.frame),
 q AS (SELECT *, both_ / greatest(80e0 * 180e0 + sb - both_, 1e-9) AS iou FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY frame, cid ORDER BY contains_ DESC, iou DESC, distance, det) AS rn FROM q WHERE contains_ OR iou >= 0.1e0)
 SELECT frame, cid, det, contains_ AS contains, round(iou, 4) AS iou FROM r WHERE rn = 1""")
 def best_candidate(spark, sf):
-    """The detection that stands for each target: containing first, then by overlap and distance (every tenth point as a target)."""
+    """The detection that stands for each target: containing first, then by overlap and distance."""
     p = R.points(spark, sf)
-    c = R.projected(p).where("valid and pid % 10 = 0").select("frame", F.col("pid").alias("cid"), "u", "v", (F.col("u") - 40).alias("p_x1"), (F.col("v") - 90).alias("p_y1"), (F.col("u") + 40).alias("p_x2"), (F.col("v") + 90).alias("p_y2"))
+    c = R.projected(p).where("valid").select("frame", F.col("pid").alias("cid"), "u", "v", (F.col("u") - 40).alias("p_x1"), (F.col("v") - 90).alias("p_y1"), (F.col("u") + 40).alias("p_x2"), (F.col("v") + 90).alias("p_y2"))
     return joins.best_candidate(c, R.boxes(p)).select("frame", "cid", "det", "contains", F.round("iou", 4).alias("iou"))
 
 
@@ -323,15 +299,15 @@ def metric_table(spark, sf):
     return audit.long_form(m, "run", "F", "O", ["tp", "precision", "recall"]).select("metric", r6("F"), r6("O"), r6("delta"))
 
 
-@query(f"""WITH {O.POINTS}, {O.projected()}, {O.BOXES}, t AS (SELECT frame, pid AS track, u, v FROM proj WHERE valid AND pid <= 2),
+@query(f"""WITH {O.POINTS}, {O.projected()}, {O.BOXES}, t AS (SELECT frame, pid % 2 + 1 AS track, avg(u) AS u, avg(v) AS v FROM proj WHERE valid GROUP BY frame, pid % 2),
 c AS (SELECT t.frame, track, det, 0.7e0 * sqrt(power(greatest(x1 - u, 0e0, u - x2) / (x2 - x1), 2) + power(greatest(y1 - v, 0e0, v - y2) / (y2 - y1), 2)) + 0.3e0 * sqrt(power((u - (x1 + x2) / 2) / (x2 - x1), 2) + power((v - (y1 + y2) / 2) / (y2 - y1), 2)) AS cost FROM t JOIN boxes b ON t.frame = b.frame),
 d AS (SELECT frame, track, det, cost FROM c UNION ALL SELECT DISTINCT frame, track, CAST(-1 - track AS INTEGER), 1.25e0 FROM c),
 w AS (SELECT a.frame, a.cost + coalesce(b.cost, 0e0) AS total FROM d a LEFT JOIN d b ON a.frame = b.frame AND b.track = 2 AND a.det <> b.det WHERE a.track = (SELECT min(track) FROM d x WHERE x.frame = a.frame))
 SELECT frame, round(min(total), 6) AS total FROM w GROUP BY frame""")
 def assign_tracks_dummy(spark, sf):
-    """Total cost of the best association of two predicted tracks with a frame's boxes, each track with a dummy of its own."""
+    """Total cost of the best association of two tracks (the means of either half of a frame's points) with its boxes, each track with a dummy of its own."""
     p = R.points(spark, sf)
-    t = R.projected(p).where("valid and pid <= 2").select("frame", F.col("pid").alias("track"), "u", "v")
+    t = R.projected(p).where("valid").groupBy("frame", (F.col("pid") % 2 + 1).alias("track")).agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
     c = t.join(R.boxes(p), "frame").select("frame", "track", F.col("det").cast("long").alias("det"), B.box_cost("u", "v", B.box("")).alias("cost"))
     a = assign.assign(assign.with_dummies(c, ["frame"], "track", "det", "cost", 1.25), ["frame"], "track", "det", "cost", 1.25, 2.0)
     return a.groupBy("frame").agg(F.round(F.sum("cost"), 6).alias("total"))

@@ -57,10 +57,10 @@ def events(kind: str, name: str) -> str:
 MEASUREMENTS = "measurements AS (SELECT user_id AS track, epoch_us(ts) AS t, event_id, value AS x, CAST(event_id * 7 % 13 AS DOUBLE) AS y FROM events)"
 
 
-def placed(name: str, index: str, nudge: float = 0.0) -> str:
+def placed(name: str, index: str, left_out: int, nudge: float = 0.0) -> str:
     off = f"(k * 31 % 47) * {n(nudge)}"
     return f"""{name} AS (SELECT CAST(k // 3 AS BIGINT) AS frame, CAST(k % 3 AS INTEGER) AS {index}, (k * 7 * 17) % 997 / 1e2 + {off} AS x,
-  (k * 11 * 19) % 991 / 1e2 - {off} AS y, (k * 13 * 3) % 211 / 1e2 AS z FROM (SELECT c_custkey AS k FROM customer))"""
+  (k * 11 * 19) % 991 / 1e2 - {off} AS y, (k * 13 * 3) % 211 / 1e2 AS z FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % {left_out} <> 0))"""
 
 
 LOGS = """o AS (SELECT o_orderkey AS frame, 'T' || CAST(o_custkey % 5 AS VARCHAR) AS track_id, round(o_totalprice * 1e0, 2) AS x, o_orderstatus AS state FROM orders),

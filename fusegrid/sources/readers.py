@@ -146,3 +146,60 @@ def resume(spark: SparkSession, path: str, expected: int, compute) -> DataFrame:
             raise
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def valid_targets(targets: DataFrame, frames: DataFrame, per_frame: int | None = None) -> DataFrame:
+    """The targets marked valid, of the frames in scope; with ``per_frame``, any other number of a frame raises."""
+    t = targets.where(F.col("gt_valid") == "True").join(frames, "frame", "left_semi")
+    if per_frame is None:
+        return t
+    n = t.groupBy("frame").agg(F.count(F.lit(1)).alias("_n"))
+    complete = F.assert_true(F.col("_n") == per_frame, F.format_string("frame %d has %d targets", "frame", "_n"))
+    return t.join(n, "frame").where(complete.isNull()).drop("_n")
+
+
+def payload_signatures(messages: DataFrame, payload: Sequence[str], expected: dict[str, float]) -> DataFrame:
+    """One row: messages, distinct payloads, and the greatest deviation of the expected fields from their constants."""
+    error = F.greatest(*[F.abs(F.col(c) - v) for c, v in expected.items()]) if len(expected) > 1 else [F.abs(F.col(c) - v) for c, v in expected.items()][0]
+    return messages.agg(F.count(F.lit(1)).alias("messages"), F.countDistinct(F.to_json(F.struct(*payload))).alias("signatures"), F.round(F.max(error), 6).alias("max_error"))
+
+
+def extracted_predictions(log: DataFrame, order: str) -> DataFrame:
+    """(frame, track_id, x, y, z) of the persons of each scan's last processed row.
+
+    log: processed, new_lidar_update, lidar_update_detail (with lidar_frame_id, or null),
+    latest_lidar_frame_id and persons; ``order`` tells which row of a scan is the last.
+    """
+    rows = log.where("processed and new_lidar_update").withColumn("frame", F.coalesce("lidar_update_detail.lidar_frame_id", "latest_lidar_frame_id"))
+    last = rows.groupBy("frame").agg(F.max_by("persons", order).alias("persons"))
+    p = last.select("frame", F.explode("persons").alias("p")).where("p.xyz_valid")
+    place = [F.coalesce(F.col("p.position_xyz")[i], F.col(f"p.{c}")).alias(c) for i, c in enumerate("xyz")]
+    return p.select("frame", "p.track_id", *place)
+
+
+def frozen_prior(spark: SparkSession, path: str, receipt: dict, least: float) -> DataFrame:
+    """The voxels of a frozen prior that are frequent enough; the receipt must name its split, frames and content.
+
+    The content is a SHA-256 over the voxels in order, so a changed file raises.
+    """
+    prior = spark.read.parquet(path)
+    if receipt.get("fit_scope") != "TRAIN_FIT" or int(receipt.get("validation_updates", 0)):
+        raise ValueError("the prior was not fitted on the training split alone")
+    if content_sha256(prior, ["kx", "ky", "kz"], ["kx", "ky", "kz", "n_frames"]) != receipt["sha256"]:
+        raise ValueError("the prior is not the one of its receipt")
+    return prior.where(F.col("n_frames") / int(receipt["frame_count"]) >= least)
+
+
+def content_sha256(rows: DataFrame, order: Sequence[str], fields: Sequence[str], blocks: int = 64) -> str:
+    """SHA-256 of a table's content, whatever its files: digests of blocks by hash, then of those."""
+    from fusegrid.operators.aggregates import fingerprint
+
+    block = F.pmod(F.xxhash64(*order), F.lit(blocks))
+    return fingerprint(rows.withColumn("_block", block), order, fields, "_block").first()[0] or ""
+
+
+def prototypes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, vector) of prototypes fitted on the training split; any other scope raises."""
+    p = spark.read.parquet(path)
+    ok = F.assert_true(F.col("fit_scope") == "TRAIN_FIT", F.concat(F.lit("prototypes of another scope: "), F.coalesce("fit_scope", F.lit("none"))))
+    return p.where(ok.isNull()).select("name", "vector")
