@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fusegrid.functions import model as M
+from fusegrid.operators.windows import running_total
 
 
 def quantile(x: str, p: float) -> Column:
@@ -54,19 +55,32 @@ def frequent_voxels(points: DataFrame, frame: str, keys: Sequence[str], share: f
     return seen.crossJoin(F.broadcast(total)).where(F.col("n_frames") >= F.greatest(F.lit(least), F.ceil(F.col("_f") * share))).drop("_f")
 
 
+def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group; null keys are a group."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(groups))
+    g = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(g, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def robust_limit(rows: DataFrame, x: str, keys: Sequence[str] = (), least: int = 100) -> DataFrame:
-    """min(p99, max(median + 3 * 1.4826 * MAD, p90)) of each group of ``least`` values or more."""
-    w = W.partitionBy(*keys)
-    d = rows.where(F.col(x).isNotNull()).withColumn("_m", F.median(x).over(w)).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("_m").alias("median"), F.median("_d").alias("mad"), quantile(x, 0.9).alias("p90"), quantile(x, 0.99).alias("p99"))
-    return g.where(F.col("n") >= least).withColumn("limit", F.least("p99", F.greatest(F.col("median") + F.col("mad") * (3 * 1.4826), F.col("p90"))))
+    """min(p99, max(median + 3 * 1.4826 * MAD, p90)) of each group of ``least`` values or more.
+
+    Quantiles come from two aggregations, so no task holds a group's rows.
+    """
+    d = rows.where(F.col(x).isNotNull())
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("median"), quantile(x, 0.9).alias("p90"), quantile(x, 0.99).alias("p99")).where(F.col("n") >= least)
+    off = _beside(d.select(*keys, x), g.select(*keys, F.col("median").alias("_m")), keys).groupBy(*keys).agg(F.median(F.abs(F.col(x) - F.col("_m"))).alias("mad"))
+    return _beside(g, off, keys).withColumn("limit", F.least("p99", F.greatest(F.col("median") + F.col("mad") * (3 * 1.4826), F.col("p90"))))
 
 
 def winsorized_mean(rows: DataFrame, x: str, keys: Sequence[str], least: int = 8, default: float = 30.0) -> DataFrame:
     """Twice the mean of the values cut at their 90th percentile; ``default`` for groups of fewer than ``least``."""
-    w = W.partitionBy(*keys)
-    d = rows.withColumn("_c", F.percentile(x, F.lit(0.9)).over(w))
-    return d.groupBy(*keys).agg(F.when(F.count(F.lit(1)) < least, default).otherwise(F.avg(F.least(F.col(x), F.col("_c"))) * 2.0).alias("score"))
+    cut = rows.groupBy(*keys).agg(quantile(x, 0.9).alias("_c"))
+    return _beside(rows.select(*keys, x), cut, keys).groupBy(*keys).agg(F.when(F.count(F.lit(1)) < least, default).otherwise(F.avg(F.least(F.col(x), F.col("_c"))) * 2.0).alias("score"))
 
 
 def linear_fit(y: str, x: str, least: int = 3) -> list[Column]:
@@ -76,10 +90,10 @@ def linear_fit(y: str, x: str, least: int = 3) -> list[Column]:
 
 
 def average_ranks(rows: DataFrame, x: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1, ties at their mean rank."""
-    w = W.partitionBy(*keys).orderBy(x)
-    same = W.partitionBy(*keys, x)
-    return rows.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    """Ranks from 1, ties at their mean rank: counts of values, added up over ranges of their order."""
+    counts = rows.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = running_total(counts, keys, [x], "_c", "_t").select(*keys, x, (F.col("_t") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
+    return _beside(rows, ranks, [*keys, x])
 
 
 def spearman(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

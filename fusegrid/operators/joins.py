@@ -191,3 +191,8 @@ def asof_latest(left: DataFrame, right: DataFrame, width: int = 3_600_000_000) -
     here = rows.withColumn("here", F.max(F.when(F.col("side") == 0, F.col("ts"))).over(w)).where("side = 1")
     found = here.join(over, "bucket").withColumn("age", F.col("ts") - F.coalesce("here", "before"))
     return found.where("age is not null").select("idx", "ts", "age")
+
+
+def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """The rows, to be broadcast if there are ``most`` at most; beyond that Spark decides."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fusegrid.functions import geometry as G
 from fusegrid.functions import model as M
+from fusegrid.plans.scratch import materialize
 
 
 def ranked_components(scored: DataFrame, keys: Sequence[str] = ("frame", "det")) -> DataFrame:
@@ -144,9 +145,26 @@ def kept_boxes(detections: DataFrame, keys: Sequence[str] = ("frame",), conf: fl
     return g.select(*keys, F.explode(F.slice("kept", 1, most)).alias("s")).select(*keys, "s.det", (-F.col("s.c")).alias("conf"), "s.x1", "s.y1", "s.x2", "s.y2")
 
 
+def running_total(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rows with the sum of ``value`` up to and with each, in a key's order, which must not tie.
+
+    Rows are dealt by ranges of (keys, order) and written; a range starts from the sums of the
+    key's earlier ranges, of which there is one row each.  So a key may hold any share of the rows.
+    """
+    by = [*keys, *order]
+    held = materialize(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = held.groupBy(*keys, "_part").agg(F.sum(value).alias("_s"))
+    before = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), (F.sum("_s").over(W.partitionBy(*keys).orderBy("_part")) - F.col("_s")).alias("_b"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    here = F.sum(value).over(W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return held.withColumn("_h", here).join(before, same).select(*rows.columns, (F.col("_h") + F.col("_b")).alias(name))
+
+
 def indexed(events: DataFrame, topic: str, arrival: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Events with ``idx``: their 0-based number within the topic in arrival order; those from ``limit`` on are left out."""
-    d = events.withColumn("idx", F.row_number().over(W.partitionBy(topic).orderBy(*arrival)) - 1)
+    """Events with ``idx``: their 0-based number within the topic in arrival order, which must not tie; those from ``limit`` on are left out."""
+    d = running_total(events.withColumn("_one", F.lit(1)), [topic], arrival, "_one", "_n").select(*events.columns, (F.col("_n") - 1).alias("idx"))
     return d if limit is None else d.where(F.col("idx") < limit)
 
 

@@ -435,7 +435,7 @@ SELECT frame, CAST(0 AS BIGINT) AS cand, l0 AS label, round(d0, 6) AS d FROM w W
 def assignment_identity(spark, sf):
     """New identities: the candidates of a frame against the prototypes that nobody has, by looks."""
     e = R.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("frame"), (F.col("vec_id") % 2).alias("cand"), "embedding")
-    c = e.crossJoin(F.broadcast(E._protos(spark, sf).where("label < 4"))).withColumn("d", V.cosine_distance("embedding", "c"))
+    c = e.crossJoin(joins.small(E._protos(spark, sf).where("label < 4"))).withColumn("d", V.cosine_distance("embedding", "c"))
     return assign.assign(c, ["frame"], "cand", "label", "d", None, 0.9).select("frame", "cand", "label", r6("d"))
 
 

@@ -258,8 +258,8 @@ def _protos(spark, sf):
 
 @query(f"{_EMB}, d AS (SELECT vec_id, proto.label AS nearest, 1e0 - list_inner_product(v, c) AS d FROM e CROSS JOIN proto), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nearest) AS rn FROM d) SELECT vec_id, nearest, round(d, 6) AS distance FROM r WHERE rn = 1")
 def embedding_cosine_top1(spark, sf):
-    """The label prototype nearest to each vector; the prototypes are one row a label."""
-    d = R.table(spark, sf, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(_protos(spark, sf))).withColumn("d", V.cosine_distance("embedding", "c"))
+    """The label prototype nearest to each vector; the prototypes are one row a label, and are broadcast if they are few."""
+    d = R.table(spark, sf, "embeddings").select("vec_id", "embedding").crossJoin(joins.small(_protos(spark, sf))).withColumn("d", V.cosine_distance("embedding", "c"))
     return d.groupBy("vec_id").agg(F.min(F.struct("d", "label")).alias("m")).select("vec_id", F.col("m.label").alias("nearest"), r6("m.d", "distance"))
 
 

@@ -171,7 +171,7 @@ def json_props(spark, sf):
 @query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events) SELECT event_type, event_id, CAST(idx AS INTEGER) AS idx FROM r WHERE idx < 979""")
 def indexed_events(spark, sf):
     """Numbered events of each topic, up to the topic's limit."""
-    return windows.indexed(R.table(spark, sf, "events"), "event_type", ["ts", "event_id"], 979).select("event_type", "event_id", "idx")
+    return windows.indexed(R.table(spark, sf, "events"), "event_type", ["ts", "event_id"], 979).select("event_type", "event_id", F.col("idx").cast("int").alias("idx"))
 
 
 @query("""WITH t AS (SELECT user_id, epoch_us(ts) / 3.6e9 AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, first_value(epoch_us(ts) / 3.6e9) OVER (PARTITION BY user_id ORDER BY ts) AS h0, event_id FROM events)
