@@ -447,7 +447,7 @@ def log_predictions_extract(spark, sf):
     person = F.transform(i, lambda k: F.struct((F.col("o_orderkey") * 4 + k).alias("track_id"), ((F.col("o_orderkey") + k) % 4 != 0).alias("xyz_valid"), F.when(k > 0, F.array(F.col("o_orderkey") % 100 + k / 2, F.lit(0.0), F.lit(0.0))).alias("position_xyz"), (F.col("o_orderkey") % 100 + k / 2).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
     detail = F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.col("o_custkey").alias("lidar_frame_id")))
     log = R.table(spark, sf, "orders").select((F.col("o_orderstatus") != "P").alias("processed"), (F.col("o_orderkey") % 3 != 0).alias("new_lidar_update"), detail.alias("lidar_update_detail"), F.col("o_custkey").alias("latest_lidar_frame_id"), person.alias("persons"), F.col("o_orderkey").alias("rgb_frame_id"))
-    return readers.extracted_predictions(log, "rgb_frame_id").select("frame", F.col("track_id").alias("track"), r6("x"))
+    return readers.predictions(log).select("frame", F.col("track_id").alias("track"), r6("x"))
 
 
 @query(f"WITH {O.LOGS} SELECT track_id, CAST(min(frame) AS BIGINT) AS birth, CAST(max(frame) AS BIGINT) AS last, CAST(max(frame) - min(frame) + 1 AS BIGINT) AS lifetime FROM la GROUP BY track_id")

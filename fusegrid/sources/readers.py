@@ -164,19 +164,6 @@ def payload_signatures(messages: DataFrame, payload: Sequence[str], expected: di
     return messages.agg(F.count(F.lit(1)).alias("messages"), F.countDistinct(F.to_json(F.struct(*payload))).alias("signatures"), F.round(F.max(error), 6).alias("max_error"))
 
 
-def extracted_predictions(log: DataFrame, order: str) -> DataFrame:
-    """(frame, track_id, x, y, z) of the persons of each scan's last processed row.
-
-    log: processed, new_lidar_update, lidar_update_detail (with lidar_frame_id, or null),
-    latest_lidar_frame_id and persons; ``order`` tells which row of a scan is the last.
-    """
-    rows = log.where("processed and new_lidar_update").withColumn("frame", F.coalesce("lidar_update_detail.lidar_frame_id", "latest_lidar_frame_id"))
-    last = rows.groupBy("frame").agg(F.max_by("persons", order).alias("persons"))
-    p = last.select("frame", F.explode("persons").alias("p")).where("p.xyz_valid")
-    place = [F.coalesce(F.col("p.position_xyz")[i], F.col(f"p.{c}")).alias(c) for i, c in enumerate("xyz")]
-    return p.select("frame", "p.track_id", *place)
-
-
 def frozen_prior(spark: SparkSession, path: str, receipt: dict, least: float) -> DataFrame:
     """The voxels of a frozen prior that are frequent enough; the receipt must name its split, frames and content.
 
