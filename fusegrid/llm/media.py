@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusegrid.llm.setjoin import blocks, short
+from fusegrid.llm.setjoin import SALT_ROWS, blocks, short
 from fusegrid.llm.words import mix
 from fusegrid.plans.components import connected_components
 from fusegrid.plans.scratch import materialize
@@ -31,11 +31,14 @@ SCALES = (1.0, 1.5, 2.25)
 CORNERS, RADIUS, TESTS, WORDS = 12, 11, 256, 8
 #: A match differs in this many bits at most; a copy has this many distinct corners voting for one transform.
 BITS, VOTES, CELL = 40, 6, 8.0
+#: Matched corners that the candidate search asks for; corners of an image are numbered below 63.
+SHARED = 3
 #: Descriptors of a cell that one task holds; larger cells are searched by pairs of chunks.
 CHUNK = 2048
 #: Pairs of descriptors that are compared at once.
 PAIRS = 1 << 17
 SCHEMA = "id long, words binary, image_id long, x float, y float, scale float, angle float"
+KINDS = (pa.int64(), pa.binary(), pa.int64(), pa.float32(), pa.float32(), pa.float32(), pa.float32())
 
 
 def decode(blob: bytes) -> np.ndarray | None:
@@ -143,21 +146,29 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(corners), np.concatenate(words)) if corners else (np.zeros((0, 4)), np.zeros((0, WORDS), np.int32))
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """One row per corner of each image (image_id, image: encoded bytes); ``id`` is 256 * image_id + corner."""
+def described(images: DataFrame) -> DataFrame:
+    """One row per corner of each image (image_id, image: encoded bytes), ``id`` is 256 * image_id + corner; and one row per image, without an id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            for image_id, blob in zip(b.image_id, b.image, strict=True):
-                a = decode(blob) if blob else None
-                if a is None:
-                    continue
-                corners, words = describe(a)
+            # every image has a row, so the images themselves are read once
+            rows = [pa.nulls(b.num_rows, k) for k in KINDS]
+            rows[names.index("image_id")] = b.column(0)
+            yield pa.RecordBatch.from_arrays(rows, names)
+            for image_id, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                a = decode(blob) if blob and image_id is not None else None
+                corners, words = describe(a) if a is not None else ((), ())
                 if len(corners):
-                    ids = int(image_id) * 256 + np.arange(len(corners))
-                    yield pd.DataFrame({"id": ids, "words": [w.tobytes() for w in words], "image_id": image_id, "x": corners[:, 0], "y": corners[:, 1], "scale": corners[:, 2], "angle": corners[:, 3]})
+                    of = {"id": image_id * 256 + np.arange(len(corners)), "words": [w.tobytes() for w in words], "image_id": np.full(len(corners), image_id), "x": corners[:, 0], "y": corners[:, 1], "scale": corners[:, 2], "angle": corners[:, 3]}
+                    yield pa.RecordBatch.from_arrays([pa.array(of[n], k) for n, k in zip(names, KINDS, strict=True)], names)
 
-    return images.select(F.col("image_id").cast("long").alias("image_id"), "image").where("image_id is not null").mapInPandas(run, SCHEMA)
+    return images.select(F.col("image_id").cast("long").alias("image_id"), "image").mapInArrow(run, SCHEMA)
+
+
+def descriptors(images: DataFrame) -> DataFrame:
+    """The corners alone."""
+    return described(images).where("id is not null")
 
 
 def _cells(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -221,20 +232,22 @@ def _near(group: np.ndarray, split: np.ndarray, part: np.ndarray, component: np.
 
 
 def rare_cells(met: DataFrame) -> DataFrame:
-    """The rows of ``met``, with image_id, without each image's largest cells that hold fewer than VOTES of its corners together.
+    """The rows of ``met``, with image_id, without each image's largest cells that hold VOTES - SHARED of its corners together.
 
-    Cells are in one order, by size.  Two images with VOTES matched corners each do not have
-    all the cells of these matches among either's dropped ones, so the smallest is kept in both.
+    Cells are in one order, by size.  Let two images have VOTES matched corners each.  Of either,
+    SHARED matched corners at least have a cell of a match that it keeps, as no more are in its dropped
+    ones alone.  What the image that keeps fewer sizes keeps is kept by both; so SHARED corners of that
+    image, at least, are matched in cells that both keep.
     """
     order = [F.col("m").desc(), F.col("block")]
     w = met.withColumn("image_id", F.floor(F.col("id") / 256)).repartition("image_id")
     w = w.withColumn("fresh", F.when(F.row_number().over(Window.partitionBy("image_id", "id").orderBy(*order)) == 1, 1).otherwise(0))
     w = w.withColumn("n", F.sum("fresh").over(Window.partitionBy("image_id").orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)))
-    return w.where(F.col("n") >= VOTES).drop("fresh", "n")
+    return w.where(F.col("n") > VOTES - SHARED).drop("fresh", "n")
 
 
 def unconnected_pairs(found: DataFrame, met: DataFrame, group: DataFrame) -> DataFrame:
-    """(a, b): the images with a match in a cell that is rare for both, and that ``group`` (id, component) does not connect."""
+    """(a, b): the images that ``group`` (id, component) does not connect, with SHARED corners of either matched in cells that are rare for both."""
     images = found.select("image_id").distinct().join(group.withColumnRenamed("id", "image_id"), "image_id", "left")
     images = images.select("image_id", F.coalesce("component", "image_id").alias("component"))
     open_ = materialize(rare_cells(met).join(images, "image_id"), "open")
@@ -242,16 +255,18 @@ def unconnected_pairs(found: DataFrame, met: DataFrame, group: DataFrame) -> Dat
     w = open_.join(mixed, "block", "left_semi").join(found.select("id", "words"), "id")
     w = w.withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     w = w.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    w = w.select("block", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "component", "part", "image_id", "words")
+    w = w.select("block", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "component", "part", "image_id", F.pmod("id", F.lit(256)).alias("corner"), "words")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            block, i, j, component, part, ids = (t.column(c).to_numpy() for c in ("block", "i", "j", "component", "part", "image_id"))
+            block, i, j, component, part, ids, corner = (t.column(c).to_numpy() for c in ("block", "i", "j", "component", "part", "image_id", "corner"))
+            bit = np.int64(1) << corner
             words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64).reshape(-1, WORDS // 2)
             fresh = (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             for r, s in _near(np.concatenate(([0], np.cumsum(fresh))), i != j, part, component, words):
-                both = np.unique(np.stack((np.maximum(ids[r], ids[s]), np.minimum(ids[r], ids[s])), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                swap = ids[r] < ids[s]
+                r, s = np.where(swap, s, r), np.where(swap, r, s)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], ids[s], bit[r], bit[s])], ["a", "b", "f", "g"])
 
         # the last group of a batch may go on in the next
         held = []
@@ -267,31 +282,40 @@ def unconnected_pairs(found: DataFrame, met: DataFrame, group: DataFrame) -> Dat
         if held and sum(b.num_rows for b in held):
             yield from run(pa.Table.from_batches(held))
 
-    near = w.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "component").mapInArrow(search, "a long, b long")
-    return materialize(near.distinct(), "candidates")
+    near = w.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "component").mapInArrow(search, "a long, b long, f long, g long")
+    seen = near.groupBy("a", "b").agg(F.bit_or("f").alias("f"), F.bit_or("g").alias("g"))
+    return materialize(seen.where(F.greatest(F.bit_count("f"), F.bit_count("g")) >= SHARED).select("a", "b"), "candidates")
 
 
 def compared(found: DataFrame, images: DataFrame) -> DataFrame:
     """(id_f, id_g, _a, _b): all matches, in any cell, of the pairs (a, b) of images in which VOTES corners of each match."""
     packed = found.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("id", "words"))).alias("v"))
     packed = materialize(packed.select("image_id", F.col("v.id").alias("ids"), F.expr("aggregate(v.words, cast('' as binary), (x, y) -> x || y)").alias("words")), "packed")
-    side = lambda c: packed.select(F.col("image_id").alias(c), F.col("ids").alias(f"ids_{c}"), F.col("words").alias(f"words_{c}"))
+    # an image is sent once for each that it is compared with, and once for each SALT_ROWS that are compared with it
+    salts = images.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    own = images.join(salts, "b").select(F.col("a").alias("image_id"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("tail"))
+    heads = salts.select(F.col("b").alias("image_id"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tail"))
+    dealt = packed.join(own.union(heads), "image_id").select("key", "salt", "tail", "ids", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head = None, None
         for batch in batches:
             out = []
-            for x, y, p, q in zip(*(batch.column(c) for c in ("ids_a", "ids_b", "words_a", "words_b")), strict=True):
-                u, v = (np.frombuffer(k.as_buffer(), np.uint32).reshape(-1, WORDS) for k in (p, q))
-                other = u[:, None] ^ v
-                same = other == 0
-                near = (same & np.roll(same, -1, 2)).any(2) & (np.bitwise_count(other).sum(2) <= BITS)
-                if near.any(1).sum() >= VOTES and near.any(0).sum() >= VOTES:
-                    r, s = near.nonzero()
-                    out.append((x.values.to_numpy()[r], y.values.to_numpy()[s]))
+            for key, salt, tail, x, p in zip(*(batch.column(c) for c in ("key", "salt", "tail", "ids", "words")), strict=True):
+                u = np.frombuffer(p.as_buffer(), np.uint32).reshape(-1, WORDS)
+                if tail.as_py() == 0:
+                    now, head = (key, salt), (x.values.to_numpy(), u)
+                elif (key, salt) == now:
+                    other = u[:, None] ^ head[1]
+                    same = other == 0
+                    near = (same & np.roll(same, -1, 2)).any(2) & (np.bitwise_count(other).sum(2) <= BITS)
+                    if near.any(1).sum() >= VOTES and near.any(0).sum() >= VOTES:
+                        r, s = near.nonzero()
+                        out.append((x.values.to_numpy()[r], head[0][s]))
             f, g = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), pa.array(f >> 8), pa.array(g >> 8)], ["id_f", "id_g", "_a", "_b"])
 
-    return images.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "id_f long, id_g long, _a long, _b long")
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "tail").mapInArrow(run, "id_f long, id_g long, _a long, _b long")
 
 
 def consensus(matched: DataFrame) -> DataFrame:
@@ -314,7 +338,8 @@ def copies(images: DataFrame) -> DataFrame:
     that repeat an id are one image in the result's links and each a row; an empty table
     gives an empty result; other columns are not read.
     """
-    found = materialize(descriptors(images), "corners")
+    all_ = materialize(described(images), "corners")
+    found = all_.where("id is not null")
     met = cells(found)
     pairs = pivot_pairs(met)
     links = materialize(consensus(matches(found, pairs)).select("a", "b"), "links")
@@ -322,7 +347,7 @@ def copies(images: DataFrame) -> DataFrame:
     links = links.union(consensus(matches(found, materialize(rest, "rest"))).select("a", "b"))
     group = connected_components(links).withColumnRenamed("id", "image_id")
     n = found.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_corners"))
-    out = images.select(F.col("image_id").cast("long").alias("image_id")).join(n, "image_id", "left").join(group, "image_id", "left")
+    out = all_.where("id is null").select("image_id").join(n, "image_id", "left").join(group, "image_id", "left")
     return out.select("image_id", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("component", "image_id").alias("group_id"))
 
 
