@@ -22,6 +22,7 @@ place) has a Jaccard similarity of the threshold or more, kept or not; all other
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,10 +135,18 @@ class Postings:
         if self.words is not None:
             ok = held(self.words, bucket << 32 | key)
             post, bucket, key = post[ok], bucket[ok], key[ok]
+            # only lines that post anything need sketches
+            used = np.zeros(len(n), bool)
+            used[row[post]] = True
+            number = np.cumsum(used) - 1
+            at, row, tokens = at[post], number[row[post]], tokens[np.repeat(used, n)]
+            ids, n, doc, place = ids[used], n[used], doc[used], place[used]
+        else:
+            at, row = at[post], row[post]
         first = sum(len(x["id"]) for x in self.lines)
         sketches = {f"{c}{k}": x for k in range(self.sketches) for c, x in zip("pq", parities(tokens, n, k), strict=True)}
         self.lines.append({"n": n, "place": place, "doc": doc, "id": ids} | sketches)
-        self.posted.append({"bucket": bucket, "key": key, "at": at[post], "line": first + row[post]})
+        self.posted.append({"bucket": bucket, "key": key, "at": at, "line": first + row})
         self.size += len(post)
 
     def flush(self) -> pa.RecordBatch:
@@ -332,12 +341,13 @@ def _meet(t: Threshold, bucket: int, c: Columns, asked: np.ndarray | None, heavy
         wanted = np.zeros(g.sizes[w], bool)
         wanted[y[g.group[y] == w] - g.starts[w]] = True
         out.append(_crowded(_taken(e, rows), wanted, word[g.starts[w]], part))
-    light = load[g.group[y]] <= heavy
-    y, low, high = y[light], low[light], high[light]
+    light = load <= heavy
     want = np.zeros(len(word), bool)
-    want[y] = True
-    # a pair of two lines that want candidates is met once, from its shorter side
-    for a, b in _ranges(y, low, high):
+    want[y[light[g.group[y]]]] = True
+    # where most lines of a word want candidates each pair is met from its shorter side, else from the lines that want any
+    most = np.bincount(g.group[want], minlength=len(g.sizes)) * 2 >= g.sizes
+    every, few = np.flatnonzero(most[g.group] & light[g.group]), np.flatnonzero(want & ~most[g.group])
+    for a, b in itertools.chain(_ranges(every, every + 1, g.windows(t, every)[1]), _ranges(few, *g.windows(t, few))):
         ok = (g.age[a] != g.age[b]) & ((b > a) | ~want[b])
         a, b = a[ok], b[ok]
         swap = g.age[a] < g.age[b]

@@ -25,12 +25,14 @@ from fusegrid.llm.bitmaps import filter_of, held
 from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, differing, fingerprints, keys, semi, short, sketches, verified
 from fusegrid.llm.words import buffers, mix, pack, shingles_of, words_of
 from fusegrid.plans.components import connected_components
-from fusegrid.plans.scratch import materialize
+from fusegrid.plans.scratch import discard, materialize
 
 WIDTH, THRESHOLD = 5, Threshold(4, 5)
 DIMENSIONS, LEAF, FANOUT, PIVOTS = 64, 16, 8, 2
 #: Pairs of nodes that are taken down at once.
 NODES = 512
+#: Cells of the parities that go with a point into the search.
+CELLS = 1024
 #: Members of a block that one task holds; larger blocks are searched by pairs of chunks.
 CHUNK = 2048
 
@@ -154,9 +156,9 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _search(members: DataFrame, t: Threshold) -> DataFrame:
-    """Unconnected pairs (y, x) of a block that the trees' bound admits.
+    """Unconnected pairs (y, x) of a block that the trees' bound and the parities of CELLS cells admit.
 
-    members: block, m, id, component, point.  Blocks of more than CHUNK members are searched by pairs of parts.
+    members: block, m, id, component, point, sketch.  Blocks of more than CHUNK members are searched by pairs of parts.
     """
     parts = F.ceil(F.col("m") / CHUNK).cast("int")
     w = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -166,41 +168,43 @@ def _search(members: DataFrame, t: Threshold) -> DataFrame:
     def one(p: pd.DataFrame) -> pd.DataFrame:
         ids, component, part = p.id.to_numpy(), p.component.to_numpy(), p.part.to_numpy()
         x = np.stack([np.frombuffer(v, np.int32) for v in p.point])
+        n, sketch = x.sum(1), np.stack([np.frombuffer(v, np.uint64) for v in p.sketch])
         sides = [np.flatnonzero(part == k) for k in dict.fromkeys((p.i.iloc[0], p.j.iloc[0]))]
         out = []
         if all(len(s) for s in sides):
             trees = [Tree(x[s], component[s]) for s in sides]
             for r, s in tree_pairs(t, trees[0], trees[-1]):
-                out.append(np.stack((ids[sides[0][r]], ids[sides[-1][s]]), 1))
+                r, s = sides[0][r], sides[-1][s]
+                far = np.bitwise_count(sketch[r] ^ sketch[s]).sum(1, dtype=np.int64)
+                ok = far * (t.num + t.den) <= (n[r] + n[s]) * (t.den - t.num)
+                out.append(np.stack((ids[r[ok]], ids[s[ok]]), 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"y": got.max(1, initial=-(2**63)), "x": got.min(1, initial=2**63 - 1)}).drop_duplicates()
 
     return w.groupBy("block", "i", "j").applyInPandas(one, "y long, x long").distinct()
 
 
-def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
-
-    Words are lower-cased (A-Z) and cut at ASCII white space; a text with fewer words
-    than ``width`` is one shingle; without words or text the set is empty, links with
-    nothing, and the document is its own component.  Null ids never name a
-    component that has others; rows that repeat an id are documents of one name;
-    an empty table gives an empty result; other columns are not read.  Sets are compared
-    by 64-bit hashes of their shingles and named by 64-bit fingerprints.
-    """
+def _joined(docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``join``, and the tables that it is read from."""
     t = threshold
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             ids, n, elements = _sets(part, width)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(n.astype(np.int64)), pack(points(elements, n).ravel(), np.full(len(n), DIMENSIONS)).cast(pa.binary())], ["doc_id", "id", "n", "point"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(n.astype(np.int64)), pack(points(elements, n).ravel(), np.full(len(n), DIMENSIONS)).cast(pa.binary()), pa.array(sketches(elements, n, CELLS), pa.binary())], ["doc_id", "id", "n", "point", "sketch"])
+
+    scratch = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        scratch.append(materialize(df, tag))
+        return scratch[-1]
 
-    outlines = materialize(source.mapInArrow(outline, "doc_id long, id long, n long, point binary"), "outlines")
+    outlines = kept(source.mapInArrow(outline, "doc_id long, id long, n long, point binary, sketch binary"), "outlines")
     met = blocks(source, lambda b: keys(t, *_sets(b, width)))
-    shorts = materialize(met.select("short").distinct(), "shorts")
+    shorts = kept(met.select("short").distinct(), "shorts")
     known = semi(outlines.withColumn("short", short(F.col("id"))), shorts, "short")
-    known = materialize(known.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "known")
+    known = kept(known.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("sketch").alias("sketch")), "known")
 
     # a text of null ids only is fetched under a stand-in
     stand_in = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
@@ -217,10 +221,10 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "elements", "sketch"])
 
     # rows that repeat an id and a text give a set more than once, which the joins bear
-    sets = materialize(source.select(stand_in, "text").mapInArrow(whole, "id long, n long, elements binary, sketch binary"), "sets")
+    sets = kept(source.select(stand_in, "text").mapInArrow(whole, "id long, n long, elements binary, sketch binary"), "sets")
 
     links, tried, component = None, None, None
-    members = materialize(met.join(known.select("id", "n", short(F.col("id")).alias("short")), "short").drop("short"), "members")
+    members = kept(met.join(known.select("id", "n", short(F.col("id")).alias("short")), "short").drop("short"), "members")
     for round_ in range(PIVOTS + 1):
         if component is not None:
             labelled = members.select("block", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -233,12 +237,12 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
             pairs = open_.join(pivot, "block").where((F.col("id") != F.col("v.p")) & (F.col("component") != F.col("v.pc")) & t.sizes_fit(F.col("n"), F.col("v.pn")))
             pairs = pairs.select(F.greatest("id", "v.p").alias("y"), F.least("id", "v.p").alias("x")).distinct()
         else:
-            pairs = _search(open_.join(known.select("id", "point"), "id").select("block", "m", "id", "component", "point"), t)
+            pairs = _search(open_.join(known.select("id", "point", "sketch"), "id").select("block", "m", "id", "component", "point", "sketch"), t)
         if tried is not None:
             pairs = pairs.join(tried, ["y", "x"], "left_anti")
-        pairs = materialize(_bounded(pairs, sets, t).distinct(), "pairs")
+        pairs = kept(_bounded(pairs, sets, t).distinct(), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        new = materialize(verified(pairs, sets.select("id", "elements"), t, _unsqueezed).select(F.col("y").alias("a"), F.col("x").alias("b")), "links")
+        new = kept(verified(pairs, sets.select("id", "elements"), t, _unsqueezed).select(F.col("y").alias("a"), F.col("x").alias("b")), "links")
         links = new if links is None else links.union(new)
         component = connected_components(links)
 
@@ -246,7 +250,21 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD)
     c = outlines.select("doc_id", "id", "n").join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
     least = c.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = c.join(least, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out, scratch
+
+
+def join(docs: DataFrame, width: int = WIDTH, threshold: Threshold = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
+
+    Words are lower-cased (A-Z) and cut at ASCII white space; a text with fewer words
+    than ``width`` is one shingle; without words or text the set is empty, links with
+    nothing, and the document is its own component.  Null ids never name a
+    component that has others; rows that repeat an id are documents of one name;
+    an empty table gives an empty result; other columns are not read.  Sets are compared
+    by 64-bit hashes of their shingles and named by 64-bit fingerprints.
+    """
+    return _joined(docs, width, threshold)[0]
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
@@ -254,7 +272,8 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words and those of a null id stay; rows that repeat an id share its fate.
     """
-    gone = join(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = materialize(gone, "copies")
+    found, scratch = _joined(docs, options.get("width", WIDTH), options.get("threshold", THRESHOLD))
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    discard(*scratch)
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(side, "doc_id", "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusegrid.plans.scratch import materialize
+from fusegrid.plans.scratch import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,8 +36,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        e = materialize(_star(_star(e, True), False), "cc")
+        before, e = e, materialize(_star(_star(e, True), False), "cc")
         now = print_of(e)
+        discard(before)
         if now == seen:
             break
         seen = now
