@@ -120,6 +120,11 @@ def corners(x, y, z, sx, sy, sz, yaw) -> Column:
     return F.array(*out)
 
 
+def circle(segments: int) -> list[tuple[float, float]]:
+    """Cosine and sine of the segments' first edges."""
+    return [(float(np.cos(a)), float(np.sin(a))) for a in np.linspace(0.0, 2 * np.pi, segments, endpoint=False)]
+
+
 def cylinder(x, y, cls: str = "PERSON", segments: int = 12) -> Column:
     """Vertices of a display cylinder that stands on the ground: bottom ring, then top ring, as struct(x, y, z)."""
     radius, height = M.CYLINDER[cls]
@@ -127,8 +132,8 @@ def cylinder(x, y, cls: str = "PERSON", segments: int = 12) -> Column:
     base = ground_z(x, y)
     out = []
     for top in (0.0, height):
-        for a in np.linspace(0.0, 2 * np.pi, segments, endpoint=False):
-            out.append(F.struct((x + radius * float(np.cos(a))).alias("x"), (y + radius * float(np.sin(a))).alias("y"), (base + top).alias("z")))
+        for c, s in circle(segments):
+            out.append(F.struct((x + radius * c).alias("x"), (y + radius * s).alias("y"), (base + top).alias("z")))
     return F.array(*out)
 
 

@@ -145,6 +145,11 @@ def histogram_map(key: str, n: str) -> Column:
     return F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, n))))
 
 
+def exact_mean(x: str, places: int = 2) -> Column:
+    """The mean of numbers of so many decimal places, by a decimal sum, which does not depend on the order of the rows."""
+    return F.sum(F.col(x).cast(f"decimal(18, {places})")).cast("double") / F.count(x)
+
+
 def fingerprint(rows: DataFrame, order: Sequence[str], fields: Sequence[str], block: str) -> DataFrame:
     """SHA-256 over the rows' fields: digests of blocks in order, then a digest of those.
 

@@ -20,9 +20,11 @@ def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
     """Each left row with the latest right row at or before it, within ``tolerance`` (bounds included).
 
     Both sides go through one window per key, so the cost is one sort.  Right columns must
-    differ from the left's, but for the keys.  ``by`` should name a partitioning
-    key; ``bucketed_asof`` serves long series of one key.
+    differ from the left's, but for the keys.  ``by`` names a partitioning key;
+    ``bucketed_asof`` and ``asof_latest`` serve long series of one key.
     """
+    if not by:
+        raise ValueError("an as-of join without a key puts all rows in one task; take bucketed_asof or asof_latest")
     keys = list(by)
     carried = F.struct(*[F.col(c) for c in right.columns if c not in keys])
     rows = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*[c for c in left.columns if c not in keys]).alias("_l"))
@@ -177,20 +179,22 @@ def null_safe_mismatches(a: DataFrame, b: DataFrame, key: Sequence[str], fields:
     return j.agg(F.count_if(both).alias("joined"), F.count_if(F.col("_r").isNull()).alias("left_only"), F.count_if(F.col("_l").isNull()).alias("right_only"), *counts)
 
 
-def asof_latest(left: DataFrame, right: DataFrame, width: int = 3_600_000_000) -> DataFrame:
-    """Each left row (idx, ts) with the ts of the latest right row at or before it, however old, as ``age``.
+def asof_latest(left: DataFrame, right: DataFrame, width: int = 3_600_000_000, carry: Sequence[str] = ()) -> DataFrame:
+    """Each left row (idx, ts) with the latest right row at or before it, however old: its ``age`` and columns ``carry``.
 
     Rows meet in buckets of time; what a bucket takes over from earlier ones is found on one
-    row a bucket, so one long series is spread over tasks.  Left rows without any are left out.
+    row a bucket, so one long series is spread over tasks.  Left rows without any are left out;
+    of right rows of one time the one with the greatest carried columns counts.
     """
     bucket = F.floor(F.col("ts") / width).alias("bucket")
-    rows = left.select(bucket, "ts", "idx", F.lit(1).alias("side")).union(right.select(bucket, "ts", F.lit(None), F.lit(0)))
-    last = rows.groupBy("bucket").agg(F.max(F.when(F.col("side") == 0, F.col("ts"))).alias("last"))
+    held = F.struct("ts", *carry)
+    rows = left.select(bucket, "ts", "idx", F.lit(1).alias("side")).unionByName(right.select(bucket, "ts", F.lit(0).alias("side"), held.alias("right")), allowMissingColumns=True)
+    last = rows.groupBy("bucket").agg(F.max("right").alias("last"))
     over = last.select("bucket", F.max("last").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     w = W.partitionBy("bucket").orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0)
-    here = rows.withColumn("here", F.max(F.when(F.col("side") == 0, F.col("ts"))).over(w)).where("side = 1")
-    found = here.join(over, "bucket").withColumn("age", F.col("ts") - F.coalesce("here", "before"))
-    return found.where("age is not null").select("idx", "ts", "age")
+    here = rows.withColumn("here", F.max("right").over(w)).where("side = 1")
+    found = here.join(over, "bucket").withColumn("found", F.coalesce("here", "before")).where("found is not null")
+    return found.select("idx", "ts", (F.col("ts") - F.col("found.ts")).alias("age"), *[F.col(f"found.{c}").alias(c) for c in carry])
 
 
 def small(rows: DataFrame, most: int = 100_000) -> DataFrame:

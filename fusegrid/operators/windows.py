@@ -91,6 +91,15 @@ def even_sample(rows: DataFrame, keys: Sequence[str], order: str, k: int) -> Dat
     return d.where((F.col("_n") <= k) | F.array_contains(places, F.col("_i"))).drop("_i", "_n")
 
 
+def even_sample_of_all(rows: DataFrame, order: Sequence[str], k: int) -> DataFrame:
+    """``even_sample`` of a whole table, whose order must not tie: places by ranges of the order, then an equi-join with the k that are taken."""
+    held = running_total(rows.withColumn("_one", F.lit(1)), [], order, "_one", "_n")
+    n = held.agg(F.count(F.lit(1)).alias("n"))
+    j = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    taken = n.select("n", j.alias("j")).select(F.when(F.col("n") <= k, F.col("j")).otherwise(F.rint(F.col("j") * (F.col("n") - 1).cast("double") / float(max(k - 1, 1)))).cast("long").alias("_i")).distinct()
+    return held.withColumn("_i", F.col("_n") - 1).join(F.broadcast(taken), "_i").select(*rows.columns)
+
+
 def run_counts(rows: DataFrame, key: str, frame: str, x: str, y: str, gate: float = 0.88) -> DataFrame:
     """``seed_count``: consecutive frames up to each row whose steps stay within the gate."""
     w = W.partitionBy(key).orderBy(frame)

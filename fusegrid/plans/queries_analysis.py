@@ -355,11 +355,8 @@ def camera_info_scan(spark, sf):
 d AS (SELECT s.idx, s.ts - v.ts AS delta FROM s ASOF JOIN v ON s.ts >= v.ts) SELECT count(*) AS n, round(avg(delta), 2) AS mean, median(delta) AS median, CAST(max(delta) AS BIGINT) AS max FROM d""")
 def sampled_sync_deltas(spark, sf):
     """How far back the images of twenty evenly spaced scans are: the operator is a sample."""
-    scans = windows.even_sample(R.events(spark, sf, "click").withColumn("one", F.lit(1)), ["one"], "ts", 20)
-    e = scans.select("idx", "ts", F.lit(None).cast("long").alias("image")).union(R.events(spark, sf, "view").select("idx", "ts", F.col("ts").alias("image")))
-    # scans are few, so each takes its latest earlier image from a range join of them with all images
-    d = F.broadcast(scans.select("idx", "ts")).join(e.where("image is not null").select("image"), F.col("image") <= F.col("ts")).groupBy("idx", "ts").agg(F.max("image").alias("image"))
-    d = d.select((F.col("ts") - F.col("image")).alias("delta"))
+    scans = windows.even_sample_of_all(R.events(spark, sf, "click"), ["ts", "idx"], 20)
+    d = joins.asof_latest(scans, R.events(spark, sf, "view")).withColumnRenamed("age", "delta")
     return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 2).alias("mean"), F.median("delta").alias("median"), F.max("delta").alias("max"))
 
 

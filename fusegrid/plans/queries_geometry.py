@@ -78,14 +78,17 @@ def cuboid_proxy_box(spark, sf):
     return g.where("n_valid >= 2")
 
 
-@query(f"""WITH {O.POINTS}, o AS (SELECT frame, pid % 4 AS obj, avg(x) AS x, avg(y) AS y FROM points GROUP BY frame, pid % 4),
-c AS (SELECT frame, obj, s, t, x + 0.25e0 * cos(2 * pi() * s / 12e0) AS vx, y + 0.25e0 * sin(2 * pi() * s / 12e0) AS vy, -(x * ({n(M.GROUND_NORMAL[0])}) + y * ({n(M.GROUND_NORMAL[1])}) + {n(M.GROUND_D)}) / {n(M.GROUND_NORMAL[2])} + t * 1.7e0 AS vz
-  FROM o CROSS JOIN (SELECT unnest(range(12)) AS s) CROSS JOIN (SELECT unnest([0, 1]) AS t))
-SELECT frame, obj, CAST(t * 12 + s AS INTEGER) AS vertex, round(vx, 6) AS vx, round(vy, 6) AS vy, round(vz, 6) AS vz FROM c""")
+@query(f"""WITH {O.POINTS}, o AS (SELECT frame, pid % 4 AS obj, CAST(sum(CAST(x AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS x, CAST(sum(CAST(y AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS y FROM points GROUP BY frame, pid % 4),
+c AS (SELECT frame, obj, s, t, x + 0.25e0 * ca AS vx, y + 0.25e0 * sa AS vy, -(x * ({n(M.GROUND_NORMAL[0])}) + y * ({n(M.GROUND_NORMAL[1])}) + {n(M.GROUND_D)}) / {n(M.GROUND_NORMAL[2])} + t * 1.7e0 AS vz
+  FROM o CROSS JOIN (VALUES {", ".join(f"({s}, {n(ca)}, {n(sa)})" for s, (ca, sa) in enumerate(G.circle(12)))}) AS r (s, ca, sa) CROSS JOIN (SELECT unnest([0, 1]) AS t))
+SELECT frame, obj, CAST(t * 12 + s AS INTEGER) AS vertex, round(vx, 9) AS vx, round(vy, 9) AS vy, round(vz, 9) AS vz FROM c""")
 def cylinder_vertices(spark, sf):
-    """Display cylinders of a frame's objects, which stand at the means of the quarters of its points."""
-    o = R.points(spark, sf).groupBy("frame", (F.col("pid") % 4).alias("obj")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return o.select("frame", "obj", F.posexplode(G.cylinder("x", "y")).alias("vertex", "c")).select("frame", "obj", "vertex", r6("c.x", "vx"), r6("c.y", "vy"), r6("c.z", "vz"))
+    """Display cylinders of a frame's objects, which stand at the means of the quarters of its points.
+
+    Nine places: a mean of 32 points has up to seven, so no value lies at a half.
+    """
+    o = R.points(spark, sf).groupBy("frame", (F.col("pid") % 4).alias("obj")).agg(A.exact_mean("x").alias("x"), A.exact_mean("y").alias("y"))
+    return o.select("frame", "obj", F.posexplode(G.cylinder("x", "y")).alias("vertex", "c")).select("frame", "obj", "vertex", *[F.round(f"c.{c}", 9).alias(f"v{c}") for c in "xyz"])
 
 
 @query(f"WITH {O.POINTS}, {O.projected()}, {O.GATED} SELECT frame, pid, round(u, 4) AS u, round(v, 4) AS v, round(h, 6) AS h FROM gated")

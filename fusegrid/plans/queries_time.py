@@ -107,7 +107,9 @@ def identity_transitions(spark, sf):
 SELECT rgb_idx, idx, CASE WHEN row_number() OVER (PARTITION BY idx ORDER BY rgb_ts) = 1 THEN 'LIDAR_MEASUREMENT' ELSE 'CAUSAL_PREDICTION' END AS state_source FROM j""")
 def first_report_flag(spark, sf):
     lidar, rgb = _sides(spark, sf)
-    j = joins.asof_backward(rgb, lidar, "rgb_ts", "ts", None)
+    scans = lidar.select("ts", F.col("idx").alias("scan"))
+    j = joins.asof_latest(rgb.select(F.col("rgb_idx").alias("idx"), F.col("rgb_ts").alias("ts")), scans, carry=["scan"])
+    j = j.select(F.col("idx").alias("rgb_idx"), F.col("ts").alias("rgb_ts"), F.col("scan").alias("idx"))
     return windows.first_report(j, "idx", "rgb_ts", "idx").select("rgb_idx", "idx", "state_source")
 
 

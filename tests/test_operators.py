@@ -91,8 +91,26 @@ def test_greedy_suppression(spark):
 def test_asof_tolerance_is_inclusive(spark):
     left = spark.createDataFrame([(0, 100), (1, 300)], "idx int, ts long")
     right = spark.createDataFrame([(7, 64), (8, 65), (9, 101)], "r int, rt long")
-    for f in (joins.asof_backward, joins.bucketed_asof):
-        assert [(r.idx, r.r) for r in f(left, right, "ts", "rt", 35).collect()] == [(0, 8)]
+    one = lambda d: d.withColumn("k", F.lit(1))
+    assert [(r.idx, r.r) for r in joins.asof_backward(one(left), one(right), "ts", "rt", 35, ["k"]).collect()] == [(0, 8)]
+    assert [(r.idx, r.r) for r in joins.bucketed_asof(left, right, "ts", "rt", 35).collect()] == [(0, 8)]
+    with pytest.raises(ValueError):
+        joins.asof_backward(left, right, "ts", "rt", 35)
+
+
+def test_latest_without_a_limit_carries_columns_over_buckets(spark):
+    left = spark.createDataFrame([(0, 5), (1, 100), (2, 100_000), (3, 101)], "idx int, ts long")
+    right = spark.createDataFrame([(7, 6), (8, 100), (9, 100)], "r int, ts long")
+    got = joins.asof_latest(left, right, 10, ["r"]).collect()
+    assert sorted((r.idx, r.r, r.age) for r in got) == [(1, 9, 0), (2, 9, 99_900), (3, 9, 1)]
+
+
+def test_even_sample_of_a_whole_table_equals_the_keyed_one(spark):
+    for n in (0, 1, 19, 20, 21, 1000):
+        d = spark.range(n).select(F.col("id").alias("idx"), (F.col("id") * 37 % 1009).alias("ts"))
+        a = sorted(r.idx for r in windows.even_sample_of_all(d, ["ts"], 20).collect())
+        b = sorted(r.idx for r in windows.even_sample(d.withColumn("k", F.lit(0)), ["k"], "ts", 20).collect())
+        assert a == b and len(a) == min(n, 20)
 
 
 def test_connected_components(spark):
