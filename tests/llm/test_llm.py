@@ -369,8 +369,9 @@ def test_mixed_documents_hold_the_taken_words(spark):
     for r in out.collect():
         assert r.n_chars == len(r.text)
         n[r.doc_id] += len(WORD.findall(r.text))
-    held = d.select("doc_id", "text", "lang", "source", "n_chars", F.monotonically_increasing_id().alias("_row"))
-    taken = {r.doc_id: r.taken for r in mixing.mix(held, id_column="_row").collect()}
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    held = d.select(*columns, F.xxhash64(*columns).alias("_draw"), F.monotonically_increasing_id().alias("_row"))
+    taken = {r.doc_id: r.taken for r in mixing.mix(held, id_column="_row", draw_column="_draw").collect()}
     back = {r._row: r.doc_id for r in held.collect()}
     assert n == Counter({back[k]: v for k, v in taken.items() if v})
 
@@ -495,7 +496,7 @@ def test_main_text_does_not_depend_on_partitions(spark):
     got = {i: t for i, _, t in seen[0]}
     assert got[str(2**60)] == "art" and got[str(2**60 + 1)] in ("own 1", "own 1\nunder d1") and got["7"] == "alone"
     # by brute force: the neighbour in order of (path, id) whose path shares the longer prefix
-    bare = sorted((u.split("/", 3)[2], "/" + u.split("/", 3)[3], i, h) for i, u, h in rows if u and "://" in u)
+    bare = sorted(((u.split("/", 3)[2], "/" + u.split("/", 3)[3], i, h) for i, u, h in rows if u and "://" in u), key=lambda r: (*r[:2], r[2] is not None, r[2] or 0))
     for k, (host, path, i, h) in enumerate(bare):
         page = html.lines_of(h)
         if i is None or any(x[1] for x in page):
