@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusegrid.llm import ann, chat, html, langid, linededup, media, mixing, ngramjoin, packing, urlfilter
+from fusegrid.llm import ann, chat, html, langid, lexical, linededup, media, metric, mixing, ngramjoin, packing, urlfilter
 from fusegrid.llm.setjoin import Threshold
 
 
@@ -59,7 +59,16 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_urlfilter": op4_urlfilter, "op5_ngramjoin": op5_ngramjoin, "op6_html": op6_html, "op7_ann": op7_ann, "op8_langid": op8_langid, "op9_media": op9_media, "op10_linededup": op10_linededup}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", metric.fixed_point("embedding").alias("vector"))
+    return metric.search(v, v.where("vec_id % 50 = 0"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_urlfilter": op4_urlfilter, "op5_ngramjoin": op5_ngramjoin, "op6_html": op6_html, "op7_ann": op7_ann, "op8_langid": op8_langid, "op9_media": op9_media, "op10_linededup": op10_linededup, "op11_lexical": op11_lexical, "op12_metric": op12_metric}
 
 _OP3 = r"""
 WITH t AS (
@@ -96,4 +105,26 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
   ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLES = {"op3_chat": _OP3, "op4_urlfilter": _OP4}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP11 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms FROM documents),
+c AS (SELECT count(*) FILTER (len(terms) > 0) AS nd, sum(len(terms))::BIGINT AS nt FROM d),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT doc_id, row, n, term, count(*) AS tf FROM (SELECT doc_id, row, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+p AS (SELECT doc_id, row, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))) AS impact FROM f JOIN w USING (term), c),
+s AS (SELECT item_id, row, doc_id, sum(times * impact)::BIGINT AS score FROM i JOIN p USING (term) GROUP BY ALL HAVING sum(times * impact) > 0),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+_OP12 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op3_chat": _OP3, "op4_urlfilter": _OP4, "op11_lexical": _OP11, "op12_metric": _OP12}

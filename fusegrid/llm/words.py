@@ -39,14 +39,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, row) of every word, in order."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, row) of every word, in order; ``gaps`` tells the bytes between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.zeros(n + 8, np.uint8)
     text[:n] = _LOWER[data] if lower else data
-    solid = ~_SPACE[text[:n]]
+    solid = ~gaps[text[:n]]
     edge = np.empty(n + 1, bool)
     edge[0], edge[n] = solid[0], solid[n - 1]
     edge[1:n] = solid[1:] != solid[:-1]
