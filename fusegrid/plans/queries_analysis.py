@@ -21,7 +21,7 @@ from fusegrid.sources import relations as R
 QUERIES, ORACLES, query = registry()
 
 # the gated points with their flags, the production policy's decision, and their owners
-_CANDIDATES = f"""{Q._FLAGGED}, cand AS (SELECT f.frame, f.pid, g.u, g.v, f.h, temporal_keep, NOT (near AND (f.z - f.h <= 0.28e0 OR f.z - f.h >= 1.9e0)) AS occ_keep, o.det AS owner
+_CANDIDATES = f"""{Q.FLAGGED}, cand AS (SELECT f.frame, f.pid, g.u, g.v, f.h, temporal_keep, NOT (near AND (f.z - f.h <= 0.28e0 OR f.z - f.h >= 1.9e0)) AS occ_keep, o.det AS owner
   FROM flagged f JOIN gated g ON f.frame = g.frame AND f.pid = g.pid LEFT JOIN owned o ON f.frame = o.frame AND f.pid = o.pid),
 raws AS (SELECT b.frame, b.det, count(p.pid) AS raw FROM boxes b LEFT JOIN proj p ON p.frame = b.frame AND p.valid AND p.depth > 0 AND p.u BETWEEN x1 AND x2 AND p.v BETWEEN y1 AND y2 GROUP BY b.frame, b.det),
 inbox AS (SELECT b.frame, b.det, c.*  EXCLUDE (frame), h BETWEEN 0.08e0 AND 2.15e0 AS tall, temporal_keep AND occ_keep AS kept FROM boxes b JOIN cand c ON c.frame = b.frame AND u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2),

@@ -151,7 +151,7 @@ def occupancy_radius_semijoin(spark, sf):
     return joins.near_any(R.points(spark, sf), R.occupancy(spark, sf), M.OCCUPANCY_RADIUS_M).select("frame", "pid")
 
 
-_FLAGGED = f"""{O.BASE}, {O.OCC}, {_NEAR}, {_VOXELS},
+FLAGGED = f"""{O.BASE}, {O.OCC}, {_NEAR}, {_VOXELS},
 flagged AS (SELECT g.frame, g.pid, g.z, g.h, n.pid IS NOT NULL AS near, p.kx IS NULL AS temporal_keep, w.pid IS NOT NULL AS person_owned FROM gated g
   LEFT JOIN near n ON g.frame = n.frame AND g.pid = n.pid LEFT JOIN owned w ON g.frame = w.frame AND g.pid = w.pid
   LEFT JOIN prior p ON p.kx = CAST(floor(g.x / 0.5e0) AS INTEGER) AND p.ky = CAST(floor(g.y / 0.5e0) AS INTEGER) AND p.kz = CAST(floor(g.z / 0.5e0) AS INTEGER))"""
@@ -165,7 +165,7 @@ def _flagged(spark, sf):
     return g.fillna(False, ["near", "person_owned"]).withColumn("temporal_keep", ~F.col("in_prior"))
 
 
-@query(f"""WITH {_FLAGGED}, p AS (SELECT unnest(['LEGACY', 'PHYSICAL_DIRECT', 'GROUND_LIMITED', 'HEIGHT_BANDED', 'TEMPORAL_PRIMARY_OCCUPANCY_SECONDARY', 'PERSON_CONDITIONAL_PROTECTION']) AS policy),
+@query(f"""WITH {FLAGGED}, p AS (SELECT unnest(['LEGACY', 'PHYSICAL_DIRECT', 'GROUND_LIMITED', 'HEIGHT_BANDED', 'TEMPORAL_PRIMARY_OCCUPANCY_SECONDARY', 'PERSON_CONDITIONAL_PROTECTION']) AS policy),
 d AS (SELECT policy, temporal_keep, CASE policy WHEN 'LEGACY' THEN near AND (z - h <= 0.28e0 OR z - h >= 1.9e0) WHEN 'PHYSICAL_DIRECT' THEN near AND (h <= 0.28e0 OR h >= 1.9e0)
   WHEN 'TEMPORAL_PRIMARY_OCCUPANCY_SECONDARY' THEN near AND NOT temporal_keep AND h >= 0 AND h <= 0.28e0
   WHEN 'PERSON_CONDITIONAL_PROTECTION' THEN near AND (h <= 0.28e0 OR h >= 1.9e0) AND NOT (temporal_keep AND person_owned AND h BETWEEN 0.08e0 AND 2.15e0)
@@ -178,7 +178,7 @@ def suppression_policies(spark, sf):
     return d.groupBy("policy").agg(F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("temporal_keep") & ~F.col("keep")).alias("occupancy_removed"), F.count_if(F.col("temporal_keep") & F.col("keep")).alias("n_kept"))
 
 
-@query(f"""WITH {_FLAGGED} SELECT k.name, count(*) FILTER (CASE k.name WHEN 'both' THEN temporal_keep AND NOT near WHEN 'temporal_only' THEN temporal_keep WHEN 'occupancy_only' THEN NOT near ELSE true END) AS n_kept
+@query(f"""WITH {FLAGGED} SELECT k.name, count(*) FILTER (CASE k.name WHEN 'both' THEN temporal_keep AND NOT near WHEN 'temporal_only' THEN temporal_keep WHEN 'occupancy_only' THEN NOT near ELSE true END) AS n_kept
 FROM flagged CROSS JOIN (SELECT unnest(['both', 'temporal_only', 'occupancy_only', 'none']) AS name) k GROUP BY k.name""")
 def suppression_ablation(spark, sf):
     t, o = F.col("temporal_keep"), ~F.col("near")
