@@ -15,9 +15,11 @@ them is computed.  All bounds leave room for rounding; scores are exact integers
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import cached_property
+from heapq import heappop, heappush
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from fusegrid.plans.scratch import discard, materialize
 PIVOTS, SAMPLE = 256, 4096
 CHUNK, QUERY_BLOCK = 8192, 8192
 #: Rows of a leaf page, entries of an inner page.
-LEAF, FAN = 128, 16
+LEAF, FAN = 1024, 16
 #: Room for rounding in bounds, as a part of the lengths that go into a distance.
 SLACK = 1e-6
 _EXACT = float(1 << 53)
@@ -61,6 +63,11 @@ class Tree:
     row_apart: np.ndarray  # from a row to the routing object of its leaf
     rows: np.ndarray  # the rows in order of their leaves
 
+    @cached_property
+    def pages(self) -> list[tuple[int, int, bool]]:
+        """(first entry, entries, whether it is a leaf) of each page."""
+        return list(zip(self.first.tolist(), self.count.tolist(), self.leaf.tolist(), strict=True))
+
     def pack(self) -> dict[str, bytes]:
         return {f.name: np.ascontiguousarray(getattr(self, f.name)).tobytes() for f in fields(self)}
 
@@ -74,8 +81,8 @@ def _from(x: np.ndarray, c: int, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[rows] - x[c]) ** 2).sum(1))
 
 
-def build(x: np.ndarray) -> Tree:
-    """A tree over the rows of ``x``, bulk-loaded from the top: each page's rows go to the nearest of FAN of them; where that splits nothing, in turn."""
+def build(x: np.ndarray, most: int = LEAF) -> Tree:
+    """A tree over the rows of ``x`` with leaves of ``most`` rows at most, bulk-loaded from the top: each page's rows go to the nearest of FAN of them at most; where that splits nothing, in turn."""
     pages: list[list] = [[0, np.arange(len(x)), 0.0]]
     first, count, leaf, radius = [], [], [], []
     order, row_apart, at = [], [], 0
@@ -84,7 +91,7 @@ def build(x: np.ndarray) -> Tree:
         at += 1
         d = _from(x, center, rows)
         radius.append(float(d.max(initial=0.0)))
-        leaf.append(len(rows) <= LEAF)
+        leaf.append(len(rows) <= most)
         if leaf[-1]:
             near = np.argsort(d, kind="stable")
             first.append(sum(map(len, order)))
@@ -92,12 +99,13 @@ def build(x: np.ndarray) -> Tree:
             order.append(rows[near])
             row_apart.append(d[near])
             continue
-        seeds = rows[np.linspace(0, len(rows) - 1, FAN).astype(int)]
+        fan = min(FAN, -(-2 * len(rows) // most))
+        seeds = rows[np.linspace(0, len(rows) - 1, fan).astype(int)]
         gap = (x[rows] ** 2).sum(1)[:, None] + (x[seeds] ** 2).sum(1)[None] - 2 * (x[rows] @ x[seeds].T)
         of = gap.argmin(1)
-        if np.bincount(of, minlength=FAN).max() == len(rows):
-            of = np.arange(len(rows)) % FAN
-        kids = [(seeds[g], rows[of == g]) for g in range(FAN) if (of == g).any()]
+        if np.bincount(of).max() == len(rows):
+            of = np.arange(len(rows)) % fan
+        kids = [(seeds[g], rows[of == g]) for g in range(fan) if (of == g).any()]
         first.append(len(pages))
         count.append(len(kids))
         apart = _from(x, center, np.array([c for c, _ in kids]))
@@ -112,39 +120,53 @@ def build(x: np.ndarray) -> Tree:
 def nearest(t: Tree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, square: float, k: int, within: float, scale: float) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, scores, computed distances): the k rows of other ids with the greatest q.x, ties to smaller ids, that may lie ``within``.
 
-    ``x`` has the rows in the tree's order of ``rows`` with their further coordinate; ``square`` is |q|**2 + M**2.
+    ``x`` has the rows in the order of ``t.rows``; ``square`` is |q|**2 + M**2.
     """
     room, asked = SLACK * scale, 1
-    far = lambda s: np.sqrt(np.maximum(square - 2.0 * s, 0.0))
-    exact = scale * scale < _EXACT
-    qi = None if exact else q.astype(np.int64)
-    best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    d = float(far(x[t.center[0], :-1] @ q))
-    heap = [(d - t.radius[0], 0, d)]
+    if scale * scale >= _EXACT:  # beyond what doubles hold exactly: whole numbers
+        x, q = x.astype(np.int64), q.astype(np.int64)
+    best, score = np.zeros(0, np.int64), np.zeros(0, x.dtype)
+    least = (square - (within + room) ** 2) / 2 if within < np.inf else -np.inf
+    d = sqrt(max(square - 2.0 * float(x[t.center[0]] @ q), 0.0))
+    heap = [(d - float(t.radius[0]), 0, d)]
     while heap:
-        bound, page, d = heapq.heappop(heap)
+        bound, page, d = heappop(heap)
         if bound > within + room:
             break
-        a, b = t.first[page], t.first[page] + t.count[page]
-        if t.leaf[page]:
-            rows = a + np.flatnonzero(np.abs(d - t.row_apart[a:b]) <= within + room)
-            rows = rows[ids[rows] != own]
-            asked += len(rows)
-            s = (x[rows, :-1] @ q).astype(np.int64) if exact else x[rows, :-1].astype(np.int64) @ qi
+        a, n, leaf = t.pages[page]
+        b = a + n
+        if leaf:
+            may = np.abs(t.row_apart[a:b] - d) <= within + room
+            many = int(np.count_nonzero(may))
+            asked += many
+            if not many:
+                continue
+            rows = None if many == n else np.flatnonzero(may) + a
+            s = x[a:b] @ q if rows is None else x[rows] @ q
+            hit = np.flatnonzero(s >= least)
+            if not len(hit):
+                continue
+            rows, s = hit + a if rows is None else rows[hit], s[hit]
+            if not (other := ids[rows] != own).all():
+                rows, s = rows[other], s[other]
+            if len(s) > k:
+                hit = s >= np.partition(s, len(s) - k)[len(s) - k]
+                rows, s = rows[hit], s[hit]
             best, score = np.concatenate((best, rows)), np.concatenate((score, s))
             if len(best) > k:
                 keep = np.lexsort((ids[best], -score))[:k]
                 best, score = best[keep], score[keep]
             if len(best) == k:
-                within = min(within, float(far(score.min())))
+                least = float(score.min())
+                within = min(within, sqrt(max(square - 2.0 * least, 0.0)))
             continue
-        kids = a + np.flatnonzero(np.abs(d - t.apart[a:b]) - t.radius[a:b] <= within + room)
+        kids = np.flatnonzero(np.abs(t.apart[a:b] - d) - t.radius[a:b] <= within + room) + a
         asked += len(kids)
-        away = far(x[t.center[kids], :-1] @ q)
-        for bound, kid, away_ in zip((away - t.radius[kids]).tolist(), kids.tolist(), away.tolist(), strict=True):
+        away = np.sqrt(np.maximum(square - 2.0 * (x[t.center[kids]] @ q), 0.0))
+        for bound, kid, far in zip((away - t.radius[kids]).tolist(), kids.tolist(), away.tolist(), strict=True):
             if bound <= within + room:
-                heapq.heappush(heap, (bound, kid, away_))
-    return best, score, asked
+                heappush(heap, (bound, kid, far))
+    return best, score.astype(np.int64), asked
 
 
 TREE = ", ".join(f"{f.name} binary" for f in fields(Tree))
@@ -171,9 +193,8 @@ def _packed(x: np.ndarray) -> bytes:
     return x.astype(np.int32 if np.abs(x).max(initial=0) < 2**31 else np.int64).tobytes()
 
 
-def _unpacked(b: bytes, rows: int, n: int, longest: float) -> np.ndarray:
-    x = np.frombuffer(b, np.int32 if len(b) == 4 * rows * n else np.int64).reshape(rows, n)
-    return _raised(x.astype(np.float64), longest)
+def _unpacked(b: bytes, rows: int, n: int) -> np.ndarray:
+    return np.frombuffer(b, np.int32 if len(b) == 4 * rows * n else np.int64).reshape(rows, n).astype(np.float64)
 
 
 def _distances(batches: Iterator[pd.DataFrame], pivots: np.ndarray, longest: float, raised: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -192,7 +213,7 @@ def _by_bytes(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.D
             yield b.iloc[at : at + rows]
 
 
-def index(v: DataFrame, pivots: np.ndarray, longest: float, chunk: int) -> DataFrame:
+def index(v: DataFrame, pivots: np.ndarray, longest: float, chunk: int, leaf: int) -> DataFrame:
     """A row a chunk: its routing object and covering radius, its rows' ids and vectors, and the pages of their tree."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +227,7 @@ def index(v: DataFrame, pivots: np.ndarray, longest: float, chunk: int) -> DataF
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("uid", kind="stable")
         x = _raised(_stack(p.vector), longest)
-        t = build(x)
+        t = build(x, leaf)
         radius = np.sqrt(((x - _raised(pivots[int(p["pivot"].iloc[0])][None], longest)) ** 2).sum(1)).max()
         held = {"pivot": int(p["pivot"].iloc[0]), "part": int(p.part.iloc[0]), "reach": float(radius), "uids": p.uid.to_numpy()[t.rows].tobytes(), "ids": p.vec_id.to_numpy()[t.rows].tobytes(), "vectors": _packed(x[t.rows, :-1])}
         return pd.DataFrame([held | t.pack()])
@@ -227,7 +248,7 @@ def _visit(pages: DataFrame, pairs: DataFrame, longest: float, k: int) -> DataFr
         if len(chunk) and len(asked):
             row = chunk.iloc[0]
             t, ids, uids = Tree.unpack(row), np.frombuffer(row.ids, np.int64), np.frombuffer(row.uids, np.int64)
-            x = _unpacked(row.vectors, len(ids), len(asked.vector.iloc[0]), longest)
+            x = _unpacked(row.vectors, len(ids), len(asked.vector.iloc[0]))
             for q in asked.itertuples():
                 vector = np.asarray(q.vector, np.float64)
                 square = float(vector @ vector) + longest
@@ -245,7 +266,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk: int = CHUNK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk: int = CHUNK, query_block: int = QUERY_BLOCK, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of other ids with the greatest integer inner product.
 
     Both tables have vec_id and vector (array of longs whose squared length fits a long, see ``fixed_point``).  Rows whose id or vector
@@ -261,13 +282,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk: int = CHUN
     out = spark.createDataFrame([], FOUND)
     lengths = v.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(_squares("vector")).alias("longest")).collect()  # a row for each length there is
     for n, rows, longest in sorted(tuple(r) for r in lengths):
-        out = out.union(_search(v.where(F.size("vector") == n), q.where(F.size("vector") == n), rows, longest, k, chunk, query_block))
+        out = out.union(_search(v.where(F.size("vector") == n), q.where(F.size("vector") == n), rows, longest, k, chunk, query_block, leaf))
     return _best(out, k)
 
 
-def _search(v: DataFrame, q: DataFrame, rows: int, longest: float, k: int, chunk: int, query_block: int) -> DataFrame:
+def _search(v: DataFrame, q: DataFrame, rows: int, longest: float, k: int, chunk: int, query_block: int, leaf: int) -> DataFrame:
     pivots = _pivots(v, min(PIVOTS, -(-rows // chunk)))
-    pages = index(v, pivots, longest, chunk)
+    pages = index(v, pivots, longest, chunk, leaf)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, d in _distances(_by_bytes(batches), pivots, longest, False):

@@ -111,8 +111,8 @@ def test_metric_search_equals_brute_force(spark):
     d = d.withColumns({c: F.lit("clash") for c in ("uid", "pivot", "part", "block", "score", "rank", "bound")})
     queries = [(i, v) for i, v in rows if i % 50 == 0 or i in (3, 3001)]
     q = d.where("vec_id % 50 = 0 or vec_id in (3, 3001)")
-    for chunk, block, k in ((8192, 8192, 5), (64, 3, 5), (100, 50, 1), (200, 8192, 700)):
-        got = sorted(map(tuple, metric.search(d.repartition(4), q, k, chunk, block).collect()))
+    for chunk, block, k, leaf in ((8192, 8192, 5, 16), (64, 3, 5, 1024), (100, 50, 1, 7), (200, 8192, 700, 1)):
+        got = sorted(map(tuple, metric.search(d.repartition(4), q, k, chunk, block, leaf).collect()))
         assert got == brute(rows, queries, k)
 
 
@@ -137,7 +137,7 @@ def test_stored_distances_rule_out_most_of_clustered_rows():
     x = (centers[rng.integers(0, 40, 4000)] + rng.integers(-20, 20, (4000, 16))).astype(float)
     longest = float((x * x).sum(1).max())
     raised = metric._raised(x, longest)
-    t = metric.build(raised)
+    t = metric.build(raised, 64)
     assert sorted(t.rows.tolist()) == list(range(4000))
     for p in range(len(t.first)):  # radii cover, stored distances are those to the parent
         for e in range(t.first[p], t.first[p] + t.count[p]):
@@ -146,7 +146,7 @@ def test_stored_distances_rule_out_most_of_clustered_rows():
     asked = []
     for i in range(0, 4000, 100):
         square = float(x[i] @ x[i]) + longest
-        rows, score, n = metric.nearest(t, raised[t.rows], t.rows.astype(np.int64), x[i], i, square, 5, np.inf, square**0.5)
+        rows, score, n = metric.nearest(t, x[t.rows], t.rows.astype(np.int64), x[i], i, square, 5, np.inf, square**0.5)
         want = sorted((-(x[j] @ x[i]), j) for j in range(4000) if j != i)[:5]
         assert sorted(zip((-score).tolist(), t.rows[rows].tolist(), strict=True)) == want
         asked.append(n)
