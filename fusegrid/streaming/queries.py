@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def run_once(stream: DataFrame, folder: str, checkpoint: str, fmt: str = "parque
     return stream.sparkSession.read.format(fmt).schema(stream.schema).load(folder)
 
 
+@contextmanager
+def with_rocksdb(spark: SparkSession):
+    """State of streams started inside is kept in RocksDB, which operators with typed state need; the setting is restored after."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def asof_stream(lidar: DataFrame, rgb: DataFrame, slop_ms: float = 35.0) -> DataFrame:
     """The latest image within the slop before each scan, as an event-time interval join and aggregation.
 
