@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fusegrid.functions import model as M
+from fusegrid.operators.selection import quantiles
 from fusegrid.operators.windows import running_total
 
 
 def quantile(x: str, p: float) -> Column:
-    """Exact, linearly interpolated."""
+    """Exact, linearly interpolated, for groups that fit a task, as a box's points; ``selection.quantiles`` serves any."""
     return F.percentile(x, F.lit(p))
 
 
@@ -26,13 +27,15 @@ def span(x: str) -> Column:
     return F.max(x) - F.min(x)
 
 
-def timing_distribution(x: str) -> list[Column]:
-    """mean, median, p90, p95, p99, max; all null without rows."""
-    return [F.avg(x).alias("mean"), quantile(x, 0.5).alias("median"), *[quantile(x, p).alias(f"p{round(100 * p)}") for p in (0.9, 0.95, 0.99)], F.max(x).alias("max")]
+def timing_distribution(rows: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:
+    """n, mean, median, p90, p95, p99, max of each group of any size."""
+    return quantiles(rows, x, {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, keys, {"mean": F.avg("_x"), "max": F.max("_x")})
 
 
-def error_distribution(e: str, prefix: str = "") -> list[Column]:
-    return [F.sqrt(F.avg(F.col(e) * F.col(e))).alias(f"{prefix}rmse"), quantile(e, 0.5).alias(f"{prefix}p50"), quantile(e, 0.95).alias(f"{prefix}p95"), F.max(e).alias(f"{prefix}max")]
+def error_distribution(rows: DataFrame, e: str, keys: Sequence[str] = (), prefix: str = "") -> DataFrame:
+    """n, rmse, p50, p95, max of each group of any size."""
+    more = {"rmse": F.sqrt(F.avg(F.col("_x") * F.col("_x"))), "max": F.max("_x")}
+    return quantiles(rows, e, {f"{prefix}p50": 0.5, f"{prefix}p95": 0.95}, keys, {prefix + k: c for k, c in more.items()})
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -66,20 +69,25 @@ def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFram
     return rows.join(g, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def _beside_left(groups: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All groups, with the columns of ``more`` where it has them; null keys are a group."""
+    m = more.select(F.struct(*keys).alias("_k"), *[c for c in more.columns if c not in keys])
+    return groups.withColumn("_k", F.struct(*keys)).join(m, "_k", "left").drop("_k")
+
+
 def robust_limit(rows: DataFrame, x: str, keys: Sequence[str] = (), least: int = 100) -> DataFrame:
     """min(p99, max(median + 3 * 1.4826 * MAD, p90)) of each group of ``least`` values or more.
 
-    Quantiles come from two aggregations, so no task holds a group's rows.
+    Quantiles come by selection over ranges of values, so no task holds a group's values.
     """
-    d = rows.where(F.col(x).isNotNull())
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("median"), quantile(x, 0.9).alias("p90"), quantile(x, 0.99).alias("p99")).where(F.col("n") >= least)
-    off = _beside(d.select(*keys, x), g.select(*keys, F.col("median").alias("_m")), keys).groupBy(*keys).agg(F.median(F.abs(F.col(x) - F.col("_m"))).alias("mad"))
-    return _beside(g, off, keys).withColumn("limit", F.least("p99", F.greatest(F.col("median") + F.col("mad") * (3 * 1.4826), F.col("p90"))))
+    g = quantiles(rows, x, {"median": 0.5, "p90": 0.9, "p99": 0.99}, keys).where(F.col("n") >= least)
+    off = _beside(rows.select(*keys, x), g.select(*keys, F.col("median").alias("_m")), keys).withColumn("_off", F.abs(F.col(x) - F.col("_m")))
+    return _beside(g, quantiles(off, "_off", {"mad": 0.5}, keys).drop("n"), keys).withColumn("limit", F.least("p99", F.greatest(F.col("median") + F.col("mad") * (3 * 1.4826), F.col("p90"))))
 
 
 def winsorized_mean(rows: DataFrame, x: str, keys: Sequence[str], least: int = 8, default: float = 30.0) -> DataFrame:
     """Twice the mean of the values cut at their 90th percentile; ``default`` for groups of fewer than ``least``."""
-    cut = rows.groupBy(*keys).agg(quantile(x, 0.9).alias("_c"))
+    cut = quantiles(rows, x, {"_c": 0.9}, keys).drop("n")
     return _beside(rows.select(*keys, x), cut, keys).groupBy(*keys).agg(F.when(F.count(F.lit(1)) < least, default).otherwise(F.avg(F.least(F.col(x), F.col("_c"))) * 2.0).alias("score"))
 
 
@@ -150,23 +158,31 @@ def exact_mean(x: str, places: int = 2) -> Column:
     return F.sum(F.col(x).cast(f"decimal(18, {places})")).cast("double") / F.count(x)
 
 
+#: How many digests go into one of the next level.
+FAN_IN = 256
+
+
 def fingerprint(rows: DataFrame, order: Sequence[str], fields: Sequence[str], block: str) -> DataFrame:
     """SHA-256 over the rows' fields: digests of blocks in order, then a digest of those.
 
-    ``block`` is a column of order-preserving block names of bounded size, so no task holds all rows.
+    ``block`` is a column of order-preserving block names of bounded size.  Digests are combined FAN_IN at a time in
+    the order of their blocks, level by level, so no row holds more, however many blocks there are.
     """
     line = F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
     part = rows.groupBy(block).agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda s: s["_line"])), 256).alias("digest"))
-    return part.agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(block, "digest"))), lambda s: s["digest"])), 256).alias("fingerprint"))
-
-
-def quantile_or_zero(x: str, p: float) -> Column:
-    """A quantile that leaves out nulls and NaN; 0 without any value."""
-    return F.coalesce(F.percentile(F.when(~F.isnan(x), F.col(x)), F.lit(p)), F.lit(0.0))
-
-
-def iqr(x: str) -> Column:
-    return quantile(x, 0.75) - quantile(x, 0.25)
+    d = running_total(part.withColumn("_one", F.lit(1)), [], [block], "_one", "_n").select((F.col("_n") - 1).alias("_n"), "digest")
+    left = d.count()
+    while True:
+        joined = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("_n", "digest"))), lambda s: s["digest"]))
+        left = -(-left // FAN_IN)
+        if left <= 1:
+            return d.agg(F.sha2(joined, 256).alias("fingerprint"))
+        d = d.groupBy(F.floor(F.col("_n") / FAN_IN).alias("_n")).agg(F.sha2(joined, 256).alias("digest"))
+
+
+def quantile_or_zero(rows: DataFrame, x: str, p: float, keys: Sequence[str], name: str) -> DataFrame:
+    """A quantile of each group that leaves out nulls and NaN; 0 for groups without any value."""
+    return _beside_left(rows.select(*keys).distinct(), quantiles(rows, x, {name: p}, keys).drop("n"), keys).fillna(0.0, [name])
 
 
 def flattened(rows: DataFrame, names: Sequence[str]) -> DataFrame:

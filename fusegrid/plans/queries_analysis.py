@@ -11,6 +11,7 @@ from fusegrid.functions import model as M
 from fusegrid.functions import vectors as V
 from fusegrid.operators import aggregates as A
 from fusegrid.operators import assign, audit, joins, taxonomy, windows
+from fusegrid.operators.selection import quantiles
 from fusegrid.plans import queries_evaluation as E
 from fusegrid.plans import queries_geometry as Q
 from fusegrid.plans.registry import r6, registry
@@ -244,11 +245,12 @@ round(median(abs(l_extendedprice - 30000)), 6) AS median_abs, round(quantile_con
 def other_distributions(spark, sf):
     """Percentiles that ignore nulls and default to 0, the wide and the absolute tables, and the interquartile range."""
     t = R.table(spark, sf, "lineitem").withColumn("d", F.col("l_extendedprice") - 30000)
-    q = lambda c, p: F.round(A.quantile(c, p), 6)
-    t = t.withColumns({"even": F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")), "never": F.when(F.col("l_linenumber") > 99, F.col("l_tax")), "a": F.abs("d")})
-    g = t.groupBy(F.col("l_returnflag").alias("k"))
-    x = "l_extendedprice"
-    return g.agg(A.quantile_or_zero("even", 0.75).alias("p75"), F.round(F.avg(x), 4).alias("mean"), *[q(x, p).alias(n) for n, p in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))], F.min(x).alias("min"), F.max(x).alias("max"), q("a", 0.5).alias("median_abs"), q("a", 0.95).alias("p95_abs"), F.round(A.iqr(x), 6).alias("iqr"), A.quantile_or_zero("never", 0.5).alias("none"))
+    t = t.withColumns({"k": F.col("l_returnflag"), "even": F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")), "never": F.when(F.col("l_linenumber") > 99, F.col("l_tax")), "a": F.abs("d")})
+    more = {"mean": F.avg("_x"), "min": F.min("_x"), "max": F.max("_x")}
+    g = quantiles(t, "l_extendedprice", {"median": 0.5, "p05": 0.05, "p95": 0.95, "p25": 0.25, "p75_": 0.75}, ["k"], more).withColumn("iqr", F.col("p75_") - F.col("p25"))
+    for part in (quantiles(t, "a", {"median_abs": 0.5, "p95_abs": 0.95}, ["k"]).drop("n"), A.quantile_or_zero(t, "even", 0.75, ["k"], "p75"), A.quantile_or_zero(t, "never", 0.5, ["k"], "none")):
+        g = g.join(part, "k")
+    return g.select("k", "p75", F.round("mean", 4).alias("mean"), r6("median"), r6("p05"), r6("p95"), "min", "max", r6("median_abs"), r6("p95_abs"), r6("iqr"), "none")
 
 
 @query(f"""WITH {_CANDIDATES}, n AS (SELECT max(frame) + 1 AS n FROM trace), s AS (SELECT t.*, CASE WHEN t.frame / n.n < 0.5e0 THEN 'TRAIN_FIT' WHEN t.frame / n.n < 0.6e0 THEN 'TRAIN_CALIBRATION' WHEN t.frame / n.n < 0.8e0 THEN 'VALIDATION' WHEN t.frame / n.n < 0.85e0 THEN 'EMBARGO' ELSE 'TEST' END AS split FROM trace t CROSS JOIN n)
@@ -460,6 +462,7 @@ def frozen_thresholds(spark, sf):
     m = R.measurements(spark, sf)
     w = W.partitionBy("track").orderBy("t", "event_id")
     d = m.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
-    cut = m.agg(F.expr("percentile_disc(0.5) within group (order by t)").alias("cut"))
+    # times are whole and far below 2**53, so the middle of the lower and upper median is at or after the lower one, and before the next time
+    cut = quantiles(m, "t", {"cut": 0.5}).select("cut")
     fit = d.crossJoin(F.broadcast(cut)).where("t <= cut and step is not null").withColumn("all", F.lit(1))
     return A.robust_limit(fit, "step", ["all"]).select("n", r6("limit"))

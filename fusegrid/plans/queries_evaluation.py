@@ -55,8 +55,7 @@ def precision_recall_f1(spark, sf):
 
 @query(f"{_MATCHED} SELECT count(*) AS n, round(sqrt(avg(d * d)), 6) AS rmse, round(median(d), 6) AS p50, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS max FROM hits")
 def error_distribution(spark, sf):
-    g = _hits(spark, sf).agg(F.count(F.lit(1)).alias("n"), *A.error_distribution("d"))
-    return g.select("n", *[r6(c) for c in ("rmse", "p50", "p95", "max")])
+    return A.error_distribution(_hits(spark, sf), "d").select("n", *[r6(c) for c in ("rmse", "p50", "p95", "max")])
 
 
 @query(f"""{_MATCHED}, ranged AS (SELECT g.frame, g.gt, sqrt(g.x * g.x + g.y * g.y) AS r, h.pred IS NOT NULL AS hit FROM gt g LEFT JOIN hits h ON g.frame = h.frame AND g.gt = h.gt)
@@ -136,8 +135,9 @@ def union_schema(spark, sf):
     return joins.union_schemas(a, b).agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("n_x"), F.count("state").alias("n_state"))
 
 
-@query(f"""WITH {O.LOGS}, b AS (SELECT frame // 256 AS block, sha256(string_agg(frame || '|' || track_id || '|' || coalesce(state, ''), chr(10) ORDER BY frame)) AS digest FROM la GROUP BY 1)
-SELECT sha256(string_agg(digest, chr(10) ORDER BY block)) AS fingerprint FROM b""")
+@query(f"""WITH {O.LOGS}, b AS (SELECT frame // 256 AS block, sha256(string_agg(frame || '|' || track_id || '|' || coalesce(state, ''), chr(10) ORDER BY frame)) AS digest FROM la GROUP BY 1),
+c AS (SELECT n // {A.FAN_IN} AS node, sha256(string_agg(digest, chr(10) ORDER BY n)) AS digest FROM (SELECT digest, row_number() OVER (ORDER BY block) - 1 AS n FROM b) GROUP BY 1)
+SELECT CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, chr(10) ORDER BY node)) END AS fingerprint FROM c""")
 def fingerprint(spark, sf):
     a = R.log(spark, sf, "a").withColumn("block", F.floor(F.col("frame") / 256)).fillna("", ["state"])
     return A.fingerprint(a, ["frame"], ["frame", "track_id", "state"], "block")

@@ -32,8 +32,7 @@ def asof_latest_past(spark, sf):
 round(quantile_cont((ts - rgb_ts) / 1e3, 0.95), 6) AS p95, round(quantile_cont((ts - rgb_ts) / 1e3, 0.99), 6) AS p99, round(max((ts - rgb_ts) / 1e3), 6) AS max FROM j WHERE ts - rgb_ts <= {TOLERANCE}""")
 def sync_age_distribution(spark, sf):
     j = joins.bucketed_asof(*_sides(spark, sf), "ts", "rgb_ts", TOLERANCE).withColumn("age", (F.col("ts") - F.col("rgb_ts")) / 1e3)
-    d = j.agg(F.count(F.lit(1)).alias("n"), *A.timing_distribution("age"))
-    return d.select("n", *[r6(c) for c in ("mean", "median", "p90", "p95", "p99", "max")])
+    return A.timing_distribution(j, "age").select("n", *[r6(c) for c in ("mean", "median", "p90", "p95", "p99", "max")])
 
 
 @query(f"""WITH {_SIDES}, c AS (SELECT l.idx AS idx, l.ts AS ts, r.idx AS rgb_idx, r.ts AS rgb_ts, row_number() OVER (PARTITION BY l.idx ORDER BY abs(l.ts - r.ts), r.ts) AS rn FROM lidar l JOIN rgb r ON r.ts BETWEEN l.ts - 86400000000 AND l.ts + 86400000000)
@@ -153,7 +152,7 @@ def winsorized_mean(spark, sf):
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95,
 round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM events GROUP BY event_type""")
 def module_timing_distribution(spark, sf):
-    d = R.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *A.timing_distribution("value"))
+    d = A.timing_distribution(R.table(spark, sf, "events"), "value", ["event_type"])
     return d.select("event_type", "n", *[r6(c) for c in ("mean", "median", "p90", "p95", "p99", "max")])
 
 
