@@ -24,18 +24,22 @@ CORNERS = ("x1", "y1", "x2", "y2")
 _LOW, _HIGH = M.CLASS_HEIGHT["PERSON"]
 
 
-def _best(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(frame, det) with the best component of the points that each box owns, of a person's height: centre, n, score, spans, pixel, ambiguous."""
-    owned = joins.owners(points, boxes).where(G.within("h", M.CLASS_HEIGHT["PERSON"]))
-    c = cluster.components(cluster.label_components(owned)).join(boxes, ["frame", "det"])
+def _best(points: DataFrame, boxes: DataFrame, keys: tuple = ("frame",)) -> DataFrame:
+    """(keys, det) with the best component of the points that each box owns, of a person's height: centre, n, score, spans, pixel, ambiguous."""
+    owned, box = joins.owners(points, boxes, keys).where(G.within("h", M.CLASS_HEIGHT["PERSON"])), [*keys, "det"]
+    c = cluster.components(cluster.label_components(owned, box), box).join(boxes, box)
     s = G.with_projection(c, "cx", "cy", "cz", shift="inference").withColumn("score", F.round(B.component_score("u", "v", B.box(""), "hspan", "vspan", "n"), 9))
-    return s.join(windows.ranked_components(s).where("rnk = 1").select("frame", "det", "label", "ambiguous"), ["frame", "det", "label"])
+    return s.join(windows.ranked_components(s, box).where("rnk = 1").select(*box, "label", "ambiguous"), [*box, "label"])
 
 
 def _flagged(spark, sf) -> DataFrame:
     """Gated points with the keeps of both priors, written once for all that reads them."""
-    keep = audit.occupancy_keep(F.lit("LEGACY"), "z", "h", "near", "temporal_keep", "person_owned")
-    return materialize(Q._flagged(spark, sf).withColumn("occupancy_keep", keep).select("frame", "pid", "x", "y", "z", "h", "u", "v", "depth", "temporal_keep", "occupancy_keep"), "online-flagged")
+    return materialize(_kept(Q._flagged(spark, sf), F.lit("LEGACY")), "online-flagged")
+
+
+def _kept(flagged: DataFrame, policy, *more: str) -> DataFrame:
+    keep = audit.occupancy_keep(policy, "z", "h", "near", "temporal_keep", "person_owned")
+    return flagged.withColumn("occupancy_keep", keep).select(*more, "frame", "pid", "x", "y", "z", "h", "u", "v", "depth", "temporal_keep", "occupancy_keep")
 
 
 def _measured(flagged: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -93,22 +97,27 @@ def sightings(*parts: DataFrame) -> DataFrame:
     return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
-def measured_sightings(spark, sf, flagged: DataFrame | None = None, boxes: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
-    """Scans with measured positions, with candidates from what occupancy removed where a person has none, and images between them."""
-    flagged = _flagged(spark, sf) if flagged is None else flagged
-    boxes = R.boxes(R.points(spark, sf)) if boxes is None else boxes
-    measured = _measured(flagged, boxes) if measured is None else measured
-    best = _best(flagged.where("temporal_keep and not occupancy_keep"), boxes)
+def _scans(flagged: DataFrame, boxes: DataFrame, measured: DataFrame, keys: tuple = ("frame",)) -> DataFrame:
+    """Scans with measured positions, with candidates from what occupancy removed beside them."""
+    box = [*keys, "det"]
+    best = _best(flagged.where("temporal_keep and not occupancy_keep"), boxes, keys)
     # a candidate competes if another person's box holds its pixel
-    other = boxes.select("frame", F.col("det").alias("other"), *[F.col(c).alias(f"o{c}") for c in CORNERS])
-    rivals = best.join(other, "frame").where("other <> det").where(B.inside("u", "v", B.box("o"))).select("frame", "det").distinct().withColumn("rival", F.lit(True))
-    candidate = best.join(rivals, ["frame", "det"], "left").select(
-        "frame", "det", F.col("n").cast("double").alias("rn"), F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("cz").alias("rz"), F.col("score").alias("rscore"),
+    other = boxes.select(*keys, F.col("det").alias("other"), *[F.col(c).alias(f"o{c}") for c in CORNERS])
+    rivals = best.join(other, list(keys)).where("other <> det").where(B.inside("u", "v", B.box("o"))).select(*box).distinct().withColumn("rival", F.lit(True))
+    candidate = best.join(rivals, box, "left").select(
+        *box, F.col("n").cast("double").alias("rn"), F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("cz").alias("rz"), F.col("score").alias("rscore"),
         B.inside("u", "v", B.box("")).alias("rinside"), B.plausible("hspan", "vspan").alias("rplausible"), F.coalesce("rival", F.lit(False)).alias("rcompetition"), F.col("ambiguous").alias("rambiguous"),
     )
-    place = measured.select("frame", "det", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    rows = boxes.join(place, ["frame", "det"], "left").join(candidate, ["frame", "det"], "left")
-    rows = rows.withColumns({"scene": F.floor(F.col("frame") / SCENE), "ns": (F.col("frame") % SCENE + 1) * PERIOD_NS, "kind": F.lit(online.SCAN)})
+    place = measured.select(*box, F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    rows = boxes.join(place, box, "left").join(candidate, box, "left")
+    return rows.withColumns({"scene": F.floor(F.col("frame") / SCENE), "ns": (F.col("frame") % SCENE + 1) * PERIOD_NS, "kind": F.lit(online.SCAN)})
+
+
+def measured_sightings(spark, sf, flagged: DataFrame | None = None, boxes: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """Measured scans, and images between them."""
+    flagged = _flagged(spark, sf) if flagged is None else flagged
+    boxes = R.boxes(R.points(spark, sf)) if boxes is None else boxes
+    rows = _scans(flagged, boxes, _measured(flagged, boxes) if measured is None else measured)
     return sightings(rows.drop("frame"), _images(rows))
 
 
@@ -132,6 +141,46 @@ def online_path(spark, sf):
     return online.batch(measured_sightings(spark, sf), recover=True).where(F.col("kind") == online.IMAGE)
 
 
+#: Policies that must agree row by row, with and without recovery.
+MIRRORED = [(f"GROUND_LIMITED{h}", f"HEIGHT_BANDED{h}") for h in ("", "_HISTORY")]
+VARIANTS = {p: [p, f"{p}_HISTORY"] for p in M.POLICIES}
+
+
+def variant_rows(spark, sf) -> DataFrame:
+    """The scans under every policy, with and without recovery: one table of flagged points, fanned out to the policies' states.
+
+    Each policy's points are keyed by (policy, frame), so all policies go through one plan.
+    """
+    flagged = materialize(Q._flagged(spark, sf), "variant-flagged")
+    policy = F.explode(F.array(*[F.lit(p) for p in M.POLICIES])).alias("policy")
+    points = _kept(flagged.select("*", policy), F.col("policy"), "policy")
+    boxes = R.boxes(R.points(spark, sf)).select("*", policy)
+    keys = ("policy", "frame")
+    measured = _best(points.where("temporal_keep and occupancy_keep"), boxes, keys)
+    rows = _scans(points, boxes, measured, keys).withColumn("variant", F.col("policy"))
+    shared = materialize(sightings(rows.drop("frame", "policy")), "variant-scans")
+    return online.batch(online.fan_out(shared, VARIANTS), {v: {"recover": v.endswith("_HISTORY")} for vs in VARIANTS.values() for v in vs}, prototypes={})
+
+
+@query()
+def variant_counters(spark, sf):
+    """Boxes, components and recoveries of each variant in each split."""
+    rows = variant_rows(spark, sf).withColumn("frame", F.col("scene") * SCENE + (F.col("ns") / PERIOD_NS).cast("long") - 1)
+    last = R.points(spark, sf).agg((F.max("frame") + 1).alias("frames"))
+    d = rows.crossJoin(F.broadcast(last)).withColumn("split", audit.split_of(F.col("frame"), F.col("frames")))
+    of = lambda s: F.count_if((F.col("det") >= 0) & (F.col("measurement_source") == s))
+    return d.groupBy("split", "variant").agg(
+        F.count_if("det >= 0").alias("person_boxes"), of("NORMAL_COMPONENT").alias("normal_components"), of("UNAVAILABLE").alias("unavailable"),
+        F.sum("recovery_attempts").alias("history_attempts"), F.sum("recovery_accepted").alias("history_recovered"),
+    )
+
+
+@query()
+def variant_mirrors(spark, sf):
+    """How many rows differ between variants that must agree."""
+    return online.mirrors(variant_rows(spark, sf), MIRRORED)
+
+
 def single_person(spark, sf) -> DataFrame:
     """Scenes of one person who walks and is lost now and then, and images with that person's box and another one."""
     p = R.points(spark, sf).groupBy("frame").agg(*[A.exact_mean(c).alias(f"m{c}") for c in "xyz"])

@@ -8,6 +8,10 @@ detections are matched with the fresh motions, projected ahead to its time; what
 The state is a few small maps of one row a live track, so a stream keeps them as typed map state, of which a
 batch of rows rewrites only the entries that changed; entries that can no longer matter are
 dropped.  A batch runs the same steps over rows sorted within partitions, and holds one unit at a time.
+
+Variants of a scene, as under several background policies, with and without recovery, are states of their own beside one
+another: rows carry the name of their variant, the key is (scene, variant), and ``fan_out`` gives a
+shared row to several variants.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from fusegrid.functions import model as M
@@ -31,11 +36,11 @@ from fusegrid.streaming.states import INFEASIBLE, accepted, motion_gate, overlap
 
 IMAGE, SCAN, LATE = 0, 1, 2
 #: A unit's rows: kind 0 image, 1 scan; det -1 says that a unit has no other row.  Positions, looks and candidates are those of scans.
-SIGHTING = "scene long, ns long, kind int, det int, cls string, conf double, x1 double, y1 double, x2 double, y2 double, x double, y double, z double, vector array<double>, rn double, rx double, ry double, rz double, rscore double, rinside boolean, rplausible boolean, rcompetition boolean, rambiguous boolean"
+SIGHTING = "scene long, ns long, kind int, det int, cls string, conf double, x1 double, y1 double, x2 double, y2 double, x double, y double, z double, vector array<double>, rn double, rx double, ry double, rz double, rscore double, rinside boolean, rplausible boolean, rcompetition boolean, rambiguous boolean, variant string"
 COLUMNS = tuple(c.split()[0] for c in SIGHTING.split(", "))
 COUNTS = ("detections", "measurements", "person_measurements", "robot_measurements", "recovery_attempts", "recovery_accepted", "recovery_rejected", "late")
 #: A row for each detection, and with det -1 one for each scan that has the counters, and one for late rows of a batch of a stream.
-ONLINE = "scene long, ns long, kind int, det int, track_id string, cls string, x double, y double, z double, vx double, vy double, fresh boolean, state_source string, state_status string, horizon_ms double, measurement_source string, identity string, " + ", ".join(f"{c} int" for c in COUNTS)
+ONLINE = "scene long, ns long, kind int, det int, track_id string, cls string, x double, y double, z double, vx double, vy double, fresh boolean, state_source string, state_status string, horizon_ms double, measurement_source string, identity string, " + ", ".join(f"{c} int" for c in COUNTS) + ", variant string"
 _OUT = tuple(c.split()[0] for c in ONLINE.split(", "))
 #: How long a motion that is not measured again is kept; a fresh one is far younger.
 MOTION_TTL_NS = 10_000_000_000
@@ -333,32 +338,55 @@ def _step(path: Path, ns: int, kind: int, rows: Iterable) -> list[dict]:
     return out
 
 
-def _frame(scene: int, rows: list[dict]) -> pd.DataFrame:
-    d = pd.DataFrame(rows, columns=list(_OUT)).assign(scene=scene)
+def _frame(scene: int, variant: str | None, rows: list[dict]) -> pd.DataFrame:
+    d = pd.DataFrame(rows, columns=list(_OUT)).assign(scene=scene, variant=variant)
     text = [c.split()[0] for c in ONLINE.split(", ") if c.endswith(" string")]
     return d.astype({c: "Int32" for c in COUNTS} | {"fresh": "boolean", "ns": "int64", "kind": "int32", "det": "int32"} | dict.fromkeys(text, object))
 
 
-_unit = lambda r: (r.scene, r.ns, r.kind)
+_unit = lambda r: (r.scene, None if pd.isna(r.variant) else r.variant, r.ns, r.kind)
+
+
+def _rows(sightings: DataFrame) -> DataFrame:
+    held = sightings if "variant" in sightings.columns else sightings.withColumn("variant", F.lit(None).cast("string"))
+    return held.select(*COLUMNS)
+
+
+def fan_out(sightings: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
+    """Each row once for each variant that its own name stands for (name: variants); rows of other names are left out."""
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in variants.items() for x in kv])
+    return sightings.withColumn("variant", F.explode(table[F.col("variant")])).select(*COLUMNS)
 
 
-def batch(sightings: DataFrame, **options) -> DataFrame:
-    """The path over all scenes of a table; a task streams its scenes in order and holds one unit."""
+def mirrors(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(left, right, differing): rows that one variant of a pair has and the other has not, or not as often; 0 for variants that must agree."""
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs]))
+    d = rows.withColumn("_p", pair).where(F.col("variant").isin(F.col("_p.left"), F.col("_p.right")))
+    n = d.groupBy("_p", *[c for c in rows.columns if c != "variant"]).agg(F.sum(F.when(F.col("variant") == F.col("_p.left"), 1).otherwise(-1)).alias("n"))
+    return n.groupBy("_p.left", "_p.right").agg(F.sum(F.abs("n")).alias("differing"))
+
+
+def batch(sightings: DataFrame, variants: dict[str, dict] | None = None, **options) -> DataFrame:
+    """The path over all scenes and variants of a table; a task streams them in order and holds one unit.
+
+    ``options`` are those of ``Path`` for all, ``variants`` the further ones by variant.
+    """
+    of_variant = variants or {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, of, out = Path(**options), None, []
+        path, of, out = Path(), (None, None), []
         rows = chain.from_iterable(f.itertuples(index=False) for f in frames)
-        for (scene, ns, kind), unit in groupby(rows, key=_unit):
-            if scene != of or len(out) > 4096:
+        for (*key, ns, kind), unit in groupby(rows, key=_unit):
+            if key != of or len(out) > 4096:
                 if out:
-                    yield _frame(of, out)
-                path, of, out = path if scene == of else Path(**options), scene, []
+                    yield _frame(*of, out)
+                path, of, out = path if key == of else Path(**options | of_variant.get(key[1], {})), key, []
             out += _step(path, int(ns), int(kind), unit)
         if out:
-            yield _frame(of, out)
+            yield _frame(*of, out)
 
-    rows = sightings.where(sightings["ns"] < END).select(*COLUMNS)
-    return rows.repartition("scene").sortWithinPartitions("scene", "ns", "kind", "det").mapInPandas(run, ONLINE)
+    rows = _rows(sightings.where(sightings["ns"] < END))
+    return rows.repartition("scene", "variant").sortWithinPartitions("scene", "variant", "ns", "kind", "det").mapInPandas(run, ONLINE)
 
 
 #: Schemas of the typed state; its rows cannot have a field named cls.
@@ -403,8 +431,8 @@ class OnlinePath(StatefulProcessor):
     that are done are counted as late and left out.
     """
 
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, options: dict, variants: dict[str, dict]):
+        self.options, self.variants = options, variants
 
     def init(self, handle) -> None:
         self.maps = {name: handle.getMapState(name, key, value) for name, (key, value, _) in MAPS.items()}
@@ -412,7 +440,7 @@ class OnlinePath(StatefulProcessor):
         self.waiting = handle.getListState("waiting", SIGHTING.replace("cls string", "entity string"))
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        path = Path(**self.options)
+        path = Path(**self.options | self.variants.get(key[1], {}))
         held: dict[str, dict[str, tuple]] = {}
         if self.clock.exists():
             path.clock = Clock(*self.clock.get())
@@ -433,7 +461,7 @@ class OnlinePath(StatefulProcessor):
             if unit == last:
                 keep = list(part)
             else:
-                out += _step(path, int(unit[1]), int(unit[2]), part)
+                out += _step(path, int(unit[2]), int(unit[3]), part)
         for name, m in self.maps.items():
             now = {k: _plain(v) for k, v in getattr(path, name).items()}
             for k in held[name].keys() - now.keys():
@@ -444,12 +472,12 @@ class OnlinePath(StatefulProcessor):
         self.clock.update(tuple(path.clock))
         self.waiting.put([tuple(r) for r in keep]) if keep else self.waiting.clear()
         if out:
-            yield _frame(int(key[0]), out)
+            yield _frame(int(key[0]), key[1], out)
 
     def close(self) -> None:
         pass
 
 
-def stream(sightings: DataFrame, **options) -> DataFrame:
+def stream(sightings: DataFrame, variants: dict[str, dict] | None = None, **options) -> DataFrame:
     """The path over a stream; the session must keep state in RocksDB (see ``with_rocksdb``)."""
-    return sightings.select(*COLUMNS).groupBy("scene").transformWithStateInPandas(OnlinePath(options), ONLINE, "append", "none")
+    return _rows(sightings).groupBy("scene", "variant").transformWithStateInPandas(OnlinePath(options, variants or {}), ONLINE, "append", "none")

@@ -192,10 +192,43 @@ def test_late_rows_of_a_stream_are_counted_and_left_out(spark, tmp_path):
     late = "scene = 1 and ns between 500e6 and 600e6"
     n = rows.where(late).count()
     got = collected(streamed(spark, rows, tmp_path, [f"not ({late})", late], **options))
-    assert [r[-1] for r in got if r[2] == online.LATE] == [n] and n > 0
+    assert [r[-2] for r in got if r[2] == online.LATE] == [n] and n > 0
     assert [r for r in got if r[2] != online.LATE] == collected(online.batch(rows.where(f"not ({late})"), **options))
 
 
+def test_variants_side_by_side_equal_runs_of_their_own(spark, tmp_path):
+    rows = recording(spark)
+    options = {"plain": {}, "recovering": {"recover": True}, "aware": {"prototypes": LOOKS}, "mirror": {}}
+    plain = rows.where("cls <> 'ROBOT' or cls is null")
+    shared = plain.withColumn("variant", F.lit("a")).unionByName(rows.withColumn("variant", F.lit("b")))
+    fanned = online.fan_out(shared, {"a": ["plain", "recovering", "mirror"], "b": ["aware"]})
+    got = online.batch(fanned, options)
+    for name, own in options.items():
+        alone = online.batch(rows if name == "aware" else plain, **own)
+        assert collected(got.where(F.col("variant") == name).drop("variant")) == collected(alone.drop("variant"))
+    differing = {(r.left, r.right): r.differing for r in online.mirrors(got, [("plain", "mirror"), ("plain", "recovering")]).collect()}
+    assert differing["plain", "mirror"] == 0 < differing["plain", "recovering"]
+    folder = tmp_path / "in"
+    for part in ("ns < 900e6", "ns >= 900e6"):
+        fanned.where(part).coalesce(1).write.mode("append").parquet(str(folder))
+    fanned.dropDuplicates(["scene", "variant"]).withColumn("ns", F.lit(END)).coalesce(1).write.mode("append").parquet(str(folder))
+    with SQ.with_rocksdb(spark):
+        stream = online.stream(SQ.read_parquet_stream(spark, str(folder), fanned.schema, 1), options)
+        out = SQ.run_once(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    assert collected(out) == collected(got)
+
+
+def test_policies_that_mean_the_same_stay_the_same(spark):
+    rows = Q.variant_rows(spark, SF).persist()
+    try:
+        assert {r.differing for r in online.mirrors(rows, Q.MIRRORED).collect()} == {0}
+        legacy = rows.where("variant = 'LEGACY' and det = -1").agg(F.sum("measurements")).first()[0]
+        assert legacy == Q.scan_counters(spark, SF).agg(F.sum("measurements")).first()[0]
+        assert rows.select("variant").distinct().count() == 2 * len(M.POLICIES)
+    finally:
+        rows.unpersist()
+
+
 def test_path_over_an_empty_table(spark):
     assert online.batch(spark.createDataFrame([], online.SIGHTING)).collect() == []
 
