@@ -128,8 +128,8 @@ def _voxeled(spark, sf):
     return R.points(spark, sf).withColumns(dict(zip(("kx", "ky", "kz"), G.voxel("x", "y", "z", size=0.5), strict=True)))
 
 
-def _prior(v):
-    return A.frequent_voxels(v, "frame", ("kx", "ky", "kz"), 0.12, 3)
+def _prior(v, share=0.12):
+    return A.frequent_voxels(v, "frame", ("kx", "ky", "kz"), share, 3)
 
 
 @query(f"WITH {O.POINTS}, {_VOXELS} SELECT * FROM prior")
@@ -157,11 +157,11 @@ flagged AS (SELECT g.frame, g.pid, g.z, g.h, n.pid IS NOT NULL AS near, p.kx IS
   LEFT JOIN prior p ON p.kx = CAST(floor(g.x / 0.5e0) AS INTEGER) AND p.ky = CAST(floor(g.y / 0.5e0) AS INTEGER) AND p.kz = CAST(floor(g.z / 0.5e0) AS INTEGER))"""
 
 
-def _flagged(spark, sf):
+def _flagged(spark, sf, share=0.12):
     g = _gated(spark, sf).withColumns(dict(zip(("kx", "ky", "kz"), G.voxel("x", "y", "z", size=0.5), strict=True)))
     near = joins.near_any(R.points(spark, sf), R.occupancy(spark, sf), M.OCCUPANCY_RADIUS_M).select("frame", "pid", F.lit(True).alias("near"))
     own = _owned(spark, sf).select("frame", "pid", F.lit(True).alias("person_owned"))
-    g = joins.voxel_flag(g, _prior(_voxeled(spark, sf))).join(near, ["frame", "pid"], "left").join(own, ["frame", "pid"], "left")
+    g = joins.voxel_flag(g, _prior(_voxeled(spark, sf), share)).join(near, ["frame", "pid"], "left").join(own, ["frame", "pid"], "left")
     return g.fillna(False, ["near", "person_owned"]).withColumn("temporal_keep", ~F.col("in_prior"))
 
 

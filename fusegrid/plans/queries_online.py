@@ -20,6 +20,8 @@ from fusegrid.streaming import online
 QUERIES, ORACLES, query = registry()
 n = O.n
 SCENE, PERIOD_NS = 50, 100_000_000
+#: The share of frames in which a voxel of the temporal prior is seen; a lower one would leave next to nothing of these points.
+PRIOR_SHARE = 0.35
 CORNERS = ("x1", "y1", "x2", "y2")
 _LOW, _HIGH = M.CLASS_HEIGHT["PERSON"]
 
@@ -34,7 +36,7 @@ def _best(points: DataFrame, boxes: DataFrame, keys: tuple = ("frame",)) -> Data
 
 def _flagged(spark, sf) -> DataFrame:
     """Gated points with the keeps of both priors, written once for all that reads them."""
-    return materialize(_kept(Q._flagged(spark, sf), F.lit("LEGACY")), "online-flagged")
+    return materialize(_kept(Q._flagged(spark, sf, PRIOR_SHARE), F.lit("LEGACY")), "online-flagged")
 
 
 def _kept(flagged: DataFrame, policy, *more: str) -> DataFrame:
@@ -64,7 +66,7 @@ def _counters(spark, sf, flagged: DataFrame, boxes: DataFrame, measured: DataFra
     return out.fillna(0).select("frame", *GEOMETRIC)
 
 
-_USABLE = f"""{O.OCC}, {Q._NEAR}, {Q._VOXELS}, kept AS (SELECT g.*, p.kx IS NULL AS temporal, NOT (n.pid IS NOT NULL AND (g.z - g.h <= 0.28e0 OR g.z - g.h >= 1.9e0)) AS clear FROM gated g LEFT JOIN near n ON g.frame = n.frame AND g.pid = n.pid
+_USABLE = f"""{O.OCC}, {Q._NEAR}, {Q._VOXELS.replace("0.12e0", n(PRIOR_SHARE))}, kept AS (SELECT g.*, p.kx IS NULL AS temporal, NOT (n.pid IS NOT NULL AND (g.z - g.h <= 0.28e0 OR g.z - g.h >= 1.9e0)) AS clear FROM gated g LEFT JOIN near n ON g.frame = n.frame AND g.pid = n.pid
   LEFT JOIN prior p ON p.kx = CAST(floor(g.x / 0.5e0) AS INTEGER) AND p.ky = CAST(floor(g.y / 0.5e0) AS INTEGER) AND p.kz = CAST(floor(g.z / 0.5e0) AS INTEGER)),
 usable AS (SELECT * EXCLUDE (temporal, clear) FROM kept WHERE temporal AND clear),
 {O.OWNED.replace("FROM gated g", "FROM usable g").replace("WHERE rn = 1", f"WHERE rn = 1 AND h BETWEEN {_LOW} AND {_HIGH}")}"""
@@ -151,7 +153,7 @@ def variant_rows(spark, sf) -> DataFrame:
 
     Each policy's points are keyed by (policy, frame), so all policies go through one plan.
     """
-    flagged = materialize(Q._flagged(spark, sf), "variant-flagged")
+    flagged = materialize(Q._flagged(spark, sf, PRIOR_SHARE), "variant-flagged")
     policy = F.explode(F.array(*[F.lit(p) for p in M.POLICIES])).alias("policy")
     points = _kept(flagged.select("*", policy), F.col("policy"), "policy")
     boxes = R.boxes(R.points(spark, sf)).select("*", policy)
@@ -163,20 +165,20 @@ def variant_rows(spark, sf) -> DataFrame:
 
 
 @query()
-def variant_counters(spark, sf):
+def online_variant_counters(spark, sf):
     """Boxes, components and recoveries of each variant in each split."""
     rows = variant_rows(spark, sf).withColumn("frame", F.col("scene") * SCENE + (F.col("ns") / PERIOD_NS).cast("long") - 1)
     last = R.points(spark, sf).agg((F.max("frame") + 1).alias("frames"))
     d = rows.crossJoin(F.broadcast(last)).withColumn("split", audit.split_of(F.col("frame"), F.col("frames")))
     of = lambda s: F.count_if((F.col("det") >= 0) & (F.col("measurement_source") == s))
     return d.groupBy("split", "variant").agg(
-        F.count_if("det >= 0").alias("person_boxes"), of("NORMAL_COMPONENT").alias("normal_components"), of("UNAVAILABLE").alias("unavailable"),
+        F.count_if(F.col("det") >= 0).alias("person_boxes"), of("NORMAL_COMPONENT").alias("normal_components"), of("UNAVAILABLE").alias("unavailable"),
         F.sum("recovery_attempts").alias("history_attempts"), F.sum("recovery_accepted").alias("history_recovered"),
     )
 
 
 @query()
-def variant_mirrors(spark, sf):
+def online_variant_mirrors(spark, sf):
     """How many rows differ between variants that must agree."""
     return online.mirrors(variant_rows(spark, sf), MIRRORED)
 
