@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fusegrid.operators import aggregates as A
 from fusegrid.plans.registry import registry
+from fusegrid.sources import oracle as O
 from fusegrid.sources import relations as R
-from fusegrid.streaming import folds
+from fusegrid.streaming import folds, thresholds
 
 QUERIES, ORACLES, query = registry()
 KNOWN = {"G01": [1.0, 0.0], "G02": [0.0, 1.0]}
@@ -90,6 +92,60 @@ def recovery_decisions(spark, sf):
     return folds.recovery(_candidates(spark, sf))
 
 
+_SHAPES = f"""{O.POINTS}, thirds AS (SELECT frame, pid % 3 + 1 AS det, count(*) AS n, CAST(sum(CAST(x AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mx, CAST(sum(CAST(y AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS my, greatest(max(x) - min(x), max(y) - min(y)) AS hspan, max(z) - min(z) AS vspan FROM points GROUP BY ALL),
+s AS (SELECT frame // 50 AS scene, frame % 50 AS place, frame, det, det * 2 + frame % 7 / 1e1 + mx / 1e2 AS x, my / 1e2 AS y, hspan, vspan, n, mx / 1e1 AS cu, my / 1e1 AS cv, row_number() OVER (PARTITION BY frame // 50, det ORDER BY frame) AS k FROM thirds WHERE (frame + det) % 3 <> 0)"""
+
+
+def _shaped(spark, sf):
+    """Ordinary measurements of three tracks with their shapes, and every third time a component that suppression removed."""
+    p = R.points(spark, sf).groupBy("frame", (F.pmod("pid", F.lit(3)) + 1).cast("int").alias("det"))
+    p = p.agg(F.count(F.lit(1)).alias("n"), A.exact_mean("x").alias("mx"), A.exact_mean("y").alias("my"), F.avg("z").alias("z"), F.greatest(A.span("x"), A.span("y")).alias("hspan"), A.span("z").alias("vspan"))
+    frame, det = F.col("frame"), F.col("det")
+    return p.select(
+        F.floor(frame / 50).alias("scene"), (frame % 50).alias("frame"), det.cast("string").alias("track_id"), ((frame + det) % 3 != 0).alias("normal"), (det * 2 + frame % 7 / 10 + F.col("mx") / 100).alias("x"), (F.col("my") / 100).alias("y"), "z",
+        "n", ((frame % 7) / 5).alias("score"), F.lit(True).alias("inside"), (frame % 5 != 0).alias("plausible"), F.lit(False).alias("competition"), (frame % 8 == 0).alias("ambiguous"), "hspan", "vspan", (F.col("mx") / 10).alias("cu"), (F.col("my") / 10).alias("cv"),
+    )
+
+
+#: The frames of a scene on which limits are learnt, and how many changes they need here.
+FIT, ENOUGH = "frame < 25", 5
+
+
+_GAP = "(s.place - r.place)"
+
+
+def _near(x: str) -> str:
+    """An expression where the last measurement is not too old."""
+    return f"CASE WHEN {_GAP} <= 10 THEN {x} END"
+
+
+def _ratio(c: str) -> str:
+    return _near(f"abs(ln(greatest(s.{c}, 1e-6) / greatest(CAST(r.{c} AS DOUBLE), 1e-6)))")
+
+
+_NONE = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("innovation", "h", "v", "c", "du", "dv"))
+
+
+@query(f"""WITH RECURSIVE {_SHAPES}, r AS (SELECT scene, det, k, place, x, y, hspan, vspan, n, cu, cv, 0e0 AS vx, 0e0 AS vy, {_NONE} FROM s WHERE k = 1
+UNION ALL SELECT s.scene, s.det, s.k, s.place, s.x, s.y, s.hspan, s.vspan, s.n, s.cu, s.cv, coalesce({_near(f"0.72e0 * r.vx + 0.28e0 * (s.x - r.x) / {_GAP}")}, 0e0), coalesce({_near(f"0.72e0 * r.vy + 0.28e0 * (s.y - r.y) / {_GAP}")}, 0e0),
+  {_near(f"sqrt(power(s.x - r.x - r.vx * {_GAP}, 2) + power(s.y - r.y - r.vy * {_GAP}, 2))")}, {_ratio("hspan")}, {_ratio("vspan")}, {_ratio("n")}, {_near("abs(s.cu - r.cu)")}, {_near("abs(s.cv - r.cv)")} FROM r JOIN s ON s.scene = r.scene AND s.det = r.det AND s.k = r.k + 1),
+l AS (SELECT unnest(['{"', '".join(thresholds.MEASURES)}']) AS measure, unnest([innovation, h, v, c, du, dv]) AS value FROM r WHERE place < 25 AND innovation IS NOT NULL),
+m AS (SELECT *, median(value) OVER (PARTITION BY measure) AS med FROM l), q AS (SELECT measure, count(*) AS n, least(quantile_cont(value, 0.99), greatest(any_value(med) + 3 * 1.4826e0 * median(abs(value - med)), quantile_cont(value, 0.9))) AS lim FROM m GROUP BY measure HAVING count(*) >= {ENOUGH})
+SELECT measure, n, round(CASE WHEN measure = 'innovation' THEN least(lim, 1.2e0) ELSE lim END, 9) AS "limit" FROM q""")
+def consistency_limits(spark, sf):
+    """The limits of ordinary change in place and shape, frozen on the first frames of the scenes."""
+    rows = _shaped(spark, sf).where("normal")
+    return thresholds.frozen(thresholds.changes(rows), FIT, ENOUGH).select("measure", "n", F.round("limit", 9).alias("limit"))
+
+
+@query()
+def strict_recovery_decisions(spark, sf):
+    """Decisions on candidates under the frozen limits."""
+    rows = _shaped(spark, sf)
+    limits = thresholds.limits_of(thresholds.frozen(thresholds.changes(rows.where("normal")), FIT, ENOUGH))
+    return folds.recovery(rows, limits=limits)
+
+
 def _people(spark, sf):
     """Tracks that are named like identities for twenty frames, and vanish now and then."""
     s = _scenes(spark, sf).where((F.col("frame") % 6) != F.col("det"))

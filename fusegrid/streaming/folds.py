@@ -147,20 +147,36 @@ def motion(events: DataFrame) -> DataFrame:
     return fold(events, "scene", ["ts_ns", "kind", "track_id"], MOTION, S.MotionBank, step)
 
 
+DECISIONS = "scene long, frame long, track_id string, accepted boolean, reason string"
+
+
+def shape_of(r) -> tuple | None:
+    """Spans, count and relative centre of a row that has them."""
+    if not hasattr(r, "hspan") or pd.isna(r.hspan):
+        return None
+    return float(r.hspan), float(r.vspan), float(r.n), float(r.cu), float(r.cv)
+
+
+def candidate_of(r) -> dict:
+    return {"xyz": _xyz(r), "n": r.n, "score": r.score, "inside": r.inside, "plausible": r.plausible, "competition": r.competition, "ambiguous": r.ambiguous, "signature": shape_of(r)}
+
+
 def recovery(rows: DataFrame, seeds_allowed: bool = False, limits: tuple | None = None) -> DataFrame:
-    """Decisions on candidates (scene, frame, track_id, normal, x, y, z, n, score, inside, plausible, competition, ambiguous)."""
+    """Decisions on candidates (scene, frame, track_id, normal, x, y, z, n, score, inside, plausible, competition, ambiguous).
+
+    ``limits`` (see ``thresholds.limits_of``) make them strict; rows then also have hspan, vspan, cu and cv.
+    """
 
     def step(s: Recovery, part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in part.itertuples():
             if r.normal:
-                s.observe(r.track_id, _xyz(r), int(r.frame))
+                s.observe(r.track_id, _xyz(r), int(r.frame), shape_of(r))
                 continue
-            c = {"xyz": _xyz(r), "n": r.n, "score": r.score, "inside": r.inside, "plausible": r.plausible, "competition": r.competition, "ambiguous": r.ambiguous}
-            out.append((r.scene, r.frame, r.track_id, *s.consider(r.track_id, c, int(r.frame))))
+            out.append((r.scene, r.frame, r.track_id, *s.consider(r.track_id, candidate_of(r), int(r.frame))))
         return pd.DataFrame(out, columns=["scene", "frame", "track_id", "accepted", "reason"])
 
-    return fold(rows, "scene", ["frame", "track_id"], "scene long, frame long, track_id string, accepted boolean, reason string", lambda: Recovery(seeds_allowed, limits), step)
+    return fold(rows, "scene", ["frame", "track_id"], DECISIONS, lambda: Recovery(seeds_allowed, limits), step)
 
 
 def identities(rows: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
