@@ -7,6 +7,7 @@ windows; none is a cross join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fusegrid.functions import boxes as B
 from fusegrid.functions import model as M
+from fusegrid.plans.scratch import materialize
 
 
 def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, tolerance: int | None, by: Sequence[str] = ()) -> DataFrame:
@@ -123,6 +125,41 @@ def nearest_k(rows: DataFrame, keys: Sequence[str], row: str, k: int, radius: fl
     return pair.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, row, "neighbour", "distance", "rank")
 
 
+def nearest_of(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, other: str, k: int, radius: float, x: str = "u", y: str = "v") -> DataFrame:
+    """(keys, row, other, distance, rank): the k nearest right rows of each left row, however far.
+
+    Rings of cells: a round takes the rows within the radius, over cells of it; a left row with k of them is done, as
+    all others lie farther; the rest go on with twice the radius, until it spans both sides of their
+    keys, and then have all that there are.  So crowded places are searched over small cells only, and the few rows in
+    empty ones over large cells.  ``row`` names a left row within its keys.  Ties go to the smaller ``other``; coordinates that are null or not finite take no part.
+    """
+    whole = lambda d: d.where(F.abs(x) < float("inf")).where(F.abs(y) < float("inf"))
+    points = whole(right).select(*keys, F.col(other), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    rest, found = whole(left).select(*keys, row, x, y), []
+    both = rest.select(*keys, x, y).unionByName(points.select(*keys, F.col("_x").alias(x), F.col("_y").alias(y)))
+    spans = both.groupBy(*keys).agg(F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("_span"))
+    rest = materialize(rest.join(spans, list(keys)), "nearest-rest")
+    while not rest.isEmpty():
+        cell = lambda c, r=radius: F.floor(F.col(c) / r).cast("long")
+        near = points
+        for name, c in (("_cx", "_x"), ("_cy", "_y")):
+            near = near.withColumn(name, F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])))
+        pair = rest.withColumns({"_cx": cell(x), "_cy": cell(y)}).join(near, [*keys, "_cx", "_cy"]).withColumn("distance", F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
+        w = W.partitionBy(*keys, row).orderBy("distance", other)
+        best = pair.where(F.col("distance") <= radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = materialize(best.select(*keys, row, other, "distance", "rank", "_span"), "nearest-best")
+        done = best.groupBy(*keys, row).agg(F.max("rank").alias("_n"), F.first("_span").alias("_span")).where((F.col("_n") >= k) | (F.col("_span") <= radius)).select(*keys, row)
+        found.append(best.join(done, [*keys, row], "left_semi").drop("_span"))
+        rest = materialize(rest.where(F.col("_span") > radius).join(done, [*keys, row], "left_anti"), "nearest-rest")
+        radius *= 2
+    return reduce(DataFrame.union, found) if found else best_of_none(left, right, keys, row, other)
+
+
+def best_of_none(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, other: str) -> DataFrame:
+    """The columns of ``nearest_of`` without a row."""
+    return left.join(right.select(*keys, other), list(keys)).where(F.lit(False)).select(*keys, row, other, F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+
+
 def nearest_box(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, limit: float = 1e-6) -> DataFrame:
     """The right box of least greatest coordinate difference for each left box, and whether it is within the limit.  Boxes: l_* and r_*."""
     gap = F.greatest(*[F.abs(F.col(f"l_{k}") - F.col(f"r_{k}")) for k in ("x1", "y1", "x2", "y2")])

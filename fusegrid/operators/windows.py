@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from math import inf
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,19 +23,17 @@ def ranked_components(scored: DataFrame, keys: Sequence[str] = ("frame", "det"))
 
 
 def ewma_velocity(rows: DataFrame, key: str, t: str, x: str, per: float = 1.0) -> DataFrame:
-    """Final (n, velocity) of each key: v = .72 v + .28 dx/dt, folded over the rows in time order.
+    """Final (n, velocity) of each key: v = .72 v + .28 dx/dt over the rows in time order, skipping steps of no time.
 
-    A recursion, so an ordered fold; a key's rows are (time, value) pairs only.
+    The recursion in closed form: step e of E counts .28 * .72 ** (E - e), so a key is a sorted stream and no array.
     """
-    state = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("v"))
-
-    def step(s, r):
-        dt = (r["t"] - s["t"]) / per
-        v = F.when(s["t"].isNotNull() & (dt > 1e-6), s["v"] * M.EWMA_KEEP + (r["x"] - s["x"]) / dt * M.EWMA_NEW).otherwise(F.when(s["t"].isNull(), F.lit(0.0)).otherwise(s["v"]))
-        return F.struct(r["t"].alias("t"), r["x"].alias("x"), v.alias("v"))
-
-    series = F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(x).cast("double").alias("x"))))
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.aggregate(series, state, step)["v"].alias("velocity"))
+    w = W.partitionBy(key).orderBy("_t", "_x")
+    d = rows.select(key, F.col(t).cast("double").alias("_t"), F.col(x).cast("double").alias("_x"))
+    d = d.withColumns({"_dt": (F.col("_t") - F.lag("_t").over(w)) / per, "_dx": F.col("_x") - F.lag("_x").over(w)})
+    d = d.withColumn("_r", F.when(F.col("_dt") > 1e-6, F.col("_dx") / F.col("_dt")))
+    d = d.withColumns({"_e": F.count("_r").over(w.rowsBetween(W.unboundedPreceding, 0)), "_all": F.count("_r").over(W.partitionBy(key))})
+    part = F.col("_r") * F.pow(F.lit(M.EWMA_KEEP), F.col("_all") - F.col("_e")) * M.EWMA_NEW
+    return d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part), F.lit(0.0)).alias("velocity"))
 
 
 def monotonic(rows: DataFrame, key: Sequence[str], order: str, value: str) -> DataFrame:
@@ -180,18 +180,25 @@ def indexed(events: DataFrame, topic: str, arrival: Sequence[str], limit: int |
 def backlog_drops(frames: DataFrame, keys: Sequence[str], due: str, cost: str, limit: float) -> DataFrame:
     """``processed``: whether a frame is worked on by one worker that drops what is more than ``limit`` late.
 
-    The worker's free time depends on what it dropped before, so it is a fold over a key's (due, cost) pairs.
+    The worker's free time depends on what it dropped before, so a task streams its keys' frames in order, and holds that time only.
     """
-    none = F.array().cast("array<struct<due:double,ok:boolean>>")
-
-    def step(s, r):
-        ok = s["free"] - r["due"] <= limit
-        free = F.when(ok, F.greatest(s["free"], r["due"]) + r["cost"]).otherwise(s["free"])
-        return F.struct(free.alias("free"), F.concat(s["out"], F.array(F.struct(r["due"].alias("due"), ok.alias("ok")))).alias("out"))
 
-    rows = F.sort_array(F.collect_list(F.struct(F.col(due).cast("double").alias("due"), F.col(cost).cast("double").alias("cost"))))
-    g = frames.groupBy(*keys).agg(F.aggregate(rows, F.struct(F.lit(float("-inf")).alias("free"), none.alias("out")), step)["out"].alias("out"))
-    return g.select(*keys, F.explode("out").alias("r")).select(*keys, F.col("r.due").alias(due), F.col("r.ok").alias("processed"))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, free = None, -inf
+        for p in parts:
+            taken = []
+            for *key, at, work in p.itertuples(index=False, name=None):
+                if key != of:
+                    of, free = key, -inf
+                taken.append(free - at <= limit)
+                if taken[-1]:
+                    free = max(free, at) + work
+            yield p[[*keys, due]].assign(processed=taken)
+
+    types = dict(frames.dtypes)
+    d = frames.select(*keys, F.col(due).cast("double").alias(due), F.col(cost).cast("double").alias(cost))
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {due} double, processed boolean"
+    return d.repartition(*keys).sortWithinPartitions(*keys, due, cost).mapInPandas(run, schema)
 
 
 def token_rank(column: str, tokens: Sequence[str]) -> Column:

@@ -428,13 +428,13 @@ def freshness(spark, sf):
     return d.groupBy(G.fresh("age", 180_000_000).alias("fresh")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{E._EMB}, c AS (SELECT vec_id // 2 AS frame, vec_id % 2 AS cand, proto.label, 1e0 - list_inner_product(v, c) AS d FROM e CROSS JOIN proto WHERE proto.label < 4),
+@query(f"""{E._EMB}, c AS (SELECT vec_id // 2 AS frame, vec_id % 2 AS cand, proto.label, 1e0 - list_inner_product(v, c) AS d FROM e CROSS JOIN proto),
 w AS (SELECT a.frame, a.label AS l0, b.label AS l1, a.d AS d0, b.d AS d1, row_number() OVER (PARTITION BY a.frame ORDER BY a.d + b.d, a.label) AS rn FROM c a JOIN c b ON a.frame = b.frame AND a.cand = 0 AND b.cand = 1 AND a.label <> b.label)
 SELECT frame, CAST(0 AS BIGINT) AS cand, l0 AS label, round(d0, 6) AS d FROM w WHERE rn = 1 AND d0 <= 0.9e0 UNION ALL SELECT frame, 1, l1, round(d1, 6) FROM w WHERE rn = 1 AND d1 <= 0.9e0""")
 def assignment_identity(spark, sf):
-    """New identities: the candidates of a frame against the prototypes that nobody has, by looks."""
+    """New identities: the candidates of a frame against all prototypes, none of which anybody has, by looks."""
     e = R.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("frame"), (F.col("vec_id") % 2).alias("cand"), "embedding")
-    c = e.crossJoin(joins.small(E._protos(spark, sf).where("label < 4"))).withColumn("d", V.cosine_distance("embedding", "c"))
+    c = e.crossJoin(joins.small(E._protos(spark, sf))).withColumn("d", V.cosine_distance("embedding", "c"))
     return assign.assign(c, ["frame"], "cand", "label", "d", None, 0.9).select("frame", "cand", "label", r6("d"))
 
 

@@ -247,6 +247,20 @@ def ring_edges(spark, sf):
     return windows.ring_edges(R.points(spark, sf)).select("frame", "pid", "ring")
 
 
+@query(f"""WITH {O.BASE}, s AS (SELECT *, sqrt(x * x + y * y + z * z) AS range, degrees(atan2(y, x)) AS azimuth, degrees(atan2(z, sqrt(x * x + y * y))) AS elevation FROM proj),
+k AS (SELECT *, CAST(greatest(0, least(15, ceil((elevation + 15e0) / 2e0 - 0.5e0))) AS INTEGER) AS ring FROM s WHERE range BETWEEN 1 AND 18),
+m AS (SELECT *, count(*) OVER (PARTITION BY frame, ring) AS c FROM k WHERE abs(elevation - (ring * 2 - 15)) < 0.75e0),
+e AS (SELECT *, lag(azimuth) OVER w AS pa, lag(range) OVER w AS pr, lead(azimuth) OVER w AS na, lead(range) OVER w AS nr FROM m WHERE c >= 4 WINDOW w AS (PARTITION BY frame, ring ORDER BY azimuth, pid)),
+edge AS (SELECT frame, pid AS edge, u, v FROM e WHERE valid AND ((abs(pa - azimuth) > 0.01e0 AND abs(pa - azimuth) < 0.45e0 AND abs(pr - range) > greatest(0.25e0, least(pr, range) * 0.045e0))
+  OR (abs(na - azimuth) > 0.01e0 AND abs(na - azimuth) < 0.45e0 AND abs(nr - range) > greatest(0.25e0, least(nr, range) * 0.045e0)))),
+r AS (SELECT g.frame, g.pid, edge, sqrt(power(g.u - edge.u, 2) + power(g.v - edge.v, 2)) AS distance, row_number() OVER (PARTITION BY g.frame, g.pid ORDER BY sqrt(power(g.u - edge.u, 2) + power(g.v - edge.v, 2)), edge) AS rank FROM gated g JOIN edge ON g.frame = edge.frame)
+SELECT frame, pid, edge, round(distance, 4) AS distance, rank FROM r WHERE rank <= 2""")
+def nearest_edges(spark, sf):
+    """The two depth edges of a scan that are nearest to each point's pixel, however far."""
+    edges = R.projected(windows.ring_edges(R.points(spark, sf))).where("valid").select("frame", F.col("pid").alias("edge"), "u", "v")
+    return joins.nearest_of(_gated(spark, sf), edges, ["frame"], "pid", "edge", 2, 16.0).select("frame", "pid", "edge", F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {O.BASE}, p AS (SELECT a.frame, a.det, b.det AS other, greatest(0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS both_,
   (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb FROM boxes a JOIN boxes b ON a.frame = b.frame AND a.det < b.det)
 SELECT frame, det, other, round(both_ / greatest(sa + sb - both_, 1e-9), 6) AS iou, round(both_ / greatest(least(sa, sb), 1e-9), 6) AS over_smaller FROM p""")

@@ -113,6 +113,29 @@ def test_even_sample_of_a_whole_table_equals_the_keyed_one(spark):
         assert a == b and len(a) == min(n, 20)
 
 
+def test_nearest_of_any_distance_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    points = lambda n, f: [(f, i, float(u), float(v)) for i, (u, v) in enumerate(rng.normal(0, 3, (n, 2)))]
+    left = points(60, 0) + [(0, 100, 5000.0, 0.0), (0, 101, float("nan"), 0.0), (0, 102, None, 1.0)] + points(4, 1) + points(3, 2)
+    right = points(200, 0) + [(0, 300, 4000.0, 900.0), (0, 301, 1.0, 1.0), (0, 302, 1.0, 1.0)] + [(1, 0, 7.0, 7.0)]
+    l, r = (spark.createDataFrame(x, f"frame int, {n} int, u double, v double") for x, n in ((left, "a"), (right, "b")))  # noqa: E741
+    want = []
+    for f, i, u, v in left:
+        if u is not None and u == u:
+            near = sorted((np.hypot(u - x, v - y), j) for g, j, x, y in right if g == f)[:3]
+            want += [(f, i, j, pytest.approx(float(d)), k + 1) for k, (d, j) in enumerate(near)]
+    for radius in (0.05, 1.0, 1e5):
+        got = sorted((x.frame, x.a, x.b, x.distance, x["rank"]) for x in joins.nearest_of(l, r, ["frame"], "a", "b", 3, radius).collect())
+        assert got == sorted(want, key=lambda x: (x[0], x[1], x[2]))
+    assert joins.nearest_of(l.where("a < 0"), r, ["frame"], "a", "b", 3, 1.0).collect() == []
+
+
+def test_backlog_streams_one_worker_a_key(spark):
+    rows = [("a", 0.0, 5.0), ("a", 1.0, 5.0), ("a", 2.0, 5.0), ("a", 9.0, 1.0), ("b", 0.0, 1.0), ("b", 0.5, 1.0)]
+    got = windows.backlog_drops(spark.createDataFrame(rows, "k string, due double, cost double"), ["k"], "due", "cost", 4.0).collect()
+    assert sorted(map(tuple, got)) == [("a", 0.0, True), ("a", 1.0, True), ("a", 2.0, False), ("a", 9.0, True), ("b", 0.0, True), ("b", 0.5, True)]
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(None, 4), (5, 5)] + [(1000 + i, 1001 + i) for i in range(40)]
