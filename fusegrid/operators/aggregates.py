@@ -13,7 +13,7 @@ from fusegrid.operators.selection import quantiles
 from fusegrid.operators.windows import running_total
 
 
-def quantile(x: str, p: float) -> Column:
+def quantile(x: Column | str, p: float) -> Column:
     """Exact, linearly interpolated, for groups that fit a task, as a box's points; ``selection.quantiles`` serves any."""
     return F.percentile(x, F.lit(p))
 

@@ -9,9 +9,10 @@ from fusegrid.functions import boxes as B
 from fusegrid.functions import geometry as G
 from fusegrid.functions import model as M
 from fusegrid.operators import aggregates as A
-from fusegrid.operators import audit, cluster, joins, windows
+from fusegrid.operators import audit, cluster, joins, residuals, windows
+from fusegrid.operators.residuals import CONFIG as AUDIT
 from fusegrid.plans import queries_geometry as Q
-from fusegrid.plans.registry import registry
+from fusegrid.plans.registry import r6, registry
 from fusegrid.plans.scratch import materialize
 from fusegrid.sources import oracle as O
 from fusegrid.sources import relations as R
@@ -200,6 +201,34 @@ def single_person(spark, sf) -> DataFrame:
     return sightings(scan, image)
 
 
+#: Scans until the audit of a scene here, and how many of them need samples.
+WARMUP, SAMPLED = 10, 5
+
+
+def _bins(x: str, at: tuple[float, float], name: str) -> str:
+    return f"{name} AS (SELECT scene, count(*) AS g, max(med) - min(med) AS spread FROM (SELECT scene, CASE WHEN {x} < {n(at[0])} THEN 0 WHEN {x} < {n(at[1])} THEN 1 ELSE 2 END AS b, median(residual) AS med FROM fit GROUP BY 1, 2 HAVING count(*) >= {AUDIT['bin_samples']}) GROUP BY scene)"
+
+
+@query(f"""WITH {O.BASE}, scans AS (SELECT frame, frame // {SCENE} AS scene, row_number() OVER (PARTITION BY frame // {SCENE} ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY frame // {SCENE}) AS scans FROM (SELECT DISTINCT frame FROM points)),
+s AS (SELECT scene, o.frame, i, (x1 + x2) / 2 - u AS residual, depth, u FROM owned o JOIN scans ON o.frame = scans.frame WHERE scans >= {WARMUP} AND i < {WARMUP} AND conf >= 0.5e0 AND depth > 0 AND abs((x1 + x2) / 2 - u) <= greatest(100e0, 0.75e0 * (x2 - x1)) AND (x1 + x2) / 2 - u BETWEEN -80 AND 120),
+fit AS (SELECT * FROM s WHERE i < {int(AUDIT["fit_fraction"] * WARMUP)}), f AS (SELECT scene, i, median(residual) AS med FROM fit GROUP BY scene, i), bl AS (SELECT scene, b, median(med) AS med FROM (SELECT *, ntile(4) OVER (PARTITION BY scene ORDER BY i) AS b FROM f) GROUP BY scene, b),
+block AS (SELECT scene, count(*) AS g, max(med) - min(med) AS spread FROM bl GROUP BY scene), {_bins("depth", AUDIT["depths"], "deep")}, {_bins("u", AUDIT["columns"], "region")},
+o AS (SELECT scene, count(DISTINCT frame) AS dynamic_frames, coalesce(median(residual) FILTER (i < {int(AUDIT["fit_fraction"] * WARMUP)}), 0e0) AS du FROM s GROUP BY scene), c AS (SELECT *, least(greatest(round_even(du / 2e0, 0) * 2e0, -80e0), 120e0) AS candidate FROM o),
+h AS (SELECT s.scene, median(abs(residual)) AS hb, median(abs(residual - candidate)) AS hc FROM s JOIN c ON s.scene = c.scene WHERE i >= {int(AUDIT["fit_fraction"] * WARMUP)} GROUP BY s.scene),
+a AS (SELECT t.scene, t.scans, t.scans >= {WARMUP} AS done, coalesce(dynamic_frames, 0) AS dynamic_frames, du, candidate, block.spread AS bs, deep.spread AS ds, region.spread AS rs, hb, hc, coalesce(1 - hc / greatest(hb, 1e-6), 0e0) AS improvement,
+  coalesce(dynamic_frames >= {SAMPLED}, false) AS k1, coalesce(block.spread <= 12, false) AS k2, coalesce(deep.g >= 2 AND deep.spread <= 12, false) AS k3, coalesce(region.g >= 2 AND region.spread <= 12, false) AS k4 FROM (SELECT DISTINCT scene, scans FROM scans) t LEFT JOIN c ON c.scene = t.scene LEFT JOIN h ON h.scene = t.scene
+  LEFT JOIN block ON block.scene = t.scene LEFT JOIN deep ON deep.scene = t.scene LEFT JOIN region ON region.scene = t.scene)
+SELECT scene, CASE WHEN NOT done THEN 'WARMUP' WHEN k1 AND k2 AND k3 AND k4 AND improvement >= 0.05e0 THEN 'PASS' ELSE 'FAIL' END AS state, scans, CASE WHEN done THEN dynamic_frames END AS dynamic_frames,
+  {", ".join(f"round(CASE WHEN done THEN {x} END, 6) AS {name}" for name, x in (("dynamic_du", "du"), ("candidate", "candidate"), ("block_spread", "bs"), ("depth_spread", "ds"), ("region_spread", "rs"), ("hold_baseline", "hb"), ("hold_candidate", "hc"), ("improvement", "improvement")))},
+  {", ".join(f"CASE WHEN done THEN {x} END AS {name}" for name, x in zip(residuals.CHECKS, ("k1", "k2", "k3", "k4", "improvement >= 0.05e0"), strict=True))} FROM a""")
+def residual_audit(spark, sf):
+    """The audit of each scene's first scans, over the column residuals of owned points."""
+    points, scene = R.points(spark, sf), F.floor(F.col("frame") / SCENE).alias("scene")
+    s = Q._owned(spark, sf).withColumn("residual", G.calibration_residual("u", "x1", "x2", "conf", F.lit(3), "depth")).where("residual is not null")
+    out = residuals.residual_audit(s.select(scene, "frame", "residual", "depth", "u"), points.select(scene, "frame"), WARMUP, AUDIT | {"dynamic_frames": SAMPLED})
+    return out.select(*[r6(c) if t == "double" else c for c, t in out.dtypes])
+
+
 _WALK = f"""{O.POINTS}, m AS (SELECT frame, {", ".join(f"CAST(sum(CAST({c} AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS m{c}" for c in "xyz")} FROM points GROUP BY frame),
 w AS (SELECT frame, frame // {SCENE} AS scene, (frame % {SCENE} + 1) * {PERIOD_NS} AS ns, frame % {SCENE} % 7 / 1e1 + 2 + mx / 1e2 AS x, my / 1e2 AS y, mz AS z, NOT (frame % 6 = 0 OR frame % 13 < 3) AS ok FROM m)"""
 
