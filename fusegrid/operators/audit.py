@@ -104,12 +104,43 @@ def gate(rows: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return out.withColumn("passed", held)
 
 
-def runtime_checks() -> dict[str, Column]:
-    """The runtime gate over output_hz, processed_fraction, lidar_hz, lidar_p95_ms, wall_ratio and queue_growth."""
-    return {
-        "output_rate_pass": F.col("output_hz") >= 29.0, "processed_pass": F.col("processed_fraction") >= 0.99, "lidar_rate_pass": F.col("lidar_hz").between(9.5, 10.5),
-        "lidar_p95_pass": F.col("lidar_p95_ms") < 100.0, "wall_pass": F.col("wall_ratio").between(0.95, 1.1), "queue_pass": ~F.col("queue_growth"),
-    }
+#: fixed values: the runtime gate's limits (Hz, shares, ms, frames)
+OUTPUT_HZ, PROCESSED, LIDAR_HZ, LIDAR_P95_MS, WALL_RATIO = 29.0, 0.99, (9.5, 10.5), 100.0, (0.95, 1.1)
+
+
+def runtime_checks(realtime: bool = False, lightweight: bool = False, render_capacity: int = 1, video_capacity: int = 12) -> dict[str, Column]:
+    """The runtime gate of a run: thirteen checks, and four more of the person-only mode.
+
+    Columns: output_hz, processed_fraction, lidar_hz, lidar_p95_ms, wall_ratio, queue_growth, render_depth, video_depth, recording, video_dropped,
+    video_written, processed, future_reads, repeated_timestamps, unknown_sources, duplicate_identities, robot_z_rows, rgb_count, rgb_expected,
+    lidar_count, lidar_expected; for the person-only mode also robot_rows, reid, persistent and other_ids.
+    """
+    c, none = F.col, lambda x: F.col(x) == 0
+    checks = {
+        "rgb_output_rate_pass": c("output_hz") >= OUTPUT_HZ,
+        "rgb_processed_fraction_pass": c("processed_fraction") >= PROCESSED,
+        "lidar_update_rate_pass": c("lidar_hz").between(*LIDAR_HZ),
+        "lidar_p95_pass": c("lidar_p95_ms") < LIDAR_P95_MS,
+        "bounded_queue_pass": ~c("queue_growth") & (c("render_depth") <= render_capacity) & (c("video_depth") <= video_capacity),
+        "recording_complete_pass": ~c("recording") | (none("video_dropped") & (c("video_written") == c("processed"))),
+        "no_future_sensor_access_pass": none("future_reads"),
+        "timestamp_monotonic_unique_pass": none("repeated_timestamps"),
+        "state_source_pass": none("unknown_sources"),
+        "no_duplicate_fixed_g_pass": none("duplicate_identities"),
+        "robot_z_unavailable_pass": none("robot_z_rows"),
+        "declared_scope_count_pass": (c("rgb_count") == c("rgb_expected")) & (c("lidar_count") == c("lidar_expected")),
+        "runtime_mode_pass": c("wall_ratio").between(*WALL_RATIO) if realtime else c("output_hz") >= OUTPUT_HZ,
+    }
+    if lightweight:
+        checks |= {"robot_inference_zero_pass": none("robot_rows"), "reid_disabled_pass": ~c("reid"), "persistent_identity_disabled_pass": ~c("persistent"), "temporary_t_ids_only_pass": none("other_ids")}
+    return checks
+
+
+def run_status(passed: Column, stopped: Column, realtime: bool = False, lightweight: bool = False, full: bool = False) -> Column:
+    """The status of a run: its mode, then PASS, or FAIL if a check fails or the user stopped it."""
+    mode = ("FULL_REALTIME" if realtime else "FULL_UNCAPPED") if full else "30HZ"
+    prefix = ("PERSON_ONLY_LIGHTWEIGHT_" if lightweight else "PURE_ONLINE_") + mode
+    return F.concat(F.lit(prefix + "_"), F.when(passed & ~stopped, "PASS").otherwise("FAIL"))
 
 
 def long_form(metrics: DataFrame, name: str, a: str, b: str, fields: Sequence[str]) -> DataFrame:

@@ -216,14 +216,32 @@ def lexicographic_best(spark, sf):
     return audit.best_configuration(s, ["n_regionkey"], "s_nationkey", [F.col("ok"), F.col("n"), -F.col("bal"), -F.col("s_nationkey")]).withColumnRenamed("s_nationkey", "best")
 
 
-@query("""WITH m AS (SELECT user_id, count(*) / 2e0 AS output_hz, avg(CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END) AS processed_fraction, 9e0 + count(*) / 50e0 AS lidar_hz, quantile_cont(value, 0.95) AS lidar_p95_ms, 1e0 AS wall_ratio FROM events GROUP BY user_id)
-SELECT user_id, coalesce(output_hz >= 29, false) AS output_rate_pass, coalesce(processed_fraction >= 0.75e0, false) AS processed_pass, coalesce(lidar_hz BETWEEN 9.5e0 AND 10.5e0, false) AS lidar_rate_pass,
-  coalesce(output_hz >= 29, false) AND coalesce(processed_fraction >= 0.75e0, false) AND coalesce(lidar_hz BETWEEN 9.5e0 AND 10.5e0, false) AS passed FROM m""")
+_RUN = {
+    "output_hz": "count(*) / CAST(2 AS DOUBLE)", "processed_fraction": "1 - count(CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN 1 END) / CAST(count(*) AS DOUBLE)", "lidar_hz": "9 + count(*) / CAST(50 AS DOUBLE)", "wall_ratio": "CAST(0.9 AS DOUBLE) + user_id % 5 / CAST(20 AS DOUBLE)",
+    "queue_growth": "user_id % 11 = 0", "render_depth": "max(event_id % 2)", "video_depth": "max(event_id % 13) + CASE WHEN user_id % 4 = 0 THEN 1 ELSE 0 END", "recording": "user_id % 3 = 0", "video_dropped": "user_id % 4", "video_written": "count(*) - user_id % 2", "processed": "count(*)",
+    "future_reads": "count(CASE WHEN value < 0 THEN 1 END)", "repeated_timestamps": "count(*) - count(DISTINCT ts)", "unknown_sources": "count(CASE WHEN event_type NOT IN ('click', 'view', 'error', 'purchase', 'signup') AND event_id % 97 = 0 THEN 1 END)",
+    "duplicate_identities": "count(CASE WHEN event_id % 997 = 0 THEN 1 END)", "robot_z_rows": "user_id % 13 % 2", "rgb_count": "count(*)", "rgb_expected": "count(event_id)", "lidar_count": "count(value)", "lidar_expected": "count(*)",
+    "robot_rows": "user_id % 6 % 2", "reid": "user_id % 23 = 0", "persistent": "user_id % 19 = 0", "other_ids": "count(CASE WHEN event_id % 1009 = 0 THEN 1 END)",
+}
+_CHECKS = {
+    "rgb_output_rate_pass": "output_hz >= 29", "rgb_processed_fraction_pass": "processed_fraction >= 0.99e0", "lidar_update_rate_pass": "lidar_hz BETWEEN 9.5e0 AND 10.5e0", "lidar_p95_pass": "lidar_p95_ms < 100", "bounded_queue_pass": "NOT queue_growth AND render_depth <= 1 AND video_depth <= 12",
+    "recording_complete_pass": "NOT recording OR (video_dropped = 0 AND video_written = processed)", "no_future_sensor_access_pass": "future_reads = 0", "timestamp_monotonic_unique_pass": "repeated_timestamps = 0", "state_source_pass": "unknown_sources = 0", "no_duplicate_fixed_g_pass": "duplicate_identities = 0",
+    "robot_z_unavailable_pass": "robot_z_rows = 0", "declared_scope_count_pass": "rgb_count = rgb_expected AND lidar_count = lidar_expected", "runtime_mode_pass": "wall_ratio BETWEEN 0.95e0 AND 1.1e0",
+    "robot_inference_zero_pass": "robot_rows = 0", "reid_disabled_pass": "NOT reid", "persistent_identity_disabled_pass": "NOT persistent", "temporary_t_ids_only_pass": "other_ids = 0",
+}
+_METRICS = ", ".join(f"{v} AS {k}" for k, v in _RUN.items())
+_HOLD = {k: f"coalesce({v}, false)" for k, v in _CHECKS.items()}
+
+
+@query(f"""WITH m AS (SELECT user_id, {_METRICS}, quantile_cont(value, 0.95) AS lidar_p95_ms FROM events GROUP BY user_id), g AS (SELECT user_id, {", ".join(f"{v} AS {k}" for k, v in _HOLD.items())} FROM m)
+SELECT *, {" AND ".join(_CHECKS)} AS passed, 'PERSON_ONLY_LIGHTWEIGHT_30HZ_' || CASE WHEN {" AND ".join(_CHECKS)} AND user_id % 29 <> 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM g""")
 def runtime_gate(spark, sf):
-    m = R.table(spark, sf, "events").groupBy("user_id").agg((F.count(F.lit(1)) / 2).alias("output_hz"), F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)).alias("processed_fraction"), (F.count(F.lit(1)) / 50 + 9).alias("lidar_hz"))
-    checks = audit.runtime_checks()
-    chosen = {k: checks[k] for k in ("output_rate_pass", "lidar_rate_pass")} | {"processed_pass": F.col("processed_fraction") >= 0.75}
-    return audit.gate(m, chosen).select("user_id", "output_rate_pass", "processed_pass", "lidar_rate_pass", "passed")
+    """All seventeen checks of each run and its status; a user's events stand for a run's log."""
+    e = R.table(spark, sf, "events")
+    m = e.groupBy("user_id").agg(*[F.expr(v).alias(k) for k, v in _RUN.items()], A.quantile("value", 0.95).alias("lidar_p95_ms"))
+    checks = audit.runtime_checks(realtime=True, lightweight=True)
+    g = audit.gate(m, checks)
+    return g.select("user_id", *checks, "passed", audit.run_status(F.col("passed"), F.col("user_id") % 29 == 0, lightweight=True).alias("status"))
 
 
 @query("""SELECT CASE WHEN NOT (l_partkey % 11 <> 0) THEN 'NO_OCCUPANCY_DELETED_COMPONENT' WHEN l_quantity < 3 THEN 'TOO_FEW_POINTS' WHEN NOT (l_suppkey % 5 <> 0) THEN 'CENTER_OUTSIDE_ORIGINAL_BOX' WHEN NOT (l_linenumber <> 2) THEN 'IMPLAUSIBLE_3D_SIZE'

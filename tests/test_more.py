@@ -15,6 +15,21 @@ from fusegrid.streaming import states as S
 from fusegrid.streaming.recovery import shape_gaps
 
 
+def test_runtime_gate_fails_by_each_check_alone(spark):
+    good = {"output_hz": 30.0, "processed_fraction": 0.99, "lidar_hz": 10.0, "lidar_p95_ms": 99.0, "wall_ratio": 1.0, "queue_growth": False, "render_depth": 1, "video_depth": 12, "recording": True, "video_dropped": 0, "video_written": 9, "processed": 9}
+    good |= dict.fromkeys(("future_reads", "repeated_timestamps", "unknown_sources", "duplicate_identities", "robot_z_rows", "robot_rows", "other_ids"), 0) | dict.fromkeys(("rgb_count", "rgb_expected", "lidar_count", "lidar_expected"), 5) | {"reid": False, "persistent": False}
+    bad = {"output_hz": 28.9, "processed_fraction": 0.98, "lidar_hz": 9.4, "lidar_p95_ms": 100.0, "video_depth": 13, "video_dropped": 1, "future_reads": 1, "repeated_timestamps": 1, "unknown_sources": 1, "duplicate_identities": 1, "robot_z_rows": 1, "rgb_count": 4, "wall_ratio": 1.2, "robot_rows": 1, "reid": True, "persistent": True, "other_ids": 1}
+    names = list(good)
+    rows = [tuple(good.values())] + [tuple((good | {k: v}).values()) for k, v in bad.items()] + [tuple((good | {"lidar_p95_ms": None}).values())]
+    d = spark.createDataFrame(rows, names)
+    checks = audit.runtime_checks(realtime=True, lightweight=True)
+    got = audit.gate(d, checks).withColumn("status", audit.run_status(F.col("passed"), F.lit(False), realtime=True, full=True)).collect()
+    assert len(checks) == 17 == len(bad) and got[0].passed and got[0].status == "PURE_ONLINE_FULL_REALTIME_PASS"
+    for row, name in zip(got[1:-1], checks, strict=True):
+        assert not row.passed and [c for c in checks if not row[c]] == [name] and row.status.endswith("_FAIL")
+    assert not got[-1].passed and not got[-1].lidar_p95_pass
+
+
 def test_many_matrices_equal_permutations():
     rng = np.random.default_rng(0)
     for n, m in itertools.product(range(1, 7), range(1, 7)):
