@@ -31,8 +31,10 @@ WIDTH, THRESHOLD = 5, Threshold(4, 5)
 DIMENSIONS, LEAF, FANOUT, PIVOTS = 64, 16, 8, 2
 #: Pairs of nodes that are taken down at once.
 NODES = 512
-#: Cells of the parities that go with a point into the search.
+#: Least number of cells of the parities that go with a point into the search; large sets have about twice as many cells as elements, as fewer would be full.
 CELLS = 1024
+#: Pairs whose parities are compared at once.
+COMPARED = 4096
 #: Members of a block that one task holds; larger blocks are searched by pairs of chunks.
 CHUNK = 2048
 
@@ -155,8 +157,40 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return pairs.join(y, "y").join(x, "x").select("y", "x", "m", "n", "p", "q").mapInArrow(run, "y long, x long")
 
 
+class Parities:
+    """Sketches of several sizes, compared at the smaller size of a pair."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.held = [np.frombuffer(v, np.uint64) for v in sketches]
+        self.words = np.array([len(v) for v in self.held])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def _at(self, words: int) -> np.ndarray:
+        """All sketches of so many words or more, brought to so many."""
+        if words not in self.folded:
+            out = np.zeros((len(self.held), words), np.uint64)
+            for size in np.unique(self.words[self.words >= words]):
+                rows = np.flatnonzero(self.words == size)
+                m = np.stack([self.held[r] for r in rows])
+                while m.shape[1] > words:
+                    m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+                out[rows] = m
+            self.folded[words] = out
+        return self.folded[words]
+
+    def differing(self, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """For each pair the parities in which it differs, at most the number of elements that only one set has."""
+        least, out = np.minimum(self.words[r], self.words[s]), np.zeros(len(r), np.int64)
+        for words in np.unique(least):
+            m, which = self._at(int(words)), np.flatnonzero(least == words)
+            for a in range(0, len(which), COMPARED):
+                w = which[a : a + COMPARED]
+                out[w] = np.bitwise_count(m[r[w]] ^ m[s[w]]).sum(1, dtype=np.int64)
+        return out
+
+
 def _search(members: DataFrame, t: Threshold) -> DataFrame:
-    """Unconnected pairs (y, x) of a block that the trees' bound and the parities of CELLS cells admit.
+    """Unconnected pairs (y, x) of a block that the trees' bound and the parities admit.
 
     members: block, m, id, component, point, sketch.  Blocks of more than CHUNK members are searched by pairs of parts.
     """
@@ -168,15 +202,14 @@ def _search(members: DataFrame, t: Threshold) -> DataFrame:
     def one(p: pd.DataFrame) -> pd.DataFrame:
         ids, component, part = p.id.to_numpy(), p.component.to_numpy(), p.part.to_numpy()
         x = np.stack([np.frombuffer(v, np.int32) for v in p.point])
-        n, sketch = x.sum(1), np.stack([np.frombuffer(v, np.uint64) for v in p.sketch])
+        n, parities = x.sum(1), Parities(list(p.sketch))
         sides = [np.flatnonzero(part == k) for k in dict.fromkeys((p.i.iloc[0], p.j.iloc[0]))]
         out = []
         if all(len(s) for s in sides):
             trees = [Tree(x[s], component[s]) for s in sides]
             for r, s in tree_pairs(t, trees[0], trees[-1]):
                 r, s = sides[0][r], sides[-1][s]
-                far = np.bitwise_count(sketch[r] ^ sketch[s]).sum(1, dtype=np.int64)
-                ok = far * (t.num + t.den) <= (n[r] + n[s]) * (t.den - t.num)
+                ok = parities.differing(r, s) * (t.num + t.den) <= (n[r] + n[s]) * (t.den - t.num)
                 out.append(np.stack((ids[r[ok]], ids[s[ok]]), 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"y": got.max(1, initial=-(2**63)), "x": got.min(1, initial=2**63 - 1)}).drop_duplicates()
@@ -192,7 +225,7 @@ def _joined(docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFram
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             ids, n, elements = _sets(part, width)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(n.astype(np.int64)), pack(points(elements, n).ravel(), np.full(len(n), DIMENSIONS)).cast(pa.binary()), pa.array(sketches(elements, n, CELLS), pa.binary())], ["doc_id", "id", "n", "point", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(n.astype(np.int64)), pack(points(elements, n).ravel(), np.full(len(n), DIMENSIONS)).cast(pa.binary()), pa.array(sketches(elements, n, least=CELLS), pa.binary())], ["doc_id", "id", "n", "point", "sketch"])
 
     scratch = []
 

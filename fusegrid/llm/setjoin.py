@@ -255,9 +255,9 @@ def reached(t: Threshold, a: np.ndarray, b: np.ndarray) -> bool:
     return bool(t.den * both >= t.num * (len(a) + len(b) - both))
 
 
-def sketches(elements: np.ndarray, n: np.ndarray, cells: int | None = None) -> list[bytes]:
-    """Parities of each set's elements over ``cells`` cells, a power of two of 64 or more; by default about twice as many as elements."""
-    size = np.full(len(n), cells) if cells else 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+def sketches(elements: np.ndarray, n: np.ndarray, least: int = 64) -> list[bytes]:
+    """Parities of each set's elements over about twice as many cells, a power of two of ``least`` or more."""
+    size = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
     base = np.cumsum(size) - size
     row = np.repeat(np.arange(len(n)), n)
     at = base[row] + (mix(elements ^ np.uint64(0x9FB21C651E98DF25)) & (size[row] - 1).astype(np.uint64)).astype(np.int64)

@@ -731,3 +731,20 @@ def test_near_copy_stage_keeps_one_of_each_group(spark):
     d = documents(spark)
     kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, d, SF).collect()}
     assert kept == {d_ for d_, _, c in brute_components([(r.doc_id, r.text) for r in d.collect()], 5, 4, 5) if d_ == c}
+
+
+def test_parities_of_several_sizes_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in (1, 3, 40, 500, 513, 700, 2500, 2600, 9000)]
+    sets += [np.unique(np.concatenate((s[len(s) // 20 :], rng.integers(0, 1 << 62, len(s) // 20).astype(np.uint64)))) for s in sets]
+    n = np.array([len(s) for s in sets])
+    held = setjoin.sketches(np.concatenate(sets), n, least=ngramjoin.CELLS)
+    assert min(map(len, held)) == ngramjoin.CELLS // 8 and max(map(len, held)) > 1000
+    p = ngramjoin.Parities(held)
+    r, s = (a.ravel() for a in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    got = p.differing(r, s)
+    for i, j, d in zip(r.tolist(), s.tolist(), got.tolist(), strict=True):
+        assert d == setjoin.differing(held[i], held[j]) <= len(np.setxor1d(sets[i], sets[j]))
+        far = 9 * len(np.setxor1d(sets[i], sets[j])) > 3 * (n[i] + n[j])
+        fit = max(n[i], n[j]) <= 1.25 * min(n[i], n[j])
+        assert not (far and fit) or min(n[i], n[j]) < 100 or 9 * d > n[i] + n[j]  # large sets that are far apart do not pass
