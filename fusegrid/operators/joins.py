@@ -47,18 +47,29 @@ def bucketed_asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
     return asof_backward(left, right, left_ts, right_ts, tolerance, [*by, "_b"]).drop("_b")
 
 
-def nearest_timestamp(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, bucket: int, by: Sequence[str] = ()) -> DataFrame:
-    """Each left row with the closer of its neighbours in time (right columns), ties to the earlier.
+def nearest_timestamp(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, reach: int, by: Sequence[str] = ()) -> DataFrame:
+    """Each left row with the closer of its neighbours in time (right columns) within ``reach`` (bounds included), ties to the earlier.
 
-    Neighbours are sought over the bucket and the two beside it; with gaps longer than a bucket take a longer one.
+    No pairs are made: rows meet in buckets of a 24th of the reach, where running minima give the right rows before and
+    after; what a bucket takes from others is found on one row a bucket.  Of right rows of one time the one with the least columns counts.
     """
-    b = F.floor(F.col(right_ts) / bucket)
-    right = right.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
-    left = left.withColumn("_b", F.floor(F.col(left_ts) / bucket))
-    pair = left.join(right, [*by, "_b"])
-    row = F.struct(*left.columns)
-    best = pair.groupBy(row.alias("_l")).agg(F.min_by(F.struct(*[c for c in right.columns if c not in (*by, "_b")]), F.struct(F.abs(F.col(left_ts) - F.col(right_ts)), F.col(right_ts))).alias("_r"))
-    return best.select("_l.*", "_r.*").drop("_b")
+    keys, width = list(by), max(reach // 24, 1)
+    carried = [c for c in right.columns if c not in keys]
+    rows = left.where(F.col(left_ts).isNotNull()).select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*[c for c in left.columns if c not in keys]).alias("_l"))
+    here = F.struct(*carried)
+    held = right.where(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct((-F.col(right_ts)).alias("k"), here.alias("r")).alias("_past"), F.struct(F.col(right_ts).alias("k"), here.alias("r")).alias("_next"))
+    rows = rows.unionByName(held, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / width))
+    ends = rows.groupBy(*keys, "_b").agg(F.min("_past").alias("_past"), F.min("_next").alias("_next"))
+    w = W.partitionBy(*keys)
+    over = ends.select(*keys, "_b", F.min("_past").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.min("_next").over(w.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"))
+    w = W.partitionBy(*keys, "_b")
+    rows = rows.withColumn("_past", F.min("_past").over(w.orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_next", F.min("_next").over(w.orderBy(F.desc("_t"), "_side").rowsBetween(W.unboundedPreceding, 0))).where("_side = 1")
+    same = reduce(Column.__and__, [rows[c].eqNullSafe(over[c]) for c in keys], rows["_b"] == over["_b"])
+    rows = rows.join(over, same).select(*[rows[c] for c in keys], "_t", "_l", F.coalesce("_past", "_before").alias("_past"), F.coalesce("_next", "_after").alias("_next"))
+    ago, ahead = F.col("_t") + F.col("_past.k"), F.col("_next.k") - F.col("_t")
+    rows = rows.withColumns({"_r": F.when(F.coalesce(ago <= ahead, F.col("_past").isNotNull()), F.col("_past.r")).otherwise(F.col("_next.r")), "_d": F.least(ago, ahead)})
+    return rows.where(F.col("_d") <= reach).select(*keys, "_l.*", "_r.*")
 
 
 def voxel_flag(points: DataFrame, voxels: DataFrame, keys: Sequence[str] = ("kx", "ky", "kz"), name: str = "in_prior") -> DataFrame:

@@ -38,7 +38,7 @@ def sync_age_distribution(spark, sf):
 @query(f"""WITH {_SIDES}, c AS (SELECT l.idx AS idx, l.ts AS ts, r.idx AS rgb_idx, r.ts AS rgb_ts, row_number() OVER (PARTITION BY l.idx ORDER BY abs(l.ts - r.ts), r.ts) AS rn FROM lidar l JOIN rgb r ON r.ts BETWEEN l.ts - 86400000000 AND l.ts + 86400000000)
 SELECT idx, rgb_idx, ts - rgb_ts AS offset_us FROM c WHERE rn = 1""")
 def nearest_timestamp(spark, sf):
-    """The closer neighbour within a day; the day bucket is longer than any gap."""
+    """The closer neighbour within a day."""
     j = joins.nearest_timestamp(*_sides(spark, sf), "ts", "rgb_ts", 86_400_000_000)
     return j.select("idx", "rgb_idx", (F.col("ts") - F.col("rgb_ts")).alias("offset_us"))
 
