@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import atan2
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fusegrid.functions import model as M
 
@@ -137,11 +141,21 @@ def cylinder(x, y, cls: str = "PERSON", segments: int = 12) -> Column:
     return F.array(*out)
 
 
+def length(dx: Column, dy: Column) -> Column:
+    """The plain root of the squares: ``F.hypot`` rounds otherwise in the last place, so that equal distances can come out unequal."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
+@F.pandas_udf(DoubleType())
+def _angle(y: pd.Series, x: pd.Series) -> pd.Series:
+    """The arctangent of the C library, which rounds almost always to the nearest double; Java's is one off now and then."""
+    return pd.Series(map(atan2, y.to_numpy(), x.to_numpy()), dtype="float64")
+
+
 def spherical(x, y, z) -> tuple[Column, Column, Column]:
-    """(range, azimuth, elevation), angles in degrees."""
+    """(range, azimuth, elevation), angles in degrees; points in one direction have the same angles, to the last place."""
     x, y, z = _c(x), _c(y), _c(z)
-    flat = F.hypot(x, y)
-    return F.sqrt(x * x + y * y + z * z), F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, flat))
+    return F.sqrt(x * x + y * y + z * z), F.degrees(_angle(y, x)), F.degrees(_angle(z, length(x, y)))
 
 
 def ring(elevation, first: float = -15.0, step: float = 2.0, count: int = 16, limit: float = 0.75) -> tuple[Column, Column]:

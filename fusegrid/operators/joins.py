@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fusegrid.functions import boxes as B
+from fusegrid.functions import geometry as G
 from fusegrid.functions import model as M
 from fusegrid.plans.scratch import materialize
 
@@ -130,7 +131,7 @@ def nearest_k(rows: DataFrame, keys: Sequence[str], row: str, k: int, radius: fl
     right = rows.select(*keys, F.col(row).alias("neighbour"), F.col(x).alias("_x"), F.col(y).alias("_y"))
     for name, c in (("_cx", "_x"), ("_cy", "_y")):
         right = right.withColumn(name, F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])))
-    pair = left.join(right, [*keys, "_cx", "_cy"]).withColumn("distance", F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
+    pair = left.join(right, [*keys, "_cx", "_cy"]).withColumn("distance", G.length(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
     pair = pair.where((F.col(row) != F.col("neighbour")) & (F.col("distance") <= radius))
     w = W.partitionBy(*keys, row).orderBy("distance", "neighbour")
     return pair.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, row, "neighbour", "distance", "rank")
@@ -155,7 +156,7 @@ def nearest_of(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str,
         near = points
         for name, c in (("_cx", "_x"), ("_cy", "_y")):
             near = near.withColumn(name, F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])))
-        pair = rest.withColumns({"_cx": cell(x), "_cy": cell(y)}).join(near, [*keys, "_cx", "_cy"]).withColumn("distance", F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
+        pair = rest.withColumns({"_cx": cell(x), "_cy": cell(y)}).join(near, [*keys, "_cx", "_cy"]).withColumn("distance", G.length(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
         w = W.partitionBy(*keys, row).orderBy("distance", other)
         best = pair.where(F.col("distance") <= radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         best = materialize(best.select(*keys, row, other, "distance", "rank", "_span"), "nearest-best")
