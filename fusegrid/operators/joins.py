@@ -196,7 +196,7 @@ def adaptive_edges(points: DataFrame, keys: Sequence[str] = ("frame", "det"), ro
     Points meet over grid cells of the largest radius in use, so a crowded group is not joined with itself whole.
     """
     a, b = M.COMPONENT_RADIUS
-    r = points.withColumn("_r", F.hypot("x", "y") * b + a)
+    r = points.withColumn("_r", G.length(F.col("x"), F.col("y")) * b + a)
     # cells of half a metre cover ranges to 16 m; farther groups take the size their range needs
     size = F.greatest(F.lit(0.5), F.ceil(F.max("_r").over(W.partitionBy(*keys)) * 2) / 2)
     r = r.withColumn("_s", size)
