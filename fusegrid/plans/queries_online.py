@@ -29,7 +29,16 @@ _LOW, _HIGH = M.CLASS_HEIGHT["PERSON"]
 
 def _best(points: DataFrame, boxes: DataFrame, keys: tuple = ("frame",)) -> DataFrame:
     """(keys, det) with the best component of the points that each box owns, of a person's height: centre, n, score, spans, pixel, ambiguous."""
-    owned, box = joins.owners(points, boxes, keys).where(G.within("h", M.CLASS_HEIGHT["PERSON"])), [*keys, "det"]
+    return _best_owned(_person_points(joins.owners(points, boxes, keys)), boxes, keys)
+
+
+def _person_points(owned: DataFrame) -> DataFrame:
+    return owned.where(G.within("h", M.CLASS_HEIGHT["PERSON"]))
+
+
+def _best_owned(owned: DataFrame, boxes: DataFrame, keys: tuple) -> DataFrame:
+    """``_best`` of points with their owner ``det``."""
+    box = [*keys, "det"]
     c = cluster.components(cluster.label_components(owned, box), box).join(boxes, box)
     s = G.with_projection(c, "cx", "cy", "cz", shift="inference").withColumn("score", F.round(B.component_score("u", "v", B.box(""), "hspan", "vspan", "n"), 9))
     return s.join(windows.ranked_components(s, box).where("rnk = 1").select(*box, "label", "ambiguous"), [*box, "label"])
@@ -100,10 +109,9 @@ def sightings(*parts: DataFrame) -> DataFrame:
     return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
-def _scans(flagged: DataFrame, boxes: DataFrame, measured: DataFrame, keys: tuple = ("frame",)) -> DataFrame:
-    """Scans with measured positions, with candidates from what occupancy removed beside them."""
+def _scans(boxes: DataFrame, measured: DataFrame, best: DataFrame, keys: tuple = ("frame",)) -> DataFrame:
+    """Scans with measured positions, with candidates, the ``best`` of what occupancy removed, beside them."""
     box = [*keys, "det"]
-    best = _best(flagged.where("temporal_keep and not occupancy_keep"), boxes, keys)
     # a candidate competes if another person's box holds its pixel
     other = boxes.select(*keys, F.col("det").alias("other"), *[F.col(c).alias(f"o{c}") for c in CORNERS])
     rivals = best.join(other, list(keys)).where("other <> det").where(B.inside("u", "v", B.box("o"))).select(*box).distinct().withColumn("rival", F.lit(True))
@@ -120,7 +128,8 @@ def measured_sightings(spark, sf, flagged: DataFrame | None = None, boxes: DataF
     """Measured scans, and images between them."""
     flagged = _flagged(spark, sf) if flagged is None else flagged
     boxes = R.boxes(R.points(spark, sf)) if boxes is None else boxes
-    rows = _scans(flagged, boxes, _measured(flagged, boxes) if measured is None else measured)
+    removed = _best(flagged.where("temporal_keep and not occupancy_keep"), boxes)
+    rows = _scans(boxes, _measured(flagged, boxes) if measured is None else measured, removed)
     return sightings(rows.drop("frame"), _images(rows))
 
 
@@ -152,15 +161,18 @@ VARIANTS = {p: [p, f"{p}_HISTORY"] for p in M.POLICIES}
 def variant_rows(spark, sf) -> DataFrame:
     """The scans under every policy, with and without recovery: one table of flagged points, fanned out to the policies' states.
 
-    Each policy's points are keyed by (policy, frame), so all policies go through one plan.
+    A point's owner is the same under every policy, so it is found once, and only owned points are fanned out.
+    Each policy's points are keyed by (policy, frame), so all policies go through one plan; what a policy keeps and what
+    it removes are labelled together, side by side.
     """
-    flagged = materialize(Q._flagged(spark, sf, PRIOR_SHARE), "variant-flagged")
+    boxes, keys = R.boxes(R.points(spark, sf)), ("policy", "frame")
+    flagged = Q._flagged(spark, sf, PRIOR_SHARE).where("temporal_keep")
+    owned = materialize(_person_points(joins.owners(flagged, boxes)).select(*flagged.columns, "det"), "variant-owned")
     policy = F.explode(F.array(*[F.lit(p) for p in M.POLICIES])).alias("policy")
-    points = _kept(flagged.select("*", policy), F.col("policy"), "policy")
-    boxes = R.boxes(R.points(spark, sf)).select("*", policy)
-    keys = ("policy", "frame")
-    measured = _best(points.where("temporal_keep and occupancy_keep"), boxes, keys)
-    rows = _scans(points, boxes, measured, keys).withColumn("variant", F.col("policy"))
+    points, boxes = _kept(owned.select("*", policy), F.col("policy"), "policy", "det"), boxes.select("*", policy)
+    side = F.explode(F.array(F.lit(True), F.lit(False))).alias("occupancy_keep")
+    best = materialize(_best_owned(points, boxes.select("*", side), ("occupancy_keep", *keys)), "variant-best")
+    rows = _scans(boxes, best.where("occupancy_keep").drop("occupancy_keep"), best.where("not occupancy_keep").drop("occupancy_keep"), keys).withColumn("variant", F.col("policy"))
     shared = materialize(sightings(rows.drop("frame", "policy")), "variant-scans")
     return online.batch(online.fan_out(shared, VARIANTS), {v: {"recover": v.endswith("_HISTORY")} for vs in VARIANTS.values() for v in vs}, prototypes={})
 

@@ -386,7 +386,9 @@ def batch(sightings: DataFrame, variants: dict[str, dict] | None = None, **optio
             yield _frame(*of, out)
 
     rows = _rows(sightings.where(sightings["ns"] < END))
-    return rows.repartition("scene", "variant").sortWithinPartitions("scene", "variant", "ns", "kind", "det").mapInPandas(run, ONLINE)
+    # with a number of its own, as a fold takes far longer than its few bytes let Spark's merging of partitions expect
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "scene", "variant").sortWithinPartitions("scene", "variant", "ns", "kind", "det").mapInPandas(run, ONLINE)
 
 
 #: Schemas of the typed state; its rows cannot have a field named cls.
