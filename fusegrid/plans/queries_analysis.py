@@ -15,6 +15,7 @@ from fusegrid.operators.selection import quantiles
 from fusegrid.plans import queries_evaluation as E
 from fusegrid.plans import queries_geometry as Q
 from fusegrid.plans.registry import r6, registry
+from fusegrid.plans.scratch import materialize
 from fusegrid.sources import oracle as O
 from fusegrid.sources import readers
 from fusegrid.sources import relations as R
@@ -288,10 +289,14 @@ SELECT model, split, x.axis AS axis, count(*) AS n, round(median(x.e), 4) AS med
 def model_residuals(spark, sf):
     """Residuals of three shift models on either part: sideways, up and down, and together."""
     r = Q._owned(spark, sf).select(F.when(F.col("frame") % 10 < 6, "fit").otherwise("hold").alias("split"), ((F.col("x1") + F.col("x2")) / 2 - F.col("u")).alias("du"), ((F.col("y1") + F.col("y2")) / 2 - F.col("v")).alias("dv"))
+    r = materialize(r, "model-residuals")
     models = spark.createDataFrame([("none", 0.0, 0.0), *[(k, *map(float, M.SHIFTS[k])) for k in ("inference", "display")]], "model string, a double, b double")
     s = r.crossJoin(F.broadcast(models)).select("model", "split", (F.col("du") - F.col("a")).alias("u"), (F.col("dv") - F.col("b")).alias("v")).withColumn("radial", F.hypot("u", "v"))
+    keys = ["model", "split", "axis"]
     long = s.unpivot(["model", "split"], ["u", "v", "radial"], "axis", "e").withColumn("m", F.abs("e"))
-    return long.groupBy("model", "split", "axis").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("e"), 4).alias("median"), F.round(F.median("m"), 4).alias("median_abs"), F.round(A.quantile("m", 0.95), 4).alias("p95_abs"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 4).alias("rmse"))
+    signed = quantiles(long, "e", {"median": 0.5}, keys, {"rmse": F.sqrt(F.avg(F.col("_x") * F.col("_x")))})
+    g = signed.join(quantiles(long, "m", {"median_abs": 0.5, "p95_abs": 0.95}, keys).drop("n"), keys)
+    return g.select(*keys, "n", *[F.round(c, 4).alias(c) for c in ("median", "median_abs", "p95_abs", "rmse")])
 
 
 @query(f"WITH {O.POINTS}, {O.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det) AS rn FROM boxes) SELECT frame, det, round(conf, 6) AS conf FROM r WHERE rn = 1")
