@@ -82,15 +82,31 @@ def voxel_antijoin(points: DataFrame, voxels: DataFrame, keys: Sequence[str] = (
     return points.join(voxels, list(keys), "left_anti")
 
 
-def near_any(points: DataFrame, places: DataFrame, radius: float, x: str = "x", y: str = "y", px: str = "ox", py: str = "oy") -> DataFrame:
-    """The points within ``radius`` of any place: cells of the radius, places posted in their 3x3 neighbourhood."""
+def near_flag(points: DataFrame, places: DataFrame, radius: float, name: str = "near", x: str = "x", y: str = "y", px: str = "ox", py: str = "oy") -> DataFrame:
+    """Points with whether any place is within ``radius``: cells of the radius, different places posted in their 3x3 neighbourhood.
+
+    An existence join: a point keeps its task if the places are few, and stops at the first place that is near.
+    """
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    posted = places.select(px, py)
-    for name, c in (("_cx", px), ("_cy", py)):
-        posted = posted.withColumn(name, F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])))
-    p = points.withColumns({"_cx": cell(x), "_cy": cell(y)})
-    near = (F.pow(F.col(x) - F.col(px), 2) + F.pow(F.col(y) - F.col(py), 2)) <= radius * radius
-    return p.join(posted.alias("o"), (F.col("o._cx") == p["_cx"]) & (F.col("o._cy") == p["_cy"]) & near, "left_semi").drop("_cx", "_cy")
+    posted = small(places.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct())
+    for name_, c in (("_qx", "_px"), ("_qy", "_py")):
+        posted = posted.withColumn(name_, F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])))
+    at = lambda c: F.col(c).outer()
+    near = (F.pow(at(x) - F.col("_px"), 2) + F.pow(at(y) - F.col("_py"), 2)) <= radius * radius
+    p = G.bound(points, _cx=cell(x), _cy=cell(y))  # the optimizer can't push an existence test below a union
+    return p.withColumn(name, posted.where((F.col("_qx") == at("_cx")) & (F.col("_qy") == at("_cy")) & near).exists()).drop("_cx", "_cy")
+
+
+def near_any(points: DataFrame, places: DataFrame, radius: float, x: str = "x", y: str = "y", px: str = "ox", py: str = "oy") -> DataFrame:
+    """The points within ``radius`` of any place."""
+    return near_flag(points, places, radius, "_near", x, y, px, py).where("_near").drop("_near")
+
+
+def inside_flag(points: DataFrame, detections: DataFrame, name: str, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Points with whether any box of their frame contains them: those that have an owner."""
+    boxes = detections.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    same = reduce(Column.__and__, [F.col(f"_k{i}") == F.col(k).outer() for i, k in enumerate(keys)])
+    return G.bound(points, u=F.col("u"), v=F.col("v")).withColumn(name, boxes.where(same & B.inside(F.col("u").outer(), F.col("v").outer(), B.box("_"))).exists())
 
 
 def owners(points: DataFrame, detections: DataFrame, keys: Sequence[str] = ("frame",), point: str = "pid") -> DataFrame:
@@ -102,6 +118,14 @@ def owners(points: DataFrame, detections: DataFrame, keys: Sequence[str] = ("fra
     return pair.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def with_owner(points: DataFrame, detections: DataFrame, owned: Column, keys: Sequence[str] = ("frame",), point: str = "pid") -> DataFrame:
+    """A row for each point and box that contains it, with the ``owner`` of ``owners`` among those boxes; null for points that are not ``owned``."""
+    b = B.box("")
+    pair = points.join(detections, list(keys)).where(B.inside("u", "v", b)).withColumn("_s", B.center_distance("u", "v", b))
+    w = W.partitionBy(*keys, point).orderBy("_s", "det").rowsBetween(W.unboundedPreceding, 0)
+    return pair.withColumn("owner", F.when(owned, F.first("det").over(w))).drop("_s")
+
+
 def soft_owners(points: DataFrame, detections: DataFrame, margins: DataFrame, keys: Sequence[str] = ("frame",), point: str = "pid") -> DataFrame:
     """Owners under each side margin of ``margins`` (a small parameter table)."""
     pair = points.join(detections, list(keys)).crossJoin(F.broadcast(margins))
@@ -125,18 +149,27 @@ def nearest_other(rows: DataFrame, keys: Sequence[str], row: str, x: str = "x",
 
 
 def nearest_k(rows: DataFrame, keys: Sequence[str], row: str, k: int, radius: float, x: str = "u", y: str = "v") -> DataFrame:
-    """(row, neighbour, distance, rank): the k nearest others within ``radius``, over cells of the radius."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    """(row, neighbour, distance, rank): the k nearest others within ``radius``.
+
+    Rows meet over cells of three times the radius; a neighbour is posted in further cells only if it lies within the radius of their border.
+    """
+    cell = lambda c: F.floor(F.col(c) / (radius * 3)).cast("long")
     left = rows.withColumns({"_cx": cell(x), "_cy": cell(y)})
-    right = rows.select(*keys, F.col(row).alias("neighbour"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    for name, c in (("_cx", "_x"), ("_cy", "_y")):
-        right = right.withColumn(name, F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])))
+    right = posted_cells(rows.select(*keys, F.col(row).alias("neighbour"), F.col(x).alias("_x"), F.col(y).alias("_y")), radius, "_x", "_y")
     pair = left.join(right, [*keys, "_cx", "_cy"]).withColumn("distance", G.length(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
     pair = pair.where((F.col(row) != F.col("neighbour")) & (F.col("distance") <= radius))
     w = W.partitionBy(*keys, row).orderBy("distance", "neighbour")
     return pair.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, row, "neighbour", "distance", "rank")
 
 
+def posted_cells(rows: DataFrame, radius: float, x: str, y: str) -> DataFrame:
+    """Rows with each cell (_cx, _cy) of three times the radius that holds any place within the radius of theirs."""
+    reach = radius * 1.001  # a little more, so that no rounding at a border loses a neighbour
+    for name, c in (("_cx", F.col(x)), ("_cy", F.col(y))):
+        rows = rows.withColumn(name, F.explode(F.sequence(*[F.floor(e / (radius * 3)).cast("long") for e in (c - reach, c + reach)])))
+    return rows
+
+
 def nearest_of(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, other: str, k: int, radius: float, x: str = "u", y: str = "v") -> DataFrame:
     """(keys, row, other, distance, rank): the k nearest right rows of each left row, however far.
 

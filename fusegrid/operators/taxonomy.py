@@ -29,6 +29,11 @@ def stage_trace(points: DataFrame, detections: DataFrame, keys: Sequence[str] =
     points: u, v, valid, depth, h, temporal_keep, occupancy_keep and owner (null: none).  Boxes without any point have zeros.
     """
     inside = B.inside("u", "v", B.box("")) & F.col("valid") & (F.col("depth") > 0)
+    return stage_counts(points.join(detections, list(keys)).where(inside), detections, keys, cls)
+
+
+def stage_counts(inside: DataFrame, detections: DataFrame, keys: Sequence[str] = ("frame",), cls: str = "PERSON") -> DataFrame:
+    """``stage_trace`` of rows that hold a point and a box that contains it."""
     seen = G.in_view("u", "v", "depth") & G.within("h", M.BROAD_HEIGHT)
     tall = G.within("h", M.CLASS_HEIGHT[cls])
     both, own = F.col("temporal_keep") & F.col("occupancy_keep"), F.coalesce(F.col("owner") == F.col("det"), F.lit(False))
@@ -37,7 +42,7 @@ def stage_trace(points: DataFrame, detections: DataFrame, keys: Sequence[str] =
         "raw": F.lit(True), "post_height": here, "post_temporal": here & F.col("temporal_keep"), "post_occupancy": here & F.col("occupancy_keep"), "post_both": here & both,
         "owned_before": here & own, "owned": here & own & both, "stolen": here & both & F.col("owner").isNotNull() & ~own, "height_removed": seen & ~tall,
     }
-    counted = points.join(detections, list(keys)).where(inside).groupBy(*keys, "det").agg(*[F.count_if(c).alias(n) for n, c in stages.items()])
+    counted = inside.groupBy(*keys, "det").agg(*[F.count_if(c).alias(n) for n, c in stages.items()])
     return detections.select(*keys, "det").join(counted, [*keys, "det"], "left").fillna(0, list(stages))
 
 

@@ -33,17 +33,19 @@ trace AS (SELECT r.frame, r.det, raw, coalesce(post_height, 0) AS post_height, c
   coalesce(owned_before, 0) AS owned_before, coalesce(owned, 0) AS owned, coalesce(stolen, 0) AS stolen, coalesce(height_removed, 0) AS height_removed FROM raws r LEFT JOIN counted c ON r.frame = c.frame AND r.det = c.det)"""
 
 
-def _points(spark, sf):
-    """All points with flags, the production policy's decision, and owners; points outside the gates have neither."""
-    p = R.projected(R.points(spark, sf))
-    keep = audit.occupancy_keep(F.lit("LEGACY"), "z", "h", "near", "temporal_keep", "person_owned")
-    flags = Q._flagged(spark, sf).select("frame", "pid", "temporal_keep", keep.alias("occupancy_keep"))
-    own = Q._owned(spark, sf).select("frame", "pid", F.col("det").alias("owner"))
-    return p.join(flags, ["frame", "pid"], "left").join(own, ["frame", "pid"], "left").fillna(False, ["temporal_keep", "occupancy_keep"])
+def _inside(spark, sf):
+    """Boxes' points: a row for each point and box that contains it, with flags, the production policy's decision, and the point's owner.
+
+    The owner is found among those rows, so points are numbered, projected and dealt to tasks once.
+    """
+    p = R.projected(R.points(spark, sf)).where(F.col("valid") & (F.col("depth") > 0))
+    p = Q._near_and_prior(spark, sf, p).withColumn("gated", G.in_view("u", "v", "depth") & G.within("h", M.BROAD_HEIGHT))
+    p = p.withColumn("occupancy_keep", audit.occupancy_keep(F.lit("LEGACY"), "z", "h", "near", "temporal_keep", F.lit(False)))
+    return joins.with_owner(p.drop("x", "y", "z", "kx", "ky", "kz", "in_prior", "near"), R.boxes(R.points(spark, sf)), F.col("gated"))
 
 
 def _trace(spark, sf):
-    return taxonomy.stage_trace(_points(spark, sf), R.boxes(R.points(spark, sf)))
+    return taxonomy.stage_counts(_inside(spark, sf), R.boxes(R.points(spark, sf)))
 
 
 @query(f"WITH {_CANDIDATES} SELECT * FROM trace")
@@ -56,8 +58,7 @@ def box_stage_trace(spark, sf):
 SELECT frame, det, string_agg(owner || '=' || n, ';' ORDER BY owner) AS owners FROM h GROUP BY frame, det""")
 def point_owners(spark, sf):
     """Which boxes own the points inside a box, as a histogram."""
-    p = _points(spark, sf).where("owner is not null").where(G.within("h", M.CLASS_HEIGHT["PERSON"]))
-    hit = p.join(R.boxes(R.points(spark, sf)), "frame").where(B.inside("u", "v", B.box("")))
+    hit = _inside(spark, sf).where("owner is not null").where(G.within("h", M.CLASS_HEIGHT["PERSON"]))
     held = hit.groupBy("frame", "det", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("frame", "det").agg(A.histogram_map("owner", "n").alias("m"))
     return held.select("frame", "det", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string"))), ";").alias("owners"))
 

@@ -10,6 +10,7 @@ from fusegrid.functions import model as M
 from fusegrid.operators import aggregates as A
 from fusegrid.operators import audit, cluster, joins, windows
 from fusegrid.plans.registry import r6, registry
+from fusegrid.plans.scratch import materialize
 from fusegrid.sources import oracle as O
 from fusegrid.sources import relations as R
 
@@ -157,12 +158,15 @@ flagged AS (SELECT g.frame, g.pid, g.z, g.h, n.pid IS NOT NULL AS near, p.kx IS
   LEFT JOIN prior p ON p.kx = CAST(floor(g.x / 0.5e0) AS INTEGER) AND p.ky = CAST(floor(g.y / 0.5e0) AS INTEGER) AND p.kz = CAST(floor(g.z / 0.5e0) AS INTEGER))"""
 
 
+def _near_and_prior(spark, sf, points, share=0.12):
+    """Points with near and temporal_keep, each point where it is: neither flag moves or numbers the points anew."""
+    p = points.withColumns(dict(zip(("kx", "ky", "kz"), G.voxel("x", "y", "z", size=0.5), strict=True)))
+    p = joins.voxel_flag(p, joins.small(materialize(_prior(_voxeled(spark, sf), share), "prior")))
+    return joins.near_flag(p, R.occupancy(spark, sf), M.OCCUPANCY_RADIUS_M).withColumn("temporal_keep", ~F.col("in_prior"))
+
+
 def _flagged(spark, sf, share=0.12):
-    g = _gated(spark, sf).withColumns(dict(zip(("kx", "ky", "kz"), G.voxel("x", "y", "z", size=0.5), strict=True)))
-    near = joins.near_any(R.points(spark, sf), R.occupancy(spark, sf), M.OCCUPANCY_RADIUS_M).select("frame", "pid", F.lit(True).alias("near"))
-    own = _owned(spark, sf).select("frame", "pid", F.lit(True).alias("person_owned"))
-    g = joins.voxel_flag(g, _prior(_voxeled(spark, sf), share)).join(near, ["frame", "pid"], "left").join(own, ["frame", "pid"], "left")
-    return g.fillna(False, ["near", "person_owned"]).withColumn("temporal_keep", ~F.col("in_prior"))
+    return joins.inside_flag(_near_and_prior(spark, sf, _gated(spark, sf), share), R.boxes(R.points(spark, sf)), "person_owned")
 
 
 @query(f"""WITH {FLAGGED}, p AS (SELECT unnest(['LEGACY', 'PHYSICAL_DIRECT', 'GROUND_LIMITED', 'HEIGHT_BANDED', 'TEMPORAL_PRIMARY_OCCUPANCY_SECONDARY', 'PERSON_CONDITIONAL_PROTECTION']) AS policy),
@@ -211,8 +215,7 @@ ranked AS (SELECT *, row_number() OVER w AS rnk, lead(score) OVER w AS nxt FROM
 
 
 def _scored(spark, sf):
-    lab = cluster.label_components(_owned(spark, sf))
-    c = cluster.components(lab).join(R.boxes(R.points(spark, sf)), ["frame", "det"])
+    c = cluster.found_components(_owned(spark, sf)).join(R.boxes(R.points(spark, sf)), ["frame", "det"])
     return G.with_projection(c, "cx", "cy", "cz", shift="inference").withColumn("score", F.round(B.component_score("u", "v", B.box(""), "hspan", "vspan", "n"), 9))
 
 

@@ -39,7 +39,7 @@ def _person_points(owned: DataFrame) -> DataFrame:
 def _best_owned(owned: DataFrame, boxes: DataFrame, keys: tuple) -> DataFrame:
     """``_best`` of points with their owner ``det``."""
     box = [*keys, "det"]
-    c = cluster.components(cluster.label_components(owned, box), box).join(boxes, box)
+    c = cluster.found_components(owned, box).join(boxes, box)
     s = G.with_projection(c, "cx", "cy", "cz", shift="inference").withColumn("score", F.round(B.component_score("u", "v", B.box(""), "hspan", "vspan", "n"), 9))
     return s.join(windows.ranked_components(s, box).where("rnk = 1").select(*box, "label", "ambiguous"), [*box, "label"])
 
