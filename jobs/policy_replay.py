@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fusegrid.functions import geometry as G
 from fusegrid.functions import model as M
 from fusegrid.operators import aggregates as A
-from fusegrid.operators import audit, joins
+from fusegrid.operators import audit, cluster, joins
 from fusegrid.plans.scratch import discard, materialize
 from fusegrid.sources import relations as R
 
@@ -45,21 +45,17 @@ def owned_points(spark: SparkSession, source: str, config: dict) -> DataFrame:
     asked = points.where((F.lit(first is None) | (scene >= (first or 0))) & (F.lit(last is None) | (scene <= (last or 0))))
     gated = R.projected(asked).where(F.col("valid") & G.in_view("u", "v", "depth") & G.within("h", M.BROAD_HEIGHT))
     owned = joins.owners(gated, R.boxes(asked)).select("frame", "det", "pid", "x", "y", "z", "h").withColumns(voxel)
-    owned = materialize(joins.voxel_flag(owned, prior), "replay-owned")
-    near = joins.near_any(owned, R.occupancy(spark, source), config["occupancy_radius_m"]).select("frame", "pid", F.lit(True).alias("near"))
-    return owned.join(near, ["frame", "pid"], "left").fillna(False, ["near"]).withColumn("scene", scene).drop("kx", "ky", "kz")
+    owned = joins.voxel_flag(owned, joins.small(materialize(prior, "replay-prior")))
+    return joins.near_flag(owned, R.occupancy(spark, source), config["occupancy_radius_m"]).withColumn("scene", scene).drop("kx", "ky", "kz")
 
 
 def measurements(owned: DataFrame, policies: list[str], min_points: int) -> DataFrame:
-    """A row for each policy and box that owns any point."""
-    p = owned.withColumn("policy", F.explode(F.array(*[F.lit(k) for k in policies])))
-    p = p.withColumn("clear", audit.occupancy_keep(F.col("policy"), "z", "h", "near", ~F.col("in_prior"), F.lit(True)))
-    kept = ~F.col("in_prior") & F.col("clear")
-    p = p.withColumns({f"k{c}": F.when(kept, F.col(c)) for c in "xyz"})
-    g = p.groupBy("policy", "scene", "frame", "det").agg(
-        F.count(F.lit(1)).alias("n_owned"), F.count_if("in_prior").alias("n_temporal"), F.count_if(~F.col("in_prior") & ~F.col("clear")).alias("n_occupancy"), F.count_if(kept).alias("n_kept"),
-        *[A.robust_center(f"k{c}").alias(f"c{c}") for c in "xyz"], F.greatest(A.span("kx"), A.span("ky")).alias("hspan"), A.span("kz").alias("vspan"),
-    )
+    """A row for each policy and box that owns any point; points are counted and measured once for all policies, not once for each."""
+    box, free = ["scene", "frame", "det"], ~F.col("in_prior")
+    clear = {k: audit.occupancy_keep(F.lit(k), "z", "h", "near", free, F.lit(True)) for k in policies}
+    g = owned.groupBy(*box).agg(F.count(F.lit(1)).alias("n_owned"), F.count_if("in_prior").alias("n_temporal"))
+    m = cluster.kept_measurements(owned.withColumns({k: free & c for k, c in clear.items()}), policies, box, "pid")
+    g = g.join(m, box).withColumnsRenamed({"keep": "policy", "n": "n_kept"}).withColumn("n_occupancy", F.col("n_owned") - F.col("n_temporal") - F.col("n_kept"))
     measured = F.col("n_kept") >= min_points
     g = g.withColumns({c: F.when(measured, F.col(c)) for c in ("cx", "cy", "cz", "hspan", "vspan")}).withColumn("measured", measured)
     return g.select(*[c.split()[0] for c in OUTPUT.split(", ")])
@@ -74,7 +70,8 @@ def run(spark: SparkSession, source: str, output: str, config: dict) -> dict[str
     made = Observation()
     out = measurements(owned, config["policies"], config["min_points"])
     out = out.observe(made, F.count(F.lit(1)).alias("rows"), F.sum("n_owned").alias("points"), *[F.count_if(F.col("measured") & (F.col("policy") == p)).alias(p) for p in config["policies"]])
-    out.repartition("policy", "scene").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("policy", "scene").parquet(output)
+    # a task writes a file for each of its partitions, so small ones are not put together in few tasks
+    out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "policy", "scene").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("policy", "scene").parquet(output)
     discard(owned)
     counts = {k: v or 0 for k, v in made.get.items()}
     log.info("wrote %s: %s", output, counts)
