@@ -102,13 +102,6 @@ def near_any(points: DataFrame, places: DataFrame, radius: float, x: str = "x",
     return near_flag(points, places, radius, "_near", x, y, px, py).where("_near").drop("_near")
 
 
-def inside_flag(points: DataFrame, detections: DataFrame, name: str, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """Points with whether any box of their frame contains them: those that have an owner."""
-    boxes = detections.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
-    same = reduce(Column.__and__, [F.col(f"_k{i}") == F.col(k).outer() for i, k in enumerate(keys)])
-    return G.bound(points, u=F.col("u"), v=F.col("v")).withColumn(name, boxes.where(same & B.inside(F.col("u").outer(), F.col("v").outer(), B.box("_"))).exists())
-
-
 def owners(points: DataFrame, detections: DataFrame, keys: Sequence[str] = ("frame",), point: str = "pid") -> DataFrame:
     """Exclusive owner of each point: the box of least centre distance among those that contain it, ties to the lower det."""
     b = B.box("")

@@ -166,7 +166,8 @@ def _near_and_prior(spark, sf, points, share=0.12):
 
 
 def _flagged(spark, sf, share=0.12):
-    return joins.inside_flag(_near_and_prior(spark, sf, _gated(spark, sf), share), R.boxes(R.points(spark, sf)), "person_owned")
+    own = _owned(spark, sf).select("frame", "pid", F.lit(True).alias("person_owned"))
+    return _near_and_prior(spark, sf, _gated(spark, sf), share).join(own, ["frame", "pid"], "left").fillna(False, ["person_owned"])
 
 
 @query(f"""WITH {FLAGGED}, p AS (SELECT unnest(['LEGACY', 'PHYSICAL_DIRECT', 'GROUND_LIMITED', 'HEIGHT_BANDED', 'TEMPORAL_PRIMARY_OCCUPANCY_SECONDARY', 'PERSON_CONDITIONAL_PROTECTION']) AS policy),

@@ -45,8 +45,9 @@ def _best_owned(owned: DataFrame, boxes: DataFrame, keys: tuple) -> DataFrame:
 
 
 def _flagged(spark, sf) -> DataFrame:
-    """Gated points with the keeps of both priors, written once for all that reads them."""
-    return materialize(_kept(Q._flagged(spark, sf, PRIOR_SHARE), F.lit("LEGACY")), "online-flagged")
+    """Gated points with the keeps of both priors, written once for all that reads them; this policy does not ask who owns a point."""
+    flagged = Q._near_and_prior(spark, sf, Q._gated(spark, sf), PRIOR_SHARE).withColumn("person_owned", F.lit(False))
+    return materialize(_kept(flagged, F.lit("LEGACY")), "online-flagged")
 
 
 def _kept(flagged: DataFrame, policy, *more: str) -> DataFrame:
@@ -166,8 +167,8 @@ def variant_rows(spark, sf) -> DataFrame:
     it removes are labelled together, side by side.
     """
     boxes, keys = R.boxes(R.points(spark, sf)), ("policy", "frame")
-    flagged = Q._flagged(spark, sf, PRIOR_SHARE).where("temporal_keep")
-    owned = materialize(_person_points(joins.owners(flagged, boxes)).select(*flagged.columns, "det"), "variant-owned")
+    flagged = Q._near_and_prior(spark, sf, Q._gated(spark, sf), PRIOR_SHARE).where("temporal_keep")
+    owned = materialize(_person_points(joins.owners(flagged, boxes)).select(*flagged.columns, "det", F.lit(True).alias("person_owned")), "variant-owned")
     policy = F.explode(F.array(*[F.lit(p) for p in M.POLICIES])).alias("policy")
     points, boxes = _kept(owned.select("*", policy), F.col("policy"), "policy", "det"), boxes.select("*", policy)
     side = F.explode(F.array(F.lit(True), F.lit(False))).alias("occupancy_keep")
