@@ -1,6 +1,6 @@
 """Filters and counts of a fixed size, put together from all tasks whatever the input.
 
-A filter is a bitmap of ``FILTER_BITS`` over hashes of numbers: it never misses a number that
+A filter is a bitmap, of ``FILTER_BITS`` at most, over hashes of numbers: it never misses a number that
 was put in, and lets others pass the more often the fuller it is; what it lets pass is
 checked by joins.  So it only saves work, and is sent to all tasks whole.
 """
@@ -20,6 +20,8 @@ from fusegrid.llm.words import mix
 #: Tables travel in PIECES, and are put together by FAN groups of tasks first, so that no group holds a row of every task.
 PIECES, FAN = 32, 256
 FILTER_BITS = 1 << 25
+#: Bits for each of few numbers.
+BITS_EACH = 32
 ROW = "task int, piece int, bytes binary"
 
 
@@ -50,21 +52,22 @@ def hashed(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
-def filter_of(rows: DataFrame) -> np.ndarray:
-    """The filter of the rows of integer columns without nulls."""
+def filter_of(rows: DataFrame, n: int | None = None) -> np.ndarray:
+    """The filter of the rows of integer columns without nulls; smaller if they are known to be ``n`` at most."""
+    size = FILTER_BITS if n is None else min(FILTER_BITS, max(1 << 16, 1 << (BITS_EACH * n).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            bits[(hashed(*(c.to_numpy() for c in b.columns)) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
+            bits[(hashed(*(c.to_numpy() for c in b.columns)) % np.uint64(size)).astype(np.int64)] = True
         if bits.any():
             yield pa.RecordBatch.from_arrays(pieces(np.packbits(bits, bitorder="little")), ["task", "piece", "bytes"])
 
     out = summed(rows.mapInArrow(mark, ROW), np.uint8, np.bitwise_or.reduce)
-    return np.zeros(FILTER_BITS // 8, np.uint8) if out is None else out
+    return np.zeros(size // 8, np.uint8) if out is None else out
 
 
 def held(bits: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     """Whether a filter may hold each row."""
-    at = (hashed(*columns) % np.uint64(FILTER_BITS)).astype(np.int64)
+    at = (hashed(*columns) % np.uint64(8 * len(bits))).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

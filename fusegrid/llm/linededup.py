@@ -410,9 +410,10 @@ def _candidates(t: Threshold, posted: DataFrame, tag: str, asked: np.ndarray | N
 
 
 def _verified(pairs: DataFrame, source: DataFrame, t: Threshold, least: int) -> DataFrame:
-    """The ids y of the pairs whose sets reach the threshold; one pass over the documents of the lines concerned gives their sets."""
+    """The ids y of the pairs, a materialised table, whose sets reach the threshold; one pass over the documents of the lines concerned gives their sets."""
     lines = pairs.select(*[F.col(f"y{c}").alias(f"l{c}") for c in ("", "_doc", "_place")]).union(pairs.select("x", "x_doc", "x_place")).distinct()
-    wanted, documents = filter_of(lines), filter_of(lines.select("l_doc").distinct())
+    n = 2 * pairs.count()
+    wanted, documents = filter_of(lines, n), filter_of(lines.select("l_doc"), n)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,7 +490,7 @@ def duplicates(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: in
     left = materialize(star.where("more").join(hit.withColumnRenamed("id", "y"), "y", "left_anti").select("y"), "left")
     again = None
     if not left.isEmpty():
-        asked = filter_of(left)
+        asked = filter_of(left, left.count())
         words = filter_of(found.join(left, "y", "left_semi").select("word").distinct())
         rest = _candidates(t, _posted(source, t, least, ranks, words), "met", asked, **limits)
         rest = rest.join(left, "y", "left_semi").groupBy("y", "x").agg(*[F.min(c).alias(c) for c in ("y_doc", "y_place", "x_doc", "x_place")])

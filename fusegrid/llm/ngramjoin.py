@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from fusegrid.llm.bitmaps import filter_of, held
 from fusegrid.llm.setjoin import BROADCAST_IDS, Threshold, blocks, chunks, differing, fingerprints, keys, semi, short, sketches, verified
 from fusegrid.llm.words import buffers, mix, pack, shingles_of, words_of
-from fusegrid.plans.components import connected_components
+from fusegrid.plans.components import BROADCAST_EDGES, connected_components
 from fusegrid.plans.scratch import discard, materialize
 
 WIDTH, THRESHOLD = 5, Threshold(4, 5)
@@ -199,22 +198,23 @@ def _search(members: DataFrame, t: Threshold) -> DataFrame:
     w = w.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     w = w.withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")}).drop("o", "parts", "m")
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        ids, component, part = p.id.to_numpy(), p.component.to_numpy(), p.part.to_numpy()
-        x = np.stack([np.frombuffer(v, np.int32) for v in p.point])
-        n, parities = x.sum(1), Parities(list(p.sketch))
-        sides = [np.flatnonzero(part == k) for k in dict.fromkeys((p.i.iloc[0], p.j.iloc[0]))]
+    def one(g: pa.Table) -> pa.Table:
+        ids, component, part = (g.column(c).to_numpy() for c in ("id", "component", "part"))
+        x = np.frombuffer(b"".join(g.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+        n, parities = x.sum(1), Parities(g.column("sketch").to_pylist())
+        sides = [np.flatnonzero(part == k) for k in dict.fromkeys(g.column(c)[0].as_py() for c in ("i", "j"))]
         out = []
         if all(len(s) for s in sides):
             trees = [Tree(x[s], component[s]) for s in sides]
             for r, s in tree_pairs(t, trees[0], trees[-1]):
                 r, s = sides[0][r], sides[-1][s]
                 ok = parities.differing(r, s) * (t.num + t.den) <= (n[r] + n[s]) * (t.den - t.num)
-                out.append(np.stack((ids[r[ok]], ids[s[ok]]), 1))
+                if ok.any():
+                    out.append(np.stack((ids[r[ok]], ids[s[ok]]), 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"y": got.max(1, initial=-(2**63)), "x": got.min(1, initial=2**63 - 1)}).drop_duplicates()
+        return pa.table({"y": got.max(1, initial=-(2**63)), "x": got.min(1, initial=2**63 - 1)})
 
-    return w.groupBy("block", "i", "j").applyInPandas(one, "y long, x long").distinct()
+    return w.groupBy("block", "i", "j").applyInArrow(one, "y long, x long").distinct()
 
 
 def _joined(docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFrame, list[DataFrame]]:
@@ -241,8 +241,9 @@ def _joined(docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFram
 
     # a text of null ids only is fetched under a stand-in
     stand_in = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
-    wanted = filter_of(known.select("id", stand_in))
-    by_document = filter_of(known.select(stand_in).distinct())
+    n_known = known.count()
+    wanted = filter_of(known.select("id", stand_in), n_known)
+    by_document = filter_of(known.select(stand_in), n_known)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -260,14 +261,14 @@ def _joined(docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFram
     members = kept(met.join(known.select("id", "n", short(F.col("id")).alias("short")), "short").drop("short"), "members")
     for round_ in range(PIVOTS + 1):
         if component is not None:
-            labelled = members.select("block", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = labelled.groupBy("block").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("block")
-            open_ = members.join(mixed, "block").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            labelled = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
-            open_ = members.withColumn("component", F.col("id"))
+            labelled = members.withColumn("component", F.col("id"))
+        # blocks that hold two components or more, and their pivots
+        pivot = labelled.groupBy("block").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), *([] if round_ == PIVOTS else [F.min(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))).alias("v")]))
+        open_ = labelled.join(pivot.where("c1 <> c2").drop("c1", "c2"), "block")
         if round_ < PIVOTS:
-            pivot = open_.groupBy("block").agg(F.min(F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))).alias("v"))
-            pairs = open_.join(pivot, "block").where((F.col("id") != F.col("v.p")) & (F.col("component") != F.col("v.pc")) & t.sizes_fit(F.col("n"), F.col("v.pn")))
+            pairs = open_.where((F.col("id") != F.col("v.p")) & (F.col("component") != F.col("v.pc")) & t.sizes_fit(F.col("n"), F.col("v.pn")))
             pairs = pairs.select(F.greatest("id", "v.p").alias("y"), F.least("id", "v.p").alias("x")).distinct()
         else:
             pairs = _search(open_.join(known.select("id", "point", "sketch"), "id").select("block", "m", "id", "component", "point", "sketch"), t)
@@ -277,7 +278,8 @@ def _joined(docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFram
         tried = pairs if tried is None else tried.union(pairs)
         new = kept(verified(pairs, sets.select("id", "elements"), t, _unsqueezed).select(F.col("y").alias("a"), F.col("x").alias("b")), "links")
         links = new if links is None else links.union(new)
-        component = connected_components(links)
+        component = kept(connected_components(links), "component")
+        component = F.broadcast(component) if component.count() <= BROADCAST_EDGES else component
 
     # null ids are kept apart by a name of their own
     c = outlines.select("doc_id", "id", "n").join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
