@@ -80,7 +80,7 @@ def sets_of(line: np.ndarray, token: np.ndarray, lines: int) -> tuple[np.ndarray
 
 
 def compared(batch: pa.RecordBatch, least: int, ranks: tuple[np.ndarray, np.ndarray] | None = None):
-    """(row, place, name, size, tokens) of the compared lines; with (rank of each cell, cell of each rank), tokens are numbered by rarity."""
+    """(row, place, name, size, tokens) of the compared lines; with (rank of each cell, cell of each rank), tokens are numbered by rarity and names are left to ``named``."""
     row, place, line, token = line_tokens(batch)
     if ranks is not None:
         rank, cell = ranks
@@ -88,10 +88,12 @@ def compared(batch: pa.RecordBatch, least: int, ranks: tuple[np.ndarray, np.ndar
     tokens, n = sets_of(line, token, len(row))
     ok = n >= least
     tokens, n = tokens[np.repeat(ok, n)], n[ok]
-    plain = tokens
-    if ranks is not None:
-        plain = (tokens & np.uint64((1 << REST_BITS) - 1)) << np.uint64(CELL_BITS) | cell[(tokens >> np.uint64(REST_BITS)).astype(np.int64)]
-    return row[ok], place[ok], fingerprints(plain, n), n, tokens
+    return row[ok], place[ok], fingerprints(tokens, n) if ranks is None else None, n, tokens
+
+
+def named(tokens: np.ndarray, n: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The names of sets whose tokens are numbered by rarity."""
+    return fingerprints((tokens & np.uint64((1 << REST_BITS) - 1)) << np.uint64(CELL_BITS) | cell[(tokens >> np.uint64(REST_BITS)).astype(np.int64)], n)
 
 
 def prefix_sizes(t: Threshold, n: np.ndarray) -> np.ndarray:
@@ -118,13 +120,13 @@ Columns = dict[str, np.ndarray]
 class Postings:
     """The postings of some lines, under the words of their prefixes; equal lines are posted once, by the earliest."""
 
-    def __init__(self, t: Threshold, n_buckets: int, words: np.ndarray | None = None):
-        self.t, self.n_buckets, self.words, self.size = t, n_buckets, words, 0
+    def __init__(self, t: Threshold, n_buckets: int, cell: np.ndarray, words: np.ndarray | None = None):
+        self.t, self.n_buckets, self.cell, self.words, self.size = t, n_buckets, cell, words, 0
         self.sketches = SKETCHES if words is None else MORE_SKETCHES
         self.lines: list[Columns] = []
         self.posted: list[Columns] = []
 
-    def add(self, ids, n, tokens, doc, place) -> None:
+    def add(self, n, tokens, doc, place) -> None:
         """Lines whose sets are given as consecutive tokens in order of rarity; of a filter ``words`` only those words."""
         row = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(tokens)) - (np.cumsum(n) - n)[row]
@@ -140,13 +142,14 @@ class Postings:
             used[row[post]] = True
             number = np.cumsum(used) - 1
             at, row, tokens = at[post], number[row[post]], tokens[np.repeat(used, n)]
-            ids, n, doc, place = ids[used], n[used], doc[used], place[used]
+            n, doc, place = n[used], doc[used], place[used]
         else:
             at, row = at[post], row[post]
         first = sum(len(x["id"]) for x in self.lines)
         sketches = {f"{c}{k}": x for k in range(self.sketches) for c, x in zip("pq", parities(tokens, n, k), strict=True)}
-        self.lines.append({"n": n, "place": place, "doc": doc, "id": ids} | sketches)
-        self.posted.append({"bucket": bucket, "key": key, "at": at, "line": first + row})
+        # what waits for the flush has the widths of its posting
+        self.lines.append({"n": n.astype(np.int32), "place": place.astype(np.int32), "doc": doc, "id": named(tokens, n, self.cell)} | sketches)
+        self.posted.append({"bucket": bucket.astype(np.int32), "key": key.astype(np.uint32), "at": at.astype(np.int32), "line": (first + row).astype(np.int32)})
         self.size += len(post)
 
     def flush(self) -> pa.RecordBatch:
@@ -437,10 +440,10 @@ def _posted(source: DataFrame, t: Threshold, least: int, ranks: tuple[np.ndarray
     n_buckets = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Postings(t, n_buckets, words)
+        kept = Postings(t, n_buckets, ranks[1], words)
         for part in chunks(batches):
-            row, place, ids, n, tokens = compared(part, least, ranks)
-            kept.add(ids, n, tokens, part.column(0).to_numpy()[row], place)
+            row, place, _, n, tokens = compared(part, least, ranks)
+            kept.add(n, tokens, part.column(0).to_numpy()[row], place)
             if kept.size >= FLUSH:
                 yield kept.flush()
         if kept.size:
@@ -530,8 +533,8 @@ def dedup(docs: DataFrame, threshold: Threshold = THRESHOLD, min_tokens: int = 1
         return pd.Series(out, dtype=object)
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    # most documents lose lines, so both sides are dealt out at every size
-    d = docs.drop("n_lines", "n_removed").join(gone.hint("merge"), key == F.col("_key"), "left")
+    # most documents lose lines, so both sides are dealt out at every size; the places, which are small, are hashed, and no text is sorted
+    d = docs.drop("n_lines", "n_removed").join(gone.hint("shuffle_hash"), key == F.col("_key"), "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     n_removed = F.when(F.col("_key").isNull() | F.col("text").isNull(), 0).otherwise(F.size("_places")).cast("long")
     d = d.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": kept(F.col("text").cast("string"), "_places")})
